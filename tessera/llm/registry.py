@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import bpe, simhash
 
 QUERIES = {
+    "op8_bpe_encode_decode": bpe.op8,
     "op3_simhash_near_dedup": simhash.op3,
 }
 ORACLES: dict[str, str] = {}
