@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, simhash
+from . import bpe, simhash, toxicity
 
 QUERIES = {
     "op8_bpe_encode_decode": bpe.op8,
+    "op10_toxicity": toxicity.op10,
     "op3_simhash_near_dedup": simhash.op3,
 }
 ORACLES: dict[str, str] = {}

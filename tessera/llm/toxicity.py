@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, read, remainder, texts
 
-ROWS = 1 << 15
+#: Words hash to one of these; those of at least `least` training documents (see vocabulary) have an embedding row.
+BUCKETS = 1 << 22
 DIM, FILTERS, WIDTHS = 12, 8, (1, 2, 3)
 #: Words a slab of convolution holds; longer texts take several slabs that overlap.
 SLAB = 1 << 16
@@ -45,31 +46,34 @@ FUNCTION_WORDS = {
 }
 
 
-class Hashed(dict):
-    """Row numbers by word; a bounded table of what crc32 gives."""
+def bucket(word: bytes) -> int:
+    return zlib.crc32(word) % BUCKETS
+
+
+class Rows(dict):
+    """Numbers by word, a bounded table: the hash bucket itself, or the bucket's embedding row, 0 where it has none."""
+
+    def __init__(self, rows: dict[int, int] | None = None):
+        super().__init__()
+        self.rows = rows
 
     def __missing__(self, word: bytes) -> int:
-        row = zlib.crc32(word) % (ROWS - 1) + 1  # row 0 stands for no word
+        found = bucket(word) if self.rows is None else self.rows.get(bucket(word), 0)
         if len(self) < 300_000:
-            self[word] = row
-        return row
+            self[word] = found
+        return found
 
 
-def word_rows(text: bytes | None, table: Hashed) -> np.ndarray:
+def word_rows(text: bytes | None, table: Rows) -> np.ndarray:
     words = WORD.findall((text or b"").lower())
     return np.fromiter(map(table.__getitem__, words), np.int32, len(words))
 
 
-def language_table() -> np.ndarray:
-    """Group number by row: 0 for rows without a function word of just one language."""
-    table, seen = np.zeros(ROWS, np.int8), {}
-    for k, words in enumerate(FUNCTION_WORDS.values(), 1):
-        for word in words.split():
-            row = zlib.crc32(word.encode()) % (ROWS - 1) + 1
-            seen.setdefault(row, set()).add(k)
-    for row, groups in seen.items():
-        table[row] = groups.pop() if len(groups) == 1 else 0
-    return table
+def vocabulary(docs: list[np.ndarray]) -> dict[int, int]:
+    """Row numbers, from 1, of the buckets that occur in enough documents: a 400th of them, but 2 to 10."""
+    seen, n = np.unique(np.concatenate([np.unique(d) for d in docs] or [np.zeros(0, np.int32)]), return_counts=True)
+    kept = seen[n >= min(10, max(2, len(docs) // 400))]
+    return dict(zip(kept.tolist(), range(1, len(kept) + 1), strict=True))
 
 
 @dataclass
@@ -81,6 +85,23 @@ class Model:
     out: np.ndarray
     out_bias: float
     shift: np.ndarray
+    rows: dict[int, int]
+
+    def __post_init__(self):
+        self.languages = np.zeros(len(self.table), np.int8)
+        seen: dict[int, set[int]] = {}
+        for k, words in enumerate(FUNCTION_WORDS.values(), 1):
+            for word in words.split():
+                seen.setdefault(self.rows.get(bucket(word.encode()), 0), set()).add(k)
+        for row, groups in seen.items():  # a row of several languages tells nothing
+            self.languages[row] = groups.pop() if row and len(groups) == 1 else 0
+
+    def groups(self, docs: list[np.ndarray]) -> np.ndarray:
+        """Number of the calibration group of each document; 0 without any function word."""
+        n = len(FUNCTION_WORDS) + 1
+        counts = np.array([np.bincount(self.languages[rows], minlength=n) for rows in docs], int).reshape(-1, n)
+        counts[:, 0] = 0
+        return counts.argmax(axis=1)
 
     def pooled(self, docs: list[np.ndarray]) -> np.ndarray:
         """(documents, filters): the largest response of every filter over each whole document, zero if none is positive."""
@@ -121,21 +142,10 @@ class Model:
         return self.pooled(docs) @ self.out + self.out_bias
 
     def scores(self, docs: list[np.ndarray]) -> np.ndarray:
-        groups = language_groups(docs)
-        z = (self.logits(docs) + self.shift[groups]).astype(np.float64)
+        z = (self.logits(docs) + self.shift[self.groups(docs)]).astype(np.float64)
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-_LANGUAGES = language_table()
-
-
-def language_groups(docs: list[np.ndarray]) -> np.ndarray:
-    counts = np.array([np.bincount(_LANGUAGES[rows], minlength=len(FUNCTION_WORDS) + 1) for rows in docs] or np.zeros((0, 5), int))
-    counts = counts.reshape(len(docs), -1)
-    counts[:, 0] = 0
-    return np.where(counts.max(axis=1, initial=0) > 0, counts.argmax(axis=1), 0)
-
-
 def best_threshold(logits: np.ndarray, labels: np.ndarray) -> float:
     """The middle of the logit interval with the best F1; of several the middle one."""
     cuts = np.unique(logits)
@@ -147,11 +157,17 @@ def best_threshold(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(mids[best[len(best) // 2]])
 
 
-def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: int = 32, rate: float = 0.1, seed: int = 7) -> Model:
-    """AdaGrad over mini-batches; every fifth document is kept for calibration."""
+def train(docs: list[np.ndarray], labels: np.ndarray, visits: int = 48000, batch: int = 32, rate: float = 0.1, drop: float = 0.2, seed: int = 7) -> Model:
+    """Fit documents given as word buckets: AdaGrad over mini-batches, words dropped at random; a fifth calibrates.
+
+    visits: documents shown in all, in 3 to 14 epochs."""
     rng = np.random.default_rng(seed)
+    rows_of = vocabulary(docs)
+    to_row = np.zeros(BUCKETS, np.int32)
+    to_row[list(rows_of)] = list(rows_of.values())
+    docs, n_rows = [to_row[d] for d in docs], len(rows_of) + 1
     columns = len(WIDTHS) * FILTERS
-    emb = rng.normal(0, 0.3, (ROWS, DIM)).astype(np.float32)
+    emb = rng.normal(0, 0.1, (n_rows, DIM)).astype(np.float32)
     emb[0] = 0
     filters = [rng.normal(0, 0.4, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
     bias, out = np.zeros(columns, np.float32), np.abs(rng.normal(0, 0.3, columns)).astype(np.float32)
@@ -163,9 +179,9 @@ def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: i
     sums = [np.full_like(x, 1e-2) for x in (emb, *filters, bias, out)]
     sum_b = 1e-2
 
-    def model(shift=None) -> Model:
+    def model() -> Model:
         flat = np.concatenate([f.transpose(1, 0, 2).reshape(DIM, -1) for f in filters], axis=1)
-        return Model(emb @ flat, bias.copy(), out.copy(), out_bias, np.zeros(len(FUNCTION_WORDS) + 1) if shift is None else shift)
+        return Model(emb @ flat, bias.copy(), out.copy(), out_bias, np.zeros(len(FUNCTION_WORDS) + 1), rows_of)
 
     def step(which: np.ndarray) -> None:
         nonlocal out_bias, sum_b
@@ -174,6 +190,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: i
         rows = np.concatenate(parts + [np.zeros(reach, np.int32)])
         ends = np.cumsum([len(p) for p in parts])
         starts = np.concatenate(([0], ends[:-1]))
+        rows = np.where(rng.random(len(rows)) < drop, 0, rows)
         x = emb[rows]
         n = ends[-1]
         pooled, places = np.zeros((len(which), columns), np.float32), np.zeros((len(which), columns), np.int64)
@@ -211,7 +228,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: i
     kept = [docs[i] for i in np.flatnonzero(held)]
     truth = labels[held]
     best = (np.inf, model())
-    for _ in range(epochs if len(learnt) else 0):
+    for _ in range(int(np.clip(visits // len(learnt), 3, 14)) if len(learnt) else 0):
         order = rng.permutation(learnt)
         for at in range(0, len(order), batch):
             step(order[at : at + batch])
@@ -224,8 +241,8 @@ def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: i
         else:
             best = (0.0, now)
     chosen = best[1]
-    if kept and 0 < truth.sum() < len(truth):
-        z, groups = chosen.logits(kept), language_groups(kept)
+    if kept and truth.sum() >= 10 and (1 - truth).sum() >= 10:
+        z, groups = chosen.logits(kept), chosen.groups(kept)
         chosen.shift[:] = -best_threshold(z, truth)
         for k in range(len(chosen.shift)):
             own = groups == k
@@ -236,16 +253,16 @@ def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: i
 
 def nothing_learnt() -> Model:
     columns = len(WIDTHS) * FILTERS
-    return Model(np.zeros((ROWS, sum(WIDTHS) * FILTERS), np.float32), np.zeros(columns, np.float32), np.zeros(columns, np.float32), -40.0, np.zeros(len(FUNCTION_WORDS) + 1))
+    return Model(np.zeros((1, sum(WIDTHS) * FILTERS), np.float32), np.zeros(columns, np.float32), np.zeros(columns, np.float32), -40.0, np.zeros(len(FUNCTION_WORDS) + 1), {})
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 8000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 16000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on at most `sample` rows of labels, the first by hash of the id; rows held out must not be in `labels`."""
     chosen = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("__id"), F.col(label).cast("float").alias("__y"))
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id", "__y").limit(sample)
 
     def make():
-        table = Hashed()
+        table = Rows()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = [word_rows(t, table).tobytes() for t in texts(batch.column(2))]
@@ -267,7 +284,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        table, own = Hashed(), sent.value
+        own = sent.value
+        table = Rows(own.rows)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             scores = own.scores([word_rows(t, table) for t in texts(batch.column(1))])
@@ -283,7 +301,8 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_co
     sent, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def make():
-        table, own = Hashed(), sent.value
+        own = sent.value
+        table = Rows(own.rows)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             scores = own.scores([word_rows(t, table) for t in texts(batch.column(place))])
