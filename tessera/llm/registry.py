@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, simhash, toxicity
+from . import bpe, mixing, simhash, toxicity
 
 QUERIES = {
+    "op1_source_mixing": mixing.op1,
     "op8_bpe_encode_decode": bpe.op8,
     "op10_toxicity": toxicity.op10,
     "op3_simhash_near_dedup": simhash.op3,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_source_mixing": mixing.ORACLE,
+}
