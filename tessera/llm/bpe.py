@@ -23,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import map_texts, read, texts
 
@@ -232,5 +233,25 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def tokenise(docs: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
+    """docs with n_tokens and ids; the text is what the ids decode to. Columns of these names are replaced."""
+    docs = docs.drop("n_tokens", "ids")
+    load, place = _loaded(docs, path), docs.columns.index(text_col)
+
+    def make():
+        pairs = load()
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids = [pairs.encode(t) for t in _strings(batch.column(place))]
+            decoded = pa.array([pairs.decode_bytes(i) for i in ids], pa.binary()).cast(pa.string())
+            columns = [decoded if i == place else c for i, c in enumerate(batch.columns)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, "n_tokens", "ids"])
+
+        return step
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return map_texts(docs, make, schema, text_col)
+
+
 def op8(spark, sf_dir: str) -> DataFrame:
     return digests(read(spark, sf_dir, "documents"))

@@ -26,10 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts, texts
+from .common import cut, map_texts, read, small, texts
 
 SEED = 42
 BUCKET_ROWS = 4096
+#: Ids (of 8 bytes) that may be broadcast.
+BROADCAST_ROWS = 200_000
 #: Buckets of this many fingerprints are expected at most: it decides how many blocks a key takes.
 EXPECTED_MATES = 64
 
@@ -268,12 +270,10 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, id_col: st
 def keep_first(docs: DataFrame, radius: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the documents of a component that are not its first. Rows without an id are kept."""
     groups = near_duplicates(docs, radius, width, id_col, text_col)
-    extra = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__extra")).distinct()
-    return docs.join(extra, docs[id_col] == F.col("__extra"), "left_anti")
+    extra = cut(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__extra")).distinct())
+    return docs.join(small(extra, BROADCAST_ROWS), docs[id_col] == F.col("__extra"), "left_anti")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
-    from .common import read
-
     found = near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
