@@ -2,7 +2,7 @@
 
 Source shares p of the tokens are exponentiated: weights w = p^a / sum p^a. Lower exponents even the sources out. The
 exponent is bisected in [0, 1]: the largest one whose weights have the target entropy, raised if a source would be
-repeated more often than allowed. Five levels of the bisection are evaluated in one aggregation over the sources, so
+repeated more often than allowed; with a limit on repetition alone, the least exponent within that limit. Five levels of the bisection are evaluated in one aggregation over the sources, so
 that nothing but a few sums reaches the driver, however many sources there are.
 
 The weights are realised within a token budget as block permutations. Every source is cut by a hash of the id into
@@ -100,7 +100,7 @@ def exponent(sources: DataFrame, mix: Mix) -> float:
         chosen = bisect(lambda h, _: h >= target)
     if mix.max_repetition is not None:
         floor = bisect(lambda _, r: r > mix.max_repetition)
-        chosen = max(chosen, 0.0 if floor == 0.0 else floor)
+        chosen = floor if mix.target_entropy is None else max(chosen, floor)
     return round(chosen, 9)
 
 
