@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from corpus_pipeline import run
 
-from . import bpe, language, mixing, pii, quality, simhash, syncmers, toxicity
+from . import bpe, language, lm, mixing, pii, quality, simhash, syncmers, toxicity
 
 QUERIES = {
     "op1_source_mixing": mixing.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op5_syncmer_fingerprints": syncmers.op5,
     "op7_quality": quality.op7,
     "op6_language_id": language.op6,
+    "op9_lm_scoring": lm.op9,
     "op8_bpe_encode_decode": bpe.op8,
     "op10_toxicity": toxicity.op10,
     "op3_simhash_near_dedup": simhash.op3,
