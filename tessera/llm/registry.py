@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from corpus_pipeline import run
 
-from . import bpe, language, lm, mixing, pii, quality, simhash, syncmers, toxicity
+from . import bpe, language, lm, mixing, neighbours, pii, quality, simhash, syncmers, toxicity
 
 QUERIES = {
     "op1_source_mixing": mixing.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_lm_scoring": lm.op9,
     "op8_bpe_encode_decode": bpe.op8,
     "op10_toxicity": toxicity.op10,
+    "op2_nearest_neighbours": neighbours.op2,
     "op3_simhash_near_dedup": simhash.op3,
 }
 ORACLES: dict[str, str] = {
