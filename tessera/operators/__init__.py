@@ -1,0 +1 @@
+"""Operators: DataFrame to DataFrame."""
