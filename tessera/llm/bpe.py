@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .common import map_texts, read, texts
 
 LONG_PIECE = 192
-#: Units and pieces kept in a worker's tables; they are emptied when full.
+#: Units kept in each of a worker's two tables; a table is emptied when full.
 TABLE_ENTRIES = 400_000
 NO_RANK = 1 << 60
 #: White space as the pre-tokenizer knows it, and its pattern.
@@ -85,18 +85,15 @@ class BytePairs:
         self.pieces = regex.compile(PATTERN)
         self.runs = regex.compile(rf"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
         self.crowded = regex.compile(rf"[{SPACE}] ")
-        self.piece_ids: dict[str, list[int]] = {}
         self.first, self.spaced = Units(self._unit, ""), Units(self._unit, " ")
 
     def _unit(self, unit: str) -> Iterable[int]:
-        if len(self.piece_ids) >= TABLE_ENTRIES:
-            self.piece_ids.clear()
+        pieces = self.pieces.findall(unit)
+        if len(pieces) == 1:
+            return self.merge(unit.encode())
         out: list[int] = []
-        for piece in self.pieces.findall(unit):
-            ids = self.piece_ids.get(piece)
-            if ids is None:
-                ids = self.piece_ids[piece] = self.merge(piece.encode())
-            out += ids
+        for piece in pieces:  # a piece is a unit too, so one table serves both
+            out += self.spaced[piece[1:]] if piece[0] == " " and len(piece) > 1 else self.first[piece]
         return out
 
     def merge(self, piece: bytes) -> list[int]:

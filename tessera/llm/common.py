@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: No slice of an Arrow batch handed to Python code holds more bytes of text than this, but for a single longer text.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Rows in an Arrow batch between the JVM and Python.
 BATCH_ROWS = 2000
 
