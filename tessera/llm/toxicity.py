@@ -106,25 +106,28 @@ class Model:
     def pooled(self, docs: list[np.ndarray]) -> np.ndarray:
         """(documents, filters): the largest response of every filter over each whole document, zero if none is positive."""
         result = np.zeros((len(docs), len(self.out)), np.float32)
-        slab, owners, held = [], [], 0
+        slab, owners, positions, held = [], [], [], 0
         reach = max(WIDTHS) - 1
 
         def flush() -> None:
-            nonlocal slab, owners, held
+            nonlocal slab, owners, positions, held
             if slab:
-                rows = np.concatenate(slab + [np.zeros(reach, np.int32)])
-                lengths = np.array([len(x) for x in slab])
-                starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-                result[owners] = np.maximum(result[owners], np.maximum.reduceat(self.responses(rows), starts, axis=0))
-            slab, owners, held = [], [], 0
+                rows = np.concatenate([*slab, np.zeros(reach, np.int32)])
+                starts = np.cumsum([0, *map(len, slab[:-1])])
+                # from each part's first word to its last; what stands between, where windows would cross, is left out
+                bounds = np.stack((starts, starts + positions), axis=1).ravel()
+                best = np.maximum.reduceat(self.responses(rows), bounds, axis=0)[::2]
+                np.maximum.at(result, owners, best)
+            slab, owners, positions, held = [], [], [], 0
 
         for i, rows in enumerate(docs):
             for at in range(0, len(rows), SLAB):
                 part = np.concatenate((rows[at : at + SLAB + reach], np.zeros(reach, np.int32)))
-                if held + len(part) > SLAB or (owners and owners[-1] == i):
+                if slab and held + len(part) > SLAB:
                     flush()
                 slab.append(part)
                 owners.append(i)
+                positions.append(min(SLAB, len(rows) - at))
                 held += len(part)
         flush()
         return result
@@ -190,6 +193,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, visits: int = 48000, batch
         rows = np.concatenate(parts + [np.zeros(reach, np.int32)])
         ends = np.cumsum([len(p) for p in parts])
         starts = np.concatenate(([0], ends[:-1]))
+        stops = starts + [max(1, len(docs[i])) for i in which]
         rows = np.where(rng.random(len(rows)) < drop, 0, rows)
         x = emb[rows]
         n = ends[-1]
@@ -197,7 +201,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, visits: int = 48000, batch
         for k, (w, f) in enumerate(zip(WIDTHS, filters, strict=True)):
             cols = slice(k * FILTERS, (k + 1) * FILTERS)
             r = sum(x[o : o + n] @ f[o] for o in range(w)) + bias[cols]
-            for b, (s, e) in enumerate(zip(starts, ends, strict=True)):
+            for b, (s, e) in enumerate(zip(starts, stops, strict=True)):
                 places[b, cols] = s + r[s:e].argmax(axis=0)
             pooled[:, cols] = np.maximum(r[places[:, cols], np.arange(FILTERS)], 0)
         z = pooled @ out + out_bias
