@@ -25,6 +25,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, map_texts, read, remainder, slices, texts
 
-HEAD = 1 << 16
+#: Most words of the head.
+HEAD = 1 << 18
 CLASSES, MEMBERS = 64, 64
 TAIL = CLASSES - 1
 WORDS = TAIL * MEMBERS
@@ -44,21 +46,13 @@ CONTEXTS = WORDS + 1 + ENDINGS
 PAIR_ROWS, MEMBER_ROWS = 1 << 13, 1 << 13
 BATCH, RATE = 4096, 0.15
 BLOCKS = 64
+#: Words that a task counts before it sends its counts on.
+TABLE_WORDS = 400_000
 #: Rows of each weight table: class by word before, by the one before it, by both; member by class and word before; biases.
 TABLES = (CONTEXTS, CONTEXTS, PAIR_ROWS, MEMBER_ROWS, TAIL, 1)
 END = b" "
 
 
-class Contexts(dict):
-    """Context number by word; words of the tail share the number of their last bytes."""
-
-    def __missing__(self, word: bytes) -> int:
-        number = START + 1 + zlib.crc32(word[-3:]) % ENDINGS
-        if len(self) < 250_000:
-            self[word] = number
-        return number
-
-
 @dataclass
 class Facts:
     """Counts over the training corpus: tokens and distinct tokens, of them the tail's, and the head's counts by word."""
@@ -70,23 +64,41 @@ class Facts:
     head: dict[bytes, int]
     model: list[bytes]
 
-    def contexts(self) -> Contexts:
-        return Contexts({w: i for i, w in enumerate(self.model)})
-
-
-def sequences(documents: list[list[bytes]], numbers: Contexts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of documents one after the other: (targets, word before, word before that, starts). Each ends with END."""
-    lengths = np.array([len(d) + 1 for d in documents])
+class Numbers:
+    """Numbers of words: place in the head, and context."""
+
+    def __init__(self, facts: Facts):
+        self.place = {w: i for i, w in enumerate(facts.head)}
+        inside = {w: i for i, w in enumerate(facts.model)}
+        self.context = np.fromiter((inside.get(w, -1) if w in inside else START + 1 + zlib.crc32(w[-3:]) % ENDINGS for w in facts.head), np.int32, len(facts.head))
+
+    def places(self, documents: list[list[bytes]]) -> np.ndarray:
+        """Places of all words of all documents, one after the other; -1 outside the head."""
+        n = sum(map(len, documents))
+        return np.fromiter(map(self.place.get, chain.from_iterable(documents), repeat(-1)), np.int32, n)
+
+    def sequences(self, documents: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of documents that each end with END: (targets, word before, word before that, starts, places)."""
+        places = self.places(documents)
+        rare = np.flatnonzero(places < 0)
+        ids = np.take(self.context, places, mode="clip") if len(self.context) else np.empty(len(places), np.int32)
+        if len(rare):
+            flat = list(chain.from_iterable(documents))
+            ids[rare] = [START + 1 + zlib.crc32(flat[i][-3:]) % ENDINGS for i in rare.tolist()]
+        lengths = np.fromiter(map(len, documents), np.int64, len(documents))
+        return *shifted(ids, lengths), np.cumsum(lengths) - lengths, places
+
+
+def shifted(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(targets, word before, word before that) of documents of these lengths, one after the other."""
     starts = np.cumsum(lengths) - lengths
-    get = numbers.__getitem__
-    ids = np.fromiter((x for d in documents for x in (*map(get, d), get(END))), np.int32, int(lengths.sum()))
     one, two = np.empty_like(ids), np.empty_like(ids)
     one[1:], two[2:] = ids[:-1], ids[:-2]
     one[starts] = START
     two[starts] = START
     after = starts + 1
     two[after[after < len(ids)]] = START
-    return ids, one, two, starts
+    return ids, one, two
 
 
 class Model:
@@ -97,6 +109,8 @@ class Model:
         cuts = np.cumsum((0, *TABLES)) * 64
         self.tables = [self.flat[a:b].reshape(-1, 64) for a, b in zip(cuts, cuts[1:], strict=False)]
         self.squares = [np.full(n, 0.02, np.float32) for n in TABLES]
+        self.buffers = [np.empty((BATCH, 64), np.float32) for _ in range(3)]
+        self.sorted, self.summed = np.empty((BATCH, 64), np.float32), np.empty((BATCH, 64), np.float32)
 
     @staticmethod
     def rows(ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -108,15 +122,25 @@ class Model:
         return [one, two, pair], inside, np.stack([member, cls.astype(np.int64)])
 
     def logits(self, ids, one, two):
+        """Class and member logits in buffers that the next call uses again; weights stay far from what exp can hold."""
         a, b, d, e, m, bias = self.tables
         (ra, rb, rd), inside, (re_, rm) = self.rows(ids, one, two)
-        return (a[ra] + b[rb] + d[rd] + bias), inside, (e[re_] + m[rm]), (ra, rb, rd), (re_, rm)
+        zc, zm, more = (x[:n] for x, n in zip(self.buffers, (len(ids), len(inside), len(ids)), strict=True))
+        np.take(a, ra, axis=0, out=zc, mode="clip")
+        zc += np.take(b, rb, axis=0, out=more, mode="clip")
+        zc += np.take(d, rd, axis=0, out=more, mode="clip")
+        zc += bias
+        np.take(e, re_, axis=0, out=zm, mode="clip")
+        zm += np.take(m, rm, axis=0, out=more[: len(inside)], mode="clip")
+        np.clip(zc, -40, 40, out=zc)
+        np.clip(zm, -40, 40, out=zm)
+        return zc, inside, zm, (ra, rb, rd), (re_, rm)
 
     def log_probabilities(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Natural logarithms, token by token; a tail word's is that of the tail class."""
         out = np.empty(len(ids))
-        for at in range(0, len(ids), 4 * BATCH):
-            part = slice(at, at + 4 * BATCH)
+        for at in range(0, len(ids), BATCH):
+            part = slice(at, at + BATCH)
             i, o, t = ids[part], one[part], two[part]
             zc, inside, zm, _, _ = self.logits(i, o, t)
             cls = np.where(i < WORDS, i % TAIL, TAIL)
@@ -133,38 +157,60 @@ class Model:
             self._push(k, rows, gc)
         for k, rows in enumerate(member_rows, 3):
             self._push(k, rows, gm)
-        self._push(5, np.zeros(len(ids), np.int64), gc)
+        total = gc.sum(axis=0)
+        self.squares[5] += (total * total).mean()
+        self.tables[5][0] -= RATE * total / np.sqrt(self.squares[5])
 
     def _push(self, k: int, rows: np.ndarray, g: np.ndarray) -> None:
         """AdaGrad with one sum of squares per row; gradients of equal rows are added first."""
         if not len(rows):
             return
-        order = np.argsort(rows, kind="stable")
+        order = np.argsort(rows.astype(np.int16), kind="stable")  # all row numbers fit, and short keys sort by radix
         ordered = rows[order]
         heads = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        own, total = ordered[heads], np.add.reduceat(g[order], heads, axis=0)
-        self.squares[k][own] += (total * total).mean(axis=1)
-        self.tables[k][own] -= RATE * total / np.sqrt(self.squares[k][own])[:, None]
+        own, sizes = ordered[heads], np.diff(heads, append=len(ordered))
+        g = np.take(g, order, axis=0, out=self.sorted[: len(g)], mode="clip")
+        total = np.take(g, heads, axis=0, out=self.summed[: len(heads)], mode="clip")
+        for i in range(1, 6):  # few rows repeat often: the first few repeats are added together, the others row by row
+            more = np.flatnonzero(sizes > i)
+            total[more] += g[heads[more] + i]
+        many = np.flatnonzero(sizes > 6)
+        for i, a, b in zip(many.tolist(), (heads[many] + 6).tolist(), (heads[many] + sizes[many]).tolist(), strict=True):
+            total[i] += np.add.reduce(g[a:b])
+        squares = self.squares[k][own] + np.einsum("ij,ij->i", total, total) / 64
+        self.squares[k][own] = squares
+        total *= (RATE / np.sqrt(squares))[:, None]
+        self.tables[k][own] -= total
 
     def learn(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
         for at in range(0, len(ids), BATCH):
             self.step(ids[at : at + BATCH], one[at : at + BATCH], two[at : at + BATCH])
 
 
+_ONES, _ROWS = np.ones(64, np.float32), np.arange(BATCH)
+
+
 def chosen_log(z: np.ndarray, k: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z[np.arange(len(z)), k] - np.log(np.exp(z).sum(axis=1))
+    """Logarithm of the softmax at k. z is overwritten."""
+    own = z[_ROWS[: len(z)], k]
+    total = np.exp(z, out=z) @ _ONES
+    return own - np.log(total)
 
 
 def gradient(z: np.ndarray, k: np.ndarray) -> np.ndarray:
-    p = np.exp(z - z.max(axis=1, keepdims=True))
-    p /= p.sum(axis=1, keepdims=True)
-    p[np.arange(len(p)), k] -= 1
+    """Softmax less the one at k, in place of z."""
+    p = np.exp(z, out=z)
+    p *= (1 / (p @ _ONES))[:, None]
+    p[_ROWS[: len(p)], k] -= 1
     return p
 
 
 def words_of(column: pa.Array) -> list[list[bytes]]:
-    return [(t or b"").lower().split() for t in texts(column)]
+    """Words of every text, and END."""
+    out = [(t or b"").lower().split() for t in texts(column)]
+    for words in out:
+        words.append(END)
+    return out
 
 
 def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -174,22 +220,31 @@ def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, c): END counts documents."""
 
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            seen: Counter[bytes] = Counter()
-            for words in words_of(batch.column(1)):
-                seen.update(words)
-            seen[END] = batch.num_rows
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-
-        return step
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[bytes] = Counter()
+        rows = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+        for batch in slices(batches):
+            seen.update(chain.from_iterable(words_of(batch.column(1))))
+            if len(seen) > TABLE_WORDS:
+                yield rows()
+                seen.clear()
+        yield rows()
 
-    return map_texts(docs, make, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    return docs.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
 def gather_facts(counts: DataFrame) -> Facts:
+    """The head ends at a count, on a logarithmic scale, so that it is found by a histogram of a few hundred rows."""
     tokens, distinct = counts.agg(F.sum("c"), F.count("*")).first()
-    top = counts.orderBy(F.col("c").desc(), "word").limit(HEAD).collect()
+    step = F.floor(F.log2("c") * 16)
+    histogram = counts.groupBy(step.alias("step")).count().orderBy(F.col("step").desc()).collect()
+    held, least = 0, None
+    for row in histogram:
+        if held + row["count"] > HEAD and held:
+            break
+        held, least = held + row["count"], row["step"]
+    top = counts.where(step >= (0 if least is None else least)).limit(HEAD).collect()
+    top.sort(key=lambda r: (-r["c"], bytes(r["word"])))
     head = {bytes(r["word"]): r["c"] for r in top}
     model = [bytes(r["word"]) for r in top[:WORDS]]
     if END in head and END not in model:  # an end in the model even if few documents make it rare
@@ -205,10 +260,10 @@ def train(docs: DataFrame, facts: Facts, warm_documents: int = 1500) -> Model:
     chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(warm_documents).distinct()
 
     def encode():
-        numbers = sent.value.contexts()
+        numbers = Numbers(sent.value)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            parts = [sequences([w], numbers)[0].tobytes() for w in words_of(batch.column(1))]
+            parts = [numbers.sequences([w])[0].tobytes() for w in words_of(batch.column(1))]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.binary())], ["doc_id", "ids"])
 
         return step
@@ -220,18 +275,18 @@ def train(docs: DataFrame, facts: Facts, warm_documents: int = 1500) -> Model:
     for _ in range(2):
         for at in range(0, len(first), 64) if first else ():
             some = [first[i] for i in rng.permutation(len(first))[:64]]
-            warm.learn(*shifted(some))
+            warm.learn(*shifted(np.concatenate(some), np.array([len(x) for x in some])))
     if not facts.tokens:
         return warm
     start = context.broadcast((warm.flat, warm.squares))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, tokens = sent.value.contexts(), 0
+        numbers, tokens = Numbers(sent.value), 0
         flat, squares = start.value
         own = Model(flat.copy())
         own.squares = [s.copy() for s in squares]
         for batch in slices(batches):
-            ids, one, two, _ = sequences(words_of(batch.column(1)), numbers)
+            ids, one, two, *_ = numbers.sequences(words_of(batch.column(1)))
             own.learn(ids, one, two)
             tokens += len(ids)
         change = np.array_split((own.flat - flat).astype(np.float16), BLOCKS)
@@ -253,13 +308,6 @@ def train(docs: DataFrame, facts: Facts, warm_documents: int = 1500) -> Model:
     return Model(warm.flat + change)
 
 
-def shifted(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(targets, word before, word before that) of encoded documents."""
-    one = [np.concatenate(([START], d[:-1])).astype(np.int32) for d in documents]
-    two = [np.concatenate(([START, START], d[:-2]))[: len(d)].astype(np.int32) for d in documents]
-    return np.concatenate(documents), np.concatenate(one), np.concatenate(two)
-
-
 def score(docs: DataFrame, counts: DataFrame, facts: Facts, model: Model) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) of every whole text of docs (doc_id, text)."""
     sent = docs.sparkSession.sparkContext.broadcast((facts, model.flat))
@@ -267,37 +315,43 @@ def score(docs: DataFrame, counts: DataFrame, facts: Facts, model: Model) -> Dat
 
     def make():
         own, flat = sent.value
-        numbers, net = own.contexts(), Model(flat)
+        numbers, net = Numbers(own), Model(flat)
         in_model = set(own.model)
-        # by word of the head: log10 of its smoothed count, and of its share of the tail if it is no model word
-        known = {w: (np.log10((c + 1) / whole), 0.0 if w in in_model else np.log10((c + 1) / tail)) for w, c in own.head.items()}
-        place = {w: i for i, w in enumerate(known)}
-        table = np.array([*known.values(), (0.0, 0.0)])
-        absent = len(place)
-        lookup = place.get
-        end_known, end_base = (1, known[END][0]) if END in known else (0, np.log10(1 / whole))
-        end_tail = 0.0 if END in in_model else np.log10(1 / tail)
+        # by place in the head, and last for all words outside: log10 of the smoothed count, and of the share of the tail
+        base_of = np.array([np.log10((c + 1) / whole) for c in own.head.values()] + [0.0])
+        share_of = np.array([0.0 if w in in_model else np.log10((c + 1) / tail) for w, c in own.head.items()] + [0.0])
         task = TaskContext.get().partitionId() << 36
         row = 0
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             nonlocal row
             documents = words_of(batch.column(1))
-            ids, one, two, starts = sequences(documents, numbers)
-            logs = np.add.reduceat(net.log_probabilities(ids, one, two), starts) / np.log(10)
-            columns: list[list] = [[] for _ in range(8)]
-            for i, (doc_id, words) in enumerate(zip(batch.column(0).to_pylist(), documents, strict=True)):
-                rid = task + row
-                row += 1
-                at = np.fromiter((lookup(w, absent) for w in words), np.int64, len(words))
-                rare = Counter(words[j] for j in np.flatnonzero(at == absent))
-                base, share = table[at].sum(axis=0) if len(words) else (0.0, 0.0)
-                n_known = len(words) - sum(rare.values()) + end_known
-                summary = (b" %d" % rid, rid, doc_id, 0, len(words) + 1, n_known, float(base) + end_base, float(logs[i] + share + end_tail))
-                for column, value in zip(columns, summary, strict=True):
-                    column.append(value)
-                for column, values in zip(columns, (list(rare), [rid] * len(rare), [None] * len(rare), list(rare.values()), *[[0] * len(rare)] * 2, *[[0.0] * len(rare)] * 2), strict=True):
-                    column += values
+            ids, one, two, starts, places = numbers.sequences(documents)
+            over = lambda x: np.add.reduceat(x, starts)
+            lengths = np.diff(starts, append=len(ids))
+            known = over((places >= 0).astype(np.int64))
+            base, share = over(base_of[places]), over(share_of[places])
+            logs = over(net.log_probabilities(ids, one, two)) / np.log(10)
+            n = len(documents)
+            rids = task + row + np.arange(n)
+            row += n
+            outside = np.flatnonzero(places < 0)
+            owners = np.searchsorted(starts, outside, side="right") - 1
+            flat_words = list(chain.from_iterable(documents))
+            rare = Counter(zip(owners.tolist(), map(flat_words.__getitem__, outside.tolist()), strict=True))
+            keys, more = list(rare), len(rare)
+            held = np.fromiter((k[0] for k in keys), np.int64, more)
+            none = np.zeros(more, np.int64)
+            columns = [
+                [b" %d" % r for r in rids] + [k[1] for k in keys],
+                np.concatenate((rids, rids[held])),
+                batch.column(0).to_pylist() + [None] * more,
+                np.concatenate((np.zeros(n, np.int64), np.fromiter(rare.values(), np.int64, more))),
+                np.concatenate((lengths, none)),
+                np.concatenate((known, none)),
+                np.concatenate((base, none)),
+                np.concatenate((logs + share, none)),
+            ]
             kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
             names = ("word", "rid", "doc_id", "n", "n_tokens", "n_known", "base", "model")
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], list(names))
