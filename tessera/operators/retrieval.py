@@ -104,13 +104,12 @@ def bm25_scores(queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float
 def bm25_search(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Every chunk can be ranked: those without a common term score 0 and come by id.
 
-    Only the k smallest ids can be needed to fill up, beside as many that may have matched.
+    Only the k smallest ids can be needed to fill up; those among them that matched keep their score.
     """
     matched = bm25_scores(queries, chunks, k1, b)
-    filler = chunks.select("chunk_id").distinct().orderBy("chunk_id").limit(2 * k)
-    short = queries.select("query_id").join(matched.groupBy("query_id").count().where(F.col("count") >= k), "query_id", "left_anti")
-    zeros = short.crossJoin(F.broadcast(filler)).join(matched.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))  # 2 k rows for each query
-    return top(matched.unionByName(zeros), k)
+    filler = chunks.select("chunk_id").distinct().orderBy("chunk_id").limit(k)
+    zeros = queries.select("query_id").crossJoin(F.broadcast(filler)).withColumn("score", F.lit(0.0))  # k rows for each query
+    return top(matched.unionByName(zeros).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")), k)
 
 
 def bm25_rerank(queries: DataFrame, chunks: DataFrame, hits: DataFrame, limit: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
