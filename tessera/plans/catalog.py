@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.functions.vector import hashed_embedding
 from tessera.operators import answers, audit, chunking, context, evidence, metrics, parsing, retrieval, statistics
+from tessera.plans import experiments
 from tessera.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -640,3 +641,30 @@ def generated_answers(spark, sf_dir):
     asked = relevance(spark, sf_dir).select("query_id", F.concat(F.lit("Which class is vector "), F.col("query_id"), F.lit("?")).alias("question"))
     ready, _ = context.prompts(context.render_contexts(some, 2048), asked, "Answer from the context.", 8192, 512)
     return context.generate(ready)
+
+
+# --- experiments -----------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {HITS}, d AS (SELECT unnest([5, 20]) AS depth),
+own AS (SELECT depth, query_id, strategy, source, count(*) AS n, min(rank) AS rank, bool_or(relevant) AS relevant FROM judged, d WHERE judged.rank <= depth GROUP BY ALL),
+q AS (SELECT depth, query_id, strategy, coalesce(1.0 / min(rank) FILTER (relevant), 0) AS rr, count(*) AS u FROM own GROUP BY ALL)
+SELECT depth, strategy, round(avg(rr), 6) AS reciprocal_rank, round(avg(u), 6) AS unique_sources FROM q GROUP BY ALL""")
+def depth_ablation(spark, sf_dir):
+    return rounded(experiments.depth_ablation(hits(spark, sf_dir), relevance(spark, sf_dir), [5, 20]).select("depth", "strategy", "reciprocal_rank", "unique_sources"))
+
+
+@query(f"""WITH {HITS}, caps AS (SELECT unnest([3, 2, 1]) AS cap),
+own AS (SELECT *, row_number() OVER (PARTITION BY cap, query_id, strategy, source ORDER BY rank) AS k FROM judged, caps),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY cap, query_id, strategy ORDER BY rank) AS r FROM own WHERE k <= cap),
+q AS (SELECT cap, query_id, strategy, min(r) FILTER (relevant) AS f, count(DISTINCT source) AS u, max((relevant AND r <= 5)::INT) AS recall_5 FROM ranked WHERE r <= 10 GROUP BY ALL),
+b AS (SELECT query_id, strategy, min(rank) FILTER (relevant AND rank <= 10) AS f FROM judged GROUP BY ALL)
+SELECT cap, strategy, round(avg(coalesce(1.0 / q.f, 0)), 6) AS mrr, round(avg(recall_5), 6) AS recall_5, round(avg(u), 6) AS unique_sources,
+  sum((coalesce(q.f, 1000000000) < coalesce(b.f, 1000000000))::INT)::BIGINT AS improved, sum((coalesce(q.f, 1000000000) > coalesce(b.f, 1000000000))::INT)::BIGINT AS degraded, count(*) AS queries FROM q JOIN b USING (query_id, strategy) GROUP BY ALL""")
+def diversity_ablation(spark, sf_dir):
+    return rounded(experiments.diversity_ablation(hits(spark, sf_dir), relevance(spark, sf_dir), [3, 2, 1], 10))
+
+
+@query()
+def paired_analysis(spark, sf_dir):
+    return experiments.paired_analysis(spark, evaluated(spark, sf_dir), ["next", "after"], 5_000)
