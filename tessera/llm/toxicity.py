@@ -149,6 +149,13 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def without_runs(rows: np.ndarray, most: int) -> np.ndarray:
+    """rows with at most so many zeros in a row: windows without any known word are all alike."""
+    zero = np.concatenate((np.zeros(most, bool), rows == 0))
+    run = np.logical_and.reduce([zero[i : i + len(rows)] for i in range(most + 1)])
+    return rows[~run]
+
+
 def best_threshold(logits: np.ndarray, labels: np.ndarray) -> float:
     """The middle of the logit interval with the best F1; of several the middle one."""
     cuts = np.unique(logits)
@@ -160,7 +167,7 @@ def best_threshold(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(mids[best[len(best) // 2]])
 
 
-def train(docs: list[np.ndarray], labels: np.ndarray, visits: int = 48000, batch: int = 32, rate: float = 0.1, drop: float = 0.2, seed: int = 7) -> Model:
+def train(docs: list[np.ndarray], labels: np.ndarray, visits: int = 96000, batch: int = 32, rate: float = 0.1, drop: float = 0.2, seed: int = 7) -> Model:
     """Fit documents given as word buckets: AdaGrad over mini-batches, words dropped at random; a fifth calibrates.
 
     visits: documents shown in all, in 3 to 14 epochs."""
@@ -168,7 +175,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, visits: int = 48000, batch
     rows_of = vocabulary(docs)
     to_row = np.zeros(BUCKETS, np.int32)
     to_row[list(rows_of)] = list(rows_of.values())
-    docs, n_rows = [to_row[d] for d in docs], len(rows_of) + 1
+    docs, n_rows = [without_runs(to_row[d], max(WIDTHS)) for d in docs], len(rows_of) + 1
     columns = len(WIDTHS) * FILTERS
     emb = rng.normal(0, 0.1, (n_rows, DIM)).astype(np.float32)
     emb[0] = 0
@@ -186,24 +193,33 @@ def train(docs: list[np.ndarray], labels: np.ndarray, visits: int = 48000, batch
         flat = np.concatenate([f.transpose(1, 0, 2).reshape(DIM, -1) for f in filters], axis=1)
         return Model(emb @ flat, bias.copy(), out.copy(), out_bias, np.zeros(len(FUNCTION_WORDS) + 1), rows_of)
 
+    reach = max(WIDTHS) - 1
+    most = max((len(d) for d in docs), default=0) + 2 * reach + 1
+    room = np.empty((max(most, 1 << 15), columns + sum(WIDTHS) * FILTERS + DIM), np.float32)
+
     def step(which: np.ndarray) -> None:
-        nonlocal out_bias, sum_b
-        reach = max(WIDTHS) - 1
+        nonlocal out_bias, sum_b, room
         parts = [np.concatenate((docs[i], np.zeros(reach + 1, np.int32))) for i in which]
-        rows = np.concatenate(parts + [np.zeros(reach, np.int32)])
+        rows = np.concatenate([*parts, np.zeros(reach, np.int32)])
         ends = np.cumsum([len(p) for p in parts])
         starts = np.concatenate(([0], ends[:-1]))
         stops = starts + [max(1, len(docs[i])) for i in which]
-        rows = np.where(rng.random(len(rows)) < drop, 0, rows)
-        x = emb[rows]
-        n = ends[-1]
-        pooled, places = np.zeros((len(which), columns), np.float32), np.zeros((len(which), columns), np.int64)
-        for k, (w, f) in enumerate(zip(WIDTHS, filters, strict=True)):
-            cols = slice(k * FILTERS, (k + 1) * FILTERS)
-            r = sum(x[o : o + n] @ f[o] for o in range(w)) + bias[cols]
-            for b, (s, e) in enumerate(zip(starts, stops, strict=True)):
-                places[b, cols] = s + r[s:e].argmax(axis=0)
-            pooled[:, cols] = np.maximum(r[places[:, cols], np.arange(FILTERS)], 0)
+        rows[rng.random(len(rows)) < drop] = 0
+        if len(rows) > len(room):
+            room = np.empty((2 * len(rows), room.shape[1]), np.float32)
+        flat, n, m = room.ravel(), len(rows), ends[-1]
+        x = np.take(emb, rows, axis=0, out=flat[: n * DIM].reshape(n, DIM), mode="clip")
+        wide = sum(WIDTHS) * FILTERS
+        products = np.matmul(x, np.concatenate([f.transpose(1, 0, 2).reshape(DIM, -1) for f in filters], axis=1), out=flat[n * DIM : n * (DIM + wide)].reshape(n, wide))
+        r = flat[n * (DIM + wide) : n * (DIM + wide) + m * columns].reshape(m, columns)
+        r[:] = bias
+        at = 0
+        for k, w in enumerate(WIDTHS):
+            for o in range(w):
+                r[:, k * FILTERS : (k + 1) * FILTERS] += products[o : o + m, at : at + FILTERS]
+                at += FILTERS
+        places = np.stack([s + r[s:e].argmax(axis=0) for s, e in zip(starts.tolist(), stops.tolist(), strict=True)])
+        pooled = np.maximum(np.take_along_axis(r, places, axis=0), 0)
         z = pooled @ out + out_bias
         g = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[which]) / len(which)).astype(np.float32)
         g_out, g_pool = pooled.T @ g + 1e-4 * out, (g[:, None] * out) * (pooled > 0)
@@ -229,11 +245,13 @@ def train(docs: list[np.ndarray], labels: np.ndarray, visits: int = 48000, batch
         sum_b += float(g.sum()) ** 2
         out_bias -= rate * float(g.sum()) / sum_b**0.5
 
+    positive = learnt[labels[learnt] > 0]
+    repeats = int(np.clip((len(learnt) - len(positive)) // (2 * max(1, len(positive))) - 1, 0, 9))  # up to a third of what is shown
     kept = [docs[i] for i in np.flatnonzero(held)]
     truth = labels[held]
     best = (np.inf, model())
     for _ in range(int(np.clip(visits // len(learnt), 3, 14)) if len(learnt) else 0):
-        order = rng.permutation(learnt)
+        order = rng.permutation(np.concatenate((learnt, np.resize(positive, repeats * len(positive)))))
         for at in range(0, len(order), batch):
             step(order[at : at + batch])
         now = model()
