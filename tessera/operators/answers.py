@@ -15,7 +15,10 @@ def numbered(tokens: Column) -> Column:
 
 def evaluate(answers: DataFrame, normal=canonical_form) -> DataFrame:
     """answers (question_id, strategy, prediction, reference) with precision, recall, f1, exact and containment of the
-    normal forms. Two empty answers agree."""
+    normal forms. Two empty answers agree.
+
+    The work for a row is large for its size, so rows are dealt out before it."""
+    answers = answers.repartition(int(answers.sparkSession.conf.get("spark.sql.shuffle.partitions")), "question_id")
     rows = answers.withColumn("__p", normal(F.col("prediction"))).withColumn("__r", normal(F.col("reference")))
     p, r = answer_tokens(F.col("__p")), answer_tokens(F.col("__r"))
     tokens = F.struct(p.alias("p"), r.alias("r"), F.sort_array(p).alias("ps"), F.sort_array(r).alias("rs"), (F.col("__p") == F.col("__r")).cast("double").alias("exact"))

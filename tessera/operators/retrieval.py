@@ -5,6 +5,7 @@ Hits are long tables (query_id, strategy, rank, score, chunk_id, ...). Ties go t
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,40 +84,73 @@ def postings(chunks: DataFrame) -> DataFrame:
     return rows.groupBy("term", "chunk_id", "length").agg(F.count("*").alias("tf"))
 
 
-def bm25_scores(queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, chunk_id, score) of the chunks that share a term with the query.
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term, qtf)."""
+    return queries.select("query_id", F.explode(lexical_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
-    Only the postings of query terms are ever grouped: the chunks' tokens meet the distinct terms of all queries first.
-    """
-    asked = queries.select("query_id", F.explode(lexical_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    tokens = chunks.select("chunk_id", lexical_tokens(F.col("text")).alias("tokens")).withColumn("length", F.size("tokens"))
-    corpus = tokens.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    terms = asked.select("term").distinct()
-    held = tokens.select("chunk_id", "length", F.explode("tokens").alias("term")).join(terms, "term")
-    tf = held.groupBy("term", "chunk_id", "length").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = df.crossJoin(F.broadcast(corpus)).select("term", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # one row of totals
-    length = F.when(F.col("mean") > 0, F.col("length") / F.col("mean")).otherwise(0.0)
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length)) * F.col("qtf")
-    return tf.join(weighed, "term").join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+
+def term_weights(queries: DataFrame, chunks: DataFrame) -> tuple[DataFrame, float]:
+    """(query_id, term, weight) with weight = idf x qtf of the terms that some chunk holds; and the mean chunk length."""
+    tokens = chunks.select(lexical_tokens(F.col("text")).alias("tokens"))
+    n, mean = tokens.agg(F.count("*"), F.avg(F.size("tokens"))).first()
+    asked = query_terms(queries)
+    held = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).join(asked.select("term").distinct(), "term")
+    idf = held.groupBy("term").agg(F.count("*").alias("df")).select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    return asked.join(idf, "term").select("query_id", "term", (F.col("idf") * F.col("qtf")).alias("weight")), float(mean or 0.0)
 
 
 def bm25_search(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Every chunk can be ranked: those without a common term score 0 and come by id.
 
+    As in cosine_search, a block of queries (its terms and weights) is held by every task; a batch of chunks is scored
+    against the block's terms and leaves its best k for each query, so no table of all (query, chunk) pairs is shuffled.
     Only the k smallest ids can be needed to fill up; those among them that matched keep their score.
     """
-    matched = bm25_scores(queries, chunks, k1, b)
+    weights, mean = term_weights(queries, chunks)
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    tokens = chunks.select("chunk_id", lexical_tokens(F.col("text")).alias("tokens"))
+    kinds = queries.schema["query_id"].dataType.simpleString(), chunks.schema["chunk_id"].dataType.simpleString()
+    found: DataFrame | None = None
+    for block in range(blocks):
+        own = weights.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toPandas()
+        ids, place = np.unique(own["query_id"].to_numpy(), return_inverse=True) if len(own) else (np.zeros(0, object), np.zeros(0, np.int64))
+        terms = {t: (place[rows], own["weight"].to_numpy()[rows]) for t, rows in own.groupby("term").indices.items()}
+        sent = queries.sparkSession.sparkContext.broadcast((ids, terms))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, terms = sent.value
+            for whole in batches:
+                for at in range(0, whole.num_rows, 512):
+                    batch = whole.slice(at, 512)
+                    scores = np.zeros((batch.num_rows, len(ids)))
+                    for row, words in enumerate(batch.column(1).to_pylist()):
+                        words = words or []
+                        norm = k1 * (1 - b + b * (len(words) / mean if mean else 0.0))
+                        for term, tf in Counter(words).items():
+                            if (hit := terms.get(term)) is not None:
+                                scores[row, hit[0]] += hit[1] * (tf * (k1 + 1) / (tf + norm))
+                    n = len(scores)
+                    least = np.partition(scores, n - k, axis=0)[n - k] if n > k else np.zeros(len(ids))
+                    rows, cols = np.nonzero((scores >= least) & (scores > 0))  # ties at the cut stay for the final ranking
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[cols]), batch.column(0).take(pa.array(rows)), pa.array(scores[rows, cols])], ["query_id", "chunk_id", "score"])
+
+        part = tokens.mapInArrow(run, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
+        found = part if found is None else found.unionByName(part)
     filler = chunks.select("chunk_id").distinct().orderBy("chunk_id").limit(k)
     zeros = queries.select("query_id").crossJoin(F.broadcast(filler)).withColumn("score", F.lit(0.0))  # k rows for each query
-    return top(matched.unionByName(zeros).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")), k)
+    # a filler's own score may have been cut in its batch, but then k better chunks were kept there
+    return top(found.unionByName(zeros).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")), k)
 
 
 def bm25_rerank(queries: DataFrame, chunks: DataFrame, hits: DataFrame, limit: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Hits reordered by BM25 (0 without a common term), cut to the limit."""
-    scores = bm25_scores(queries, chunks, k1, b)
-    pool = hits.select("query_id", "chunk_id").join(scores, ["query_id", "chunk_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    return top(pool, limit)
+    """Hits reordered by BM25 (0 without a common term), cut to the limit. Only the hits' own chunks are scored."""
+    weights, mean = term_weights(queries, chunks)
+    pairs = hits.select("query_id", "chunk_id").distinct()
+    pool = chunks.select("chunk_id", "text").join(pairs.select("chunk_id").distinct(), "chunk_id")
+    met = postings(pool).join(pairs, "chunk_id").join(weights, ["query_id", "term"])
+    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * (F.col("length") / mean if mean else F.lit(0.0))))
+    scores = met.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+    return top(pairs.join(scores, ["query_id", "chunk_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0))), limit)
 
 
 def reciprocal_rank_fusion(rankings: list[DataFrame], limit: int, constant: float = 60.0) -> DataFrame:

@@ -15,7 +15,8 @@ from tessera.functions import text as tx
 from tessera.functions.vector import hashed_embedding
 from tessera.operators import answers, audit, chunking, context, evidence, metrics, parsing, retrieval, statistics
 from tessera.plans import experiments
-from tessera.session import table
+from tessera.session import spread
+from tessera.session import table as scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +35,12 @@ def query(sql: str | None = None):
     return keep
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; those of texts are spread over the cores where they have few splits."""
+    df = scan(spark, sf_dir, name)
+    return spread(df) if name in ("documents", "conversations") else df
+
+
 def r6(c) -> F.Column:
     return F.round(c if not isinstance(c, str) else F.col(c), 6)
 

@@ -31,6 +31,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with fewer splits than there are cores, dealt out to all of them: for small inputs of much work a row.
+
+    A large input has more splits than cores and is left as it is. Only for plain scans: the plan's splits are counted.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan._jdf.queryExecution().toRdd().getNumPartitions() <= cores else scan
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once a session: they may not have it installed."""
     context = spark.sparkContext
