@@ -10,8 +10,15 @@ across documents, and whoever holds the key can turn pseudonyms back (`reveal`).
 A Feistel network over pairs (l, r) with l < a and r < b, a * b >= n, is walked until it lands below n, which permutes
 any n values. Rounds are keyed with BLAKE2b.
 
-Where matches overlap, the kind that comes first in KINDS wins, then the earlier one. Numbers that validate as nothing
-(order numbers, hashes, versions) are left alone, as is everything between.
+A pattern may reach into the words behind a value. So every end at a border of words or groups within a match is a
+reading: an IBAN ends at its country's length, a telephone number at the length its country has (where that is fixed, else
+it is the longest reading), a card at the shortest length cards of its first digit are issued in that validates, else at
+the whole match. If no reading validates, the search goes on behind the first group of the match. Digits that stand
+directly before or behind a value can still make another reading valid by chance, before or after the replacement.
+
+Where matches overlap, the kind that comes first in KINDS wins, then the earlier one; what the winner leaves of the other
+is read for itself. Numbers that validate as nothing (order numbers, hashes, versions) are left alone, as is everything
+between.
 
 Defined results: null texts stay null; empty texts, and texts without a match, come back unchanged; nothing depends on
 the id, which may be null or repeated; an empty table gives an empty result. Other columns are passed through.
@@ -22,6 +29,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Callable
 from functools import lru_cache
 from math import isqrt, prod
@@ -45,6 +53,19 @@ PATTERNS = {
     "card": re.compile(_L + rb"[0-9](?:[ \-]?[0-9]){12,18}" + _R),
     "ssn": re.compile(_L + rb"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _R),
 }
+#: Lengths of IBANs by country (ISO 13616), of national telephone numbers where a country code has one length, and of cards
+#: by first digit.
+IBAN_LENGTHS = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.encode().split()
+}
+PHONE_LENGTHS = {b"1": 10, b"7": 10, b"33": 9, b"34": 9, b"41": 9, b"44": 10, b"45": 8, b"48": 9, b"61": 9, b"91": 10}
+CARD_LENGTHS = {49: (15,), 50: (16,), 51: (14, 15, 16), 52: (13, 16, 19), 53: (16,), 54: (16, 19)}
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
@@ -105,6 +126,50 @@ def alphabet(c: int) -> bytes:
     return b""
 
 
+def is_card(digits: bytes) -> bool:
+    return luhn_digit(digits[:-1]) == digits[-1] - 48 and len(set(digits)) > 1
+
+
+def country_digits(raw: bytes) -> int:
+    """How many digits of a telephone number are its country code."""
+    if raw[:1] != b"+":
+        return 0
+    digits = digits_of(raw)
+    country = len(digits_of(re.match(rb"\+?[0-9]*", raw).group()))
+    return min(country, 3) if country < len(digits) and not raw[1 : 1 + country].isdigit() else (1 if digits[:1] in b"17" else min(country, 2))
+
+
+def borders(text: bytes, start: int, end: int) -> list[int]:
+    """Ends of groups within a match, the longest reading first; its own end among them."""
+    return [m.end() for m in WORD.finditer(text, start, end)][::-1]
+
+
+def iban_ends(text: bytes, start: int, end: int) -> list[int]:
+    """The end at the country's length first. Countries without a known length may end anywhere, others at the match's end."""
+    want, ends = IBAN_LENGTHS.get(text[start : start + 2].upper()), borders(text, start, end)
+    own = [e for e in ends if len(text[start:e].replace(b" ", b"")) == want]
+    return own + [e for e in ends if e not in own and (want is None or e == end)]
+
+
+def phone_ends(text: bytes, start: int, end: int) -> list[int]:
+    ends = borders(text, start, end)
+    country = country_digits(text[start:end])
+    want = PHONE_LENGTHS.get(digits_of(text[start:end])[:country])
+    own = [e for e in ends if want and len(digits_of(text[start:e])) == country + want]
+    return own + [e for e in ends if e not in own]
+
+
+def card_ends(text: bytes, start: int, end: int) -> list[int]:
+    """Ends at lengths that cards are issued in, ascending, so that a value's own digits decide; last the match's end."""
+    lengths = CARD_LENGTHS.get(text[start], ())
+    own = [e for e in borders(text, start, end)[::-1] if len(digits_of(text[start:e])) in lengths]
+    return own + [e for e in (end,) if e not in own]
+
+
+WORD, GROUP = re.compile(rb"[0-9A-Za-z]+"), re.compile(rb"[^0-9A-Za-z]*[0-9A-Za-z]+")
+ENDS = {"iban": iban_ends, "phone": phone_ends, "card": card_ends}
+
+
 def parsed_date(raw: bytes) -> tuple[datetime.date, str] | None:
     """The date and the order of its parts; day before month where both readings are valid."""
     parts = [int(x) for x in re.split(rb"[-/.]", raw)]
@@ -155,10 +220,14 @@ class Pseudonyms:
 
     def _card(self, raw: bytes) -> bytes | None:
         digits = digits_of(raw)
-        if luhn_digit(digits[:-1]) != digits[-1] - 48 or len(set(digits)) == 1:
+        if not is_card(digits):
             return None
-        payload = digits[:1] + self._number(digits[1:-1], f"card:{chr(digits[0])}")
-        return refill(raw, payload + b"%d" % luhn_digit(payload))
+        before = [len(digits_of(raw[:e])) for e in card_ends(raw, 0, len(raw)) if e < len(raw)]
+        while True:  # walk until no shorter reading validates, as none did here
+            payload = digits[:1] + self._number(digits[1:-1], f"card:{chr(digits[0])}")
+            digits = payload + b"%d" % luhn_digit(payload)
+            if is_card(digits) and not any(is_card(digits[:n]) for n in before):
+                return refill(raw, digits)
 
     def _iban(self, raw: bytes) -> bytes | None:
         text = raw.replace(b" ", b"").upper()
@@ -193,10 +262,7 @@ class Pseudonyms:
         return b".".join(reversed(out))
 
     def _phone(self, raw: bytes) -> bytes | None:
-        digits = digits_of(raw)
-        country = len(digits_of(re.match(rb"\+?[0-9]*", raw).group())) if raw[:1] == b"+" else 0
-        if raw[:1] == b"+":
-            country = min(country, 3) if country < len(digits) and not raw[1 : 1 + country].isdigit() else (1 if digits[:1] in b"17" else min(country, 2))
+        digits, country = digits_of(raw), country_digits(raw)
         if not 7 <= len(digits) - country <= 13 or not 8 <= len(digits) <= 15:
             return None
         return refill(raw, digits[:country] + self._number(digits[country:], "phone:" + digits[:country].decode()))
@@ -233,12 +299,24 @@ class Pseudonyms:
         for kind in KINDS:
             if kind == "email" and b"@" not in text:
                 continue
-            for m in PATTERNS[kind].finditer(text):
-                if any(m.start() < e and s < m.end() for s, e, _, _ in found):
+            taken, at, pattern = sorted(found), 0, PATTERNS[kind]
+            starts = [s for s, *_ in taken]
+            while m := pattern.search(text, at):
+                start, end = m.span()
+                i = bisect_right(starts, start)
+                if i and start < taken[i - 1][1]:
+                    at = taken[i - 1][1]
                     continue
-                new = self.value(kind, m.group())
-                if new is not None:
-                    found.append((m.start(), m.end(), kind, new))
+                limit = starts[i] if i < len(starts) else end
+                at = GROUP.match(text, start).end()
+                for stop in ENDS[kind](text, start, end) if kind in ENDS else (end,):
+                    if stop > limit or stop < end and not pattern.fullmatch(text, start, stop):
+                        continue
+                    new = self.value(kind, text[start:stop])
+                    if new is not None:
+                        found.append((start, stop, kind, new))
+                        at = stop
+                        break
         return sorted(found)
 
     def replace(self, text: bytes | None) -> tuple[bytes | None, list[str]]:

@@ -287,6 +287,39 @@ def test_feistel_permutes(n):
     assert [f.permute(x, n, b"t", inverse=True) for x in out] == list(range(n))
 
 
+@pytest.mark.parametrize(
+    "value, after",
+    [
+        ("ES9121000418450200051332", " and more"), ("BE68 5390 0754 7034", " for rent"), ("AT611904300234573201", " is it"), ("DE89 3704 0044 0532 0130 00", " a b c d"), ("4111 1111 1111 1111", " 12/27"),
+        ("4111111111111111", " 123 cvv"), ("378282246310005", " 1234"), ("+1 555 123 4567", " 24 hours"), ("+44 20 7946 0958", " 10 times"),
+    ],
+)
+def test_values_end_where_they_end(value, after):
+    there, back = pii.Pseudonyms(b"key"), pii.Pseudonyms(b"key", inverse=True)
+    alone = there.replace(value.encode())[0]
+    new, kinds = there.replace(f"ref 12 {value}{after}".encode())
+    assert new == b"ref 12 " + alone + after.encode() and len(kinds) == 1 and alone != value.encode()
+    assert back.replace(new)[0] == f"ref 12 {value}{after}".encode()
+
+
+@pytest.mark.parametrize("before", ["no59 ab12 ", "12 34 ", "2024-01-05 ", "7 "])
+def test_values_behind_what_fails_are_found(before):
+    for value in ("4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00", "2024-12-31"):
+        assert value.encode() not in pii.Pseudonyms(b"key").replace((before + value).encode())[0]
+    assert b"2024-01-05" not in pii.Pseudonyms(b"key").replace(b"99-99-2024-01-05")[0]
+
+
+def test_grouped_cards_turn_back_whatever_stands_behind():
+    rng = random.Random(8)
+    there, back = pii.Pseudonyms(b"key"), pii.Pseudonyms(b"key", inverse=True)
+    for _ in range(300):
+        payload = b"4" + b"%014d" % rng.randrange(10**14)
+        value = payload + b"%d" % pii.luhn_digit(payload)
+        text = b"card " + value + b" %03d." % rng.randrange(1000)
+        new, kinds = there.replace(text)
+        assert kinds == ["card"] and new[5:21] == there.replace(value)[0] and back.replace(new)[0] == text
+
+
 def test_pii_frame(spark, awkward):
     out = pii.pseudonymise(awkward, kinds_col="kinds")
     assert out.columns == [*awkward.columns, "kinds"]
