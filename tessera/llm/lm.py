@@ -6,13 +6,15 @@ The others meet the table in a join on the word, each a row with its number in t
 
 Model. The most frequent words, 63 classes of 64, are predicted as class, then member; the 64th class is the tail. The
 class depends on the word before, the one before that (a skip feature) and both together; the member on its class and the
-word before; every feature hashes to a row of weights. A tail word's probability within its class is (c + 1) / (tail
-tokens + tail words + 1), which leaves one share for all unseen words, as the smoothed counts do. So both are
-distributions over the same events.
+word before; every feature hashes to a row of weights. A tail word is predicted through further levels of 64 branches, by
+its hash; each branch depends on its node, the node with the word before and the node with the one before that. There are
+as many levels as leave at most CROWD words to a leaf on average, however many words are counted. Among the words of a leaf
+the probability is (c + 1) / (the leaf's tokens + words + 1), which leaves one share for its unseen words. So the model
+and the smoothed counts are distributions over all words. Hashed rows grow with the counted vocabulary within ROWS.
 
 Training. A bounded sample makes a first model on the driver. From there every task runs through all its training
 documents with AdaGrad steps on mini-batches and sends the change of its weights, as half floats in blocks; the blocks
-are averaged by tokens where they meet. The weights' size is fixed, so what reaches the driver is bounded.
+are averaged by tokens where they meet. The weights' size is bounded, so what reaches the driver is too.
 
 Defined results: a null text is the empty one, one end token; null ids are scored, with held_out null, and not learnt
 from; repeated rows are scored (and learnt from) each; with nothing to learn from, counts are zero, the model is uniform
@@ -28,65 +30,94 @@ from dataclasses import dataclass
 from itertools import chain, repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts, read, remainder, slices, texts
+from .common import cut, map_texts, read, remainder, slices, small, texts
 
 #: Most words of the head.
 HEAD = 1 << 18
 CLASSES, MEMBERS = 64, 64
 TAIL = CLASSES - 1
 WORDS = TAIL * MEMBERS
-#: Context numbers: words 0 to WORDS - 1, the start, then hashed endings of tail words.
+#: Most words a leaf of the tail holds on average.
+CROWD = 64
+#: Context numbers: words 0 to WORDS - 1, the start, then hashes of tail words, at least ENDINGS.
 START, ENDINGS = WORDS, 2048
 CONTEXTS = WORDS + 1 + ENDINGS
-PAIR_ROWS, MEMBER_ROWS = 1 << 13, 1 << 13
+PAIR_ROWS = 1 << 13
+#: Bounds of the rows of each hashed table: an eighth of the counted words, as a power of two; contexts have half of it.
+ROWS = (1 << 13, 1 << 14)
 BATCH, RATE = 4096, 0.15
 BLOCKS = 64
+#: Leaves of the tail up to which their table is broadcast.
+CROWD_ROWS = 1 << 18
 #: Words that a task counts before it sends its counts on.
 TABLE_WORDS = 400_000
-#: Rows of each weight table: class by word before, by the one before it, by both; member by class and word before; biases.
-TABLES = (CONTEXTS, CONTEXTS, PAIR_ROWS, MEMBER_ROWS, TAIL, 1)
 END = b" "
 
 
 @dataclass
 class Facts:
-    """Counts over the training corpus: tokens and distinct tokens, of them the tail's, and the head's counts by word."""
+    """Counts over the training corpus: tokens and distinct tokens, the head's counts by word, and for each word of the
+    head the tokens + words of its leaf of the tail."""
 
     tokens: int
     distinct: int
-    tail_tokens: int
-    tail_words: int
     head: dict[bytes, int]
     model: list[bytes]
+    crowds: np.ndarray
+
+    @property
+    def shape(self) -> tuple[int, int, int]:
+        """(levels of the tail, hashed contexts, hashed rows)."""
+        return shape_for(self.distinct)
+
+
+def shape_for(distinct: int) -> tuple[int, int, int]:
+    levels = 1
+    while 64**levels * CROWD < distinct:
+        levels += 1
+    rows = min(ROWS[1], max(ROWS[0], 1 << (distinct // 8).bit_length()))
+    return levels, max(ENDINGS, rows // 2 if rows > ROWS[0] else 0), rows
+
 
 class Numbers:
     """Numbers of words: place in the head, and context."""
 
     def __init__(self, facts: Facts):
         self.place = {w: i for i, w in enumerate(facts.head)}
+        levels, self.endings, _ = facts.shape
+        self.leaves = 64**levels
         inside = {w: i for i, w in enumerate(facts.model)}
-        self.context = np.fromiter((inside.get(w, -1) if w in inside else START + 1 + zlib.crc32(w[-3:]) % ENDINGS for w in facts.head), np.int32, len(facts.head))
+        hashes = np.fromiter(map(zlib.crc32, facts.head), np.int64, len(facts.head))
+        self.leaf = hashes % self.leaves
+        self.context = (START + 1 + hashes % self.endings).astype(np.int32)
+        for i, w in enumerate(facts.head):
+            if w in inside:
+                self.context[i] = inside[w]
 
     def places(self, documents: list[list[bytes]]) -> np.ndarray:
         """Places of all words of all documents, one after the other; -1 outside the head."""
         n = sum(map(len, documents))
         return np.fromiter(map(self.place.get, chain.from_iterable(documents), repeat(-1)), np.int32, n)
 
-    def sequences(self, documents: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of documents that each end with END: (targets, word before, word before that, starts, places)."""
+    def sequences(self, documents: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of documents that each end with END: (targets, word before, word before that, leaves, starts, places)."""
         places = self.places(documents)
         rare = np.flatnonzero(places < 0)
         ids = np.take(self.context, places, mode="clip") if len(self.context) else np.empty(len(places), np.int32)
+        leaf = np.take(self.leaf, places, mode="clip") if len(self.leaf) else np.empty(len(places), np.int64)
         if len(rare):
             flat = list(chain.from_iterable(documents))
-            ids[rare] = [START + 1 + zlib.crc32(flat[i][-3:]) % ENDINGS for i in rare.tolist()]
+            hashes = np.fromiter((zlib.crc32(flat[i]) for i in rare.tolist()), np.int64, len(rare))
+            ids[rare] = START + 1 + hashes % self.endings
+            leaf[rare] = hashes % self.leaves
         lengths = np.fromiter(map(len, documents), np.int64, len(documents))
-        return *shifted(ids, lengths), np.cumsum(lengths) - lengths, places
+        return *shifted(ids, lengths), leaf, np.cumsum(lengths) - lengths, places
 
 
 def shifted(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,28 +135,32 @@ def shifted(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Model:
     """Weights in one flat array; rows of 64 in each table."""
 
-    def __init__(self, flat: np.ndarray | None = None):
-        self.flat = np.zeros(sum(TABLES) * 64, np.float32) if flat is None else flat
-        cuts = np.cumsum((0, *TABLES)) * 64
+    def __init__(self, flat: np.ndarray | None = None, levels: int = 0, endings: int = ENDINGS, rows: int = PAIR_ROWS):
+        # class by word before, by the one before it, by both; member by class and word before; biases; the tail's branch
+        # by node, by node and word before, by node and the one before it
+        tables = (START + 1 + endings, START + 1 + endings, rows, rows, TAIL, 1) + ((rows,) * 3 if levels else ())
+        self.levels, self.hashed = levels, rows
+        self.flat = np.zeros(sum(tables) * 64, np.float32) if flat is None else flat
+        cuts = np.cumsum((0, *tables)) * 64
         self.tables = [self.flat[a:b].reshape(-1, 64) for a, b in zip(cuts, cuts[1:], strict=False)]
-        self.squares = [np.full(n, 0.02, np.float32) for n in TABLES]
-        self.buffers = [np.empty((BATCH, 64), np.float32) for _ in range(3)]
-        self.sorted, self.summed = np.empty((BATCH, 64), np.float32), np.empty((BATCH, 64), np.float32)
+        self.squares = [np.full(n, 0.02, np.float32) for n in tables]
+        most = BATCH * max(1, levels)
+        self.buffers = [np.empty((BATCH, 64), np.float32) for _ in range(2)]
+        self.deep, self.more, self.sorted, self.summed = (np.empty((most, 64), np.float32) for _ in range(4))
 
-    @staticmethod
-    def rows(ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    def rows(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """Rows of the class features; which tokens have a member; rows of its features."""
-        pair = (one.astype(np.int64) * 40503 + two.astype(np.int64) * 9973) % PAIR_ROWS
+        pair = (one.astype(np.int64) * 40503 + two.astype(np.int64) * 9973) % self.hashed
         inside = np.flatnonzero(ids < WORDS)
         cls = ids[inside] % TAIL
-        member = (cls.astype(np.int64) * 7919 + one[inside].astype(np.int64) * 31337) % MEMBER_ROWS
+        member = (cls.astype(np.int64) * 7919 + one[inside].astype(np.int64) * 31337) % self.hashed
         return [one, two, pair], inside, np.stack([member, cls.astype(np.int64)])
 
     def logits(self, ids, one, two):
         """Class and member logits in buffers that the next call uses again; weights stay far from what exp can hold."""
-        a, b, d, e, m, bias = self.tables
+        a, b, d, e, m, bias = self.tables[:6]
         (ra, rb, rd), inside, (re_, rm) = self.rows(ids, one, two)
-        zc, zm, more = (x[:n] for x, n in zip(self.buffers, (len(ids), len(inside), len(ids)), strict=True))
+        zc, zm, more = (x[:n] for x, n in zip((*self.buffers, self.more), (len(ids), len(inside), len(ids)), strict=True))
         np.take(a, ra, axis=0, out=zc, mode="clip")
         zc += np.take(b, rb, axis=0, out=more, mode="clip")
         zc += np.take(d, rd, axis=0, out=more, mode="clip")
@@ -136,8 +171,23 @@ class Model:
         np.clip(zm, -40, 40, out=zm)
         return zc, inside, zm, (ra, rb, rd), (re_, rm)
 
-    def log_probabilities(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Natural logarithms, token by token; a tail word's is that of the tail class."""
+    def branches(self, outside: np.ndarray, one: np.ndarray, two: np.ndarray, leaves: np.ndarray):
+        """Of the tail's tokens, level after level: logits in a buffer, the branch taken, rows of the features."""
+        o, t, rest = one[outside].astype(np.int64), two[outside].astype(np.int64), leaves[outside]
+        width = 64 ** np.arange(self.levels, dtype=np.int64)[:, None]
+        node = (width - 1) // 63 + rest % width
+        taken = (rest // width % 64).ravel()
+        mixed = node * 40503
+        rows = [(x % self.hashed).ravel() for x in (node, mixed + (o * 31337 + 17), mixed + (t * 9973 + 4099))]
+        z, more = self.deep[: len(taken)], self.more[: len(taken)]
+        np.take(self.tables[6], rows[0], axis=0, out=z, mode="clip")
+        for table, r in zip(self.tables[7:], rows[1:], strict=True):
+            z += np.take(table, r, axis=0, out=more, mode="clip")
+        np.clip(z, -40, 40, out=z)
+        return z, taken, rows
+
+    def log_probabilities(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray, leaves: np.ndarray | None = None) -> np.ndarray:
+        """Natural logarithms, token by token; a tail word's is that of its leaf (without leaves, of the tail class)."""
         out = np.empty(len(ids))
         for at in range(0, len(ids), BATCH):
             part = slice(at, at + BATCH)
@@ -146,10 +196,14 @@ class Model:
             cls = np.where(i < WORDS, i % TAIL, TAIL)
             value = chosen_log(zc, cls)
             value[inside] += chosen_log(zm, i[inside] // TAIL)
+            outside = np.flatnonzero(i >= WORDS)
+            if self.levels and len(outside):
+                z, taken, _ = self.branches(outside, o, t, leaves[part])
+                value[outside] += chosen_log(z, taken).reshape(self.levels, -1).sum(axis=0)
             out[part] = value
         return out
 
-    def step(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+    def step(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray, leaves: np.ndarray | None = None) -> None:
         zc, inside, zm, class_rows, member_rows = self.logits(ids, one, two)
         gc = gradient(zc, np.where(ids < WORDS, ids % TAIL, TAIL))
         gm = gradient(zm, ids[inside] // TAIL)
@@ -160,12 +214,18 @@ class Model:
         total = gc.sum(axis=0)
         self.squares[5] += (total * total).mean()
         self.tables[5][0] -= RATE * total / np.sqrt(self.squares[5])
+        outside = np.flatnonzero(ids >= WORDS)
+        if self.levels and len(outside):
+            z, taken, rows = self.branches(outside, one, two, leaves)
+            g = gradient(z, taken)
+            for k, r in enumerate(rows, 6):
+                self._push(k, r, g)
 
     def _push(self, k: int, rows: np.ndarray, g: np.ndarray) -> None:
         """AdaGrad with one sum of squares per row; gradients of equal rows are added first."""
         if not len(rows):
             return
-        order = np.argsort(rows.astype(np.int16), kind="stable")  # all row numbers fit, and short keys sort by radix
+        order = np.argsort(rows.astype(np.uint16), kind="stable")  # all row numbers fit, and short keys sort by radix
         ordered = rows[order]
         heads = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         own, sizes = ordered[heads], np.diff(heads, append=len(ordered))
@@ -182,17 +242,18 @@ class Model:
         total *= (RATE / np.sqrt(squares))[:, None]
         self.tables[k][own] -= total
 
-    def learn(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+    def learn(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray, leaves: np.ndarray | None = None) -> None:
         for at in range(0, len(ids), BATCH):
-            self.step(ids[at : at + BATCH], one[at : at + BATCH], two[at : at + BATCH])
+            part = slice(at, at + BATCH)
+            self.step(ids[part], one[part], two[part], None if leaves is None else leaves[part])
 
 
-_ONES, _ROWS = np.ones(64, np.float32), np.arange(BATCH)
+_ONES = np.ones(64, np.float32)
 
 
 def chosen_log(z: np.ndarray, k: np.ndarray) -> np.ndarray:
     """Logarithm of the softmax at k. z is overwritten."""
-    own = z[_ROWS[: len(z)], k]
+    own = z[np.arange(len(z)), k]
     total = np.exp(z, out=z) @ _ONES
     return own - np.log(total)
 
@@ -201,7 +262,7 @@ def gradient(z: np.ndarray, k: np.ndarray) -> np.ndarray:
     """Softmax less the one at k, in place of z."""
     p = np.exp(z, out=z)
     p *= (1 / (p @ _ONES))[:, None]
-    p[_ROWS[: len(p)], k] -= 1
+    p[np.arange(len(p)), k] -= 1
     return p
 
 
@@ -233,8 +294,12 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def gather_facts(counts: DataFrame) -> Facts:
-    """The head ends at a count, on a logarithmic scale, so that it is found by a histogram of a few hundred rows."""
+def leaf_of(levels: int) -> Column:
+    return F.crc32("word") % F.lit(64**levels)
+
+
+def gather_facts(counts: DataFrame) -> tuple[Facts, DataFrame]:
+    """And (leaf, crowd): tokens + words of every leaf of the tail that has words. The head ends at a count, on a logarithmic scale, so that it is found by a histogram of a few hundred rows."""
     tokens, distinct = counts.agg(F.sum("c"), F.count("*")).first()
     step = F.floor(F.log2("c") * 16)
     histogram = counts.groupBy(step.alias("step")).count().orderBy(F.col("step").desc()).collect()
@@ -249,8 +314,15 @@ def gather_facts(counts: DataFrame) -> Facts:
     model = [bytes(r["word"]) for r in top[:WORDS]]
     if END in head and END not in model:  # an end in the model even if few documents make it rare
         model[-1] = END
-    inside = sum(head[w] for w in model)
-    return Facts(tokens or 0, distinct or 0, (tokens or 0) - inside, (distinct or 0) - len(model), head, model)
+    levels = shape_for(distinct or 0)[0]
+    spark = counts.sparkSession
+    inner = spark.createDataFrame([(bytearray(w),) for w in model], "word binary")
+    tail = counts.join(F.broadcast(inner), "word", "left_anti")  # WORDS rows at most
+    crowds = cut(tail.groupBy(leaf_of(levels).alias("leaf")).agg(F.sum(F.col("c") + 1).alias("crowd")))
+    own = np.fromiter((zlib.crc32(w) % 64**levels for w in head), np.int64, len(head))
+    wanted = spark.createDataFrame(pd.DataFrame({"leaf": np.unique(own)}), "leaf long")
+    found = {r["leaf"]: r["crowd"] for r in crowds.join(F.broadcast(wanted), "leaf").collect()}  # HEAD rows at most
+    return Facts(tokens or 0, distinct or 0, head, model, np.array([found.get(x, 0) for x in own.tolist()], float)), crowds
 
 
 def train(docs: DataFrame, facts: Facts, warm_documents: int = 1500) -> Model:
@@ -263,19 +335,21 @@ def train(docs: DataFrame, facts: Facts, warm_documents: int = 1500) -> Model:
         numbers = Numbers(sent.value)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            parts = [numbers.sequences([w])[0].tobytes() for w in words_of(batch.column(1))]
+            found = [numbers.sequences([w]) for w in words_of(batch.column(1))]
+            parts = [np.stack([x[0].astype(np.int64), x[3]]).tobytes() for x in found]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.binary())], ["doc_id", "ids"])
 
         return step
 
-    warm = Model()
+    warm = Model(None, *facts.shape)
     got = map_texts(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text"), encode, "doc_id long, ids binary").toPandas().sort_values("doc_id", kind="stable")
     rng = np.random.default_rng(5)
-    first = [np.frombuffer(x, np.int32) for x in got["ids"]]
+    first = [np.frombuffer(x, np.int64).reshape(2, -1) for x in got["ids"]]
     for _ in range(2):
         for at in range(0, len(first), 64) if first else ():
             some = [first[i] for i in rng.permutation(len(first))[:64]]
-            warm.learn(*shifted(np.concatenate(some), np.array([len(x) for x in some])))
+            ids, leaves = np.concatenate(some, axis=1)
+            warm.learn(*shifted(ids.astype(np.int32), np.array([x.shape[1] for x in some])), leaves)
     if not facts.tokens:
         return warm
     start = context.broadcast((warm.flat, warm.squares))
@@ -283,11 +357,11 @@ def train(docs: DataFrame, facts: Facts, warm_documents: int = 1500) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, tokens = Numbers(sent.value), 0
         flat, squares = start.value
-        own = Model(flat.copy())
+        own = Model(flat.copy(), *sent.value.shape)
         own.squares = [s.copy() for s in squares]
         for batch in slices(batches):
-            ids, one, two, *_ = numbers.sequences(words_of(batch.column(1)))
-            own.learn(ids, one, two)
+            ids, one, two, leaves, *_ = numbers.sequences(words_of(batch.column(1)))
+            own.learn(ids, one, two, leaves)
             tokens += len(ids)
         change = np.array_split((own.flat - flat).astype(np.float16), BLOCKS)
         if tokens:
@@ -304,34 +378,36 @@ def train(docs: DataFrame, facts: Facts, warm_documents: int = 1500) -> Model:
 
     changes = docs.mapInArrow(run, "block int, tokens long, change binary")
     summed = changes.repartition("block").mapInArrow(add, "block int, change binary").orderBy("block").collect()
-    change = np.concatenate([np.frombuffer(bytes(r["change"]), np.float32) for r in summed])
-    return Model(warm.flat + change)
+    for part, r in zip(np.array_split(warm.flat, BLOCKS), summed, strict=True):  # in place: the driver holds one model
+        part += np.frombuffer(r["change"], np.float32)
+    start.destroy()
+    return warm
 
 
-def score(docs: DataFrame, counts: DataFrame, facts: Facts, model: Model) -> DataFrame:
+def score(docs: DataFrame, counts: DataFrame, facts: Facts, crowds: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) of every whole text of docs (doc_id, text)."""
     sent = docs.sparkSession.sparkContext.broadcast((facts, model.flat))
-    whole, tail = float(facts.tokens + facts.distinct + 1), float(facts.tail_tokens + facts.tail_words + 1)
+    whole = float(facts.tokens + facts.distinct + 1)
 
     def make():
         own, flat = sent.value
-        numbers, net = Numbers(own), Model(flat)
+        numbers, net = Numbers(own), Model(flat, *own.shape)
         in_model = set(own.model)
-        # by place in the head, and last for all words outside: log10 of the smoothed count, and of the share of the tail
+        # by place in the head, and last for all words outside: log10 of the smoothed count, and of the share of the leaf
         base_of = np.array([np.log10((c + 1) / whole) for c in own.head.values()] + [0.0])
-        share_of = np.array([0.0 if w in in_model else np.log10((c + 1) / tail) for w, c in own.head.items()] + [0.0])
+        share_of = np.array([0.0 if w in in_model else np.log10((c + 1) / (crowd + 1)) for (w, c), crowd in zip(own.head.items(), own.crowds.tolist(), strict=True)] + [0.0])
         task = TaskContext.get().partitionId() << 36
         row = 0
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             nonlocal row
             documents = words_of(batch.column(1))
-            ids, one, two, starts, places = numbers.sequences(documents)
+            ids, one, two, leaves, starts, places = numbers.sequences(documents)
             over = lambda x: np.add.reduceat(x, starts)
             lengths = np.diff(starts, append=len(ids))
             known = over((places >= 0).astype(np.int64))
             base, share = over(base_of[places]), over(share_of[places])
-            logs = over(net.log_probabilities(ids, one, two)) / np.log(10)
+            logs = over(net.log_probabilities(ids, one, two, leaves)) / np.log(10)
             n = len(documents)
             rids = task + row + np.arange(n)
             row += n
@@ -359,14 +435,14 @@ def score(docs: DataFrame, counts: DataFrame, facts: Facts, model: Model) -> Dat
         return step
 
     rows = map_texts(docs, make, "word binary, rid long, doc_id long, n long, n_tokens long, n_known long, base double, model double")
-    met = rows.join(counts, "word", "left")
+    met = rows.join(counts, "word", "left").withColumn("leaf", leaf_of(facts.shape[0])).join(small(crowds, CROWD_ROWS), "leaf", "left")
     c = F.coalesce("c", F.lit(0)) + 1
     return met.groupBy("rid").agg(
         F.max("doc_id").alias("doc_id"),
         F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.col("n_known") + F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"),
         F.sum(F.col("base") + F.col("n") * F.log10(c / F.lit(whole))).alias("base_score"),
-        F.sum(F.col("model") + F.col("n") * F.log10(c / F.lit(tail))).alias("score"),
+        F.sum(F.col("model") + F.col("n") * F.log10(c / (F.coalesce("crowd", F.lit(0)) + 1))).alias("score"),
     ).drop("rid")
 
 
@@ -374,6 +450,6 @@ def op9(spark, sf_dir: str) -> DataFrame:
     docs = named(read(spark, sf_dir, "documents"), "doc_id", "text")
     learnt = docs.where(remainder("doc_id", 7) != 2)
     counts = cut(count_words(learnt))
-    facts = gather_facts(counts)
-    scored = score(docs, counts, facts, train(learnt, facts))
+    facts, crowds = gather_facts(counts)
+    scored = score(docs, counts, facts, crowds, train(learnt, facts))
     return scored.select("doc_id", (remainder("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(facts.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -521,6 +521,26 @@ def test_model_is_a_distribution_and_learns():
         assert abs(np.exp(model.log_probabilities(every, a, b)).sum() - 1) < 1e-3
 
 
+def test_tail_words_are_predicted_from_their_context():
+    rng = np.random.default_rng(1)
+    model = lm.Model(None, *lm.shape_for(400_000))
+    assert 64**model.levels * lm.CROWD >= 400_000 and lm.shape_for(50_000_000)[0] > model.levels
+    words = rng.choice(1 << 30, 6, replace=False)
+    ids, leaves = (lm.START + 1 + words % lm.ENDINGS).astype(np.int32), words % 64**model.levels
+    ids, leaves = np.tile(ids, 400), np.tile(leaves, 400)
+    one, two = np.roll(ids, 1), np.roll(ids, 2)
+    for _ in range(10):
+        model.learn(ids, one, two, leaves)
+    right = model.log_probabilities(ids[:6], one[:6], two[:6], leaves[:6])
+    wrong = model.log_probabilities(ids[:6], one[:6], two[:6], np.roll(leaves[:6], 2))
+    assert (right > wrong + 2).all()  # the same classes and counts: only the context tells them apart
+    model = lm.Model(rng.normal(size=len(lm.Model(None, 2, 2048, 8192).flat)).astype(np.float32), 2, 2048, 8192)
+    every = np.append(np.arange(lm.WORDS), np.full(64**2, lm.WORDS + 1)).astype(np.int32)
+    at = np.append(np.zeros(lm.WORDS, np.int64), np.arange(64**2))
+    a, b = (np.full(len(every), rng.integers(0, lm.CONTEXTS), np.int32) for _ in range(2))
+    assert abs(np.exp(model.log_probabilities(every, a, b, at)).sum() - 1) < 1e-3
+
+
 def test_model_beats_the_counts_on_held_out_rows(spark):
     held = [r for r in lm.op9(spark, ROOT).collect() if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
