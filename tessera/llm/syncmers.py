@@ -3,12 +3,12 @@
 The letters of a text are its words. Of the k-mers (k = 5 consecutive words) those are kept whose least hashed inner
 substring of s = 2 words stands first or last: whether a k-mer is kept depends on its own words alone, so equal passages
 give equal anchors wherever they stand, and any few k-mers in a row hold one. `anchors` returns them with their word
-positions, `matches` pairs the equal anchors of two given texts. The fingerprint is a sketch of the anchors: the SKETCH smallest
-of their hashes (48 bits each, in hex, ascending). The likeness of two fingerprints estimates Dice's share 2 |A n B| /
-(|A| + |B|) of common anchors from the bottom of their union.
+positions, `matches` pairs the equal anchors of two given texts. A document's fingerprint is all its anchors with their
+positions; beside it, as a short form, stands a sketch: the SKETCH smallest of their hashes (48 bits each, in hex,
+ascending). The likeness of two texts is Dice's share 2 m / (|A| + |B|) with m their matches, of all anchors.
 
-Defined results: a null text is the empty one; without words the fingerprint is '', alike (1) to another empty one and
-unlike (0) all others; a text of too few words to hold a syncmer has one anchor, the whole sequence of its words. Rows
+Defined results: a null text is the empty one; without words there are no anchors and the sketch is '', alike (1) to
+another empty one and unlike (0) all others; a text of too few words to hold a syncmer has one anchor, the whole sequence of its words. Rows
 with a null id take no part in `edited`; rows equal in id and text each get a row, and have the same next document; rows
 of one id with different texts are ordered by a hash of the text. A table of one document is its own next. Columns other
 than id and text are not read.
@@ -49,32 +49,51 @@ def chosen(column: str) -> Column:
     return F.zip_with(edges, inner, lambda x, y: F.when(x["e"] <= y["i"], F.shiftrightunsigned(F.xxhash64(x["h"], y["h"]), 16)).otherwise(F.lit(NONE)))
 
 
-def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with the sketch of a text: an array of at most SKETCH longs, ascending."""
+def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with all anchors of a text, (position, anchor) in order of their places."""
     w, g, c = f"__{out}_w", f"__{out}_g", f"__{out}_c"
     df = df.withColumn(w, words(text)).withColumn(g, pairs(w)).withColumn(c, chosen(g))
-    kept = F.array_remove(F.slice(F.array_distinct(F.sort_array(c)), 1, SKETCH), F.lit(NONE))
+    placed = F.transform(c, lambda h, i: F.struct(i.alias("position"), h.alias("anchor")))
     whole = F.shiftrightunsigned(F.xxhash64(F.array_join(F.col(w), " ")), 16)
-    df = df.withColumn(out, kept)
-    return df.withColumn(out, F.when((F.size(out) == 0) & (F.size(w) > 0), F.array(whole)).otherwise(F.col(out))).drop(w, g, c)
+    df = df.withColumn(out, F.filter(placed, lambda x: x["anchor"] != F.lit(NONE)))
+    alone = F.array(F.struct(F.lit(0).alias("position"), whole.alias("anchor")))
+    return df.withColumn(out, F.when((F.size(out) == 0) & (F.size(w) > 0), alone).otherwise(F.col(out))).drop(w, g, c)
 
 
-def spelled(sketch: str) -> Column:
-    return F.array_join(F.transform(sketch, lambda h: F.lower(F.lpad(F.hex(h), 12, "0"))), "")
+def sketch(anchors: str) -> Column:
+    """At most SKETCH longs, ascending."""
+    return F.slice(F.array_distinct(F.sort_array(F.col(anchors)["anchor"])), 1, SKETCH)
+
+
+def spelled(anchors: str) -> Column:
+    return F.array_join(F.transform(sketch(anchors), lambda h: F.lower(F.lpad(F.hex(h), 12, "0"))), "")
 
 
 def likeness(a: str, b: str) -> Column:
-    """From two sketches: the Jaccard share j among the smallest hashes of the union, as Dice's 2 j / (1 + j)."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    both = F.size(F.array_intersect(union, F.array_intersect(a, b))).cast("double")
-    share = both / F.size(union)
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(2 * share / (1 + share))
+    """Dice's share from all anchors of two texts: the n-th place of an anchor in one meets its n-th place in the other.
+
+    The hashes of both are sorted together, those of a before equal ones of b, and counted in one pass.
+    """
+    side = lambda c, odd: F.transform(F.col(c)["anchor"], lambda h: h * 2 + odd)
+    start = F.struct(F.lit(-1).cast("long").alias("anchor"), F.lit(0).alias("free"), F.lit(0).alias("met"))
+
+    def step(state: Column, x: Column) -> Column:
+        anchor, right = F.shiftright(x, 1), x.bitwiseAND(F.lit(1)) == 1
+        free = F.when(state["anchor"] == anchor, state["free"]).otherwise(F.lit(0))
+        return F.struct(
+            anchor.alias("anchor"),
+            F.when(right, F.greatest(free - 1, F.lit(0))).otherwise(free + 1).alias("free"),
+            (state["met"] + F.when(right & (free > 0), F.lit(1)).otherwise(F.lit(0))).alias("met"),
+        )
+
+    met = F.aggregate(F.sort_array(F.concat(side(a, 0), side(b, 1))), start, step, lambda state: state["met"])
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(2 * met.cast("double") / (F.size(a) + F.size(b)))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint) of every whole text."""
+    """(doc_id, fingerprint, anchors) of every whole text: its sketch, and all its anchors with their positions."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return with_sketch(rows, "text", "sketch").select("doc_id", spelled("sketch").alias("fingerprint"))
+    return with_anchors(rows, "text", "anchors").select("doc_id", spelled("anchors").alias("fingerprint"), "anchors")
 
 
 def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,8 +146,8 @@ def successors(ids: DataFrame) -> DataFrame:
 def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document against its text with the second half replaced by the start of the next document.
 
-    Texts are shuffled once, to meet their neighbours' lengths. Of the next document only as much of the start as the
-    edit takes, and its sketch, are sent on.
+    Texts are shuffled once, to meet their neighbours' lengths, and then sent on to the document before; anchors are
+    taken where the texts have met, as a text is shorter than its anchors.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
     base = base.withColumn("h", F.xxhash64("text"))
@@ -136,26 +155,28 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     ids = listed.distinct()
     neighbours = cut(successors(ids))
     repeated = listed.count() != neighbours.count()
-    placed = with_sketch(base.join(neighbours.hint("shuffle_merge"), ["doc_id", "h"]), "text", "sketch")
+    placed = base.join(neighbours.hint("shuffle_merge"), ["doc_id", "h"])
     sent = placed.select(
         F.col("prev_id").alias("doc_id"),
         F.col("prev_h").alias("h"),
-        F.expr("left(text, cast(floor(prev_n / 2) as int))").alias("start"),
-        F.col("sketch").alias("next_sketch"),
+        F.col("text").alias("next_text"),
     )
     if repeated:
         sent = sent.dropDuplicates(["doc_id", "h"])
-    own = placed.withColumn("kept", F.expr("left(text, n - cast(floor(n / 2) as int))")).select("doc_id", "h", "n", "kept", "sketch")
-    met = own.join(sent.hint("shuffle_merge"), ["doc_id", "h"]).withColumn("edit", F.concat("kept", "start"))
-    met = with_sketch(met, "edit", "edited_sketch")
+    met = placed.select("doc_id", "h", "n", "text").join(sent.hint("shuffle_merge"), ["doc_id", "h"])
+    met = met.withColumn("edit", F.expr("concat(left(text, n - cast(floor(n / 2) as int)), left(next_text, cast(floor(n / 2) as int)))"))
+    for text, out in (("text", "anchors"), ("edit", "edited_anchors"), ("next_text", "next_anchors")):
+        met = with_anchors(met, text, out)
     return met.select(
         "doc_id",
         F.col("n").cast("long").alias("n_chars"),
         F.sha2(F.col("edit"), 256).alias("edited_sha256"),
-        spelled("sketch").alias("fingerprint"),
-        spelled("edited_sketch").alias("edited_fingerprint"),
-        likeness("sketch", "edited_sketch").alias("near_edited"),
-        likeness("sketch", "next_sketch").alias("near_next"),
+        spelled("anchors").alias("fingerprint"),
+        spelled("edited_anchors").alias("edited_fingerprint"),
+        likeness("anchors", "edited_anchors").alias("near_edited"),
+        likeness("anchors", "next_anchors").alias("near_next"),
+        "anchors",
+        "edited_anchors",
     )
 
 

@@ -368,6 +368,21 @@ def test_syncmers_against_their_definition(spark):
     assert len(met) >= len(want) - 1 and {r["right_position"] - r["left_position"] for r in met} == {1}
 
 
+def test_likeness_is_of_all_anchors(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage = " ".join(word() for _ in range(55))
+    long = [" ".join(word() for _ in range(6000)) + " " + passage + " " + passage for _ in range(2)]
+    got = {r["doc_id"]: r for r in syncmers.edited(spark.createDataFrame([(i, t) for i, t in enumerate(long)], "doc_id long, text string")).collect()}
+    met = syncmers.matches(spark.createDataFrame([(0, *long)], "pair_id long, left string, right string")).count()
+    found = Counter(r["doc_id"] for r in syncmers.anchors(spark.createDataFrame([(i, t) for i, t in enumerate(long)], "doc_id long, text string")).collect())
+    assert met > 30
+    for i in (0, 1):
+        assert abs(got[i]["near_next"] - 2 * met / (found[0] + found[1])) < 1e-12
+        assert len(got[i]["anchors"]) == found[i] and [x["position"] for x in got[i]["anchors"]] == sorted(x["position"] for x in got[i]["anchors"])
+        assert got[i]["near_edited"] < 1 and len(got[i]["fingerprint"]) == 12 * syncmers.SKETCH
+
+
 # --- op6, op7, op10 --------------------------------------------------------------------------------------------------
 
 
