@@ -577,13 +577,13 @@ def shape_diagnostics(spark, sf_dir):
 
 @query()
 def bootstrap_ci(spark, sf_dir):
-    return statistics.bootstrap_intervals(paired(spark, sf_dir), ["next", "after"], 5_000)
+    return statistics.bootstrap_intervals(paired(spark, sf_dir), ["next", "after"])
 
 
 @query()
 def permutation_test(spark, sf_dir):
     def p(group):
-        value, extreme = statistics.permutation_p(group.sort_values("question_id")["d"].to_numpy(), 5_000)
+        value, extreme = statistics.permutation_p(group.sort_values("question_id")["d"].to_numpy())
         return {"p": value, "extreme": extreme}
 
     return statistics.on_group(deltas(spark, sf_dir), ["role"], p, "role string, p double, extreme long")
@@ -674,4 +674,4 @@ def diversity_ablation(spark, sf_dir):
 
 @query()
 def paired_analysis(spark, sf_dir):
-    return experiments.paired_analysis(spark, evaluated(spark, sf_dir), ["next", "after"], 5_000)
+    return experiments.paired_analysis(spark, evaluated(spark, sf_dir), ["next", "after"])
