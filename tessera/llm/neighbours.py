@@ -5,20 +5,24 @@ Each of TABLES tables hashes a vector to floor((a . v + b) / w) for several Gaus
 its own bucket, buckets one step off in some directions, in the order of their estimated success: the steps are ranked by
 the query's distance to the bucket's boundaries, and the sequence of rank sets is the one with the smallest expected
 squared distances. Bucket width w is fitted: for SAMPLE queries the true neighbours are found by brute force over all
-rows, and w is the smallest of a grid for which the tables find the wanted share of them. Every row is indexed.
+rows, and w is the smallest of a grid for which the tables find the wanted share of them; the grid ends where a bucket and
+its neighbours hold everything. Every row is indexed.
 
 Buckets of all tables are dealt to shards of bounded size by hash; a bucket over the limit is cut into pieces and its
 visitors are sent to each. In a shard, a bucket's visitors meet its members in one matrix product, in double precision,
 and a running threshold for each query keeps what can still be among its nearest. Shards return each query's best, with
 exact scores; these are merged.
 
+Queries for which the buckets visited held fewer than k candidates (small or scattered tables) are finished exactly: in
+blocks they meet pieces of all rows.
+
 Equal vectors form a class that is indexed once; a class has `k + 1` least members that can appear in a result, which a
 search over the members finds exactly, so a vector that a third of the rows share costs no more than another.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, vectors of another length than most,
 and rows with a null id take no part, as query or as candidate; ties go to the smaller id; rows of equal id are rows of
-their own, but a query never gets its own id; fewer than k candidates give all that were found; an empty table gives an
-empty result. Columns other than id and vector are not read.
+their own, but a query never gets its own id; every query gets min(k, candidates) rows; an empty table gives an empty
+result. Columns other than id and vector are not read.
 """
 
 from __future__ import annotations
@@ -38,7 +42,10 @@ TABLES, PROBES, SAMPLE = 10, 400, 64
 SHARD_ENTRIES = 100_000
 #: At most so many buckets are over the limit, since it grows with the number of entries: their table may be broadcast.
 HOT_BUCKETS = 100_000
-WIDTHS = np.arange(0.4, 4.01, 0.1)
+#: Lengthened vectors are no longer than 1, so that at the widest every projection lies within a bucket and its neighbours.
+WIDTHS = np.concatenate((np.arange(0.4, 4.0, 0.1), 4 * 1.25 ** np.arange(13)))
+#: Queries in a block of the exact finish, and classes in a piece of the table that a block meets.
+FINISH_QUERIES, FINISH_ROWS = 4096, 50_000
 
 
 def probe_ranks(directions: int, probes: int) -> list[tuple[int, ...]]:
@@ -170,7 +177,7 @@ def fit(classes: DataFrame, queries: DataFrame, k: int, recall: float, n: int) -
 
     kind = classes.schema["v"].dataType.simpleString()
     truth = best_pairs(classes.select("cid", "v").mapInArrow(nearest, f"query long, cid long, score double, v {kind}"), k).toPandas()
-    directions = int(np.clip(round(np.log2(max(n, 2))) - 5, 4, 16))
+    directions = max(4, round(np.log2(max(n, 2))) - 5)  # some 32 classes to a bucket before its width is fitted, at every n
     hashing = Hashing(asked.shape[1], directions, float(norm))
     if truth.empty:
         return hashing
@@ -182,8 +189,8 @@ def fit(classes: DataFrame, queries: DataFrame, k: int, recall: float, n: int) -
         visits, keys = hashing.visits(pq), hashing.keys(np.floor(hashing.place(pn)))
         hit = np.array([any((visits[a, t] == keys[i, t]).any() for t in range(hashing.tables)) for i, a in enumerate(q)])
         if hit.mean() >= recall:
-            break
-    return hashing
+            return hashing
+    raise RuntimeError(f"no width reaches a recall of {recall}: {hit.mean():.3f} at {width:.1f}")
 
 
 def shard_of(keys: np.ndarray, piece: np.ndarray | int, shards: int) -> np.ndarray:
@@ -240,6 +247,31 @@ def in_shard(keys: np.ndarray, cids: np.ndarray, x: np.ndarray, qrow: np.ndarray
     return q, order[e], np.einsum("ij,ij->i", asked[q], x[e])
 
 
+def exactly(named: DataFrame, asked: DataFrame, k: int, n: int, queries: int) -> DataFrame:
+    """(query, cid, score): the k best classes of (cid, v) for each of `queries` rows of asked (cid, v), its own included."""
+    pieces, blocks = -(-n // FINISH_ROWS), -(-queries // FINISH_QUERIES)
+    spread = lambda column, many: F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias(column)
+    part = lambda many: F.pmod(F.xxhash64("cid"), F.lit(many)).cast("int")
+    rows = named.select(F.col("cid").alias("of"), F.col("v").alias("x"), part(pieces).alias("piece"), spread("block", blocks))
+    wanted = asked.select(F.col("cid").alias("query"), F.col("v").alias("y"), part(blocks).alias("block"), spread("piece", pieces))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        empty = [pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())]
+        if not left.num_rows or not right.num_rows:
+            return pa.table(empty, names=["query", "cid", "score"])
+        cids, x, ids, y = left["of"].to_numpy(), matrix(left["x"]), right["query"].to_numpy(), matrix(right["y"])
+        order = np.argsort(cids, kind="stable")
+        cids, x, out = cids[order], x[order], [empty]
+        for at in range(0, len(ids), 256):
+            scores = np.einsum("ij,kj->ik", y[at : at + 256], x)
+            top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            q = np.repeat(np.arange(len(scores)), top.shape[1])
+            out.append([pa.array(ids[at + q]), pa.array(cids[top.ravel()]), pa.array(scores[q, top.ravel()])])
+        return pa.table([pa.concat_arrays([o[i] for o in out]) for i in range(3)], names=["query", "cid", "score"])
+
+    return rows.groupBy("piece", "block").cogroup(wanted.groupBy("piece", "block")).applyInArrow(meet, "query long, cid long, score double")
+
+
 def search(vectors: DataFrame, k: int = 20, recall: float = 0.94, id_col: str = "vec_id", vector_col: str = "embedding", is_query=None) -> DataFrame:
     """(query_id, rank, vec_id, score): for the rows where the column `is_query` holds (all, if None) their k nearest."""
     rows = usable(vectors, id_col, vector_col)
@@ -318,6 +350,23 @@ def search(vectors: DataFrame, k: int = 20, recall: float = 0.94, id_col: str =
     sent_out = asked.select("cid", "v").mapInArrow(deal_visits, f"shard int, query long, v {kind}, keys array<long>")
     found = dealt.groupBy("shard").cogroup(sent_out.groupBy("shard")).applyInArrow(meet, "query long, cid long, score double")
     classes = best_pairs(found, need)
+    answers = cut(ranked(classes, members, asking, k))
+    same = members.groupBy(F.col("vec_id").alias("query_id")).agg(F.count("*").alias("own"))
+    wanted = asking.select("cid", F.col("vec_id").alias("query_id")).distinct().join(same, "query_id")
+    got = answers.groupBy("query_id").agg(F.count("*").alias("got"))
+    lacking = wanted.join(got, "query_id", "left").where(F.coalesce("got", F.lit(0)) < F.least(F.lit(k), F.lit(members.count()) - F.col("own")))
+    lacking = cut(lacking.select("cid", "query_id"))
+    many = lacking.count()
+    if not many:
+        return answers
+    classes = best_pairs(exactly(named, asked.join(lacking.select("cid").distinct(), "cid"), need, n, many), need)
+    whole = ranked(classes, members, lacking.select("cid", F.col("query_id").alias("vec_id")), k)
+    return answers.join(lacking.select("query_id").distinct(), "query_id", "left_anti").unionByName(whole)
+
+
+def ranked(classes: DataFrame, members: DataFrame, asking: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score) from the best classes (query, cid, score) of the classes of asking (cid, vec_id)."""
+    need = k + 1
     first = Window.partitionBy("cid").orderBy("vec_id")
     least = members.withColumn("r", F.row_number().over(first)).where(F.col("r") <= need).drop("r")
     nearest = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
