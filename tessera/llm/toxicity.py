@@ -5,15 +5,19 @@ text, each keeps its largest response, and a linear layer makes the logit. For s
 with every filter column once, so that a position costs one table row and a few additions. The gradient of max pooling
 reaches one position for each document and filter, so training costs little more than the forward pass.
 
-Thresholds are calibrated by language: part of the labelled rows is set aside, documents fall into groups by the
-function words they hold (never by the column lang), and the logit is shifted so that each group's best threshold lies at
-0.5; a group with few positives takes the threshold of all.
+Thresholds are calibrated by language. Which language a text is in is itself predicted, from its words, by naive Bayes
+over the same rows (the column lang of the labelled documents teaches it and is read for nothing else). A fifth of the
+labelled rows is set aside; each language's best threshold on it is drawn towards the best one of all, and that one
+towards 0.5, with the weight of PRIOR labels, so that every language has its own and few labels move it little. Logits
+are shifted so that the threshold lies at 0.5.
 
 The classifier is fitted on at most `sample` labelled documents (the first by hash of their id, all positives of the
-sample included); scoring reads every whole text.
+sample included), whose words reach the driver as four bytes each; words that stand in fewer of them than `vocabulary`
+asks for have no row and are not told apart. Scoring reads every whole text.
 
 Defined results: a null or empty text, or one without a word, is scored by the bias alone; rows with a null label, and
-labels of absent documents, are not learnt from; without any labelled row every score is 0; a label repeated is learnt
+labels of absent documents, are not learnt from; without any labelled row every score is 0; without a column of languages, or with
+nulls only, all documents share one threshold; a label repeated is learnt
 from as often as it stands there; null doc_ids are scored with held_out null. Columns other than id and text are not
 read by the scorer.
 """
@@ -37,13 +41,8 @@ DIM, FILTERS, WIDTHS = 12, 8, (1, 2, 3)
 #: Words a slab of convolution holds; longer texts take several slabs that overlap.
 SLAB = 1 << 16
 WORD = re.compile(rb"[a-z\x80-\xff]+")
-#: Frequent function words by language, for calibration groups only.
-FUNCTION_WORDS = {
-    "en": "the of and to in that it was for on are with as be this by",
-    "de": "der die und das ist nicht ein eine mit den im dem zu von sich auf",
-    "fr": "le la les et des un une que qui dans pour pas est sur aux du",
-    "es": "el los las y que en un una por con para es se del al lo",
-}
+#: A language's threshold counts as much as its rarer label has rows, that of all as much as so many.
+PRIOR = 20
 
 
 def bucket(word: bytes) -> int:
@@ -78,7 +77,7 @@ def vocabulary(docs: list[np.ndarray]) -> dict[int, int]:
 
 @dataclass
 class Model:
-    """table: for each row its product with every filter column, by (width, offset); shift: by group, of the logit."""
+    """table: for each row its product with every filter column, by (width, offset); shift: by language, of the logit."""
 
     table: np.ndarray
     bias: np.ndarray
@@ -86,22 +85,16 @@ class Model:
     out_bias: float
     shift: np.ndarray
     rows: dict[int, int]
-
-    def __post_init__(self):
-        self.languages = np.zeros(len(self.table), np.int8)
-        seen: dict[int, set[int]] = {}
-        for k, words in enumerate(FUNCTION_WORDS.values(), 1):
-            for word in words.split():
-                seen.setdefault(self.rows.get(bucket(word.encode()), 0), set()).add(k)
-        for row, groups in seen.items():  # a row of several languages tells nothing
-            self.languages[row] = groups.pop() if row and len(groups) == 1 else 0
+    #: (rows, languages): logarithms of the chance of a row in a language; zeros for row 0.
+    languages: np.ndarray
 
     def groups(self, docs: list[np.ndarray]) -> np.ndarray:
-        """Number of the calibration group of each document; 0 without any function word."""
-        n = len(FUNCTION_WORDS) + 1
-        counts = np.array([np.bincount(self.languages[rows], minlength=n) for rows in docs], int).reshape(-1, n)
-        counts[:, 0] = 0
-        return counts.argmax(axis=1)
+        """Number of the likeliest language of each document; behind the last one for those without a known word."""
+        n = self.languages.shape[1]
+        if not n:
+            return np.zeros(len(docs), int)
+        told = np.array([self.languages[rows[rows > 0]].sum(axis=0) if rows.any() else np.zeros(n) for rows in docs]).reshape(-1, n)
+        return np.where((told != 0).any(axis=1), told.argmax(axis=1), n)
 
     def pooled(self, docs: list[np.ndarray]) -> np.ndarray:
         """(documents, filters): the largest response of every filter over each whole document, zero if none is positive."""
@@ -167,15 +160,41 @@ def best_threshold(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(mids[best[len(best) // 2]])
 
 
-def train(docs: list[np.ndarray], labels: np.ndarray, visits: int = 96000, batch: int = 32, rate: float = 0.1, drop: float = 0.2, seed: int = 7) -> Model:
+def calibrated(z: np.ndarray, truth: np.ndarray, groups: np.ndarray, n_groups: int) -> np.ndarray:
+    """Thresholds of the groups, on the scale of the logits z."""
+
+    def drawn(own: np.ndarray, towards: float) -> float:
+        rarer = min(int((truth[own] > 0).sum()), int((truth[own] <= 0).sum()))
+        return (rarer * best_threshold(z[own], truth[own]) + PRIOR * towards) / (rarer + PRIOR) if rarer else towards
+
+    of_all = drawn(np.ones(len(z), bool), 0.0)
+    return np.array([drawn(groups == k, of_all) for k in range(n_groups)])
+
+
+def language_table(docs: list[np.ndarray], langs: list[str | None], n_rows: int) -> np.ndarray:
+    """Naive Bayes: logarithms of smoothed shares of the rows among the words of each language, languages by name."""
+    names = sorted({x for x in langs if x is not None})
+    counts = np.full((n_rows, len(names)), 0.5)
+    for rows, lang in zip(docs, langs, strict=True):
+        if lang is not None:
+            counts[:, names.index(lang)] += np.bincount(rows, minlength=n_rows)
+    counts[0] = 0
+    table = np.log(counts / np.maximum(counts.sum(axis=0), 1), out=np.zeros_like(counts), where=counts > 0)
+    return table.astype(np.float32)
+
+
+def train(docs: list[np.ndarray], labels: np.ndarray, langs: list[str | None] | None = None, visits: int = 96000, batch: int = 32, rate: float = 0.1, drop: float = 0.2, seed: int = 7) -> Model:
     """Fit documents given as word buckets: AdaGrad over mini-batches, words dropped at random; a fifth calibrates.
 
-    visits: documents shown in all, in 3 to 14 epochs."""
+    visits: documents shown in all, in 3 to 14 epochs. langs: the documents' languages, as far as known."""
     rng = np.random.default_rng(seed)
     rows_of = vocabulary(docs)
     to_row = np.zeros(BUCKETS, np.int32)
     to_row[list(rows_of)] = list(rows_of.values())
-    docs, n_rows = [without_runs(to_row[d], max(WIDTHS)) for d in docs], len(rows_of) + 1
+    n_rows = len(rows_of) + 1
+    docs = [to_row[d] for d in docs]
+    languages = language_table(docs, langs or [None] * len(docs), n_rows)
+    docs = [without_runs(d, max(WIDTHS)) for d in docs]
     columns = len(WIDTHS) * FILTERS
     emb = rng.normal(0, 0.1, (n_rows, DIM)).astype(np.float32)
     emb[0] = 0
@@ -191,7 +210,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, visits: int = 96000, batch
 
     def model() -> Model:
         flat = np.concatenate([f.transpose(1, 0, 2).reshape(DIM, -1) for f in filters], axis=1)
-        return Model(emb @ flat, bias.copy(), out.copy(), out_bias, np.zeros(len(FUNCTION_WORDS) + 1), rows_of)
+        return Model(emb @ flat, bias.copy(), out.copy(), out_bias, np.zeros(languages.shape[1] + 1), rows_of, languages)
 
     reach = max(WIDTHS) - 1
     most = max((len(d) for d in docs), default=0) + 2 * reach + 1
@@ -263,22 +282,17 @@ def train(docs: list[np.ndarray], labels: np.ndarray, visits: int = 96000, batch
         else:
             best = (0.0, now)
     chosen = best[1]
-    if kept and truth.sum() >= 10 and (1 - truth).sum() >= 10:
-        z, groups = chosen.logits(kept), chosen.groups(kept)
-        chosen.shift[:] = -best_threshold(z, truth)
-        for k in range(len(chosen.shift)):
-            own = groups == k
-            if truth[own].sum() >= 20 and (1 - truth[own]).sum() >= 20:
-                chosen.shift[k] = -best_threshold(z[own], truth[own])
+    if kept:
+        chosen.shift[:] = -calibrated(chosen.logits(kept), truth, chosen.groups(kept), len(chosen.shift))
     return chosen
 
 
 def nothing_learnt() -> Model:
     columns = len(WIDTHS) * FILTERS
-    return Model(np.zeros((1, sum(WIDTHS) * FILTERS), np.float32), np.zeros(columns, np.float32), np.zeros(columns, np.float32), -40.0, np.zeros(len(FUNCTION_WORDS) + 1), {})
+    return Model(np.zeros((1, sum(WIDTHS) * FILTERS), np.float32), np.zeros(columns, np.float32), np.zeros(columns, np.float32), -40.0, np.zeros(1), {}, np.zeros((1, 0), np.float32))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 16000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 16000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on at most `sample` rows of labels, the first by hash of the id; rows held out must not be in `labels`."""
     chosen = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("__id"), F.col(label).cast("float").alias("__y"))
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id", "__y").limit(sample)
@@ -287,18 +301,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
         table = Rows()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = [word_rows(t, table).tobytes() for t in texts(batch.column(2))]
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["id", "y", "rows"])
+            rows = [word_rows(t, table).tobytes() for t in texts(batch.column(3))]
+            return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rows, pa.binary())], ["id", "y", "lang", "rows"])
 
         return step
 
-    joined = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "__id").select("__id", "__y", "text")
-    got = map_texts(joined, make, "id long, y float, rows binary").toPandas().sort_values(["id", "y"], kind="stable")
+    lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+    joined = docs.select(F.col(id_col).cast("long").alias("__id"), lang.alias("__lang"), F.col(text_col).cast("string").alias("text"))
+    joined = joined.join(F.broadcast(chosen), "__id").select("__id", "__y", "__lang", "text")
+    got = map_texts(joined, make, "id long, y float, lang string, rows binary").toPandas().sort_values(["id", "y", "rows"], kind="stable")
     if got.empty:
         return nothing_learnt()
     rows = [np.frombuffer(r, np.int32) for r in got["rows"]]
     order = np.random.default_rng(3).permutation(len(rows))
-    return train([rows[i] for i in order], got["y"].to_numpy(np.float32)[order])
+    langs = [x if isinstance(x, str) else None for x in got["lang"]]
+    return train([rows[i] for i in order], got["y"].to_numpy(np.float32)[order], [langs[i] for i in order])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
