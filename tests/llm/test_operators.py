@@ -165,6 +165,44 @@ def test_few_candidates(spark):
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 1, 0.5)]
 
 
+@pytest.mark.parametrize("n", [1, 5, 12, 19, 21, 40])
+@pytest.mark.parametrize("dim", [2, 64])
+def test_no_query_lacks_candidates(spark, n, dim):
+    """Small, scattered tables: what the probes miss is found exactly."""
+    x = np.random.default_rng(n).normal(size=(n, dim)) * np.arange(1, n + 1)[:, None]
+    rows = spark.createDataFrame([(i, x[i].tolist()) for i in range(n)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.search(rows).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    scores = x @ x.T
+    want = {q: sorted((i for i in range(n) if i != q), key=lambda i: (-scores[q, i], i))[:20] for q in range(n) if n > 1}
+    assert {q: len(v) for q, v in got.items()} == {q: len(v) for q, v in want.items()}
+    hits = sum(len(set(got[q]) & set(want[q])) for q in want)
+    assert hits >= 0.9 * sum(map(len, want.values()))
+    if n <= 21:
+        assert got == want  # all candidates: order and all
+
+
+def test_exact_finish_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "FINISH_ROWS", 7)
+    monkeypatch.setattr(neighbours, "FINISH_QUERIES", 3)
+    x = np.random.default_rng(3).normal(size=(30, 4))
+    named = spark.createDataFrame([(i, x[i].tolist()) for i in range(30)], "cid long, v array<double>")
+    found = neighbours.best_pairs(neighbours.exactly(named, named.where("cid < 8"), 5, 30, 8), 5).collect()
+    scores = x @ x.T
+    want = {(q, i) for q in range(8) for i in np.argsort(-scores[q])[:5].tolist()}
+    assert {(r["query"], r["cid"]) for r in found} == want
+
+
+def test_a_width_is_found_or_an_error_raised(spark, monkeypatch):
+    x = np.random.default_rng(5).normal(size=(300, 8))
+    rows = spark.createDataFrame([(i, x[i].tolist()) for i in range(300)], "cid long, v array<double>")
+    assert neighbours.fit(rows, rows.where("cid < 20"), 21, 1.0, 300).width > 0
+    monkeypatch.setattr(neighbours, "WIDTHS", np.array([0.001]))
+    with pytest.raises(RuntimeError):
+        neighbours.fit(rows, rows.where("cid < 20"), 21, 0.9, 300)
+
+
 # --- op3 -------------------------------------------------------------------------------------------------------------
 
 
@@ -400,24 +438,56 @@ def test_language_gradients():
     """Backpropagation through time against differences."""
     rng = np.random.default_rng(0)
     d = language.Direction.drawn(rng)
-    d.table, d.gates, d.cand = (x.astype(np.float64) for x in (d.table, d.gates, d.cand))
-    codes, mask = language.Network.padded([b"abc ", b"da "])
+    d.table, d.mix = d.table.astype(np.float64), d.mix.astype(np.float64)
+    codes = np.frombuffer(b"abc da b", np.uint8).reshape(2, 4).T.copy()
     weights = rng.normal(size=(4, 2, language.HIDDEN))
 
-    def loss():
-        return float((d.run(codes, mask, range(4)).astype(np.float64) * weights).sum())
+    def run(keep=None):
+        states = np.empty((4, 2, language.HIDDEN))
+        d.run(codes, range(4), states, keep)
+        return float((states * weights).sum())
 
     kept = []
-    d.run(codes, mask, range(4), kept)
+    run(kept)
     grads = d.back(kept, codes, weights)
-    for p, g in zip((d.table, d.gates, d.cand), grads, strict=True):
-        for at in [(97, 3), (100, 40)] if p is d.table else [(2, 5), (7, 1)]:
-            p[at] += 1e-3
-            up = loss()
-            p[at] -= 2e-3
-            down = loss()
-            p[at] += 1e-3
-            assert abs((up - down) / 2e-3 - g[at]) < 2e-3 * max(1, abs(g[at]))
+    for p, g in zip((d.table, d.mix), grads, strict=True):
+        for at in [(0, 97, 3), (1, 100, 4), (2, 32, 9)] if p is d.table else [(0, 2, 5), (1, 7, 1), (2, 3, 3)]:
+            p[at] += 1e-5
+            up = run()
+            p[at] -= 2e-5
+            down = run()
+            p[at] += 1e-5
+            assert abs((up - down) / 2e-5 - g[at]) < 1e-4 * max(1, abs(g[at]))
+
+
+@pytest.fixture(scope="module")
+def two_tongues():
+    """A made-up pair of languages that share the word zu; the words beside it tell which it is."""
+    rng = random.Random(2)
+    say = lambda words: " ".join("zu" if rng.random() < 0.4 else rng.choice(words) for _ in range(12)).encode()[: language.WINDOW]
+    pieces = [say(["kolo", "mano", "tiva"]) for _ in range(300)] + [say(["brek", "snup", "grit"]) for _ in range(300)]
+    codes, held, _ = language.cut_up(pieces)
+    return language.train(codes, held, ["a"] * 300 + ["b"] * 300, steps=120, batch=32)
+
+
+def test_a_words_label_depends_on_its_neighbours(two_tongues):
+    for text, want in ((b"kolo mano zu zu tiva kolo", "a"), (b"brek snup zu zu grit brek", "b")):
+        labels = two_tongues.positions(text)
+        assert len(labels) == len(text) and set(labels[10:15]) == {want}
+
+
+def test_language_pools_every_byte(two_tongues):
+    text = b"kolo mano tiva " * 30 + b"brek"
+    codes, held, owner = language.cut_up([text, b"", b"x"])
+    assert held.sum() == len(text) + 1 and owner.tolist() == [0] * (len(held) - 1) + [2]
+    total = np.zeros(2)
+    for at in range(0, len(text), language.WINDOW):
+        piece = text[at : at + language.WINDOW].ljust(language.WINDOW)
+        _, p = two_tongues.labelled(np.frombuffer(piece, np.uint8)[:, None].copy())
+        total += p[:, : len(text) - at, 0].sum(axis=1)
+    assert np.allclose(two_tongues.summed([b"zu", text])[1], total, rtol=1e-5)
+    assert language.predicted(two_tongues, [None, b"", b" 12 ", "½ ²".encode(), "字 ½".encode()])[0][:4] == ["und"] * 4
+    assert language.predicted(two_tongues, ["字 ½".encode()])[0] != ["und"]
 
 
 def labelled(sf, column):
@@ -463,9 +533,13 @@ def test_toxicity_on_held_out_rows(spark, folder):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
 
 
+def toxic_model(rng, rows=50):
+    return toxicity.Model(rng.normal(size=(rows, sum(toxicity.WIDTHS) * toxicity.FILTERS)).astype(np.float32), np.zeros(24, np.float32), np.ones(24, np.float32), 0.0, np.zeros(1), {}, np.zeros((rows, 0), np.float32))
+
+
 def test_pooling_over_slabs_is_whole(monkeypatch):
     rng = np.random.default_rng(2)
-    model = toxicity.Model(rng.normal(size=(50, sum(toxicity.WIDTHS) * toxicity.FILTERS)).astype(np.float32), np.zeros(24, np.float32), np.ones(24, np.float32), 0.0, np.zeros(5), {})
+    model = toxic_model(rng)
     docs = [rng.integers(0, 50, n).astype(np.int32) for n in (0, 1, 2, 5, 300, 40)]
     want = model.pooled(docs)
     assert np.allclose(np.concatenate([model.pooled([d]) for d in docs]), want)  # neighbours in a batch don't matter
@@ -473,6 +547,44 @@ def test_pooling_over_slabs_is_whole(monkeypatch):
     assert np.allclose(model.pooled(docs), want)
 
 
+def test_responses_against_the_convolution():
+    """The table of products against sliding every filter over the embedded words, one by one."""
+    rng = np.random.default_rng(4)
+    emb = rng.normal(size=(20, toxicity.DIM)).astype(np.float32)
+    emb[0] = 0
+    filters = [rng.normal(size=(w, toxicity.DIM, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS]
+    bias = rng.normal(size=24).astype(np.float32)
+    flat = np.concatenate([f.transpose(1, 0, 2).reshape(toxicity.DIM, -1) for f in filters], axis=1)
+    model = toxicity.Model(emb @ flat, bias, np.ones(24, np.float32), 0.0, np.zeros(1), {}, np.zeros((20, 0), np.float32))
+    rows = rng.integers(0, 20, 9)
+    padded = np.concatenate((rows, [0, 0]))
+    best = np.zeros(24)
+    for k, (w, f) in enumerate(zip(toxicity.WIDTHS, filters, strict=True)):
+        for j in range(toxicity.FILTERS):
+            said = [sum(emb[padded[i + o]] @ f[o][:, j] for o in range(w)) + bias[k * toxicity.FILTERS + j] for i in range(len(rows))]
+            best[k * toxicity.FILTERS + j] = max(0, *said)
+    assert np.allclose(model.pooled([rows.astype(np.int32)])[0], best, atol=1e-4)
+
+
+def test_thresholds_follow_the_language():
+    z = np.concatenate((np.linspace(-4, 4, 200), np.linspace(-4, 4, 200), [3.0]))
+    groups = np.array([0] * 200 + [1] * 200 + [2])
+    truth = np.concatenate((z[:200] > 2, z[200:400] > -1, [True])).astype(float)
+    found = toxicity.calibrated(z, truth, groups, 4)
+    of_all = found[3]  # no row at all: the threshold of all
+    assert 1 < found[0] < 2 and -1 < found[1] < of_all < found[0] and found[2] == of_all
+    assert (toxicity.calibrated(z, np.zeros(len(z)), groups, 4) == 0).all()
+    assert abs(toxicity.calibrated(z[:200], truth[:200], groups[:200], 1)[0]) < 2
+
+
+def test_language_of_the_thresholds_is_read_from_the_words():
+    docs = [toxicity.word_rows(t, toxicity.Rows()) for t in [b"un dos tres perro", b"ein zwei drei hund", b"dos perro", b"zwei hund"] * 20]
+    model = toxicity.train(docs, np.array([0, 1, 1, 0] * 20, np.float32), ["es", "de", "es", "de"] * 20, visits=200)
+    table = toxicity.Rows(model.rows)
+    said = [toxicity.word_rows(t, table) for t in (b"perro perro", b"drei", b"unseen", b"")]
+    assert model.groups(said).tolist() == [1, 0, 2, 2] and len(model.shift) == 3
+
+
 def test_without_toxic_keeps_the_columns(awkward):
     assert toxicity.without_toxic(awkward, toxicity.nothing_learnt()).exceptAll(awkward).count() == 0
     assert toxicity.without_toxic(awkward, toxicity.nothing_learnt()).count() == awkward.count()
