@@ -6,13 +6,15 @@ The others meet the table in a join on the word, each a row with its number in t
 
 Model. The most frequent words, 63 classes of 64, are predicted as class, then member; the 64th class is the tail. The
 class depends on the word before, the one before that (a skip feature) and both together; the member on its class and the
-word before; every feature hashes to a row of weights. A tail word is predicted through further levels of 64 branches, by
-its hash; each branch depends on its node, the node with the word before and the node with the one before that. There are
-as many levels as leave at most CROWD words to a leaf on average, however many words are counted. Among the words of a leaf
-the probability is (c + 1) / (the leaf's tokens + words + 1), which leaves one share for its unseen words. So the model
-and the smoothed counts are distributions over all words. Hashed rows grow with the counted vocabulary within ROWS.
-
-Training. A bounded sample makes a first model on the driver. From there every task runs through all its training
+word before; every feature hashes to a row of weights. A tail word is predicted through a binary tree of classes, by the
+bits of its hash; each branch depends on its node, the node with the word before and the node with the one before that.
+The tree is as deep as leaves at most CROWD words to a leaf on average, however many words are counted. Among the words of
+a leaf the probability is (c + 1) / (the leaf's tokens + words + 1), which leaves one share for its unseen words. So the
+model and the smoothed counts are distributions over all words. Hashed rows grow with the counted vocabulary within ROWS.
+
+Training. A bounded sample makes a first model on the driver: at most `warm_documents` whole texts, the first by hash of
+their id, as numbers. Then training documents are dealt by hash of id and text to as many parts as TASK_TOKENS asks for,
+each in order of the id, so that the model does not depend on how the input is split. Every part runs through its
 documents with AdaGrad steps on mini-batches and sends the change of its weights, as half floats in blocks; the blocks
 are averaged by tokens where they meet. The weights' size is bounded, so what reaches the driver is too.
 
@@ -43,8 +45,10 @@ HEAD = 1 << 18
 CLASSES, MEMBERS = 64, 64
 TAIL = CLASSES - 1
 WORDS = TAIL * MEMBERS
-#: Most words a leaf of the tail holds on average.
-CROWD = 64
+#: Most words a leaf of the tail holds on average, and the weights of each feature of the tail's branches.
+CROWD, BRANCHES = 64, 1 << 18
+#: Training tokens of a part.
+TASK_TOKENS = 1 << 21
 #: Context numbers: words 0 to WORDS - 1, the start, then hashes of tail words, at least ENDINGS.
 START, ENDINGS = WORDS, 2048
 CONTEXTS = WORDS + 1 + ENDINGS
@@ -73,16 +77,14 @@ class Facts:
 
     @property
     def shape(self) -> tuple[int, int, int]:
-        """(levels of the tail, hashed contexts, hashed rows)."""
+        """(depth of the tail's tree, hashed contexts, hashed rows)."""
         return shape_for(self.distinct)
 
 
 def shape_for(distinct: int) -> tuple[int, int, int]:
-    levels = 1
-    while 64**levels * CROWD < distinct:
-        levels += 1
+    depth = max(6, (-(-distinct // CROWD) - 1).bit_length())
     rows = min(ROWS[1], max(ROWS[0], 1 << (distinct // 8).bit_length()))
-    return levels, max(ENDINGS, rows // 2 if rows > ROWS[0] else 0), rows
+    return depth, max(ENDINGS, rows // 2 if rows > ROWS[0] else 0), rows
 
 
 class Numbers:
@@ -90,8 +92,8 @@ class Numbers:
 
     def __init__(self, facts: Facts):
         self.place = {w: i for i, w in enumerate(facts.head)}
-        levels, self.endings, _ = facts.shape
-        self.leaves = 64**levels
+        depth, self.endings, _ = facts.shape
+        self.leaves = 1 << depth
         inside = {w: i for i, w in enumerate(facts.model)}
         hashes = np.fromiter(map(zlib.crc32, facts.head), np.int64, len(facts.head))
         self.leaf = hashes % self.leaves
@@ -133,20 +135,21 @@ def shifted(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Model:
-    """Weights in one flat array; rows of 64 in each table."""
-
-    def __init__(self, flat: np.ndarray | None = None, levels: int = 0, endings: int = ENDINGS, rows: int = PAIR_ROWS):
-        # class by word before, by the one before it, by both; member by class and word before; biases; the tail's branch
-        # by node, by node and word before, by node and the one before it
-        tables = (START + 1 + endings, START + 1 + endings, rows, rows, TAIL, 1) + ((rows,) * 3 if levels else ())
-        self.levels, self.hashed = levels, rows
-        self.flat = np.zeros(sum(tables) * 64, np.float32) if flat is None else flat
+    """Weights in one flat array: tables with rows of 64, and behind them those of the tail's branches."""
+
+    def __init__(self, flat: np.ndarray | None = None, depth: int = 0, endings: int = ENDINGS, rows: int = PAIR_ROWS):
+        # class by word before, by the one before it, by both; member by class and word before; biases
+        tables = START + 1 + endings, START + 1 + endings, rows, rows, TAIL, 1
+        self.depth, self.hashed = depth, rows
+        wide = sum(tables) * 64
+        self.flat = np.zeros(wide + 3 * BRANCHES * (depth > 0), np.float32) if flat is None else flat
         cuts = np.cumsum((0, *tables)) * 64
         self.tables = [self.flat[a:b].reshape(-1, 64) for a, b in zip(cuts, cuts[1:], strict=False)]
-        self.squares = [np.full(n, 0.02, np.float32) for n in tables]
-        most = BATCH * max(1, levels)
-        self.buffers = [np.empty((BATCH, 64), np.float32) for _ in range(2)]
-        self.deep, self.more, self.sorted, self.summed = (np.empty((most, 64), np.float32) for _ in range(4))
+        # the branch by node, by node and word before, by node and the one before it
+        self.tail = self.flat[wide:].reshape(-1, BRANCHES)
+        self.squares = [*(np.full(n, 0.02, np.float32) for n in tables), np.full(self.tail.shape, 0.02, np.float32)]
+        self.buffers = [np.empty((BATCH, 64), np.float32) for _ in range(5)]
+        self.gathered = np.zeros(BRANCHES, np.float32)
 
     def rows(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """Rows of the class features; which tokens have a member; rows of its features."""
@@ -160,7 +163,7 @@ class Model:
         """Class and member logits in buffers that the next call uses again; weights stay far from what exp can hold."""
         a, b, d, e, m, bias = self.tables[:6]
         (ra, rb, rd), inside, (re_, rm) = self.rows(ids, one, two)
-        zc, zm, more = (x[:n] for x, n in zip((*self.buffers, self.more), (len(ids), len(inside), len(ids)), strict=True))
+        zc, zm, more = (x[:n] for x, n in zip(self.buffers[:3], (len(ids), len(inside), len(ids)), strict=True))
         np.take(a, ra, axis=0, out=zc, mode="clip")
         zc += np.take(b, rb, axis=0, out=more, mode="clip")
         zc += np.take(d, rd, axis=0, out=more, mode="clip")
@@ -172,19 +175,15 @@ class Model:
         return zc, inside, zm, (ra, rb, rd), (re_, rm)
 
     def branches(self, outside: np.ndarray, one: np.ndarray, two: np.ndarray, leaves: np.ndarray):
-        """Of the tail's tokens, level after level: logits in a buffer, the branch taken, rows of the features."""
-        o, t, rest = one[outside].astype(np.int64), two[outside].astype(np.int64), leaves[outside]
-        width = 64 ** np.arange(self.levels, dtype=np.int64)[:, None]
-        node = (width - 1) // 63 + rest % width
-        taken = (rest // width % 64).ravel()
-        mixed = node * 40503
-        rows = [(x % self.hashed).ravel() for x in (node, mixed + (o * 31337 + 17), mixed + (t * 9973 + 4099))]
-        z, more = self.deep[: len(taken)], self.more[: len(taken)]
-        np.take(self.tables[6], rows[0], axis=0, out=z, mode="clip")
-        for table, r in zip(self.tables[7:], rows[1:], strict=True):
-            z += np.take(table, r, axis=0, out=more, mode="clip")
-        np.clip(z, -40, 40, out=z)
-        return z, taken, rows
+        """Of the tail's tokens, (depth, tokens): logits of the branch with a one, the bit taken, places of the features."""
+        o, t, leaf = one[outside].astype(np.int64), two[outside].astype(np.int64), leaves[outside]
+        level = np.arange(self.depth, dtype=np.int64)[:, None]
+        node = (1 << level) - 1 + (leaf & ((1 << level) - 1))
+        taken = (leaf >> level & 1).astype(np.float32)
+        mixed = node * 0x2545F4914F6D
+        places = [node % BRANCHES] + [(mixed + x * m >> 21) % BRANCHES for x, m in ((o, 0x1B873593A5), (t, 0x5BD1E995C7))]
+        z = sum(w[p] for w, p in zip(self.tail, places, strict=True))
+        return np.clip(z, -30, 30, out=z), taken, places
 
     def log_probabilities(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray, leaves: np.ndarray | None = None) -> np.ndarray:
         """Natural logarithms, token by token; a tail word's is that of its leaf (without leaves, of the tail class)."""
@@ -197,9 +196,10 @@ class Model:
             value = chosen_log(zc, cls)
             value[inside] += chosen_log(zm, i[inside] // TAIL)
             outside = np.flatnonzero(i >= WORDS)
-            if self.levels and len(outside):
+            if self.depth and len(outside):
                 z, taken, _ = self.branches(outside, o, t, leaves[part])
-                value[outside] += chosen_log(z, taken).reshape(self.levels, -1).sum(axis=0)
+                z *= 1 - 2 * taken
+                value[outside] -= np.log1p(np.exp(z, out=z), out=z).sum(axis=0)
             out[part] = value
         return out
 
@@ -215,11 +215,16 @@ class Model:
         self.squares[5] += (total * total).mean()
         self.tables[5][0] -= RATE * total / np.sqrt(self.squares[5])
         outside = np.flatnonzero(ids >= WORDS)
-        if self.levels and len(outside):
-            z, taken, rows = self.branches(outside, one, two, leaves)
-            g = gradient(z, taken)
-            for k, r in enumerate(rows, 6):
-                self._push(k, r, g)
+        if self.depth and len(outside):
+            z, taken, places = self.branches(outside, one, two, leaves)
+            g = (1 / (1 + np.exp(-z)) - taken).ravel()
+            for weights, squares, p in zip(self.tail, self.squares[-1], map(np.ravel, places), strict=True):
+                np.add.at(self.gathered, p, g)
+                total = self.gathered[p]  # equal places hold equal sums, so writing them once more changes nothing
+                self.gathered[p] = 0
+                grown = squares[p] + total * total
+                squares[p] = grown
+                weights[p] -= RATE * total / np.sqrt(grown)
 
     def _push(self, k: int, rows: np.ndarray, g: np.ndarray) -> None:
         """AdaGrad with one sum of squares per row; gradients of equal rows are added first."""
@@ -229,8 +234,8 @@ class Model:
         ordered = rows[order]
         heads = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         own, sizes = ordered[heads], np.diff(heads, append=len(ordered))
-        g = np.take(g, order, axis=0, out=self.sorted[: len(g)], mode="clip")
-        total = np.take(g, heads, axis=0, out=self.summed[: len(heads)], mode="clip")
+        g = np.take(g, order, axis=0, out=self.buffers[3][: len(g)], mode="clip")
+        total = np.take(g, heads, axis=0, out=self.buffers[4][: len(heads)], mode="clip")
         for i in range(1, 6):  # few rows repeat often: the first few repeats are added together, the others row by row
             more = np.flatnonzero(sizes > i)
             total[more] += g[heads[more] + i]
@@ -294,32 +299,39 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def leaf_of(levels: int) -> Column:
-    return F.crc32("word") % F.lit(64**levels)
+def leaf_of(depth: int) -> Column:
+    return F.crc32("word") % F.lit(1 << depth)
 
 
 def gather_facts(counts: DataFrame) -> tuple[Facts, DataFrame]:
-    """And (leaf, crowd): tokens + words of every leaf of the tail that has words. The head ends at a count, on a logarithmic scale, so that it is found by a histogram of a few hundred rows."""
+    """And (leaf, crowd): tokens + words of every leaf of the tail that has words. The head ends at a count, on a logarithmic
+    scale, so that it is found by a histogram of a few hundred rows; where more words share the highest step than the head
+    holds, their hashes choose."""
     tokens, distinct = counts.agg(F.sum("c"), F.count("*")).first()
     step = F.floor(F.log2("c") * 16)
     histogram = counts.groupBy(step.alias("step")).count().orderBy(F.col("step").desc()).collect()
-    held, least = 0, None
+    held, least, share = 0, 0, 1.0
     for row in histogram:
-        if held + row["count"] > HEAD and held:
+        if held + row["count"] > HEAD:
+            if not held:
+                least, share = row["step"], 0.9 * HEAD / row["count"]
             break
         held, least = held + row["count"], row["step"]
-    top = counts.where(step >= (0 if least is None else least)).limit(HEAD).collect()
+    chosen = counts.where(step >= least)
+    if share < 1:
+        chosen = chosen.where((F.xxhash64("word").cast("double") / 2.0**64 + 0.5 < share) | (F.col("word") == F.lit(END)))
+    top = chosen.limit(HEAD + 1).collect()
     top.sort(key=lambda r: (-r["c"], bytes(r["word"])))
     head = {bytes(r["word"]): r["c"] for r in top}
     model = [bytes(r["word"]) for r in top[:WORDS]]
     if END in head and END not in model:  # an end in the model even if few documents make it rare
         model[-1] = END
-    levels = shape_for(distinct or 0)[0]
+    depth = shape_for(distinct or 0)[0]
     spark = counts.sparkSession
     inner = spark.createDataFrame([(bytearray(w),) for w in model], "word binary")
     tail = counts.join(F.broadcast(inner), "word", "left_anti")  # WORDS rows at most
-    crowds = cut(tail.groupBy(leaf_of(levels).alias("leaf")).agg(F.sum(F.col("c") + 1).alias("crowd")))
-    own = np.fromiter((zlib.crc32(w) % 64**levels for w in head), np.int64, len(head))
+    crowds = cut(tail.groupBy(leaf_of(depth).alias("leaf")).agg(F.sum(F.col("c") + 1).alias("crowd")))
+    own = np.fromiter((zlib.crc32(w) % (1 << depth) for w in head), np.int64, len(head))
     wanted = spark.createDataFrame(pd.DataFrame({"leaf": np.unique(own)}), "leaf long")
     found = {r["leaf"]: r["crowd"] for r in crowds.join(F.broadcast(wanted), "leaf").collect()}  # HEAD rows at most
     return Facts(tokens or 0, distinct or 0, head, model, np.array([found.get(x, 0) for x in own.tolist()], float)), crowds
@@ -342,7 +354,7 @@ def train(docs: DataFrame, facts: Facts, warm_documents: int = 1500) -> Model:
         return step
 
     warm = Model(None, *facts.shape)
-    got = map_texts(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text"), encode, "doc_id long, ids binary").toPandas().sort_values("doc_id", kind="stable")
+    got = map_texts(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text"), encode, "doc_id long, ids binary").toPandas().sort_values(["doc_id", "ids"], kind="stable")
     rng = np.random.default_rng(5)
     first = [np.frombuffer(x, np.int64).reshape(2, -1) for x in got["ids"]]
     for _ in range(2):
@@ -376,7 +388,8 @@ def train(docs: DataFrame, facts: Facts, warm_documents: int = 1500) -> Model:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.astype(np.float32).tobytes() for s in sums.values()], pa.binary())], ["block", "change"])
 
-    changes = docs.mapInArrow(run, "block int, tokens long, change binary")
+    parts = docs.repartition(-(-facts.tokens // TASK_TOKENS), F.xxhash64("doc_id", "text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    changes = parts.mapInArrow(run, "block int, tokens long, change binary")
     summed = changes.repartition("block").mapInArrow(add, "block int, change binary").orderBy("block").collect()
     for part, r in zip(np.array_split(warm.flat, BLOCKS), summed, strict=True):  # in place: the driver holds one model
         part += np.frombuffer(r["change"], np.float32)
