@@ -10,9 +10,10 @@ A bucket over BUCKET_ROWS is dealt out as pairs of chunks, so a hot bucket never
 spanning forest of the links it found, and the forests are contracted to components by rounds of hooking every node to
 its least neighbour, each round cut in the shared folder.
 
-Defined results: a null or empty text has no word and fingerprint zero, linked like any other; null doc_ids are dropped
-(they name no document); repeated rows give one row each with equal component ids; an empty table gives an empty result.
-Columns other than the id and the text are not read.
+Defined results: a null or empty text has no word and fingerprint zero, linked like any other; rows with a null id are
+linked like others and name no component, so one that reaches no id has a null component_id; repeated rows give one row
+each with equal component ids; an empty table gives an empty result. Columns other than the id and the text are not read,
+except by `keep_first`, which tells rows of one id apart by all their columns.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_texts, read, small, texts
@@ -32,6 +33,8 @@ SEED = 42
 BUCKET_ROWS = 4096
 #: Ids (of 8 bytes) that may be broadcast.
 BROADCAST_ROWS = 200_000
+#: Copies of a component's minimum that its fingerprints meet.
+SALTS = 16
 #: Buckets of this many fingerprints are expected at most: it decides how many blocks a key takes.
 EXPECTED_MATES = 64
 
@@ -56,18 +59,19 @@ def fingerprint(text: bytes | None, width: int = 4) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text as a signed long."""
+def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text", mark: Column | None = None) -> DataFrame:
+    """(doc_id, mark, fp): the fingerprint of every whole text as a signed long. mark: a long, null if not given."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             fps = np.array([fingerprint(t, width) for t in texts(batch.column(1))], np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps)], ["doc_id", "mark", "fp"])
 
         return step
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_texts(rows.where("doc_id is not null"), make, "doc_id long, fp long")
+    mark = F.lit(None).cast("long") if mark is None else mark
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), mark.alias("mark"))
+    return map_texts(rows, make, "doc_id long, mark long, fp long")
 
 
 def covering(n: int, radius: int) -> tuple[int, int]:
@@ -257,21 +261,53 @@ def components(edges: DataFrame) -> DataFrame:
     return roots
 
 
+def classed(marks: DataFrame, radius: int) -> DataFrame:
+    """(fp, root): the component of every distinct fingerprint of marks; fp itself where it has no link."""
+    classes = cut(marks.select("fp").distinct())
+    roots = components(links(classes, radius, classes.count()))
+    return classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("linked", F.col("root").isNotNull()).withColumn("root", F.coalesce("root", "fp"))
+
+
+def first_of(marks: DataFrame, named: DataFrame, first: Column) -> DataFrame:
+    """(fp, first): for every fingerprint the aggregate `first` (a minimum) over the rows of its component.
+
+    A component may hold a third of the fingerprints: minima are taken by fingerprint, then by component, and go back to
+    its fingerprints over SALTS copies.
+    """
+    by_fp = marks.groupBy("fp").agg(first.alias("first")).join(named, "fp")
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    least = by_fp.where("linked").groupBy("root").agg(F.min("first").alias("least")).select("root", "least", salt)
+    met = by_fp.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(least, ["root", "salt"], "left")
+    return met.select("fp", F.coalesce("least", "first").alias("first"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): component_id is the least doc_id reachable over links of at most radius bits."""
     marks = cut(fingerprints(docs, width, id_col, text_col))
-    classes = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(classes.select("fp"), radius, classes.count()))
-    named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marks.join(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    least = first_of(marks, cut(classed(marks, radius)), F.min("doc_id"))
+    return marks.join(least, "fp").select("doc_id", "fp", F.col("first").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, radius: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents of a component that are not its first. Rows without an id are kept."""
-    groups = near_duplicates(docs, radius, width, id_col, text_col)
-    extra = cut(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__extra")).distinct())
-    return docs.join(small(extra, BROADCAST_ROWS), docs[id_col] == F.col("__extra"), "left_anti")
+    """One document of every component: that of the least id (rows without an id come last), of several rows with that id
+    the first by a hash of all columns, of equal rows one."""
+    columns = docs.columns
+    mark = F.xxhash64(*columns, *[F.col(c).isNull() for c in columns])
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    marks = cut(fingerprints(docs, width, id_col, text_col, mark))
+    first = first_of(marks, cut(classed(marks, radius)), F.min(row))
+    told = marks.join(first, "fp").withColumn("stays", row == F.col("first"))
+    rows = cut(told.groupBy(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).agg(F.max("stays").alias("stays"), F.count("*").alias("n")))
+    extra, repeated = rows.where(~F.col("stays")), rows.where(F.col("stays") & (F.col("n") > 1))
+    marked = docs.withColumn("__mark", mark)
+    same = lambda other: marked[id_col].cast("long").eqNullSafe(other["__id"]) & (marked["__mark"] == other["__mark"])
+    gone = (extra.unionByName(repeated) if not repeated.isEmpty() else extra).select("__id", F.col("__mark"))
+    gone = small(gone, BROADCAST_ROWS)
+    kept = marked.join(gone, same(gone), "left_anti")
+    if not repeated.isEmpty():  # equal rows: one of each, partly aggregated where they stand
+        again = small(repeated.select("__id", "__mark"), BROADCAST_ROWS)
+        kept = kept.unionByName(marked.join(again, same(again), "left_semi").dropDuplicates(["__mark", id_col]))
+    return kept.select(*columns)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
