@@ -5,7 +5,9 @@ the 3-3-4 form), United States social security numbers, IPv4 addresses, calendar
 part of e-mail addresses. Each value becomes another valid value of the same format and length: a card keeps its first
 digit and gets the check digit that fits, an IBAN keeps its country, a telephone number its country code, a date its
 notation, an address its domain. The permutation depends on key, kind and format alone, so equal values stay linked
-across documents, and whoever holds the key can turn pseudonyms back (`reveal`).
+across documents, and whoever holds the key can turn pseudonyms back (`reveal`). Dates are permuted among the dates that
+every notation writes at the same length and reads the same way (day 1 to 9, 10 to 12 or later; month 1 to 9 or later), so
+that a date stays linked across notations too.
 
 A Feistel network over pairs (l, r) with l < a and r < b, a * b >= n, is walked until it lands below n, which permutes
 any n values. Rounds are keyed with BLAKE2b.
@@ -29,7 +31,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 from functools import lru_cache
 from math import isqrt, prod
@@ -184,6 +186,20 @@ def parsed_date(raw: bytes) -> tuple[datetime.date, str] | None:
     return None
 
 
+def date_class(day: datetime.date) -> int:
+    """Dates of one class have as many digits in each part, and are read alike whichever of day and month stands first."""
+    return 2 * ((day.day > 9) + (day.day > 12)) + (day.month > 9)
+
+
+@lru_cache(maxsize=1)
+def dates_by_class() -> list[list[int]]:
+    """Ordinals of the dates that are replaced, ascending, by class."""
+    classes: list[list[int]] = [[] for _ in range(6)]
+    for x in range(FIRST_DAY, LAST_DAY + 1):
+        classes[date_class(datetime.date.fromordinal(x))].append(x)
+    return classes
+
+
 class Pseudonyms:
     """Finds, validates and replaces; with inverse, turns pseudonyms back."""
 
@@ -282,16 +298,11 @@ class Pseudonyms:
         if not found:
             return None
         day, order = found
-        widths = [len(x) for x in re.split(rb"[-/.]", raw)]
-        marks = re.findall(rb"[-/.]", raw)
-        x = day.toordinal() - FIRST_DAY
-        while True:  # walk until the new date can be written, and is read, the same way
-            x = self._shift(x, LAST_DAY - FIRST_DAY + 1, "date:" + order)
-            new = datetime.date.fromordinal(x + FIRST_DAY)
-            parts = [str({"y": new.year, "m": new.month, "d": new.day}[o]).zfill(w) for o, w in zip(order, widths, strict=True)]
-            out = marks[0].decode().join(parts).encode()
-            if [len(p) for p in parts] == widths and parsed_date(out) == (new, order):
-                return out
+        kind = date_class(day)
+        alike = dates_by_class()[kind]
+        new = datetime.date.fromordinal(alike[self._shift(bisect_left(alike, day.toordinal()), len(alike), f"date:{kind}")])
+        widths, mark = [len(x) for x in re.split(rb"[-/.]", raw)], re.search(rb"[-/.]", raw).group()
+        return mark.join(b"%0*d" % (w, {"y": new.year, "m": new.month, "d": new.day}[o]) for o, w in zip(order, widths, strict=True))
 
     def spans(self, text: bytes) -> list[tuple[int, int, str, bytes]]:
         """(start, end, kind, pseudonym) of what is replaced, in bytes and in order."""
