@@ -1,6 +1,7 @@
 """Document fingerprints from closed syncmers, with DataFrame and SQL functions only.
 
-The letters of a text are its words. Of the k-mers (k = 5 consecutive words) those are kept whose least hashed inner
+The letters of a text are its words; a run of more than LONG code points without a blank (a sentence of a script without
+blanks, say) counts as so many words of one code point. Of the k-mers (k = 5 consecutive words) those are kept whose least hashed inner
 substring of s = 2 words stands first or last: whether a k-mer is kept depends on its own words alone, so equal passages
 give equal anchors wherever they stand, and any few k-mers in a row hold one. `anchors` returns them with their word
 positions, `matches` pairs the equal anchors of two given texts. A document's fingerprint is all its anchors with their
@@ -8,9 +9,9 @@ positions; beside it, as a short form, stands a sketch: the SKETCH smallest of t
 ascending). The likeness of two texts is Dice's share 2 m / (|A| + |B|) with m their matches, of all anchors.
 
 Defined results: a null text is the empty one; without words there are no anchors and the sketch is '', alike (1) to
-another empty one and unlike (0) all others; a text of too few words to hold a syncmer has one anchor, the whole sequence of its words. Rows
-with a null id take no part in `edited`; rows equal in id and text each get a row, and have the same next document; rows
-of one id with different texts are ordered by a hash of the text. A table of one document is its own next. Columns other
+another empty one and unlike (0) all others; a text of too few words to hold a syncmer has one anchor, the whole sequence
+of its words. Rows without an id come behind all others in `edited`; rows equal in id and text each get a row, and have the
+same next document; rows of one id with different texts are ordered by a hash of the text. A table of one document is its own next. Columns other
 than id and text are not read.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, read
 
-K, S, SKETCH = 5, 2, 64
+K, S, SKETCH, LONG = 5, 2, 64, 24
 BLANKS = " \t\n\x0b\x0c\r"
 #: Above every 48-bit hash: marks k-mers that are no syncmers.
 NONE = (1 << 62) - 1
@@ -29,7 +30,10 @@ NONE = (1 << 62) - 1
 
 def words(text: str) -> Column:
     bare = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(BLANKS))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
+    letter = r"[^\x20\x09-\x0D]"
+    single = F.regexp_extract_all(bare, F.lit(f"(?<!{letter}){letter}{{1,{LONG}}}(?!{letter})|{letter}"), F.lit(0))
+    split = F.when(bare.rlike(f"{letter}{{{LONG + 1}}}"), single).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(split)
 
 
 def pairs(column: str) -> Column:
@@ -149,8 +153,8 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Texts are shuffled once, to meet their neighbours' lengths, and then sent on to the document before; anchors are
     taken where the texts have met, as a text is shorter than its anchors.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
-    base = base.withColumn("h", F.xxhash64("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("own_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    base = base.withColumn("doc_id", F.coalesce("own_id", F.lit(-(1 << 63)))).withColumn("h", F.xxhash64("text"))
     listed = cut(base.select("doc_id", "h", F.length("text").alias("n")))
     ids = listed.distinct()
     neighbours = cut(successors(ids))
@@ -163,12 +167,12 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
     if repeated:
         sent = sent.dropDuplicates(["doc_id", "h"])
-    met = placed.select("doc_id", "h", "n", "text").join(sent.hint("shuffle_merge"), ["doc_id", "h"])
+    met = placed.select("own_id", "doc_id", "h", "n", "text").join(sent.hint("shuffle_merge"), ["doc_id", "h"])
     met = met.withColumn("edit", F.expr("concat(left(text, n - cast(floor(n / 2) as int)), left(next_text, cast(floor(n / 2) as int)))"))
     for text, out in (("text", "anchors"), ("edit", "edited_anchors"), ("next_text", "next_anchors")):
         met = with_anchors(met, text, out)
     return met.select(
-        "doc_id",
+        F.col("own_id").alias("doc_id"),
         F.col("n").cast("long").alias("n_chars"),
         F.sha2(F.col("edit"), 256).alias("edited_sha256"),
         spelled("anchors").alias("fingerprint"),
