@@ -21,11 +21,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it names none, one of our own (local sessions)."""
+    """The folder that the cluster names in spark.checkpoint.dir; where it names none, one of our own, in local sessions only."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-"))
         current = context.getCheckpointDir()
     return current
 
