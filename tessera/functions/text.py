@@ -1,14 +1,16 @@
 """Text as Columns: normal forms, tokenizers, sentences.
 
-Unicode normalisation and case folding have no JVM function, so the exact normal form is a Pandas UDF; `plain_form` is its
+Unicode normalisation and case folding have no JVM function, so they are vectorised UDFs; `plain_form` is the normal form's
 JVM-side stand-in for text that is known to be ASCII.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,7 @@ from pyspark.sql import types as T
 #: Token patterns. A word character is a letter, a number or the underscore, of any script.
 LEXICAL_TOKEN = r"[\p{L}\p{N}_]+|[@#$][\p{L}\p{N}_]+|===|!==|=>|\[\(|\)\]|[.():{}\[\]<>/+*-]"
 ANSWER_TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+TOKEN_PIECE = r"(?:[\p{L}\p{N}_]+|[^\p{L}\p{N}_\x20\x09-\x0D])[\x20\x09-\x0D]*"
 SENTENCE_GAP = r"""(?<=[.!?])[ \t]+(?=(?:["'`(\[]*[A-Z0-9]))"""
 #: What a rewritten query must keep (names with brackets, decorators, error codes, calls, mixed case, files).
 PROTECTED = (
@@ -58,9 +61,32 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
 
 
+def raw_lexical_tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(LEXICAL_TOKEN), F.lit(0))
+
+
+def mapped_lists(lists: pa.Array, change: Callable[[str], str]) -> pa.Array:
+    """A list array with a function of its strings applied, to each distinct value once."""
+    coded = lists.flatten().dictionary_encode()
+    values = pa.DictionaryArray.from_arrays(coded.indices, pa.array([change(t) for t in coded.dictionary.to_pylist()], pa.string())).dictionary_decode()
+    offsets = pa.array([0, *lists.value_lengths().fill_null(0).to_numpy().cumsum().tolist()], pa.int32())
+    return pa.ListArray.from_arrays(offsets, values, mask=lists.is_null())
+
+
+def folded(tokens: pa.Array) -> pa.DictionaryArray:
+    """A string array with its cases folded: each distinct value once."""
+    coded = tokens.dictionary_encode()
+    return pa.DictionaryArray.from_arrays(coded.indices, pa.array([t.casefold() for t in coded.dictionary.to_pylist()], pa.string()))
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def folded_tokens(lists: pa.Array) -> pa.Array:
+    return mapped_lists(lists, str.casefold)
+
+
 def lexical_tokens(text: Column) -> Column:
-    """Tokens for lexical search, lower-cased after matching."""
-    return F.transform(F.regexp_extract_all(text, F.lit(LEXICAL_TOKEN), F.lit(0)), F.lower)
+    """Tokens for lexical search, their cases folded after matching."""
+    return folded_tokens(raw_lexical_tokens(text))
 
 
 def answer_tokens(normal: Column) -> Column:
@@ -72,10 +98,15 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(ANSWER_TOKEN), F.lit(0))
 
 
+def token_pieces(text: Column) -> Column:
+    """The portable tokenizer's tokens, each with the blanks behind it."""
+    return F.regexp_extract_all(text, F.lit(TOKEN_PIECE), F.lit(0))
+
+
 def sentences(text: Column) -> Column:
     """Sentences of prose, line by line, trimmed, without empty ones."""
     split = F.flatten(F.transform(F.split(text, "\n"), lambda line: F.split(line, SENTENCE_GAP)))
-    return F.filter(F.transform(split, F.trim), lambda s: s != "")
+    return F.filter(F.transform(split, lambda s: F.trim(s)), lambda s: s != "")  # a bare F.trim would take the place as what to trim
 
 
 def protected_tokens(query: Column) -> Column:

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import difflib
 import re
 import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.text import canonical, canonical_form
+from tessera.functions.text import canonical, canonical_form, mapped_lists
+from tessera.sources import artifacts
 
 UNRESOLVED, AMBIGUOUS = "unresolved", "ambiguous"
 
@@ -22,6 +23,11 @@ def canonical_heading(text: str) -> str:
     return canonical(re.sub(r"\{#[^}]*\}|`|\*\*|__", "", text)) or ""
 
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def canonical_headings(paths: pa.Array) -> pa.Array:
+    return mapped_lists(paths, canonical_heading)
+
+
 def with_places(text: str) -> tuple[str, list[int]]:
     """The normal form, and for each of its characters where it comes from."""
     out: list[str] = []
@@ -72,9 +78,8 @@ def resolve_sections(wanted: DataFrame, sections: DataFrame) -> DataFrame:
     wanted: (evidence_id, doc_id, path array); sections: (doc_id, section, path array). More than one match at the tier is
     ambiguous.
     """
-    heading = F.udf(lambda p: [canonical_heading(x) for x in p or []], T.ArrayType(T.StringType()))
-    a = wanted.select("evidence_id", "doc_id", F.col("path").alias("want")).withColumn("want_n", heading("want"))
-    b = sections.select("doc_id", "section", F.col("path").alias("have")).withColumn("have_n", heading("have"))
+    a = wanted.select("evidence_id", "doc_id", F.col("path").alias("want")).withColumn("want_n", canonical_headings("want"))
+    b = sections.select("doc_id", "section", F.col("path").alias("have")).withColumn("have_n", canonical_headings("have"))
     met = a.join(b, "doc_id")
     tail = lambda have, want: (F.size(have) >= F.size(want)) & (F.slice(have, F.greatest(F.size(have) - F.size(want) + 1, F.lit(1)), F.greatest(F.size(want), F.lit(1))) == want)
     c = F.col
@@ -85,29 +90,54 @@ def resolve_sections(wanted: DataFrame, sections: DataFrame) -> DataFrame:
     return wanted.select("evidence_id").join(out, "evidence_id", "left").select("evidence_id", F.when(F.col("n") == 1, F.col("section")).alias("section"), "tier", F.when(F.col("n") > 1, AMBIGUOUS).when(F.col("n") == 1, "resolved").otherwise(UNRESOLVED).alias("status"))
 
 
+class Searched:
+    """A text in its three forms, each made once, when a search first needs it."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.forms: dict[str, tuple[str, list[int]]] = {}
+
+    def find(self, needle: str, low: int = 0, high: int | None = None) -> tuple[str, list[tuple[int, int]]]:
+        """How a sentence is found between two places (exact, normalized, rendered), and where, in characters of the text."""
+        high = len(self.text) if high is None else high
+        places = [(m.start(), m.end()) for m in re.compile(re.escape(needle)).finditer(self.text, low, high)] if needle else []
+        if places:
+            return "exact", places
+        for name, form in (("normalized", with_places), ("rendered", rendered_with_places)):
+            if name not in self.forms:
+                self.forms[name] = form(self.text)
+            body, source = self.forms[name]
+            want = form(needle)[0]
+            found = [(source[m.start()], source[m.end() - 1] + 1) for m in re.finditer(re.escape(want), body)] if want else []
+            found = [(a, b) for a, b in found if low <= a and b <= high]
+            if found:
+                return name, found
+        return UNRESOLVED, []
+
+
 def find_in(text: str, needle: str) -> tuple[str, list[tuple[int, int]]]:
-    """How a sentence is found in a text (exact, normalized, rendered) and where, in characters of the text."""
-    places = [(m.start(), m.end()) for m in re.finditer(re.escape(needle), text)] if needle else []
-    if places:
-        return "exact", places
-    for name, form in (("normalized", with_places), ("rendered", rendered_with_places)):
-        body, source = form(text)
-        want = form(needle)[0]
-        found = [(source[m.start()], source[m.end() - 1] + 1) for m in re.finditer(re.escape(want), body)] if want else []
-        if found:
-            return name, found
-    return UNRESOLVED, []
+    return Searched(text).find(needle)
 
 
 def resolve_sentences(wanted: DataFrame, texts: DataFrame) -> DataFrame:
-    """(evidence_id, method, start, end, n) of sentences (evidence_id, doc_id, sentence) in texts (doc_id, text)."""
-    met = wanted.select("evidence_id", "doc_id", "sentence").join(texts.select("doc_id", "text"), "doc_id").select("evidence_id", "sentence", "text")
+    """(evidence_id, method, start, end, n) of sentences (evidence_id, doc_id, sentence) in texts (doc_id, text).
+
+    With columns section_start and section_end (characters; null for the whole document) a sentence is looked for within its
+    section. The sentences of a document are looked up one after the other, in forms of it that are made once.
+    """
+    bounds = ["section_start", "section_end"] if {"section_start", "section_end"} <= set(wanted.columns) else []
+    met = wanted.select("evidence_id", "doc_id", "sentence", *bounds).join(texts.select("doc_id", "text"), "doc_id")
+    met = met.sortWithinPartitions("doc_id").select("evidence_id", "sentence", "text", *bounds)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = Searched("")
         for f in frames:
             rows = []
-            for e, s, t in zip(f["evidence_id"], f["sentence"], f["text"], strict=True):
-                method, found = find_in(t or "", s or "")
+            low = f["section_start"] if bounds else [None] * len(f)
+            high = f["section_end"] if bounds else [None] * len(f)
+            for e, s, t, a, b in zip(f["evidence_id"], f["sentence"], f["text"], low, high, strict=True):
+                held = held if held.text == (t or "") else Searched(t or "")
+                method, found = held.find(s or "", 0 if pd.isna(a) else int(a), None if pd.isna(b) else int(b))
                 rows.append((e, AMBIGUOUS if len(found) > 1 else method, found[0][0] if found else None, found[0][1] if found else None, len(found)))
             out = pd.DataFrame(rows, columns=["evidence_id", "method", "start", "end", "n"])
             yield out.astype({"start": "Int64", "end": "Int64"})
@@ -116,46 +146,35 @@ def resolve_sentences(wanted: DataFrame, texts: DataFrame) -> DataFrame:
     return met.mapInPandas(run, f"evidence_id {kind}, method string, start long, end long, n long")
 
 
-def similarity(a: str, b: str) -> float:
-    return difflib.SequenceMatcher(None, a, b).ratio()
-
-
-def lexical_score(a: str, b: str) -> float:
-    """Of two normal forms: 0.55 sequence ratio, 0.35 token F1, 0.10 containment."""
-    x, y = a.split(), b.split()
-    both = sum(min(x.count(t), y.count(t)) for t in set(x))
-    f1 = 2 * both / (len(x) + len(y)) if x or y else 1.0
-    inside = float(bool(a) and bool(b) and (a in b or b in a))
-    return round(0.55 * similarity(a, b) + 0.35 * f1 + 0.10 * inside, 6)
-
+def compatibility_gate(documents: DataFrame, sections: DataFrame, sentences: DataFrame) -> DataFrame:
+    """(evidence_id, stage, problem) of all evidence that does not resolve; the gate passes if there is none."""
+    bad = lambda df, c, stage: df.where(F.col(c).isin(UNRESOLVED, AMBIGUOUS)).select("evidence_id", F.lit(stage).alias("stage"), F.col(c).alias("problem"))
+    return bad(documents, "method", "document").union(bad(sections, "status", "section")).union(bad(sentences, "method", "sentence"))
 
-@F.pandas_udf(T.DoubleType())
-def lexical_scores(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([lexical_score(canonical(x) or "", canonical(y) or "") for x, y in zip(a, b, strict=True)])
 
+def gate_verdict(evidence: DataFrame, problems: DataFrame) -> DataFrame:
+    """One row: how much evidence there is, how much of it has a problem (compatibility_gate), and PASS or FAIL."""
+    total = evidence.select("evidence_id").distinct().agg(F.count("*").alias("evidence"))
+    failed = problems.select("evidence_id").distinct().agg(F.count("*").alias("failed"))
+    return total.crossJoin(failed).withColumn("verdict", F.when(F.col("failed") == 0, "PASS").otherwise("FAIL"))
 
-def text_candidates(missing: DataFrame, units: DataFrame, most: int = 3) -> DataFrame:
-    """The most similar units of the document for every sentence not found, with their neighbours.
 
-    missing: (evidence_id, doc_id, sentence); units: (doc_id, block_index, start, text).
-    """
-    order = Window.partitionBy("doc_id").orderBy("block_index", "start")
-    around = units.dropDuplicates(["doc_id", "block_index", "start", "text"]).withColumn("previous", F.lag("text").over(order)).withColumn("next", F.lead("text").over(order))
-    scored = missing.join(around, "doc_id").withColumn("score", lexical_scores("sentence", "text"))
-    best = Window.partitionBy("evidence_id").orderBy(F.col("score").desc(), "block_index", "start", "text")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
+def dataset_fingerprint(questions: DataFrame) -> str:
+    """Of the records, whatever their order."""
+    return artifacts.contents_sha256(questions)
 
 
-def confidence(score: Column, following: Column, high: float = 0.95, low: float = 0.68, margin: float = 0.03) -> Column:
-    """high, medium or low for the best candidate: by its score and its lead over the next."""
-    clear = score - F.coalesce(following, F.lit(0.0)) >= margin
-    return F.when((score >= high) & clear, "high").when((score >= low) & clear, "medium").otherwise("low")
+def dataset_problems(evidence: DataFrame, texts: DataFrame) -> DataFrame:
+    """(evidence_id, severity, problem): declared spans that hold another text are errors, texts that the document does not
+    hold in any form of writing are warnings. evidence: (evidence_id, doc_id, text, char_start, char_end)."""
+    wrong = provenance_errors(evidence, texts).select("evidence_id", F.lit("ERROR").alias("severity"), F.lit("provenance").alias("problem"))
+    return wrong.unionByName(semantic_warnings(evidence, texts).select("evidence_id", F.lit("WARNING").alias("severity"), F.lit("text").alias("problem")))
 
 
-def compatibility_gate(documents: DataFrame, sections: DataFrame, sentences: DataFrame) -> DataFrame:
-    """(evidence_id, stage, problem) of all evidence that does not resolve; the gate passes if there is none."""
-    bad = lambda df, c, stage: df.where(F.col(c).isin(UNRESOLVED, AMBIGUOUS)).select("evidence_id", F.lit(stage).alias("stage"), F.col(c).alias("problem"))
-    return bad(documents, "method", "document").union(bad(sections, "status", "section")).union(bad(sentences, "method", "sentence"))
+def value_distribution(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """(field, value, rows) of each field's values, nulls among them."""
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])
+    return rows.select(F.explode(pairs).alias("p")).groupBy("p.field", "p.value").agg(F.count("*").alias("rows"))
 
 
 def breakdown(questions: DataFrame, failures: DataFrame, dimensions: list[str]) -> DataFrame:

@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import ANSWER_TOKEN, SENTENCE_GAP, word_tokens
+from tessera.functions.text import LEAKS, SENTENCE_GAP, token_pieces
+from tessera.functions.tokenizers import BytePairTokenizer, stable_windows
 
 SEPARATOR = "\n\n"
 #: Why a block of a type was split.
@@ -49,15 +50,31 @@ def window_starts(n: Column, size: int, overlap: int) -> Column:
 
 
 def fixed_chunks(docs: DataFrame, size: int = 512, overlap: int = 64) -> DataFrame:
-    """(chunk_id, doc_id, chunk_index, token_start, token_end, token_count, text) of (doc_id, text).
+    """(chunk_id, doc_id, chunk_index, token_start, token_end, token_count, char_start, char_end, text) of (doc_id, text).
 
-    The portable tokenizer's tokens, joined with blanks. A document's windows are cut from its own token array: no shuffle.
+    Windows over the portable tokenizer's tokens. A chunk is the slice of the document from its first token to the start of
+    the token behind it (the first chunk starts with the document, the last one ends with it), so that chunks without
+    overlap are the document again. A document's windows are cut from its own token array: no shuffle. Documents without a
+    token have no chunk.
     """
     if not 0 <= overlap < size:
         raise ValueError("the overlap must be smaller than the window")
-    tokens = docs.select("doc_id", word_tokens(F.col("text")).alias("tokens")).withColumn("n", F.size("tokens"))
-    rows = tokens.select("doc_id", "tokens", "n", F.posexplode(window_starts(F.col("n"), size, overlap)).alias("chunk_index", "token_start"))
-    rows = rows.withColumn("token_end", F.least(F.col("token_start") + size, F.col("n")))
+    stride = size - overlap
+    rows = docs.select("doc_id", "text", token_pieces(F.col("text")).alias("pieces")).withColumn("n", F.size("pieces"))
+    rows = rows.withColumn("starts", window_starts(F.col("n"), size, overlap))
+    # places are summed over strides, not over tokens
+    lengths = F.transform("starts", lambda s: F.length(F.array_join(F.slice("pieces", s + 1, stride), "")))
+    lead = F.length(F.regexp_extract("text", r"^[\x20\x09-\x0D]*", 0))
+    places = F.aggregate(
+        lengths,
+        F.struct(lead.alias("at"), F.array().cast("array<int>").alias("all")),
+        lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")),
+        lambda acc: acc["all"],
+    )
+    rows = rows.select("doc_id", "text", "pieces", "n", F.posexplode(F.arrays_zip(F.col("starts").alias("s"), places.alias("p"))).alias("chunk_index", "w"))
+    rows = rows.withColumn("token_start", F.col("w.s")).withColumn("token_end", F.least(F.col("w.s") + size, F.col("n")))
+    own = F.array_join(F.slice("pieces", F.col("token_start") + 1, F.col("token_end") - F.col("token_start")), "")
+    rows = rows.withColumn("char_end", F.col("w.p") + F.length(own)).withColumn("char_start", F.when(F.col("chunk_index") == 0, 0).otherwise(F.col("w.p")))
     return rows.select(
         F.format_string("%s::fixed::%06d", F.col("doc_id").cast("string"), "chunk_index").alias("chunk_id"),
         "doc_id",
@@ -65,10 +82,52 @@ def fixed_chunks(docs: DataFrame, size: int = 512, overlap: int = 64) -> DataFra
         "token_start",
         "token_end",
         (F.col("token_end") - F.col("token_start")).alias("token_count"),
-        F.array_join(F.slice("tokens", F.col("token_start") + 1, F.col("token_end") - F.col("token_start")), " ").alias("text"),
+        "char_start",
+        "char_end",
+        F.expr("substring(text, char_start + 1, char_end - char_start)").alias("text"),
     )
 
 
+def byte_pair_chunks(docs: DataFrame, tokenizer: BytePairTokenizer, size: int = 512, overlap: int = 64) -> DataFrame:
+    """fixed_chunks over byte-pair tokens, whose windows are moved to where their text is valid and encodes alike.
+
+    adjusted says whether a window does not stand where plain arithmetic would put it.
+    """
+    if not 0 <= overlap < size:
+        raise ValueError("the overlap must be smaller than the window")
+    schema = "chunk_id string, doc_id string, chunk_index int, token_start int, token_end int, token_count int, char_start int, char_end int, text string, actual_overlap int, adjusted boolean"
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                tokens = tokenizer.encode(text or "")
+                before, char, token = 0, 0, 0
+                for i, (start, end) in enumerate(stable_windows(tokenizer, tokens, size, overlap) if tokens else []):
+                    char += len(tokenizer.decode_strict(tokens[token:start]))
+                    token, own = start, tokenizer.decode_strict(tokens[start:end])
+                    adjusted = start != max(0, before - overlap) or end != min(start + size, len(tokens))
+                    out.append((f"{doc_id}::fixed::{i:06d}", str(doc_id), i, start, end, end - start, char, char + len(own), own, before - start if i else 0, adjusted))
+                    before = end
+            columns = list(zip(*out, strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), *[pa.int32()] * 6, pa.string(), pa.int32(), pa.bool_()), strict=True)], names)
+
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInArrow(run, schema)
+
+
+def fixed_errors(chunks: DataFrame, docs: DataFrame, size: int, overlap: int) -> DataFrame:
+    """(chunk_id, problem): fixed chunks against those that the documents give: missing, unexpected, or of other content."""
+    keep = ["chunk_id", "token_start", "token_end", "char_start", "char_end", F.sha2("text", 256).alias("text_sha256")]
+    want = fixed_chunks(docs, size, overlap).select(*keep, F.lit(True).alias("wanted"))
+    have = chunks.select(*keep, F.lit(True).alias("there"))
+    met = want.alias("w").join(have.alias("h"), "chunk_id", "full")
+    same = [F.col(f"w.{c}") == F.col(f"h.{c}") for c in ("token_start", "token_end", "char_start", "char_end")]
+    window, content = same[0] & same[1] & same[2] & same[3], F.col("w.text_sha256") == F.col("h.text_sha256")
+    problem = F.when(F.col("there").isNull(), "missing").when(F.col("wanted").isNull(), "unexpected").when(~window, "window").when(~content, "text")
+    return met.select("chunk_id", problem.alias("problem")).where("problem is not null")
+
+
 def window_gaps(chunks: DataFrame) -> DataFrame:
     """Chunks that start after everything before them has ended, or whose number does not follow the one before."""
     before = Window.partitionBy("doc_id").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
@@ -97,8 +156,8 @@ def most_chunked(chunks: DataFrame, most: int = 10) -> DataFrame:
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _GAP = re.compile(SENTENCE_GAP)
-assert ANSWER_TOKEN  # the Column form of the same tokens
 _ITEM = re.compile(r"^[ \t]*(?:[-+*]|\d+[.)])[ \t]+", re.M)
+_LEAKS = {name: re.compile(p) for name, p in LEAKS.items()}
 
 
 def count_tokens(text: str) -> int:
@@ -316,6 +375,8 @@ class PlannerConfig:
     max_tokens: int = 512
     batch_tokens: int = 12_000
     preview_tokens: int = 120
+    #: How often a plan that is no plan is asked for again, with what was wrong.
+    corrections: int = 1
 
 
 def preview(text: str, most: int) -> str:
@@ -328,11 +389,30 @@ def preview(text: str, most: int) -> str:
     return f"{text[: ends[part - 1]]} … {text[tail:]}"
 
 
+def structure_summary(block: dict[str, Any]) -> dict[str, Any]:
+    """What a planner is told of a block's build: size of a table, items and depth of a list, kind of a callout, state of a
+    code reference, language of code, level of a heading."""
+    more = json.loads(block.get("metadata_json") or "{}")
+    kind = block["type"]
+    if kind == "table":
+        return {"rows": len(more.get("rows", [])), "columns": len(more.get("header", []))}
+    if kind == "list":
+        items = more.get("items", [])
+        return {"items": len(items), "max_level": max((x["level"] for x in items), default=0), "ordered": bool(block.get("ordered"))}
+    if kind == "callout":
+        return {"kind": more.get("kind")}
+    if kind == "code_reference":
+        return {"path": more.get("attributes", {}).get("path"), "resolved": False}
+    if kind == "code_block":
+        return {"language": block.get("language")}
+    return {"level": block["level"]} if kind == "heading" else {}
+
+
 def candidates(blocks: list[dict[str, Any]], config: PlannerConfig) -> list[dict[str, Any]]:
     """What the planner sees of each block."""
     paths = {i: s.path for s in sections(blocks) for i in s.blocks}
     return [
-        {"block_index": i, "type": b["type"], "heading_path": paths[i], "token_count": count_tokens(b["text"]), "sha256": hashlib.sha256(b["text"].encode()).hexdigest(), "preview": preview(b["text"], config.preview_tokens)}
+        {"block_index": i, "type": b["type"], "heading_path": paths[i], "structure": structure_summary(b), "token_count": count_tokens(b["text"]), "sha256": hashlib.sha256(b["text"].encode()).hexdigest(), "preview": preview(b["text"], config.preview_tokens)}
         for i, b in enumerate(blocks)
     ]
 
@@ -365,28 +445,156 @@ def by_sections(request: list[dict[str, Any]]) -> str:
     return json.dumps({"groups": [{"start_block_index": g["start"], "end_block_index": g["end"], "reason": "section"} for g in groups]})
 
 
-def planned_chunks_of(blocks: list[dict[str, Any]], config: PlannerConfig, plan: Callable[[list[dict[str, Any]]], str] = by_sections) -> list[Chunk]:
+#: The form of a plan, for providers that take a JSON schema.
+PLAN_SCHEMA = {
+    "type": "object",
+    "additionalProperties": False,
+    "required": ["groups"],
+    "properties": {
+        "groups": {
+            "type": "array",
+            "minItems": 1,
+            "items": {
+                "type": "object",
+                "additionalProperties": False,
+                "required": ["start_block_index", "end_block_index", "reason"],
+                "properties": {"start_block_index": {"type": "integer", "minimum": 0}, "end_block_index": {"type": "integer", "minimum": 0}, "reason": {"type": "string"}},
+            },
+        }
+    },
+}
+
+Planner = Callable[[list[dict[str, Any]]], str]
+
+
+def requests_of(blocks: list[dict[str, Any]], config: PlannerConfig) -> list[list[dict[str, Any]]]:
+    """The batches of candidates a document asks a plan for; a candidate over the batch budget is refused."""
+    return batched(candidates(blocks, config), lambda c: count_tokens(json.dumps(c, ensure_ascii=False)), config.batch_tokens)
+
+
+def request_json(request: list[dict[str, Any]]) -> str:
+    return json.dumps(request, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+def request_digest(request: list[dict[str, Any]]) -> str:
+    return hashlib.sha256(request_json(request).encode()).hexdigest()
+
+
+class UnsafeRequestError(ValueError):
+    """A request that would carry a secret or a private path out."""
+
+
+def check_outbound(payload: str, secrets: tuple[str, ...] = ()) -> None:
+    """Raise if a payload holds a configured secret or looks as if it held one; nothing is redacted."""
+    found = [name for name, p in _LEAKS.items() if p.search(payload)]
+    if found or any(s and s in payload for s in secrets):
+        raise UnsafeRequestError(", ".join(found) or "configured secret")
+
+
+def resolve_plan(request: list[dict[str, Any]], plan: Planner, config: PlannerConfig = PlannerConfig(), secrets: tuple[str, ...] = ()) -> str:
+    """A valid plan's text: asked for, and asked for again with the error, as often as the config allows."""
+    check_outbound(request_json(request), secrets)
+    start, end = request[0]["block_index"], request[-1]["block_index"]
+    asked = request
+    for attempt in range(config.corrections + 1):
+        raw = plan(asked)
+        try:
+            parse_plan(raw, start, end)
+            return raw
+        except PlanError as e:
+            if attempt == config.corrections:
+                raise
+            asked = [*request, {"correction": str(e), "heading_path": None, "block_index": end}]
+    raise AssertionError
+
+
+def pack_group(blocks: list[dict[str, Any]], first: int, last: int, most: int, count: Callable[[str], int] = count_tokens) -> list[list[Fragment]]:
+    """Fragments of a group's blocks, packed greedily. The separator that leads to a block is counted where it will stand,
+    also before the first block of a chunk; a block without text is a fragment of no length."""
+    runs: list[list[Fragment]] = []
+    for i in range(first, last + 1):
+        for f in split_block(blocks[i], i, most, count) or [Fragment(i, blocks[i]["type"], 0, 0)]:
+            lead = lambda run: SEPARATOR if run[0].block_index > 0 and run[0].char_start == 0 else ""
+            if runs and count(lead(runs[-1]) + rendered(blocks, [*runs[-1], f])) <= most:
+                runs[-1].append(f)
+            else:
+                runs.append([f])
+    return runs
+
+
+def assemble(blocks: list[dict[str, Any]], plans: list[list[tuple[int, int, str]]], config: PlannerConfig) -> list[Chunk]:
     """Chunks that together are exactly the document's linear text: a separator belongs to the block it leads to."""
     out: list[Chunk] = []
     paths = {i: s.path for s in sections(blocks) for i in s.blocks}
-    shown = candidates(blocks, config)
-    for batch in batched(shown, lambda c: min(count_tokens(json.dumps(c)), config.batch_tokens), config.batch_tokens):
-        groups = parse_plan(plan(batch), batch[0]["block_index"], batch[-1]["block_index"])
-        for a, b, why in groups:
-            runs: list[list[Fragment]] = []
-            for i in range(a, b + 1):
-                for f in split_block(blocks[i], i, config.max_tokens) or [Fragment(i, blocks[i]["type"], 0, 0)]:
-                    if runs and count_tokens(rendered(blocks, [*runs[-1], f])) <= config.max_tokens:
-                        runs[-1].append(f)
-                    else:
-                        runs.append([f])
-            for k, run in enumerate(runs):
-                lead = SEPARATOR if run[0].block_index > 0 and run[0].char_start == 0 else ""
-                crossed = len({tuple(paths[f.block_index]) for f in run}) > 1
-                out.append(Chunk(run, lead + rendered(blocks, run), paths[run[0].block_index], len(paths[run[0].block_index]), {"planner_reason": why, "group_part": k, "group_adjusted": len(runs) > 1, "crosses_sections": crossed}))
+    for a, b, why in (g for groups in plans for g in groups):
+        runs = pack_group(blocks, a, b, config.max_tokens)
+        for k, run in enumerate(runs):
+            lead = SEPARATOR if run[0].block_index > 0 and run[0].char_start == 0 else ""
+            crossed = len({tuple(paths[f.block_index]) for f in run}) > 1
+            out.append(Chunk(run, lead + rendered(blocks, run), paths[run[0].block_index], len(paths[run[0].block_index]), {"planner_reason": why, "group_part": k, "group_adjusted": len(runs) > 1, "crosses_sections": crossed}))
     return out
 
 
+def planned_chunks_of(blocks: list[dict[str, Any]], config: PlannerConfig, plan: Planner = by_sections) -> list[Chunk]:
+    """One document, planned where it stands."""
+    plans = [parse_plan(resolve_plan(r, plan, config), r[0]["block_index"], r[-1]["block_index"]) for r in requests_of(blocks, config)]
+    return assemble(blocks, plans, config)
+
+
+def planned_chunks(docs: DataFrame, plan: Planner = by_sections, config: PlannerConfig = PlannerConfig(), cache: DataFrame | None = None, secrets: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(chunks, failures, plans) of parsed documents (doc_id, blocks): equal requests are asked once, over all documents.
+
+    cache: (digest, request, plan): whole requests are kept and compared, a plan under another request's digest is an error.
+    Requests that it lacks are asked by as many tasks as there are partitions. A document with a request that failed is
+    left out whole; failures are (doc_id, problem). plans are this run's cache.
+    """
+    ask = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "blocks")
+
+    def request(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc_id, blocks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    rows += [(doc_id, i, request_digest(r), request_json(r), None) for i, r in enumerate(requests_of(blocks or [], config))]
+                except ValueError as e:
+                    rows.append((doc_id, 0, None, None, str(e)))
+            kinds = pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "part", "digest", "request", "problem"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            plans: list[str | None] = []
+            problems: list[str | None] = []
+            for raw in batch.column(1).to_pylist():
+                try:
+                    plans.append(resolve_plan(json.loads(raw), plan, config, secrets))
+                    problems.append(None)
+                except ValueError as e:
+                    plans.append(None)
+                    problems.append(f"{type(e).__name__}: {e}")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(plans, pa.string()), pa.array(problems, pa.string())], ["digest", "request", "plan", "failed"])
+
+    asked = ask.mapInArrow(request, "doc_id string, part int, digest string, request string, problem string")
+    unique = asked.where("digest is not null").groupBy("digest").agg(F.min("request").alias("request"))
+    known = unique.where(F.lit(False)).select("digest", "request", F.lit(None).cast("string").alias("plan"))
+    if cache is not None:
+        stored = cache.select("digest", F.col("request").alias("stored"), "plan")
+        checked = F.when(F.col("stored") != F.col("request"), F.raise_error(F.lit("a cached plan belongs to another request")).cast("string")).otherwise(F.col("plan"))
+        known = unique.join(stored, "digest").select("digest", "request", checked.alias("plan"))
+    fresh = unique.join(known.select("digest"), "digest", "left_anti").mapInArrow(answer, "digest string, request string, plan string, failed string")
+    plans = fresh.unionByName(known.withColumn("failed", F.lit(None).cast("string")))
+    met = asked.join(plans.select("digest", "plan", "failed"), "digest", "left").withColumn("problem", F.coalesce("problem", "failed"))
+    by_doc = met.groupBy("doc_id").agg(F.min("problem").alias("problem"), F.transform(F.array_sort(F.collect_list(F.struct("part", "plan"))), lambda p: p["plan"]).alias("plans"))
+    failures = by_doc.where("problem is not null").select("doc_id", "problem")
+    ready = ask.join(by_doc.where("problem is null").select("doc_id", "plans"), "doc_id").select("doc_id", "blocks", "plans")
+    return chunk_rows(ready, "prompt", lambda blocks, plans: assemble(blocks, [parse_cover(p) for p in plans], config)), failures, plans.where("plan is not null").select("digest", "request", "plan")
+
+
+def parse_cover(raw: str) -> list[tuple[int, int, str]]:
+    """The groups of a plan that was found valid."""
+    return [(g["start_block_index"], g["end_block_index"], g["reason"]) for g in json.loads(raw)["groups"]]
+
+
 # --- as DataFrames ---------------------------------------------------------------------------------------------------
 
 STRATEGIES: dict[str, Callable[[list[dict[str, Any]]], list[Chunk]]] = {
@@ -403,13 +611,17 @@ def chunk_documents(docs: DataFrame, strategy: str, make: Callable[[list[dict[st
     """Chunks of parsed documents (doc_id, blocks). A document is chunked where it stands: no shuffle."""
     if make is None and strategy not in STRATEGIES:
         raise UnavailableStrategyError(strategy)
-    make = make or STRATEGIES[strategy]
+    return chunk_rows(docs.select("doc_id", "blocks"), strategy, make or STRATEGIES[strategy])
+
+
+def chunk_rows(docs: DataFrame, strategy: str, make: Callable[..., list[Chunk]]) -> DataFrame:
+    """make's chunks of the columns behind doc_id, the first of which are the blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[dict[str, Any]] = []
-            for doc_id, blocks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                chunks = make(blocks or [])
+            for doc_id, blocks, *more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                chunks = make(blocks or [], *more)
                 name = lambda i, d=doc_id: f"{d}::{strategy}::{i:06d}"
                 for i, (c, (parent, children)) in enumerate(zip(chunks, section_links(chunks), strict=True)):
                     fragments = [asdict(f) | {"fragment_sha256": hashlib.sha256(blocks[f.block_index]["text"][f.char_start : f.char_end].encode()).hexdigest()} for f in c.fragments]
@@ -419,7 +631,7 @@ def chunk_documents(docs: DataFrame, strategy: str, make: Callable[[list[dict[st
                 kinds = pa.schema([("chunk_id", pa.string()), ("strategy", pa.string()), ("doc_id", pa.string()), ("chunk_index", pa.int32()), ("text", pa.string()), ("token_count", pa.int32()), ("level", pa.int32()), ("parent_id", pa.string()), ("children_ids", pa.list_(pa.string())), ("title_path", pa.list_(pa.string())), ("fragments", pa.list_(fragment)), ("metadata_json", pa.string())])
                 yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    return docs.select("doc_id", "blocks").mapInArrow(run, CHUNK)
+    return docs.mapInArrow(run, CHUNK)
 
 
 def contract_errors(chunks: DataFrame) -> DataFrame:
@@ -445,9 +657,31 @@ def fragment_errors(chunks: DataFrame, block_rows: DataFrame) -> DataFrame:
 
 
 def partition_errors(chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """Documents whose planned chunks, one after the other, are not their linear text. docs: (doc_id, text)."""
+    """Documents whose planned chunks, one after the other, are not their linear text, those without chunks included. docs:
+    (doc_id, text)."""
     joined = chunks.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda c: c["text"]), "").alias("whole"))
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").join(joined, "doc_id").where(F.col("whole") != F.col("text")).select("doc_id")
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").join(joined, "doc_id", "left").where(F.coalesce("whole", F.lit("")) != F.col("text")).select("doc_id")
+
+
+def distribution(rows: DataFrame, column: str) -> DataFrame:
+    """min, mean, median and max in one row; zeros where there is no row."""
+    zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    return rows.agg(zero(F.min(column)).alias("min"), zero(F.avg(column)).alias("mean"), zero(F.percentile(column, F.lit(0.5))).alias("median"), zero(F.max(column)).alias("max"))
+
+
+def coverage_gaps(chunks: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, covered, length): documents of which fixed chunks leave characters out. docs: (doc_id, text)."""
+    before = Window.partitionBy("doc_id").orderBy("char_start", "char_end").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = chunks.withColumn("reached", F.coalesce(F.max("char_end").over(before), F.lit(0)))
+    covered = fresh.groupBy("doc_id").agg(F.sum(F.greatest(F.lit(0), F.col("char_end") - F.greatest("char_start", "reached"))).alias("covered"))
+    met = docs.select("doc_id", F.length("text").cast("long").alias("length")).join(covered, "doc_id", "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
+    return met.where(F.col("covered") < F.col("length")).select("doc_id", "covered", "length")
+
+
+def block_type_statistics(chunks: DataFrame) -> DataFrame:
+    """(block_type, chunks, fragments, split_fragments): chunks that hold a type, its fragments, and those of split blocks."""
+    f = chunks.select("chunk_id", F.explode("fragments").alias("f")).select("chunk_id", "f.*")
+    return f.groupBy("block_type").agg(F.count_distinct("chunk_id").alias("chunks"), F.count("*").alias("fragments"), F.sum(F.when(F.col("fragment_count") > 1, 1).otherwise(0)).alias("split_fragments"))
 
 
 def structure_statistics(chunks: DataFrame) -> DataFrame:

@@ -33,24 +33,45 @@ def evidence_spans(evidence: DataFrame, texts: DataFrame) -> DataFrame:
     return met.select("evidence_id", "doc_id", F.posexplode(found).alias("span", "s")).select("evidence_id", "doc_id", "span", "s.start", "s.end")
 
 
+#: Anchors that are broadcast to filter the corpus before its grams are shuffled.
+ANCHORS = 100_000
+
+
 def find_everywhere(evidence: DataFrame, texts: DataFrame, anchor_words: int = 3) -> DataFrame:
     """(evidence_id, doc_id): documents that hold a passage verbatim, whichever they are.
 
     A passage and a document can only match if they share the passage's first inner words, so both meet in an equi-join on
-    a hash of so many words; the containment is then tested on the pairs that met.
+    a hash of so many words; the containment is then tested on the pairs that met. The distinct anchors are counted and,
+    while they are few, broadcast, so that only grams that can match leave their task. A passage of fewer words may lie
+    inside a word, so short ones meet every text, in blocks that a task holds at once.
     """
     split = lambda c: F.split(c, r"\s+")
     words = evidence.select("evidence_id", F.col("text").alias("needle"), split(F.col("text")).alias("w"))
     anchored = words.where(F.size("w") >= anchor_words + 2).select("evidence_id", "needle", F.xxhash64(F.array_join(F.slice("w", 2, anchor_words), " ")).alias("anchor"))
+    known = anchored.select("anchor").distinct()
+    known = F.broadcast(known) if known.limit(ANCHORS + 1).count() <= ANCHORS else known
     tokens = texts.select("doc_id", split(F.col("text")).alias("w"))
-    grams = tokens.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - anchor_words + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, anchor_words), " "))))).alias("anchor"))
-    pairs = anchored.join(grams, "anchor").select("evidence_id", "needle", "doc_id").distinct()
-    short = words.where(F.size("w") < anchor_words + 2).select("evidence_id", "needle")
+    grams = tokens.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - anchor_words + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, anchor_words), " ")))).alias("anchor"))
+    pairs = anchored.join(grams.join(known, "anchor", "left_semi").distinct(), "anchor").select("evidence_id", "needle", "doc_id").distinct()
     held = pairs.join(texts.select("doc_id", F.col("text").alias("body")), "doc_id").where(F.contains("body", "needle")).select("evidence_id", "doc_id")
-    # short passages have no inner anchor: there are few, and each is looked up by its own first word
-    firsts = short.withColumn("word", F.element_at(split(F.trim("needle")), 1))
-    looked = texts.select("doc_id", F.col("text").alias("body"), F.explode(F.array_distinct(split(F.col("text")))).alias("word")).join(firsts, "word")
-    return held.union(looked.where(F.contains("body", "needle")).select("evidence_id", "doc_id")).distinct()
+    short = words.where((F.size("w") < anchor_words + 2) & (F.col("needle") != "")).select("evidence_id", "needle")
+    return held.union(find_short(short, texts)).distinct()
+
+
+#: Short passages that a task holds at once.
+SHORT_BLOCK = 4096
+
+
+def find_short(short: DataFrame, texts: DataFrame) -> DataFrame:
+    """(evidence_id, doc_id) of passages (evidence_id, needle) anywhere in a text, block by block of passages."""
+    blocks = -(-short.count() // SHORT_BLOCK)
+    found = short.where(F.lit(False)).select("evidence_id").crossJoin(texts.where(F.lit(False)).select("doc_id"))
+    for b in range(blocks):
+        own = short.where(F.pmod(F.xxhash64("evidence_id"), F.lit(blocks)) == b).groupBy(F.lit(0).alias("k")).agg(F.collect_list(F.struct("evidence_id", "needle")).alias("all"))
+        met = texts.select("doc_id", F.col("text").alias("body"), F.lit(0).alias("k")).join(F.broadcast(own), "k")  # one row
+        hit = met.select("doc_id", F.explode(F.filter("all", lambda x: F.contains(F.col("body"), x["needle"]))).alias("x"))
+        found = found.unionByName(hit.select("x.evidence_id", "doc_id"))
+    return found
 
 
 def chunk_matches(spans: DataFrame, chunk_spans: DataFrame) -> DataFrame:
@@ -115,11 +136,9 @@ def evidence_macro(metrics: DataFrame) -> DataFrame:
     return metrics.agg(F.avg("evidence_coverage").alias("evidence_coverage"), F.avg("all_covered").alias("all_evidence_rate"))
 
 
-def fixed_chunk_spans(chunks: DataFrame, token_offsets: DataFrame) -> DataFrame:
-    """Character spans of token windows. token_offsets: (doc_id, token, start, end)."""
-    first = token_offsets.select("doc_id", F.col("token").alias("token_start"), F.col("start").alias("c_start"))
-    last = token_offsets.select("doc_id", (F.col("token") + 1).alias("token_end"), F.col("end").alias("c_end"))
-    return chunks.join(first, ["doc_id", "token_start"]).join(last, ["doc_id", "token_end"]).select("chunk_id", "doc_id", "c_start", "c_end")
+def fixed_chunk_spans(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, doc_id, c_start, c_end): character spans of token windows, which carry them."""
+    return chunks.select("chunk_id", "doc_id", F.col("char_start").alias("c_start"), F.col("char_end").alias("c_end"))
 
 
 def fragment_spans(chunks: DataFrame, block_rows: DataFrame) -> DataFrame:

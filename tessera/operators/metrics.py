@@ -1,4 +1,8 @@
-"""Ranking metrics and their aggregates, over hits (query_id, strategy, rank, source) and relevance (query_id, source)."""
+"""Ranking metrics and their aggregates, over hits (query_id, strategy, rank, source) and relevance (query_id, source).
+
+`asked` (query_id, strategy) names what was asked: a query that a strategy finds nothing for then has a row of zeros, as
+it must have for means over queries. Without it only queries with hits are known.
+"""
 
 from __future__ import annotations
 
@@ -18,12 +22,22 @@ def judged(hits: DataFrame, relevance: DataFrame) -> DataFrame:
     return marked.withColumn("relevant", F.coalesce("relevant", F.lit(False))).join(totals, "query_id", "left")
 
 
-def per_query(hits: DataFrame, relevance: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def expected(hits: DataFrame, asked: DataFrame | None) -> DataFrame:
+    """hits, and for everything asked that has none a row without rank and source."""
+    return hits if asked is None else asked.select("query_id", "strategy").distinct().join(hits, ["query_id", "strategy"], "left")
+
+
+def asked_of(queries: DataFrame, strategies: list[str]) -> DataFrame:
+    """(query_id, strategy) of every query and every strategy."""
+    return queries.select("query_id", F.explode(F.array(*[F.lit(s) for s in strategies])).alias("strategy"))
+
+
+def per_query(hits: DataFrame, relevance: DataFrame, keep: tuple[str, ...] = (), asked: DataFrame | None = None) -> DataFrame:
     """First relevant rank, Hit@k, Recall@k and reciprocal rank for each (query, strategy).
 
     Ranks count hits, repeated sources included; recall counts distinct relevant sources.
     """
-    rows = judged(hits, relevance)
+    rows = judged(expected(hits, asked), relevance)
     hit = lambda k: F.max(F.when(F.col("relevant") & (F.col("rank") <= k), 1).otherwise(0))
     found = lambda k: F.count_distinct(F.when(F.col("relevant") & (F.col("rank") <= k), F.col("source")))
     first = F.min(F.when(F.col("relevant"), F.col("rank")))
@@ -48,11 +62,11 @@ def macro_by_category(metrics: DataFrame, category: str) -> DataFrame:
     return rolled.where(F.col("strategy").isNotNull())
 
 
-def depth_metrics(hits: DataFrame, relevance: DataFrame, depth: int, hit_at=(1, 3, 5, 10, 20), recall_at=(5, 10, 20, 50)) -> DataFrame:
+def depth_metrics(hits: DataFrame, relevance: DataFrame, depth: int, hit_at=(1, 3, 5, 10, 20), recall_at=(5, 10, 20, 50), asked: DataFrame | None = None) -> DataFrame:
     """As per_query within a depth: cut-offs beyond it are null; and how many sources repeat."""
-    rows = judged(hits.where(F.col("rank") <= depth), relevance)
+    rows = judged(expected(hits.where(F.col("rank") <= depth), asked), relevance)
     own = rows.groupBy("query_id", "strategy", "source").agg(
-        F.count("*").alias("n"), F.min("rank").alias("rank"), F.max("relevant").alias("relevant"), F.max("n_relevant").alias("n_relevant")
+        F.count("rank").alias("n"), F.min("rank").alias("rank"), F.max("relevant").alias("relevant"), F.max("n_relevant").alias("n_relevant")
     )
     hit = lambda k: (F.max(F.when(F.col("relevant") & (F.col("rank") <= k), 1).otherwise(0)) if k <= depth else F.lit(None).cast("int")).alias(f"hit_{k}")
     recall = lambda k: (F.sum(F.when(F.col("relevant") & (F.col("rank") <= k), 1).otherwise(0)) / F.max("n_relevant") if k <= depth else F.lit(None).cast("double")).alias(f"recall_{k}")
@@ -62,17 +76,18 @@ def depth_metrics(hits: DataFrame, relevance: DataFrame, depth: int, hit_at=(1,
         *[hit(k) for k in hit_at],
         *[recall(k) for k in recall_at],
         F.coalesce(1 / first, F.lit(0.0)).alias("reciprocal_rank"),
-        F.count("*").alias("unique_sources"),
+        F.count("source").alias("unique_sources"),
         (F.max("n") / F.greatest(F.sum("n"), F.lit(1))).alias("concentration"),
-        (F.sum("n") - F.count("*")).alias("duplicates"),
+        (F.sum("n") - F.count("source")).alias("duplicates"),
     )
 
 
 def pairwise(metrics: DataFrame, strategies: list[str]) -> DataFrame:
-    """Wins, ties and losses of the first relevant rank for every pair of strategies, in their declared order."""
+    """Wins, ties and losses of the first relevant rank for every pair of strategies, in their declared order; finding
+    nothing, or having no row, comes behind every rank."""
     ranks = metrics.groupBy("query_id").pivot("strategy", strategies).agg(F.first(F.coalesce("first_rank", F.lit(NEVER))))
-    pairs = [F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(a).alias("l"), F.col(b).alias("r")) for i, a in enumerate(strategies) for b in strategies[i + 1 :]]
-    met = ranks.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").where("l is not null and r is not null")
+    pairs = [F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.coalesce(a, F.lit(NEVER)).alias("l"), F.coalesce(b, F.lit(NEVER)).alias("r")) for i, a in enumerate(strategies) for b in strategies[i + 1 :]]
+    met = ranks.select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
     return met.groupBy("left", "right").agg(count(F.col("l") < F.col("r")).alias("wins"), count(F.col("l") == F.col("r")).alias("ties"), count(F.col("l") > F.col("r")).alias("losses"))
 
@@ -99,7 +114,8 @@ def disagreements(metrics: DataFrame) -> DataFrame:
 def compared(run: DataFrame, reference: DataFrame) -> DataFrame:
     """For each strategy how many queries improved, stayed and degraded against a reference run."""
     key = ["query_id", "strategy"]
-    met = run.select(*key, F.coalesce("first_rank", F.lit(NEVER)).alias("now")).join(reference.select(*key, F.coalesce("first_rank", F.lit(NEVER)).alias("then")), key)
+    met = run.select(*key, F.col("first_rank").alias("now")).join(reference.select(*key, F.col("first_rank").alias("then")), key, "full")
+    met = met.select(*key, *[F.coalesce(c, F.lit(NEVER)).alias(c) for c in ("now", "then")])
     kind = F.when(F.col("now") < F.col("then"), "improved").when(F.col("now") > F.col("then"), "degraded").otherwise("unchanged")
     return met.withColumn("change", kind).groupBy("strategy", "change").agg(F.count("*").alias("queries"))
 

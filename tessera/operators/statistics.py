@@ -1,14 +1,17 @@
 """Descriptive and paired statistics. What has a closed form is an aggregate; what needs a seeded stream of random numbers
-runs in NumPy on one small group: the per-question scores of one experiment."""
+runs in NumPy on one small group: the per-question scores of one experiment. `spread_bootstrap` is the form for scores of
+any number: resamples are split over tasks and a resample's draws are Poisson counts by hash, so partial sums add up."""
 
 from __future__ import annotations
 
 import math
 import random
-from collections.abc import Callable
+import statistics
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,34 +51,38 @@ def average_rank(order, ties) -> F.Column:
 
 
 def signed_ranks(deltas: DataFrame, column: str, by: list[str]) -> DataFrame:
-    """(by..., n, plus, minus, tie_sum) of the non-zero differences' ranks by magnitude."""
-    rows = deltas.where(F.col(column) != 0).withColumn("a", F.abs(column))
-    rank = average_rank(Window.partitionBy(*by).orderBy("a"), Window.partitionBy(*by, "a"))
-    ranked = rows.withColumn("r", rank).withColumn("t", F.count("*").over(Window.partitionBy(*by, "a")))
+    """(by..., n, zeros, plus, minus, tie_sum) of the non-zero differences' ranks by magnitude.
+
+    Equal magnitudes are counted first, so what the window of a group ranks is its distinct magnitudes.
+    """
+    known = deltas.where(F.col(column).isNotNull()).withColumn("a", F.abs(column))
+    sizes = known.groupBy(*by, "a").agg(F.count("*").alias("t"), F.sum(F.when(F.col(column) > 0, 1).otherwise(0)).alias("p"))
+    t = F.when(F.col("a") != 0, F.col("t")).otherwise(0)
+    before = Window.partitionBy(*by).orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = sizes.withColumn("r", F.coalesce(F.sum(t).over(before), F.lit(0)) + (t + 1) / 2)
+    real = lambda x: F.sum(F.when(F.col("a") != 0, x).otherwise(0))
     return ranked.groupBy(*by).agg(
-        F.count("*").alias("n"),
-        F.sum(F.when(F.col(column) > 0, F.col("r")).otherwise(0.0)).alias("plus"),
-        F.sum(F.when(F.col(column) < 0, F.col("r")).otherwise(0.0)).alias("minus"),
-        F.sum(F.col("t") * F.col("t") - 1).cast("double").alias("tie_sum"),
+        real(F.col("t")).alias("n"),
+        (F.sum("t") - real(F.col("t"))).alias("zeros"),
+        real(F.col("r") * F.col("p")).cast("double").alias("plus"),
+        real(F.col("r") * (F.col("t") - F.col("p"))).cast("double").alias("minus"),
+        real(F.pow("t", F.lit(3)) - F.col("t")).cast("double").alias("tie_sum"),
     )
 
 
 def rank_biserial(deltas: DataFrame, column: str, by: list[str]) -> DataFrame:
+    """(plus - minus) / (plus + minus) of the signed ranks; 0 where all differences are 0."""
     r = signed_ranks(deltas, column, by)
-    return r.select(*by, ((F.col("plus") - F.col("minus")) / (F.col("plus") + F.col("minus"))).alias("rank_biserial"))
-
-
-def erfc(x: float) -> float:
-    return math.erfc(x)
+    return r.select(*by, F.when(F.col("n") == 0, 0.0).otherwise((F.col("plus") - F.col("minus")) / (F.col("plus") + F.col("minus"))).alias("rank_biserial"))
 
 
 def wilcoxon(deltas: DataFrame, column: str, by: list[str]) -> DataFrame:
-    """Two-sided signed-rank test by the normal approximation with tie correction, without continuity correction."""
+    """Two-sided signed-rank test by the normal approximation with tie correction, without continuity correction. Where all
+    differences are 0 the statistic is 0 and p is 1."""
     r = signed_ranks(deltas, column, by)
     mean = F.col("n") * (F.col("n") + 1) / 4
-    # the tie correction sums t^3 - t over tie groups: t^2 - 1 over their members
     spread = F.sqrt((F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) - F.col("tie_sum") / 2) / 24)
-    rows = r.select(*by, "n", F.least("plus", "minus").alias("statistic"), ((F.least("plus", "minus") - mean) / spread).alias("z"))
+    rows = r.select(*by, "n", "zeros", F.least("plus", "minus").alias("statistic"), F.when(F.col("n") == 0, 0.0).otherwise((F.least("plus", "minus") - mean) / spread).alias("z"))
     p = F.pandas_udf(lambda z: z.map(lambda x: math.erfc(abs(x) / math.sqrt(2))), "double")
     return rows.withColumn("p", p("z"))
 
@@ -105,6 +112,57 @@ def shape(values: DataFrame, column: str, by: list[str]) -> DataFrame:
     return rows.select(*by, skew.alias("skewness"), kurt.alias("kurtosis"))
 
 
+#: Coefficients of Royston's approximation (Applied Statistics algorithm R94), ascending powers.
+ROYSTON_LAST = (0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056)
+ROYSTON_SECOND = (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
+ROYSTON_SMALL_GAMMA = (-2.273, 0.459)
+ROYSTON_SMALL_MEAN = (0.544, -0.39978, 0.025054, -0.0006714)
+ROYSTON_SMALL_LOG_SD = (1.3822, -0.77857, 0.062767, -0.0020322)
+ROYSTON_LARGE_MEAN = (-1.5861, -0.31082, -0.083751, 0.0038915)
+ROYSTON_LARGE_LOG_SD = (-0.4803, -0.082676, 0.0030302)
+
+
+def shapiro_wilk(values: list[float] | np.ndarray) -> tuple[float, float]:
+    """(W, p) of the Shapiro-Wilk test of normality, by Royston's approximation; (1, 1) without spread."""
+    x = np.sort(np.asarray(values, float))
+    n = len(x)
+    if n < 3:
+        raise ValueError("at least three values are needed")
+    if x[-1] - x[0] < 1e-19:
+        return 1.0, 1.0
+    power = lambda c, t: sum(a * t**i for i, a in enumerate(c))
+    normal = statistics.NormalDist()
+    m = np.array([normal.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    size, u = float(m @ m), n**-0.5
+    a = m / math.sqrt(size)
+    if n == 3:
+        a = np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
+    else:
+        last = power(ROYSTON_LAST, u) + a[-1]
+        if n > 5:
+            second = power(ROYSTON_SECOND, u) + a[-2]
+            rest = (size - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2)
+            a = m / math.sqrt(rest)
+            a[[1, -2]] = -second, second
+        else:
+            a = m / math.sqrt((size - 2 * m[-1] ** 2) / (1 - 2 * last**2))
+        a[[0, -1]] = -last, last
+    spread = x - x.mean()
+    w = min(1.0, float(a @ x) ** 2 / float(spread @ spread))
+    if n == 3:
+        return w, max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
+    y = math.log(max(1 - w, 1e-300))
+    if n <= 11:
+        gamma = power(ROYSTON_SMALL_GAMMA, n)
+        if y >= gamma:
+            return w, 1e-19
+        y, mean, sd = -math.log(gamma - y), power(ROYSTON_SMALL_MEAN, n), math.exp(power(ROYSTON_SMALL_LOG_SD, n))
+    else:
+        t = math.log(n)
+        mean, sd = power(ROYSTON_LARGE_MEAN, t), math.exp(power(ROYSTON_LARGE_LOG_SD, t))
+    return w, 0.5 * math.erfc((y - mean) / sd / math.sqrt(2))
+
+
 def truncated_interval(samples: list[float], tail: float = 0.025) -> tuple[float, float]:
     """Percentile interval by truncated indices into the sorted samples."""
     ordered = sorted(samples)
@@ -126,11 +184,13 @@ def joint_bootstrap(matrix: np.ndarray, resamples: int = 50_000, seed: int = 202
 def permutation_p(deltas: np.ndarray, draws: int = 50_000, seed: int = 2026, batch: int = 5_000) -> tuple[float, int]:
     """Two-sided sign-flip test of the mean: (p with one added, number of draws as extreme). Zeros count in n only."""
     n, real = len(deltas), deltas[deltas != 0]
+    if not len(real):
+        return 1.0, draws
     observed = abs(deltas.sum() / n)
     rng = np.random.default_rng(seed)
     extreme = 0
     for at in range(0, draws, batch):
-        signs = rng.integers(0, 2, size=(min(batch, draws - at), len(real))) * 2 - 1
+        signs = rng.integers(0, 2, size=(min(batch, draws - at), len(real)), dtype=np.int8) * 2 - 1
         extreme += int((np.abs((signs * real).sum(axis=1) / n) >= observed - TOLERANCE).sum())
     return (extreme + 1) / (draws + 1), extreme
 
@@ -180,6 +240,40 @@ def pair_bootstrap(paired: DataFrame, left: str, right: str, resamples: int = 50
     return rows.groupBy(F.lit(0).alias("g")).applyInPandas(compute, "mean double, low double, high double, p_positive double, p_zero double")
 
 
+def spread_bootstrap(paired: DataFrame, strategies: list[str], resamples: int = 50_000, seed: int = 2026, parts: int = 64) -> DataFrame:
+    """(strategy, mean, low, high, se) of a joint bootstrap over any number of questions.
+
+    The resamples are dealt to `parts` ranges. In each a question counts as often as a Poisson draw of mean one says that
+    its hash, the resample and the seed give, the same for all strategies; so tasks add up sums of their own questions,
+    and what is shuffled is a vector of resamples for each task. The order and place of rows change nothing.
+    """
+    wide = paired.select("question_id", *[F.col(s).cast("double") for s in strategies]).dropna()
+    width, m = -(-resamples // parts), len(strategies)
+    schema = "part int, sums array<double>"
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            part, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            x = np.stack([np.ones(batch.num_rows), *(batch.column(2 + i).to_numpy() for i in range(m))])
+            for p in np.unique(part).tolist():
+                own = part == p
+                got = totals.setdefault(p, np.zeros((m + 1, width)))
+                for hashed, row in zip(h[own].tolist(), x[:, own].T, strict=True):
+                    got += np.outer(row, np.random.default_rng([seed, p, hashed & (1 << 64) - 1]).poisson(1.0, width))
+        if totals:
+            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([t.ravel() for t in totals.values()], pa.list_(pa.float64()))], ["part", "sums"])
+
+    rows = wide.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.xxhash64(F.col("question_id").cast("string")).alias("h"), *strategies)
+    sums = rows.mapInArrow(add, schema).select("part", F.posexplode("sums").alias("at", "x")).groupBy("part", "at").agg(F.sum("x").alias("x"))
+    split = sums.select((F.col("part") * width + F.col("at") % width).alias("resample"), F.floor(F.col("at") / width).alias("of"), "x").where(F.col("resample") < resamples)
+    means = split.groupBy("resample").pivot("of", list(range(m + 1))).agg(F.first("x"))
+    values = means.select(F.explode(F.array(*[F.struct(F.lit(s).alias("strategy"), (F.col(str(i + 1)) / F.col("0")).alias("m")) for i, s in enumerate(strategies)])).alias("v")).select("v.*")
+    ends = values.groupBy("strategy").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.stddev_samp("m").alias("se"))
+    seen = wide.agg(*[F.avg(s).alias(s) for s in strategies]).select(F.explode(F.array(*[F.struct(F.lit(s).alias("strategy"), F.col(s).alias("mean")) for s in strategies])).alias("v")).select("v.*")
+    return seen.join(ends, "strategy").select("strategy", "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "se")
+
+
 def supported(interval_low: float, interval_high: float, adjusted_p: float, alpha: float = 0.05) -> bool:
     """A difference holds if its interval excludes 0 and its adjusted p lies below alpha."""
     return (interval_low > 0 or interval_high < 0) and adjusted_p < alpha

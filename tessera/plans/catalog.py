@@ -240,7 +240,7 @@ def passages(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-TOKENS = r"list_transform(regexp_extract_all(text, '[\p{L}\p{N}_]+|[@#$][\p{L}\p{N}_]+|===|!==|=>|\[\(|\)\]|[.():{}\[\]<>/+*-]'), lambda t: lower(t))"
+TOKENS = r"list_transform(regexp_extract_all(text, '[\p{L}\p{N}_]+|[@#$][\p{L}\p{N}_]+|===|!==|=>|\[\(|\)\]|[.():{}\[\]<>/+*-]'), lambda t: lower(replace(replace(t, 'ß', 'ss'), 'ẞ', 'ss')))"
 BM25 = f"""
 t AS (SELECT doc_id AS chunk_id, {TOKENS} AS tokens FROM documents),
 n AS (SELECT count(*) AS n, avg(len(tokens)) AS mean FROM t),
@@ -260,8 +260,7 @@ def bm25_tokens(spark, sf_dir):
 
 def lexical(spark, sf_dir, k=DEPTH):
     """Scores are rounded before ranking: near-copies tie, and ties go by id."""
-    found = retrieval.bm25_search(passages(spark, sf_dir), corpus(spark, sf_dir), 5 * k)
-    return retrieval.top(found.withColumn("score", r6("score")), k)
+    return retrieval.bm25_search(passages(spark, sf_dir), corpus(spark, sf_dir), k, decimals=6)
 
 
 @query(f"WITH {BM25} SELECT query_id, rank, chunk_id, score FROM lexical WHERE rank <= 10")
@@ -278,14 +277,13 @@ dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDE
 def dense(spark, sf_dir, k=DEPTH):
     ask = passages(spark, sf_dir).select("query_id", hashed_embedding(F.col("query"), 32).alias("vector"))
     rows = corpus(spark, sf_dir).select("chunk_id", hashed_embedding(F.col("text"), 32).alias("vector"))
-    found = retrieval.cosine_search(ask, rows, 10 * k)
-    return retrieval.top(found.withColumn("score", r6("score")), k)
+    return retrieval.cosine_search(ask, rows, k, decimals=6)
 
 
 @query(f"WITH {BM25}, {DENSE}, p AS (SELECT query_id, chunk_id, every.score FROM dense JOIN every USING (query_id, chunk_id)) SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM p) WHERE rank <= 5")
 def bm25_rerank(spark, sf_dir):
-    out = retrieval.bm25_rerank(passages(spark, sf_dir), corpus(spark, sf_dir), dense(spark, sf_dir), DEPTH)
-    return retrieval.top(out.withColumn("score", r6("score")), 5).select("query_id", "rank", "chunk_id", "score")
+    out = retrieval.bm25_rerank(passages(spark, sf_dir), corpus(spark, sf_dir), dense(spark, sf_dir), 5, decimals=6)
+    return out.select("query_id", "rank", "chunk_id", "score")
 
 
 @query(f"""WITH {BM25}, {DENSE}, f AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM (SELECT query_id, chunk_id, rank FROM lexical UNION ALL SELECT query_id, chunk_id, rank FROM dense) GROUP BY ALL)
@@ -320,11 +318,6 @@ def chunks(spark, sf_dir):
     return chunking.fixed_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), 128, 16)
 
 
-@query(f"WITH {CHUNKS} SELECT doc_id || '::fixed::' || lpad(chunk_index::VARCHAR, 6, '0') AS chunk_id, doc_id, chunk_index, token_start, token_end, token_end - token_start AS token_count, md5(text) AS text_md5 FROM chunks")
-def fixed_chunks(spark, sf_dir):
-    return chunks(spark, sf_dir).withColumn("text_md5", F.md5("text")).drop("text")
-
-
 @query(f"""WITH {CHUNKS}, c AS (SELECT doc_id, token_end - token_start AS n FROM chunks)
 SELECT count(*) AS chunks, count(DISTINCT doc_id) AS documents, sum(n)::BIGINT AS tokens, min(n) AS min_tokens, round(avg(n), 6) AS mean_tokens, max(n) AS max_tokens, quantile_cont(n, 0.25) AS p25, quantile_cont(n, 0.5) AS p50, quantile_cont(n, 0.75) AS p75, quantile_cont(n, 0.95) AS p95 FROM c""")
 def chunk_stats(spark, sf_dir):
@@ -367,14 +360,6 @@ def planned_chunks(spark, sf_dir):
     return chunking.chunk_documents(docs, "prompt").select("chunk_id", "doc_id", "chunk_index", "token_count", F.sha2("text", 256).alias("text_sha256"))
 
 
-@query()
-def planned_partition_check(spark, sf_dir):
-    """Documents whose planned chunks are not exactly their linear text: none."""
-    docs = parsing.parse_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    whole = docs.select("doc_id", parsing.linear_text(F.col("blocks")).alias("text"))
-    return chunking.partition_errors(chunking.chunk_documents(docs, "prompt"), whole)
-
-
 # --- evidence: benchmark passages in documents -----------------------------------------------------------------------
 
 
@@ -616,40 +601,6 @@ def duplicate_report(spark, sf_dir):
     return audit.duplicates(table(spark, sf_dir, "documents"), "text")
 
 
-@query()
-def sentence_resolution(spark, sf_dir):
-    """How benchmark passages are found in the documents that hold them."""
-    places = evidence.find_everywhere(passage_evidence(spark, sf_dir), texts(spark, sf_dir))
-    wanted = places.join(passage_evidence(spark, sf_dir).withColumnRenamed("text", "sentence"), "evidence_id")
-    return audit.resolve_sentences(wanted, texts(spark, sf_dir))
-
-
-@query()
-def compatibility_gate(spark, sf_dir):
-    """Passages and documents that do not resolve to one place each."""
-    wanted = passage_evidence(spark, sf_dir).select(F.col("evidence_id").cast("string").alias("evidence_id"), F.col("evidence_id").cast("string").alias("ref"))
-    documents = audit.resolve_documents(wanted, table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id")))
-    found = sentence_resolution(spark, sf_dir).withColumn("evidence_id", F.col("evidence_id").cast("string"))
-    none = spark.createDataFrame([], "evidence_id string, status string")
-    return audit.compatibility_gate(documents, none, found)
-
-
-@query()
-def rewrite_fidelity(spark, sf_dir):
-    """The next turn as a rewrite of a turn."""
-    rows = turns(spark, sf_dir).where("strategy = 'next'")
-    return rows.groupBy(tx.rewrite_verdict(F.col("prediction"), F.col("reference")).alias("verdict")).agg(F.count("*").alias("pairs"))
-
-
-@query()
-def generated_answers(spark, sf_dir):
-    """Contexts of the top three hits, prompts within a window, and the offline provider's answers."""
-    some = retrieval.same_top_k(hits(spark, sf_dir), 3, DEPTH).withColumn("text", F.format_string("vector %d of class %s", "chunk_id", "source"))
-    asked = relevance(spark, sf_dir).select("query_id", F.concat(F.lit("Which class is vector "), F.col("query_id"), F.lit("?")).alias("question"))
-    ready, _ = context.prompts(context.render_contexts(some, 2048), asked, "Answer from the context.", 8192, 512)
-    return context.generate(ready)
-
-
 # --- experiments -----------------------------------------------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -31,6 +32,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder for what a job writes and reads again: below spark.checkpoint.dir, which all executors share; in a local
+    session that names none, a temporary one."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{named or tempfile.mkdtemp(prefix='tessera-')}/scratch-{uuid.uuid4().hex}"
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A scan with fewer splits than there are cores, dealt out to all of them: for small inputs of much work a row.
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.functions import vector
-from tessera.operators import answers, audit, context, evidence, statistics
+from tessera.operators import answers, audit, context, evidence, reconciliation, statistics
 from tessera.sources import artifacts, files
 
 
@@ -80,11 +80,47 @@ def test_statistics(spark):
     w = statistics.wilcoxon(v([1, 2, -3, 4, 5]), "v", ["g"]).first()
     assert w["statistic"] == 3.0 and abs(w["p"] - 0.2249) < 1e-3
     assert statistics.permutation_p(np.zeros(2), 100) == (1.0, 100)
+    d = np.array([0.3, -0.1, 0.25, 0.0, 0.4])
+    flips = np.random.default_rng(7).integers(0, 2, size=(300, 4), dtype=np.int8) * 2 - 1  # the stream the test must draw
+    extreme = int((np.abs((flips * d[d != 0]).sum(axis=1) / 5) >= abs(d.mean()) - 1e-15).sum())
+    assert statistics.permutation_p(d, 300, 7, 300) == ((extreme + 1) / 301, extreme)
+    assert statistics.wilcoxon(v([0, 0]), "v", ["g"]).first()["p"] == 1.0 and rb([0, 0]) == 0.0
     means = statistics.joint_bootstrap(np.array([[0.0, 1, 2], [10, 11, 12]]), 50)
     assert np.allclose(means[:, 1] - means[:, 0], 10)
     assert statistics.truncated_interval([float(i) for i in range(100)]) == (2.0, 96.0)
 
 
+def test_shapiro_wilk():
+    """Published values: Royston's example of weights, and what is linear in normal scores."""
+    w, p = statistics.shapiro_wilk([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236])
+    assert abs(w - 0.79) < 5e-3 and abs(p - 0.0067) < 5e-5
+    w, p = statistics.shapiro_wilk(np.random.default_rng(1).normal(size=200))
+    assert w > 0.98 and p > 0.05 and statistics.shapiro_wilk([1.0, 1.0, 1.0]) == (1.0, 1.0)
+    assert statistics.shapiro_wilk(np.exp(np.random.default_rng(1).normal(size=100)))[1] < 1e-6
+    assert abs(statistics.shapiro_wilk([1.0, 2.0, 3.0])[0] - 1.0) < 1e-9
+
+
+def test_bootstrap_over_any_number_of_questions(spark):
+    rng = np.random.default_rng(3)
+    a = rng.normal(0.5, 0.2, 120)
+    rows = spark.createDataFrame([(f"q{i}", float(x), float(x) - 0.1) for i, x in enumerate(a)], "question_id string, a double, b double")
+    got = {r["strategy"]: r for r in statistics.spread_bootstrap(rows.repartition(5), ["a", "b"], 2000, parts=8).collect()}
+    se = a.std(ddof=1) / len(a) ** 0.5
+    for s, mean in (("a", a.mean()), ("b", a.mean() - 0.1)):
+        assert abs(got[s]["mean"] - mean) < 1e-9 and abs(got[s]["se"] / se - 1) < 0.15
+        assert abs(got[s]["low"] - (mean - 1.96 * se)) < 0.4 * se and abs(got[s]["high"] - (mean + 1.96 * se)) < 0.4 * se
+    assert abs(got["a"]["low"] - got["b"]["low"] - 0.1) < 1e-9  # drawn together
+    again = {r["strategy"]: r["low"] for r in statistics.spread_bootstrap(rows.coalesce(1), ["a", "b"], 2000, parts=8).collect()}
+    assert all(abs(again[s] - got[s]["low"]) < 1e-9 for s in again)
+
+
+def test_short_passages_may_lie_inside_words(spark):
+    texts = spark.createDataFrame([("1", "an xfoo bar here"), ("2", "nothing"), ("3", "foo bar")], "doc_id string, text string")
+    asked = spark.createDataFrame([("a", "foo bar"), ("b", "xfo"), ("c", ""), ("d", "an xfoo bar here")], "evidence_id string, text string")
+    got = {(r["evidence_id"], r["doc_id"]) for r in evidence.find_everywhere(asked, texts).collect()}
+    assert got == {("a", "1"), ("a", "3"), ("b", "1"), ("d", "1")}
+
+
 def test_evidence_intervals(spark):
     ev = spark.createDataFrame([("e", "d", "0123456789abcdefghijABCDEFGHIJ")], "evidence_id string, doc_id string, text string")
     texts = spark.createDataFrame([("d", "--0123456789abcdefghijABCDEFGHIJ--")], "doc_id string, text string")
@@ -137,17 +173,14 @@ def test_audit(spark):
     assert audit.find_in("a  Café b", "café B")[0] == "normalized"
     assert audit.find_in("see [the docs](x.md) `now`", "see the docs now") == ("rendered", [(0, 25)])
     assert audit.find_in("x", "y") == (audit.UNRESOLVED, [])
-    assert audit.lexical_score("a b", "a b") == 1.0
+    assert reconciliation.lexical_score("a b", "a b") == 1.0 and reconciliation.lexical_score("", "a") == 0.0
     docs = spark.createDataFrame([("ns:a",), ("b",), ("x:c",), ("y:c",)], "doc_id string")
     wanted = spark.createDataFrame([("1", "a"), ("2", "b"), ("3", "c"), ("4", "d")], "evidence_id string, ref string")
     assert {r["evidence_id"]: r["method"] for r in audit.resolve_documents(wanted, docs).collect()} == {"1": "namespace", "2": "exact", "3": "ambiguous", "4": "unresolved"}
     secs = spark.createDataFrame([("d", "1", ["A", "B"]), ("d", "2", ["A", "`C`"]), ("d", "3", ["X", "D"]), ("d", "4", ["Y", "D"])], "doc_id string, section string, path array<string>")
     want = spark.createDataFrame([("1", "d", ["A", "B"]), ("2", "d", ["c"]), ("3", "d", ["D"]), ("4", "d", ["E"])], "evidence_id string, doc_id string, path array<string>")
     assert {r["evidence_id"]: (r["status"], r["tier"]) for r in audit.resolve_sections(want, secs).collect()} == {"1": ("resolved", 1), "2": ("resolved", 4), "3": ("ambiguous", 2), "4": ("unresolved", None)}
-    missing = spark.createDataFrame([("e", "d", "alpha beta gamma")], "evidence_id string, doc_id string, sentence string")
-    units = spark.createDataFrame([("d", 0, 0, "alpha beta gamm"), ("d", 1, 0, "other"), ("d", 2, 0, "alpha")], "doc_id string, block_index int, start int, text string")
-    best = audit.text_candidates(missing, units).orderBy("rank").collect()
-    assert best[0]["text"] == "alpha beta gamm" and best[0]["next"] == "other"
+    units = spark.createDataFrame([("d", 0, 0, "alpha beta gamm"), ("d", 1, 0, "other")], "doc_id string, block_index int, start int, text string")
     ready = audit.readiness({"ok": (units.limit(0), "BLOCKED"), "bad": (units, "WARNING")}, spark).collect()
     assert [tuple(r) for r in ready] == [("ok", "PASS"), ("bad", "WARNING")]
 
@@ -178,6 +211,35 @@ def test_publishing(spark, tmp_path):
     with pytest.raises(artifacts.StaleArtifactError):
         artifacts.publish(spark, path, {"rows": df}, {"k": 2})
     assert artifacts.publish(spark, path, {"rows": df.limit(2)}, {"k": 2}, replace=True)["counts"] == {"rows": 2}
+    # a failure between two parts puts the old set back, whole
+    real, calls = artifacts.Folder.rename, []
+
+    def failing(self, old, new):
+        calls.append(new)
+        if new == "stats.json":
+            raise OSError("no")
+        real(self, old, new)
+
+    artifacts.Folder.rename = failing
+    try:
+        with pytest.raises(OSError):
+            artifacts.publish(spark, path, {"rows": df, "more": df}, {"k": 2})
+    finally:
+        artifacts.Folder.rename = real
+    assert calls and artifacts.load(spark, path, "rows", {"k": 2}, unique=["id"]).count() == 2
+    assert not artifacts.Folder(spark, path).exists("more.parquet")
+    # a process that died there is repaired by the next one that looks
+    folder = artifacts.Folder(spark, path)
+    folder.mark(".backup/mark", '{"names": ["rows.parquet", "new.json", "manifest.json"], "existed": ["rows.parquet", "manifest.json"]}')
+    folder.rename("rows.parquet", ".backup/rows.parquet")
+    folder.mark("new.json", "half")
+    assert artifacts.load(spark, path, "rows").count() == 2 and not folder.exists("new.json")
+    with pytest.raises(artifacts.StaleArtifactError):
+        artifacts.load(spark, path, "rows", {"k": 3})
+    assert artifacts.contents_sha256(df) == artifacts.contents_sha256(df.repartition(3)) != artifacts.contents_sha256(df.limit(4))
+    assert [r["value"] for r in artifacts.json_lines_of(spark.createDataFrame([(2, None), (1, "é")], "b int, a string"), ["b"]).collect()] == ['{"a":"é","b":1}', '{"a":null,"b":2}']
+    with pytest.raises(ValueError, match="no report"):
+        artifacts.markdown_table(df, 3)
     (tmp_path / "set" / "manifest.json").unlink()
     with pytest.raises(artifacts.StaleArtifactError):
         artifacts.load(spark, path, "rows")
