@@ -24,6 +24,8 @@ from .common import cut, read
 
 K, S, SKETCH, LONG = 5, 2, 64, 24
 BLANKS = " \t\n\x0b\x0c\r"
+#: Stands for no id within `edited`; a document with this very id comes back without one.
+NO_ID = -(1 << 63)
 #: Above every 48-bit hash: marks k-mers that are no syncmers.
 NONE = (1 << 62) - 1
 
@@ -153,8 +155,9 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Texts are shuffled once, to meet their neighbours' lengths, and then sent on to the document before; anchors are
     taken where the texts have met, as a text is shorter than its anchors.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("own_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    base = base.withColumn("doc_id", F.coalesce("own_id", F.lit(-(1 << 63)))).withColumn("h", F.xxhash64("text"))
+    # a column more on one side would keep the two joins from sharing the shuffle of the texts: no id is the least number
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    base = base.withColumn("h", F.xxhash64("text"))
     listed = cut(base.select("doc_id", "h", F.length("text").alias("n")))
     ids = listed.distinct()
     neighbours = cut(successors(ids))
@@ -167,12 +170,12 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
     if repeated:
         sent = sent.dropDuplicates(["doc_id", "h"])
-    met = placed.select("own_id", "doc_id", "h", "n", "text").join(sent.hint("shuffle_merge"), ["doc_id", "h"])
+    met = placed.select("doc_id", "h", "n", "text").join(sent.hint("shuffle_merge"), ["doc_id", "h"])
     met = met.withColumn("edit", F.expr("concat(left(text, n - cast(floor(n / 2) as int)), left(next_text, cast(floor(n / 2) as int)))"))
     for text, out in (("text", "anchors"), ("edit", "edited_anchors"), ("next_text", "next_anchors")):
         met = with_anchors(met, text, out)
     return met.select(
-        F.col("own_id").alias("doc_id"),
+        F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"),
         F.col("n").cast("long").alias("n_chars"),
         F.sha2(F.col("edit"), 256).alias("edited_sha256"),
         spelled("anchors").alias("fingerprint"),
