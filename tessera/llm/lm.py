@@ -29,6 +29,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import chain, repeat
 
 import numpy as np
@@ -75,6 +76,13 @@ class Facts:
     model: list[bytes]
     crowds: np.ndarray
 
+    @cached_property
+    def numbers(self) -> Numbers:
+        return Numbers(self)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "numbers"}
+
     @property
     def shape(self) -> tuple[int, int, int]:
         """(depth of the tail's tree, hashed contexts, hashed rows)."""
@@ -366,18 +374,17 @@ def train(docs: DataFrame, facts: Facts, warm_documents: int = 1500) -> Model:
         return warm
     start = context.broadcast((warm.flat, warm.squares))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, tokens = Numbers(sent.value), 0
+    def run(part: pa.Table) -> pa.Table:
+        numbers, tokens = sent.value.numbers, 0
         flat, squares = start.value
         own = Model(flat.copy(), *sent.value.shape)
         own.squares = [s.copy() for s in squares]
-        for batch in slices(batches):
-            ids, one, two, leaves, *_ = numbers.sequences(words_of(batch.column(1)))
+        for batch in slices(iter(part.sort_by([("doc_id", "ascending"), ("h", "ascending")]).combine_chunks().to_batches())):
+            ids, one, two, leaves, *_ = numbers.sequences(words_of(batch.column("text")))
             own.learn(ids, one, two, leaves)
             tokens += len(ids)
         change = np.array_split((own.flat - flat).astype(np.float16), BLOCKS)
-        if tokens:
-            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([tokens] * BLOCKS, pa.int64()), pa.array([c.tobytes() for c in change], pa.binary())], ["block", "tokens", "change"])
+        return pa.table([pa.array(range(BLOCKS), pa.int32()), pa.array([tokens] * BLOCKS, pa.int64()), pa.array([c.tobytes() for c in change], pa.binary())], names=["block", "tokens", "change"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -388,8 +395,8 @@ def train(docs: DataFrame, facts: Facts, warm_documents: int = 1500) -> Model:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.astype(np.float32).tobytes() for s in sums.values()], pa.binary())], ["block", "change"])
 
-    parts = docs.repartition(-(-facts.tokens // TASK_TOKENS), F.xxhash64("doc_id", "text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    changes = parts.mapInArrow(run, "block int, tokens long, change binary")
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(-(-facts.tokens // TASK_TOKENS))).alias("part")
+    changes = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), part).groupBy("part").applyInArrow(run, "block int, tokens long, change binary")
     summed = changes.repartition("block").mapInArrow(add, "block int, change binary").orderBy("block").collect()
     for part, r in zip(np.array_split(warm.flat, BLOCKS), summed, strict=True):  # in place: the driver holds one model
         part += np.frombuffer(r["change"], np.float32)
