@@ -110,7 +110,8 @@ def sentences(text: Column) -> Column:
 
 
 def protected_tokens(query: Column) -> Column:
-    return F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(query, F.lit(p), F.lit(0)) for p in PROTECTED])))
+    """What a rewrite must keep; letters of any script are letters."""
+    return F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(query, F.lit(f"(?U){p}"), F.lit(0)) for p in PROTECTED])))
 
 
 def rewrite_verdict(original: Column, rewritten: Column, slack: int = 5) -> Column:

@@ -18,6 +18,8 @@ from tessera.functions.text import folded, lexical_tokens, raw_lexical_tokens
 
 #: Queries that are held by every task at once; more are searched in blocks of about this many.
 QUERY_BLOCK = 4096
+#: Blocks of dense queries up to which they are broadcast, and chunks of a piece in the grid beyond.
+HELD_BLOCKS, PIECE_ROWS = 8, 20_000
 
 
 def top(scored: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
@@ -27,47 +29,76 @@ def top(scored: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def best_cosines(ids: np.ndarray, q: np.ndarray, cids: np.ndarray, x: np.ndarray, k: int, exclude_same: bool, decimals: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, chunk row, score): for every query the k best of these chunks, and what ties with the last of them."""
+    lengths = np.linalg.norm(q, axis=1)
+    if (lengths == 0).any():
+        raise ValueError("a query vector has length zero")
+    norms = np.linalg.norm(x, axis=1)
+    scores = np.where(norms == 0, -1.0, (q @ x.T) / np.outer(lengths, np.where(norms == 0, 1, norms)))
+    if decimals is not None:
+        scores = np.round(scores, decimals)
+    if exclude_same:
+        scores[ids[:, None] == cids[None, :]] = -np.inf
+    n = scores.shape[1]
+    least = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(ids), -np.inf)
+    rows, cols = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))  # ties at the cut stay for the final ranking
+    return rows, cols, scores[rows, cols]
+
+
+def vectors_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """(rows, components) of a list column without nulls."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
 def cosine_search(queries: DataFrame, chunks: DataFrame, k: int, exclude_same: bool = False, decimals: int | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): exact cosine top k of every query over all chunks.
 
-    queries: (query_id, vector); chunks: (chunk_id, vector). A block of queries is one matrix; a batch of chunks meets it
-    in one product and leaves its best k for each query, so what is shuffled is bounded by queries x tasks x k. The number
-    of queries is counted, and blocks are read one by one. Zero chunks score -1; a zero query is refused. With `decimals`,
-    scores are rounded before any is cut, so that what then ties is ranked by id over all rows.
+    queries: (query_id, vector); chunks: (chunk_id, vector). The number of queries is counted. While they make at most
+    HELD_BLOCKS blocks, each block is a matrix that every task holds, and a batch of chunks meets it in one product where
+    the chunks stand. More blocks stay a table: blocks and pieces of the chunks are dealt to a grid, each field of which is
+    one product. Either way what is shuffled of the results is bounded by queries x tasks x k. Zero chunks score -1; a zero
+    query is refused. With `decimals`, scores are rounded before any is cut, so that what then ties is ranked by id over all
+    rows.
     """
     n = queries.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
-    spark = queries.sparkSession
+    names = ["query_id", "chunk_id", "score"]
+    kinds = queries.schema["query_id"].dataType.simpleString(), chunks.schema["chunk_id"].dataType.simpleString()
+    schema = f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double"
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
+    if blocks > HELD_BLOCKS:
+        pieces = -(-chunks.count() // PIECE_ROWS)
+        spread = lambda many: F.explode(F.sequence(F.lit(0), F.lit(max(0, many - 1))))
+        left = chunks.select(F.col("chunk_id").alias("c"), F.col("vector").alias("x"), F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, pieces))).cast("int").alias("piece"), spread(blocks).alias("block"))
+        right = queries.select(F.col("query_id").alias("q"), F.col("vector").alias("v"), block.alias("block"), spread(pieces).alias("piece"))
+
+        def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+            if not a.num_rows or not b.num_rows:
+                return pa.table([b["q"].slice(0, 0), a["c"].slice(0, 0), pa.array([], pa.float64())], names=names)
+            ids, cids = b["q"].to_numpy(), a["c"].to_numpy()
+            rows, cols, scores = best_cosines(ids, vectors_of(b["v"]), cids, vectors_of(a["x"]), k, exclude_same, decimals)
+            return pa.table([b["q"].take(pa.array(rows)), a["c"].take(pa.array(cols)), pa.array(scores)], names=names)
+
+        return top(left.groupBy("piece", "block").cogroup(right.groupBy("piece", "block")).applyInArrow(meet, schema), k)
     found: DataFrame | None = None
-    for b in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "vector").toPandas()
-        ids = own["query_id"].to_numpy()
-        q = np.array([np.asarray(v, np.float64) for v in own["vector"]]).reshape(len(own), -1)
-        lengths = np.linalg.norm(q, axis=1) if len(own) else np.zeros(0)
-        if (lengths == 0).any():
+    for number in range(blocks):
+        own = queries.where(block == number).select("query_id", "vector").toPandas()
+        asked = np.array([np.asarray(v, np.float64) for v in own["vector"]]).reshape(len(own), -1)
+        if len(asked) and (np.linalg.norm(asked, axis=1) == 0).any():
             raise ValueError("a query vector has length zero")
-        sent = spark.sparkContext.broadcast((ids, q, lengths))
+        sent = queries.sparkSession.sparkContext.broadcast((own["query_id"].to_numpy(), asked))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, q, lengths = sent.value
+            ids, q = sent.value
             for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                cids = batch.column(0).to_numpy(zero_copy_only=False)
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                norms = np.linalg.norm(x, axis=1)
-                scores = np.where(norms == 0, -1.0, (q @ x.T) / np.outer(lengths, np.where(norms == 0, 1, norms)))
-                if decimals is not None:
-                    scores = np.round(scores, decimals)
-                if exclude_same:
-                    scores[ids[:, None] == cids[None, :]] = -np.inf
-                n = scores.shape[1]
-                least = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(ids), -np.inf)
-                rows, flat = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))  # ties at the cut stay for the final ranking
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(cids[flat]), pa.array(scores[rows, flat])], ["query_id", "chunk_id", "score"])
-
-        kinds = queries.schema["query_id"].dataType.simpleString(), chunks.schema["chunk_id"].dataType.simpleString()
-        part = chunks.select("chunk_id", "vector").mapInArrow(run, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
+                if batch.num_rows and len(ids):
+                    cids = batch.column(0).to_numpy(zero_copy_only=False)
+                    rows, cols, scores = best_cosines(ids, q, cids, vectors_of(batch.column(1)), k, exclude_same, decimals)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(cids[cols]), pa.array(scores)], names)
+
+        part = chunks.select("chunk_id", "vector").mapInArrow(run, schema)
         found = part if found is None else found.unionByName(part)
     return top(found, k)
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.tokenizers import BytePairTokenizer, NoProgressError, stable_windows
-from tessera.operators import chunking, evidence, metrics, parsing, providers, reconciliation
+from tessera.operators import chunking, evidence, metrics, parsing, providers, reconciliation, retrieval
 from tessera.plans import benchmarks, experiments
 from tessera.sources import artifacts, files
 
@@ -329,6 +329,20 @@ def test_publishing_experiments(spark, tmp_path):
     assert {(r["strategy"], r["metric"]) for r in sure.collect()} == {(s, m) for s in "ab" for m in ("hit_5", "mrr")}
 
 
+def test_dense_search_in_a_grid(spark, monkeypatch):
+    x = np.random.default_rng(2).normal(size=(70, 5))
+    x[3] = 0
+    rows = spark.createDataFrame([(i, x[i].tolist()) for i in range(70)], "chunk_id long, vector array<double>")
+    asked = rows.where("chunk_id between 10 and 40").withColumnRenamed("chunk_id", "query_id")
+    held = retrieval.cosine_search(asked, rows, 6, exclude_same=True, decimals=9)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(retrieval, "PIECE_ROWS", 9)
+    grid = retrieval.cosine_search(asked, rows, 6, exclude_same=True, decimals=9)
+    assert grid.count() == 31 * 6 and grid.select(*held.columns).exceptAll(held).count() == 0
+    with pytest.raises(Exception, match="length zero"):
+        retrieval.cosine_search(rows.withColumnRenamed("chunk_id", "query_id"), rows, 6).collect()
+
+
 def test_small_guards(spark):
     assert benchmarks.metric_names(["token_f1", "exact"]) == ["f1", "precision", "recall", "exact"]
     with pytest.raises(ValueError):
