@@ -3,6 +3,7 @@ import json
 import pytest
 
 from tessera.plans import jobs
+from tessera.sources import artifacts
 
 
 def test_chain_from_files_to_analysis(spark, tmp_path, capsys):
@@ -30,5 +31,13 @@ def test_chain_from_files_to_analysis(spark, tmp_path, capsys):
     assert "complete" in capsys.readouterr().out
     run("evaluate-answers", "--answers", at("answers"), "--references", references, "--output", at("scores"))
     assert "structure" in capsys.readouterr().out
+    with pytest.raises(artifacts.StaleArtifactError):
+        run("chunk", "--documents", at("parsed"), "--strategy", "structure", "--output", at("chunks-fixed"))
+    run("chunk", "--documents", at("parsed"), "--strategy", "structure", "--output", at("chunks-fixed"), "--replace", "true")
+    (docs / "c.md").write_text('<docs-code language="ts">\nnever closed')
+    run("preprocess", "--input", str(docs), "--source", "t", "--output", at("again"))
+    assert "| c.md | unclosed docs-code at line 1 |" in capsys.readouterr().out and artifacts.load(spark, at("again"), "documents").count() == 2
+    with pytest.raises(Exception, match="unclosed"):
+        run("preprocess", "--input", str(docs), "--source", "t", "--output", at("fast"), "--fail-fast", "true")
     with pytest.raises(SystemExit):
         run("chunk", "--strategy", "fixed")
