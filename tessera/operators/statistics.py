@@ -45,9 +45,18 @@ def cohens_dz(deltas: DataFrame, column: str, by: list[str]) -> DataFrame:
     return rows.select(*by, value.cast("double").alias("dz"))
 
 
-def average_rank(order, ties) -> F.Column:
-    """Rank with equal values sharing the mean of their places."""
-    return F.rank().over(order) + (F.count("*").over(ties) - 1) / 2
+def average_ranks(rows: DataFrame, column: str, by: list[str], out: str) -> DataFrame:
+    """rows with the rank of a column within its group, equal values sharing the mean of their places.
+
+    Equal values are counted first, so what the window of a group ranks is its distinct values.
+    """
+    sizes = rows.groupBy(*by, column).agg(F.count("*").alias("__t"))
+    before = Window.partitionBy(*by).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = sizes.select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col(column).alias("__value"), (F.coalesce(F.sum("__t").over(before), F.lit(0)) + (F.col("__t") + 1) / 2).alias(out))
+    same = F.col(column).eqNullSafe(F.col("__value"))
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    return rows.join(ranked, same).drop("__value", *[f"__by_{c}" for c in by])
 
 
 def signed_ranks(deltas: DataFrame, column: str, by: list[str]) -> DataFrame:
@@ -96,10 +105,10 @@ def holm(tests: DataFrame, p: str = "p", order: str = "idx") -> DataFrame:
 
 
 def spearman(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """Correlation of average ranks."""
-    ranked = rows
+    """Correlation of average ranks, of the rows that have both values."""
+    ranked = rows.select(*by, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
     for c in (x, y):
-        ranked = ranked.withColumn(f"__{c}", average_rank(Window.partitionBy(*by).orderBy(c), Window.partitionBy(*by, c)))
+        ranked = average_ranks(ranked, c, by, f"__{c}")
     return ranked.groupBy(*by).agg(F.corr(f"__{x}", f"__{y}").alias("rho"))
 
 
