@@ -17,6 +17,8 @@ than id and text are not read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,61 +28,84 @@ K, S, SKETCH, LONG = 5, 2, 64, 24
 BLANKS = " \t\n\x0b\x0c\r"
 #: Stands for no id within `edited`; a document with this very id comes back without one.
 NO_ID = -(1 << 63)
-#: Above every 48-bit hash: marks k-mers that are no syncmers.
-NONE = (1 << 62) - 1
+#: Ranges of ids for each shuffle partition.
+RANGES = 2
 
 
-def words(text: str) -> Column:
-    bare = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(BLANKS))
+def parts(text: str) -> Column:
+    """What stands between blanks. One character is split at, as Java does that without a regular expression."""
+    bare = F.coalesce(F.col(text), F.lit(""))
+    for blank in BLANKS[1:]:
+        bare = F.replace(bare, F.lit(blank), F.lit(" "))
+    return F.array_remove(F.split(bare, " "), "")
+
+
+def letters(split: Column, text: str) -> Column:
+    """The parts of a text as words: where some are long, these letter by letter."""
     letter = r"[^\x20\x09-\x0D]"
-    single = F.regexp_extract_all(bare, F.lit(f"(?<!{letter}){letter}{{1,{LONG}}}(?!{letter})|{letter}"), F.lit(0))
-    split = F.when(bare.rlike(f"{letter}{{{LONG + 1}}}"), single).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(split)
+    single = F.regexp_extract_all(F.col(text), F.lit(f"(?<!{letter}){letter}{{1,{LONG}}}(?!{letter})|{letter}"), F.lit(0))
+    return F.when(F.exists(split, lambda x: F.length(x) > LONG), single).otherwise(split)
+
+
+def words(text: str) -> Column:
+    return letters(parts(text), text)
 
 
 def pairs(column: str) -> Column:
-    """Hashes of every two neighbouring words: the inner substrings."""
-    w = F.col(column)
-    n = F.greatest(F.size(w) - 1, F.lit(0))
-    return F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.xxhash64(a, b))
+    """Hashes of every two neighbouring words, the inner substrings, and behind them one of the last word alone."""
+    return F.transform(column, lambda a, i: F.xxhash64(a, F.get(F.col(column), i + 1)))
 
 
 def chosen(column: str) -> Column:
-    """The k-mers' hashes in order, NONE for those that are no closed syncmers; shorter than k words gives none at all."""
-    g = F.col(column)
-    n = F.greatest(F.size(g) - (K - S), F.lit(0))
-    at = lambda i: F.slice(g, i + 1, n)
-    edges = F.zip_with(at(0), at(3), lambda a, d: F.struct(F.least(a, d).alias("e"), F.xxhash64(a, d).alias("h")))
-    inner = F.zip_with(at(1), at(2), lambda b, c: F.struct(F.least(b, c).alias("i"), F.xxhash64(b, c).alias("h")))
-    return F.zip_with(edges, inner, lambda x, y: F.when(x["e"] <= y["i"], F.shiftrightunsigned(F.xxhash64(x["h"], y["h"]), 16)).otherwise(F.lit(NONE)))
+    """(position, anchor) of the closed syncmers in order of their places; of fewer than k words none."""
+    at = lambda i: F.get(F.col(column), i)
+    n = F.greatest(F.size(column) - (K - 1), F.lit(0))
+
+    def keep(a: Column, i: Column) -> Column:
+        anchor = F.shiftrightunsigned(F.xxhash64(F.xxhash64(a, at(i + 3)), F.xxhash64(at(i + 1), at(i + 2))), 16)
+        return F.when(F.least(a, at(i + 3)) <= F.least(at(i + 1), at(i + 2)), F.struct(i.alias("position"), anchor.alias("anchor")))
+
+    return F.array_compact(F.transform(F.slice(column, 1, n), keep))
+
+
+def once(column: Column) -> Column:
+    """The column, which a filter above (that of a generator, say) is not moved past: moved, it would put a copy of the
+    expression into the lambdas that name the column, to be evaluated for each element."""
+    return F.when(F.spark_partition_id() >= 0, column)
+
+
+def with_words(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with the hashes of pairs of words as out_g and the words as out_w. Every step is a column that the next one names
+    more than once, so that none is worked out again for each element."""
+    w, g = f"{out}_w", f"{out}_g"
+    return df.withColumn(w, parts(text)).withColumn(w, letters(F.col(w), text)).withColumn(g, once(pairs(w)))
 
 
 def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with all anchors of a text, (position, anchor) in order of their places."""
-    w, g, c = f"__{out}_w", f"__{out}_g", f"__{out}_c"
-    df = df.withColumn(w, words(text)).withColumn(g, pairs(w)).withColumn(c, chosen(g))
-    placed = F.transform(c, lambda h, i: F.struct(i.alias("position"), h.alias("anchor")))
+    w, g = f"__{out}_w", f"__{out}_g"
+    df = with_words(df, text, f"__{out}").withColumn(out, chosen(g))
     whole = F.shiftrightunsigned(F.xxhash64(F.array_join(F.col(w), " ")), 16)
-    df = df.withColumn(out, F.filter(placed, lambda x: x["anchor"] != F.lit(NONE)))
     alone = F.array(F.struct(F.lit(0).alias("position"), whole.alias("anchor")))
-    return df.withColumn(out, F.when((F.size(out) == 0) & (F.size(w) > 0), alone).otherwise(F.col(out))).drop(w, g, c)
+    return df.withColumn(out, F.when((F.size(out) == 0) & (F.size(w) > 0), alone).otherwise(F.col(out))).drop(w, g)
 
 
-def sketch(anchors: str) -> Column:
-    """At most SKETCH longs, ascending."""
-    return F.slice(F.array_distinct(F.sort_array(F.col(anchors)["anchor"])), 1, SKETCH)
+def spelled(hashes: Column) -> Column:
+    """The sketch: at most SKETCH hashes, ascending."""
+    least = F.slice(F.array_distinct(F.sort_array(hashes)), 1, SKETCH)
+    return F.lower(F.array_join(F.transform(least, lambda h: F.lpad(F.hex(h), 12, "0")), ""))
 
 
-def spelled(anchors: str) -> Column:
-    return F.array_join(F.transform(sketch(anchors), lambda h: F.lower(F.lpad(F.hex(h), 12, "0"))), "")
+def repeats(hashes: Column) -> Column:
+    """The hashes without one of each: those equal to the one before in ascending order."""
+    ordered, n = F.sort_array(hashes), F.size(hashes) - 1
+    return F.array_compact(F.zip_with(F.slice(ordered, 1, n), F.slice(ordered, 2, n), lambda a, b: F.when(a == b, a)))
 
 
-def likeness(a: str, b: str) -> Column:
-    """Dice's share from all anchors of two texts: the n-th place of an anchor in one meets its n-th place in the other.
-
-    The hashes of both are sorted together, those of a before equal ones of b, and counted in one pass.
-    """
-    side = lambda c, odd: F.transform(F.col(c)["anchor"], lambda h: h * 2 + odd)
+def common(a: Column, b: Column) -> Column:
+    """How many hashes of a meet an equal one of b, each one only: the hashes of both are sorted together, those of a before
+    equal ones of b, and counted in one pass."""
+    side = lambda c, odd: F.transform(c, lambda h: h * 2 + odd)
     start = F.struct(F.lit(-1).cast("long").alias("anchor"), F.lit(0).alias("free"), F.lit(0).alias("met"))
 
     def step(state: Column, x: Column) -> Column:
@@ -92,21 +117,30 @@ def likeness(a: str, b: str) -> Column:
             (state["met"] + F.when(right & (free > 0), F.lit(1)).otherwise(F.lit(0))).alias("met"),
         )
 
-    met = F.aggregate(F.sort_array(F.concat(side(a, 0), side(b, 1))), start, step, lambda state: state["met"])
+    return F.aggregate(F.sort_array(F.concat(side(a, 0), side(b, 1))), start, step, lambda state: state["met"])
+
+
+def likeness(a: str, b: str) -> Column:
+    """Dice's share from all hashes of two texts: the n-th place of an anchor in one meets its n-th place in the other.
+
+    First places meet where a hash stands in both; further places are counted only if both texts repeat a hash.
+    """
+    x, y = F.col(a), F.col(b)
+    repeated = lambda c: F.size(F.array_distinct(c)) < F.size(c)
+    met = F.size(F.array_intersect(x, y)) + F.when(repeated(x) & repeated(y), common(repeats(x), repeats(y))).otherwise(F.lit(0))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(2 * met.cast("double") / (F.size(a) + F.size(b)))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, anchors) of every whole text: its sketch, and all its anchors with their positions."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return with_anchors(rows, "text", "anchors").select("doc_id", spelled("anchors").alias("fingerprint"), "anchors")
+    return with_anchors(rows, "text", "anchors").select("doc_id", spelled(F.col("anchors")["anchor"]).alias("fingerprint"), "anchors")
 
 
 def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, position, anchor): every closed syncmer with the number of its first word, from 0."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumn("w", words("text")).withColumn("g", pairs("w")).withColumn("c", chosen("g"))
-    return rows.select("doc_id", F.posexplode("c").alias("position", "anchor")).where(F.col("anchor") != NONE)
+    return with_words(rows, "text", "x").withColumn("c", once(chosen("x_g"))).select("doc_id", F.inline("c"))
 
 
 def matches(pairs_of_texts: DataFrame, left: str = "left", right: str = "right", id_col: str = "pair_id") -> DataFrame:
@@ -122,66 +156,61 @@ def matches(pairs_of_texts: DataFrame, left: str = "left", right: str = "right",
     return both.select("pair_id", "anchor", "left_position", "right_position")
 
 
-def successors(ids: DataFrame) -> DataFrame:
-    """(doc_id, h, n, next_id, next_h, prev_id, prev_h, prev_n): neighbours in descending order, round the end.
+def within(start: str, after: str) -> Column:
+    """Whether (doc_id, h), in descending order, stands at start or behind it, and before the start that comes after."""
+    reached = lambda key: (F.col("doc_id") < F.col(f"{key}.doc_id")) | ((F.col("doc_id") == F.col(f"{key}.doc_id")) & (F.col("h") <= F.col(f"{key}.h")))
+    return reached(start) & (F.col(after).isNull() | ~reached(after))
 
-    ids: (doc_id, h, n), distinct. Rows are dealt into ranges; within a range a window finds the neighbours, and the
-    ranges' first and last rows (a few for each task) find theirs among themselves.
-    """
-    order = [F.col("doc_id").desc(), F.col("h").desc()]
-    ranged = cut(ids.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
-    row = F.struct("doc_id", "h", "n")
-    within = Window.partitionBy("range").orderBy(*order)
-    inside = ranged.withColumn("next", F.lead(row).over(within)).withColumn("prev", F.lag(row).over(within))
-    ends = ranged.groupBy("range").agg(F.max(row).alias("first"), F.min(row).alias("last"))
-    round_ = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    line = Window.orderBy("range")
-    ends = ends.select(
-        "range",
-        F.coalesce(F.lead("first").over(line), F.first("first").over(round_)).alias("after"),
-        F.coalesce(F.lag("last").over(line), F.last("last").over(round_)).alias("before"),
-    )
-    both = inside.join(F.broadcast(ends), "range")  # a row for each shuffle partition
-    return both.select(
-        "doc_id", "h", "n",
-        *[F.coalesce(F.col(f"next.{c}"), F.col(f"after.{c}")).alias(f"next_{a}") for c, a in (("doc_id", "id"), ("h", "h"))],
-        *[F.coalesce(F.col(f"prev.{c}"), F.col(f"before.{c}")).alias(f"prev_{a}") for c, a in (("doc_id", "id"), ("h", "h"), ("n", "n"))],
-    )
+
+def bounds(ids: DataFrame, ranges: int) -> DataFrame:
+    """(range, group, start, after, before): at most so many ranges of (doc_id, h) in descending order, with the first
+    row of each, the first row after it and the number of the range before it, round the end. Groups are runs of ranges."""
+    ranged = ids.repartitionByRange(ranges, F.col("doc_id").desc(), F.col("h").desc()).withColumn("range", F.spark_partition_id())
+    starts = cut(ranged.groupBy("range").agg(F.max(F.struct("doc_id", "h")).alias("start")))
+    line = Window.orderBy("range")  # a row for each range
+    round_ = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = F.coalesce(F.lag("range").over(line), F.last("range").over(round_))
+    group = F.floor(F.col("range") / math.isqrt(ranges))
+    return cut(starts.select("range", group.alias("group"), "start", F.lead("start").over(line).alias("after"), before.alias("before")))
 
 
 def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document against its text with the second half replaced by the start of the next document.
 
-    Texts are shuffled once, to meet their neighbours' lengths, and then sent on to the document before; anchors are
-    taken where the texts have met, as a text is shorter than its anchors.
+    Texts are shuffled once, into ranges of descending ids; the first document of a range is also sent to the range
+    before, as a visitor behind all others. So each meets the next one within its range, in order, with the anchors that
+    this one has already.
     """
-    # a column more on one side would keep the two joins from sharing the shuffle of the texts: no id is the least number
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     base = base.withColumn("h", F.xxhash64("text"))
-    listed = cut(base.select("doc_id", "h", F.length("text").alias("n")))
-    ids = listed.distinct()
-    neighbours = cut(successors(ids))
-    repeated = listed.count() != neighbours.count()
-    placed = base.join(neighbours.hint("shuffle_merge"), ["doc_id", "h"])
-    sent = placed.select(
-        F.col("prev_id").alias("doc_id"),
-        F.col("prev_h").alias("h"),
-        F.col("text").alias("next_text"),
-    )
+    ids = cut(base.groupBy("doc_id", "h").agg(F.count("*").alias("copies")))
+    edges = bounds(ids.select("doc_id", "h"), RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    groups = edges.groupBy("group").agg(F.max("start").alias("from"), F.max_by("after", "range").alias("to"))
+    # a row meets one group, then one range: each side has about the root of the number of ranges to look through
+    placed = base.join(F.broadcast(groups), within("from", "to")).join(F.broadcast(edges), ["group"]).where(within("start", "after"))
+    first = (F.col("doc_id") == F.col("start.doc_id")) & (F.col("h") == F.col("start.h"))
+    own, visit = F.struct("range", F.lit(False).alias("visitor")), F.struct(F.col("before").alias("range"), F.lit(True).alias("visitor"))
+    rows = placed.select("doc_id", "h", "text", F.inline(F.when(first, F.array(own, visit)).otherwise(F.array(own)))).repartitionByRange("range")
+    repeated = not ids.where("copies > 1").isEmpty()
     if repeated:
-        sent = sent.dropDuplicates(["doc_id", "h"])
-    met = placed.select("doc_id", "h", "n", "text").join(sent.hint("shuffle_merge"), ["doc_id", "h"])
+        rows = rows.groupBy("range", "visitor", "doc_id", "h").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    order = ["visitor", F.col("doc_id").desc(), F.col("h").desc()]
+    rows = with_anchors(rows.sortWithinPartitions("range", *order), "text", "anchors").withColumn("hashes", F.col("anchors")["anchor"])
+    following = Window.partitionBy("range").orderBy(*order)
+    met = rows.withColumn("next_text", F.lead("text").over(following)).withColumn("next_hashes", F.lead("hashes").over(following))
+    met = met.where(~F.col("visitor")).withColumn("n", F.length("text"))
     met = met.withColumn("edit", F.expr("concat(left(text, n - cast(floor(n / 2) as int)), left(next_text, cast(floor(n / 2) as int)))"))
-    for text, out in (("text", "anchors"), ("edit", "edited_anchors"), ("next_text", "next_anchors")):
-        met = with_anchors(met, text, out)
+    met = with_anchors(met, "edit", "edited_anchors").withColumn("edited_hashes", F.col("edited_anchors")["anchor"])
+    if repeated:
+        met = met.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
     return met.select(
         F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"),
         F.col("n").cast("long").alias("n_chars"),
         F.sha2(F.col("edit"), 256).alias("edited_sha256"),
-        spelled("anchors").alias("fingerprint"),
-        spelled("edited_anchors").alias("edited_fingerprint"),
-        likeness("anchors", "edited_anchors").alias("near_edited"),
-        likeness("anchors", "next_anchors").alias("near_next"),
+        spelled(F.col("hashes")).alias("fingerprint"),
+        spelled(F.col("edited_hashes")).alias("edited_fingerprint"),
+        likeness("hashes", "edited_hashes").alias("near_edited"),
+        likeness("hashes", "next_hashes").alias("near_next"),
         "anchors",
         "edited_anchors",
     )

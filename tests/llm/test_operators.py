@@ -503,6 +503,30 @@ def test_likeness_is_of_all_anchors(spark):
         assert got[i]["near_edited"] < 1 and len(got[i]["fingerprint"]) == 12 * syncmers.SKETCH
 
 
+def test_texts_are_shuffled_once_and_meet_their_next_across_ranges(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([None, i, -i, i // 4]), prose(rng.randint(1, 30), i) * rng.choice([1, 3])) for i in range(400)]
+    rows += rng.sample(rows, 40)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = syncmers.edited(docs)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Exchange rangepartitioning") == 1
+    got = Counter((r["doc_id"], r["edited_sha256"], r["near_edited"], r["near_next"]) for r in made.collect())
+    hashes = dict(docs.select("text", F.xxhash64("text").alias("h")).distinct().collect())
+    order = sorted(set(rows), key=lambda r: (-(1 << 63) if r[0] is None else r[0], hashes[r[1]]), reverse=True)
+    pairs = []
+    for (_, t), (_, u) in zip(order, order[1:] + order[:1], strict=True):
+        pairs.append((t, t[: len(t) - len(t) // 2] + u[: len(t) // 2], u))
+    numbered = spark.createDataFrame([(i * 3 + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)], "doc_id long, text string")
+    found = {r["doc_id"]: Counter(x["anchor"] for x in r["anchors"]) for r in syncmers.fingerprints(numbered).collect()}
+    dice = lambda a, b: 2 * (a & b).total() / (a.total() + b.total())
+    copies, want = Counter(rows), Counter()
+    for i, ((d, t), p) in enumerate(zip(order, pairs, strict=True)):
+        own, edit, following = (found[i * 3 + k] for k in range(3))
+        want[d, hashlib.sha256(p[1].encode()).hexdigest(), dice(own, edit), dice(own, following)] += copies[d, t]
+    assert got == want
+
+
 # --- op6, op7, op10 --------------------------------------------------------------------------------------------------
 
 
