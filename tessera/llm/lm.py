@@ -26,20 +26,20 @@ over its classes; an empty table gives an empty result. Columns other than id an
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import chain, repeat
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts, read, remainder, slices, small, texts
+from .common import cut, map_texts, read, remainder, slices, small
 
 #: Most words of the head.
 HEAD = 1 << 18
@@ -57,6 +57,8 @@ PAIR_ROWS = 1 << 13
 #: Bounds of the rows of each hashed table: an eighth of the counted words, as a power of two; contexts have half of it.
 ROWS = (1 << 13, 1 << 14)
 BATCH, RATE = 4096, 0.15
+#: Repeats of a row within a batch that are added for all rows together.
+REPEATS = 8
 BLOCKS = 64
 #: Leaves of the tail up to which their table is broadcast.
 CROWD_ROWS = 1 << 18
@@ -99,7 +101,7 @@ class Numbers:
     """Numbers of words: place in the head, and context."""
 
     def __init__(self, facts: Facts):
-        self.place = {w: i for i, w in enumerate(facts.head)}
+        self.words = pa.array(list(facts.head), pa.binary())
         depth, self.endings, _ = facts.shape
         self.leaves = 1 << depth
         inside = {w: i for i, w in enumerate(facts.model)}
@@ -110,24 +112,32 @@ class Numbers:
             if w in inside:
                 self.context[i] = inside[w]
 
-    def places(self, documents: list[list[bytes]]) -> np.ndarray:
-        """Places of all words of all documents, one after the other; -1 outside the head."""
-        n = sum(map(len, documents))
-        return np.fromiter(map(self.place.get, chain.from_iterable(documents), repeat(-1)), np.int32, n)
-
-    def sequences(self, documents: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of documents that each end with END: (targets, word before, word before that, leaves, starts, places)."""
-        places = self.places(documents)
+    def sequences(self, flat: pa.Array, lengths: np.ndarray) -> Sequences:
+        """Of the tokens of documents with these lengths, as from tokens()."""
+        places = pc.fill_null(pc.index_in(flat, value_set=self.words), -1).to_numpy()
         rare = np.flatnonzero(places < 0)
         ids = np.take(self.context, places, mode="clip") if len(self.context) else np.empty(len(places), np.int32)
         leaf = np.take(self.leaf, places, mode="clip") if len(self.leaf) else np.empty(len(places), np.int64)
+        outside = flat.take(pa.array(rare)).dictionary_encode()
         if len(rare):
-            flat = list(chain.from_iterable(documents))
-            hashes = np.fromiter((zlib.crc32(flat[i]) for i in rare.tolist()), np.int64, len(rare))
+            hashes = np.fromiter(map(zlib.crc32, outside.dictionary.to_pylist()), np.int64, len(outside.dictionary))[outside.indices.to_numpy()]
             ids[rare] = START + 1 + hashes % self.endings
             leaf[rare] = hashes % self.leaves
-        lengths = np.fromiter(map(len, documents), np.int64, len(documents))
-        return *shifted(ids, lengths), leaf, np.cumsum(lengths) - lengths, places
+        return Sequences(*shifted(ids, lengths), leaf, np.cumsum(lengths) - lengths, places, rare, outside)
+
+
+class Sequences(NamedTuple):
+    """Tokens as numbers: contexts of a token, the word before and the one before that, its leaf; starts of documents; places
+    in the head, -1 outside; the tokens outside it, and their words."""
+
+    ids: np.ndarray
+    one: np.ndarray
+    two: np.ndarray
+    leaves: np.ndarray
+    starts: np.ndarray
+    places: np.ndarray
+    rare: np.ndarray
+    outside: pa.DictionaryArray
 
 
 def shifted(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,10 +171,10 @@ class Model:
 
     def rows(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """Rows of the class features; which tokens have a member; rows of its features."""
-        pair = (one.astype(np.int64) * 40503 + two.astype(np.int64) * 9973) % self.hashed
+        pair = (one.astype(np.int64) * 40503 + two.astype(np.int64) * 9973) & (self.hashed - 1)
         inside = np.flatnonzero(ids < WORDS)
         cls = ids[inside] % TAIL
-        member = (cls.astype(np.int64) * 7919 + one[inside].astype(np.int64) * 31337) % self.hashed
+        member = (cls.astype(np.int64) * 7919 + one[inside].astype(np.int64) * 31337) & (self.hashed - 1)
         return [one, two, pair], inside, np.stack([member, cls.astype(np.int64)])
 
     def logits(self, ids, one, two):
@@ -189,7 +199,7 @@ class Model:
         node = (1 << level) - 1 + (leaf & ((1 << level) - 1))
         taken = (leaf >> level & 1).astype(np.float32)
         mixed = node * 0x2545F4914F6D
-        places = [node % BRANCHES] + [(mixed + x * m >> 21) % BRANCHES for x, m in ((o, 0x1B873593A5), (t, 0x5BD1E995C7))]
+        places = [node & (BRANCHES - 1)] + [(mixed + x * m >> 21) & (BRANCHES - 1) for x, m in ((o, 0x1B873593A5), (t, 0x5BD1E995C7))]
         z = sum(w[p] for w, p in zip(self.tail, places, strict=True))
         return np.clip(z, -30, 30, out=z), taken, places
 
@@ -228,11 +238,14 @@ class Model:
             g = (1 / (1 + np.exp(-z)) - taken).ravel()
             for weights, squares, p in zip(self.tail, self.squares[-1], map(np.ravel, places), strict=True):
                 np.add.at(self.gathered, p, g)
-                total = self.gathered[p]  # equal places hold equal sums, so writing them once more changes nothing
+                total = np.take(self.gathered, p)  # equal places hold equal sums, so writing them once more changes nothing
                 self.gathered[p] = 0
-                grown = squares[p] + total * total
+                grown = np.take(squares, p)
+                grown += total * total
                 squares[p] = grown
-                weights[p] -= RATE * total / np.sqrt(grown)
+                total *= RATE
+                total /= np.sqrt(grown, out=grown)
+                weights[p] = np.subtract(np.take(weights, p), total, out=total)
 
     def _push(self, k: int, rows: np.ndarray, g: np.ndarray) -> None:
         """AdaGrad with one sum of squares per row; gradients of equal rows are added first."""
@@ -241,19 +254,26 @@ class Model:
         order = np.argsort(rows.astype(np.uint16), kind="stable")  # all row numbers fit, and short keys sort by radix
         ordered = rows[order]
         heads = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        own, sizes = ordered[heads], np.diff(heads, append=len(ordered))
-        g = np.take(g, order, axis=0, out=self.buffers[3][: len(g)], mode="clip")
-        total = np.take(g, heads, axis=0, out=self.buffers[4][: len(heads)], mode="clip")
-        for i in range(1, 6):  # few rows repeat often: the first few repeats are added together, the others row by row
-            more = np.flatnonzero(sizes > i)
-            total[more] += g[heads[more] + i]
-        many = np.flatnonzero(sizes > 6)
-        for i, a, b in zip(many.tolist(), (heads[many] + 6).tolist(), (heads[many] + sizes[many]).tolist(), strict=True):
-            total[i] += np.add.reduce(g[a:b])
+        sizes = np.diff(heads, append=len(ordered))
+        # rows with many repeats first, so that those with an i-th one stand in front: their repeats are added together
+        rank = np.argsort(-sizes.astype(np.int16), kind="stable")
+        heads, sizes = heads[rank], sizes[rank]
+        own, n = ordered[heads], len(heads)
+        least = np.searchsorted(-sizes, -np.arange(1, REPEATS + 1), side="left").tolist()
+        total, more = self.buffers[4][:n], self.buffers[3]
+        np.take(g, order[heads], axis=0, out=total, mode="clip")
+        for i, m in enumerate(least, 1):
+            total[:m] += np.take(g, order[heads[:m] + i], axis=0, out=more[:m], mode="clip")
+        # the few with more repeats, row by row
+        far = np.searchsorted(-sizes, -REPEATS - 1, side="left")
+        for i, (a, b) in enumerate(zip((heads[:far] + REPEATS + 1).tolist(), (heads[:far] + sizes[:far]).tolist(), strict=True)):
+            total[i] += _ONES_OF[: b - a] @ np.take(g, order[a:b], axis=0, out=more[: b - a], mode="clip")
         squares = self.squares[k][own] + np.einsum("ij,ij->i", total, total) / 64
         self.squares[k][own] = squares
         total *= (RATE / np.sqrt(squares))[:, None]
-        self.tables[k][own] -= total
+        changed = np.take(self.tables[k], own, axis=0, out=more[:n], mode="clip")
+        changed -= total
+        self.tables[k][own] = changed
 
     def learn(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray, leaves: np.ndarray | None = None) -> None:
         for at in range(0, len(ids), BATCH):
@@ -262,6 +282,7 @@ class Model:
 
 
 _ONES = np.ones(64, np.float32)
+_ONES_OF = np.ones(BATCH, np.float32)
 
 
 def chosen_log(z: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -279,12 +300,19 @@ def gradient(z: np.ndarray, k: np.ndarray) -> np.ndarray:
     return p
 
 
-def words_of(column: pa.Array) -> list[list[bytes]]:
-    """Words of every text, and END."""
-    out = [(t or b"").lower().split() for t in texts(column)]
-    for words in out:
-        words.append(END)
-    return out
+def tokens(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of every text and END, one after the other, and the number of each text's. No word becomes an object."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+    flat, lengths = split.flatten(), np.diff(split.offsets.to_numpy()).astype(np.int64)
+    empty = pc.equal(pc.binary_length(flat), 0)  # beside blanks at a text's ends
+    lengths -= np.bincount(np.repeat(np.arange(len(lengths)), lengths)[empty.to_numpy(zero_copy_only=False)], minlength=len(lengths))
+    flat = flat.filter(pc.invert(empty)).cast(pa.binary())
+    lengths += 1
+    index = np.empty(len(flat) + len(lengths), np.int64)
+    inner = np.ones(len(index), bool)
+    inner[np.cumsum(lengths) - 1] = False
+    index[inner], index[~inner] = np.arange(len(flat)), len(flat)
+    return pa.concat_arrays([flat, pa.array([END], pa.binary())]).take(pa.array(index)), lengths
 
 
 def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -295,14 +323,17 @@ def count_words(docs: DataFrame) -> DataFrame:
     """(word, c): END counts documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-        rows = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+        summed = lambda t: t.group_by("word", use_threads=False).aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
+        held = none = pa.table({"word": pa.array([], pa.binary()), "n": pa.array([], pa.int64())})
         for batch in slices(batches):
-            seen.update(chain.from_iterable(words_of(batch.column(1))))
-            if len(seen) > TABLE_WORDS:
-                yield rows()
-                seen.clear()
-        yield rows()
+            found = tokens(batch.column(1))[0].value_counts()
+            held = pa.concat_tables([held, pa.table({"word": found.field("values"), "n": found.field("counts")})])
+            if held.num_rows > 2 * TABLE_WORDS:
+                held = summed(held)
+                if held.num_rows > TABLE_WORDS:
+                    yield from held.to_batches()
+                    held = none
+        yield from summed(held).to_batches()
 
     return docs.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
@@ -355,8 +386,9 @@ def train(docs: DataFrame, facts: Facts, warm_documents: int = 1500) -> Model:
         numbers = Numbers(sent.value)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [numbers.sequences([w]) for w in words_of(batch.column(1))]
-            parts = [np.stack([x[0].astype(np.int64), x[3]]).tobytes() for x in found]
+            found = numbers.sequences(*tokens(batch.column(1)))
+            both = np.stack([found.ids.astype(np.int64), found.leaves])
+            parts = [x.tobytes() for x in np.split(both, found.starts[1:], axis=1)]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.binary())], ["doc_id", "ids"])
 
         return step
@@ -375,22 +407,22 @@ def train(docs: DataFrame, facts: Facts, warm_documents: int = 1500) -> Model:
     start = context.broadcast((warm.flat, warm.squares))
 
     def run(part: pa.Table) -> pa.Table:
-        numbers, tokens = sent.value.numbers, 0
+        numbers, seen = sent.value.numbers, 0
         flat, squares = start.value
         own = Model(flat.copy(), *sent.value.shape)
         own.squares = [s.copy() for s in squares]
         for batch in slices(iter(part.sort_by([("doc_id", "ascending"), ("h", "ascending")]).combine_chunks().to_batches())):
-            ids, one, two, leaves, *_ = numbers.sequences(words_of(batch.column("text")))
+            ids, one, two, leaves, *_ = numbers.sequences(*tokens(batch.column("text")))
             own.learn(ids, one, two, leaves)
-            tokens += len(ids)
+            seen += len(ids)
         change = np.array_split((own.flat - flat).astype(np.float16), BLOCKS)
-        return pa.table([pa.array(range(BLOCKS), pa.int32()), pa.array([tokens] * BLOCKS, pa.int64()), pa.array([c.tobytes() for c in change], pa.binary())], names=["block", "tokens", "change"])
+        return pa.table([pa.array(range(BLOCKS), pa.int32()), pa.array([seen] * BLOCKS, pa.int64()), pa.array([c.tobytes() for c in change], pa.binary())], names=["block", "tokens", "change"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, tokens, change in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                part = np.frombuffer(change, np.float16).astype(np.float64) * (tokens / facts.tokens)
+            for block, seen, change in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                part = np.frombuffer(change, np.float16).astype(np.float64) * (seen / facts.tokens)
                 sums[block] = sums[block] + part if block in sums else part
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.astype(np.float32).tobytes() for s in sums.values()], pa.binary())], ["block", "change"])
@@ -421,28 +453,26 @@ def score(docs: DataFrame, counts: DataFrame, facts: Facts, crowds: DataFrame, m
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             nonlocal row
-            documents = words_of(batch.column(1))
-            ids, one, two, leaves, starts, places = numbers.sequences(documents)
+            found = numbers.sequences(*tokens(batch.column(1)))
+            places, starts, n = found.places, found.starts, batch.num_rows
             over = lambda x: np.add.reduceat(x, starts)
-            lengths = np.diff(starts, append=len(ids))
+            lengths = np.diff(starts, append=len(places))
             known = over((places >= 0).astype(np.int64))
             base, share = over(base_of[places]), over(share_of[places])
-            logs = over(net.log_probabilities(ids, one, two, leaves)) / np.log(10)
-            n = len(documents)
+            logs = over(net.log_probabilities(found.ids, found.one, found.two, found.leaves)) / np.log(10)
             rids = task + row + np.arange(n)
             row += n
-            outside = np.flatnonzero(places < 0)
-            owners = np.searchsorted(starts, outside, side="right") - 1
-            flat_words = list(chain.from_iterable(documents))
-            rare = Counter(zip(owners.tolist(), map(flat_words.__getitem__, outside.tolist()), strict=True))
-            keys, more = list(rare), len(rare)
-            held = np.fromiter((k[0] for k in keys), np.int64, more)
+            # a row for each word of a document outside the head
+            owners = np.searchsorted(starts, found.rare, side="right") - 1
+            many = max(len(found.outside.dictionary), 1)
+            keys, times = np.unique(owners * many + found.outside.indices.to_numpy(), return_counts=True)
+            held, more = keys // many, len(keys)
             none = np.zeros(more, np.int64)
             columns = [
-                [b" %d" % r for r in rids] + [k[1] for k in keys],
+                pa.concat_arrays([pa.array([b" %d" % r for r in rids], pa.binary()), found.outside.dictionary.take(pa.array(keys % many))]),
                 np.concatenate((rids, rids[held])),
-                batch.column(0).to_pylist() + [None] * more,
-                np.concatenate((np.zeros(n, np.int64), np.fromiter(rare.values(), np.int64, more))),
+                pa.concat_arrays([batch.column(0), pa.nulls(more, pa.int64())]),
+                np.concatenate((np.zeros(n, np.int64), times)),
                 np.concatenate((lengths, none)),
                 np.concatenate((known, none)),
                 np.concatenate((base, none)),
@@ -450,7 +480,7 @@ def score(docs: DataFrame, counts: DataFrame, facts: Facts, crowds: DataFrame, m
             ]
             kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
             names = ("word", "rid", "doc_id", "n", "n_tokens", "n_known", "base", "model")
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], list(names))
+            return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], list(names))
 
         return step
 

@@ -9,6 +9,7 @@ from math import log10
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -775,6 +776,42 @@ def test_tail_words_are_predicted_from_their_context():
     assert abs(np.exp(model.log_probabilities(every, a, b, at)).sum() - 1) < 1e-3
 
 
+def test_words_become_numbers_without_objects():
+    """Tokens, their numbers and counts as arrays, against words cut and looked up one by one."""
+    rng = random.Random(6)
+    parts = ["One", "two", "É", "ÀB\u0085c", "x\u00a0y", "字", "\x1c", " ", "  ", "\n", "\t", "\x0b", "\x0c\r", "rare", "Z" * 70]
+    texts = [None, "", " ", "\n\n", "a", *("".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(0, 40))) for _ in range(300))]
+    want = [(t or "").encode().lower().split() + [lm.END] for t in texts]
+    flat, lengths = lm.tokens(pa.array(["-", *texts], pa.string()).slice(1))
+    assert flat.to_pylist() == [w for ws in want for w in ws] and lengths.tolist() == [len(ws) for ws in want]
+    counts = Counter(flat.to_pylist())
+    head = dict(counts.most_common(len(counts) // 2))
+    facts = lm.Facts(counts.total(), len(counts), head, list(head)[:5], np.zeros(len(head)))
+    found, place = facts.numbers.sequences(flat, lengths), {w: i for i, w in enumerate(head)}
+    assert found.places.tolist() == [place.get(w, -1) for ws in want for w in ws]
+    hashed = lambda w: lm.START + 1 + zlib.crc32(w) % lm.ENDINGS
+    number = lambda w: place[w] if place.get(w, 9) < 5 else hashed(w)
+    assert found.ids.tolist() == [number(w) for ws in want for w in ws]
+    assert found.one.tolist() == [x for ws in want for x in [lm.START, *map(number, ws[:-1])]]
+    assert found.leaves.tolist() == [zlib.crc32(w) % 64 for ws in want for w in ws]
+    assert found.outside.to_pylist() == [w for ws in want for w in ws if w not in place]
+
+
+def test_rows_that_repeat_take_one_step_for_a_batch():
+    rng = np.random.default_rng(5)
+    model = lm.Model()
+    model.tables[2][:] = rng.normal(size=model.tables[2].shape)
+    rows = rng.permutation(np.concatenate([np.full(900, 7), np.repeat(np.arange(100, 130), 30), np.repeat(np.arange(200, 260), lm.REPEATS + 1), np.arange(300, 900)]))
+    g = rng.normal(size=(len(rows), 64)).astype(np.float32)
+    want = model.tables[2].astype(float)
+    for row in np.unique(rows):
+        total = g[rows == row].astype(float).sum(axis=0)
+        want[row] -= lm.RATE * total / np.sqrt(0.02 + (total * total).mean())
+    model._push(2, rows, g)
+    assert np.abs(model.tables[2] - want).max() < 1e-5
+    model._push(2, rows[:0], g[:0])
+
+
 def test_a_branch_takes_one_step_for_a_batch():
     """The tail's update against AdaGrad written out, with places that repeat within the batch."""
     rng = np.random.default_rng(3)
