@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from corpus_pipeline import run
 
-from . import bpe, language, lm, mixing, neighbours, pii, quality, simhash, syncmers, toxicity
+from . import bpe, language, lexical, lm, mixing, neighbours, pii, quality, simhash, syncmers, toxicity
 
 QUERIES = {
     "op1_source_mixing": mixing.op1,
@@ -18,7 +18,9 @@ QUERIES = {
     "op10_toxicity": toxicity.op10,
     "op2_nearest_neighbours": neighbours.op2,
     "op3_simhash_near_dedup": simhash.op3,
+    "op12_ranked_search": lexical.op12,
 }
 ORACLES: dict[str, str] = {
     "op1_source_mixing": mixing.ORACLE,
+    "op12_ranked_search": lexical.ORACLE,
 }
