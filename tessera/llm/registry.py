@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from corpus_pipeline import run
 
-from . import bpe, language, lexical, lm, mixing, neighbours, pii, quality, simhash, syncmers, toxicity
+from . import alignment, bpe, language, lexical, lm, mixing, neighbours, pii, quality, simhash, syncmers, toxicity
 
 QUERIES = {
     "op1_source_mixing": mixing.op1,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10,
     "op2_nearest_neighbours": neighbours.op2,
     "op3_simhash_near_dedup": simhash.op3,
+    "op11_tokenizer_alignment": alignment.op11,
     "op12_ranked_search": lexical.op12,
 }
 ORACLES: dict[str, str] = {
