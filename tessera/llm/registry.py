@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from corpus_pipeline import run
 
-from . import alignment, bpe, language, lexical, lm, mixing, neighbours, pii, quality, simhash, syncmers, toxicity
+from . import alignment, bpe, language, lexical, lm, mixing, neighbours, pages, pii, quality, simhash, syncmers, toxicity
 
 QUERIES = {
     "op1_source_mixing": mixing.op1,
@@ -20,6 +20,7 @@ QUERIES = {
     "op3_simhash_near_dedup": simhash.op3,
     "op11_tokenizer_alignment": alignment.op11,
     "op12_ranked_search": lexical.op12,
+    "op13_page_text": pages.op13,
 }
 ORACLES: dict[str, str] = {
     "op1_source_mixing": mixing.ORACLE,
