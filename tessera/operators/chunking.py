@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 from typing import Any
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import LEAKS, SENTENCE_GAP, token_pieces
 from tessera.functions.tokenizers import BytePairTokenizer, stable_windows
+from tessera.session import scratch_folder
+from tessera.sources.answered import AnswerStore, each
 
 SEPARATOR = "\n\n"
 #: Why a block of a type was split.
@@ -541,13 +544,19 @@ def planned_chunks_of(blocks: list[dict[str, Any]], config: PlannerConfig, plan:
     return assemble(blocks, plans, config)
 
 
-def planned_chunks(docs: DataFrame, plan: Planner = by_sections, config: PlannerConfig = PlannerConfig(), cache: DataFrame | None = None, secrets: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+def planned_chunks(
+    docs: DataFrame, plan: Planner = by_sections, config: PlannerConfig = PlannerConfig(), cache: DataFrame | None = None, secrets: tuple[str, ...] = (), store: AnswerStore | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(chunks, failures, plans) of parsed documents (doc_id, blocks): equal requests are asked once, over all documents.
 
-    cache: (digest, request, plan): whole requests are kept and compared, a plan under another request's digest is an error.
-    Requests that it lacks are asked by as many tasks as there are partitions. A document with a request that failed is
-    left out whole; failures are (doc_id, problem). plans are this run's cache.
+    Requests are asked when this is called, and kept in the store, which all three results read: however often they are
+    read, nothing is asked again. Without a store, a new one below the shared folder serves. cache: (digest, request, plan)
+    of other runs; whole requests are kept and compared, a plan under another request's digest is an error. A document with
+    a request that failed is left out whole; failures are (doc_id, problem). plans are (digest, request, plan) of these
+    documents.
     """
+    spark = docs.sparkSession
+    store = store or AnswerStore(spark, f"{scratch_folder(spark)}/plans", {"planner": asdict(config)})
     ask = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "blocks")
 
     def request(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -559,35 +568,22 @@ def planned_chunks(docs: DataFrame, plan: Planner = by_sections, config: Planner
                 except ValueError as e:
                     rows.append((doc_id, 0, None, None, str(e)))
             kinds = pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "part", "digest", "request", "problem"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "part", "key", "request", "problem"])
 
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            plans: list[str | None] = []
-            problems: list[str | None] = []
-            for raw in batch.column(1).to_pylist():
-                try:
-                    plans.append(resolve_plan(json.loads(raw), plan, config, secrets))
-                    problems.append(None)
-                except ValueError as e:
-                    plans.append(None)
-                    problems.append(f"{type(e).__name__}: {e}")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(plans, pa.string()), pa.array(problems, pa.string())], ["digest", "request", "plan", "failed"])
-
-    asked = ask.mapInArrow(request, "doc_id string, part int, digest string, request string, problem string")
-    unique = asked.where("digest is not null").groupBy("digest").agg(F.min("request").alias("request"))
-    known = unique.where(F.lit(False)).select("digest", "request", F.lit(None).cast("string").alias("plan"))
+    path = f"{store.path}/requests-{uuid.uuid4().hex}"
+    ask.mapInArrow(request, "doc_id string, part int, key string, request string, problem string").write.parquet(path)
+    asked = spark.read.parquet(path)
+    wanted = asked.where("key is not null").select("key", "request")
     if cache is not None:
-        stored = cache.select("digest", F.col("request").alias("stored"), "plan")
-        checked = F.when(F.col("stored") != F.col("request"), F.raise_error(F.lit("a cached plan belongs to another request")).cast("string")).otherwise(F.col("plan"))
-        known = unique.join(stored, "digest").select("digest", "request", checked.alias("plan"))
-    fresh = unique.join(known.select("digest"), "digest", "left_anti").mapInArrow(answer, "digest string, request string, plan string, failed string")
-    plans = fresh.unionByName(known.withColumn("failed", F.lit(None).cast("string")))
-    met = asked.join(plans.select("digest", "plan", "failed"), "digest", "left").withColumn("problem", F.coalesce("problem", "failed"))
+        store.seed(cache.select(F.col("digest").alias("key"), "request", F.col("plan").alias("answer")), wanted)
+    store.fill(wanted, each(lambda raw: resolve_plan(json.loads(raw), plan, config, secrets)))
+    given = store.answers().select("key", F.col("answer").alias("plan")).unionByName(store.failures().select("key", F.col("problem").alias("failed")), allowMissingColumns=True)
+    met = asked.drop("request").join(given, "key", "left").withColumn("problem", F.coalesce("problem", "failed"))
     by_doc = met.groupBy("doc_id").agg(F.min("problem").alias("problem"), F.transform(F.array_sort(F.collect_list(F.struct("part", "plan"))), lambda p: p["plan"]).alias("plans"))
     failures = by_doc.where("problem is not null").select("doc_id", "problem")
     ready = ask.join(by_doc.where("problem is null").select("doc_id", "plans"), "doc_id").select("doc_id", "blocks", "plans")
-    return chunk_rows(ready, "prompt", lambda blocks, plans: assemble(blocks, [parse_cover(p) for p in plans], config)), failures, plans.where("plan is not null").select("digest", "request", "plan")
+    chunks = chunk_rows(ready, "prompt", lambda blocks, plans: assemble(blocks, [parse_cover(p) for p in plans], config))
+    return chunks, failures, store.answers().join(wanted.select("key").distinct(), "key", "left_semi").select(F.col("key").alias("digest"), "request", F.col("answer").alias("plan"))
 
 
 def parse_cover(raw: str) -> list[tuple[int, int, str]]:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from typing import Protocol
+from typing import Any, Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import leaks, word_tokens
 from tessera.functions.vector import hashed_embedding
+from tessera.operators.providers import generation_key
 
 
 class ContextOverflowError(ValueError):
@@ -55,14 +56,21 @@ def hashed_answer(request: Column) -> Column:
     return F.concat(F.lit("Deterministic answer "), F.substring(F.sha2(request, 256), 1, 16))
 
 
-def generate(requests: DataFrame, provider: Provider = hashed_answer, cache: DataFrame | None = None) -> DataFrame:
-    """(query_id, strategy, key, answer, cached): equal requests are asked once; what a cache (key, answer) holds is not.
+def keyed_requests(requests: DataFrame, settings: dict[str, Any] | None = None) -> DataFrame:
+    """(query_id, strategy, key, request) of prompts: system and user text with a separator; the key is of the request and,
+    where they are given, of the settings it is answered with.
 
     A request that would leak a secret is an error, before any provider sees it.
     """
     text = F.concat_ws("\x1e", "system", "user")
     checked = F.when(F.size(leaks(text)) > 0, F.raise_error(F.lit("a request holds a secret")).cast("string")).otherwise(text)
-    keyed = requests.select("query_id", "strategy", checked.alias("request")).withColumn("key", F.sha2("request", 256))
+    rows = requests.select("query_id", "strategy", checked.alias("request"))
+    return rows.select("query_id", "strategy", (F.sha2("request", 256) if settings is None else generation_key(F.col("request"), settings)).alias("key"), "request")
+
+
+def generate(requests: DataFrame, provider: Provider = hashed_answer, cache: DataFrame | None = None, settings: dict[str, Any] | None = None) -> DataFrame:
+    """(query_id, strategy, key, answer, cached): equal requests are asked once; what a cache (key, answer) holds is not."""
+    keyed = keyed_requests(requests, settings)
     unique = keyed.select("key", "request").dropDuplicates(["key"])
     known = cache.select("key", "answer") if cache is not None else unique.where(F.lit(False)).select("key", F.col("request").alias("answer"))
     fresh = unique.join(known, "key", "left_anti").select("key", provider(F.col("request")).alias("answer"), F.lit(False).alias("cached"))

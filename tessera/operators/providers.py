@@ -22,9 +22,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import stripped
 from tessera.operators.chunking import PLAN_SCHEMA, batched, check_outbound
+from tessera.sources.answered import Solver, each
 from tessera.sources.artifacts import fingerprint
 
 Transport = Callable[[str, dict[str, str], bytes], tuple[int, dict[str, str], bytes]]
+#: The status of a request that reached nobody.
+NO_CONNECTION = 599
 
 
 class ProviderError(RuntimeError):
@@ -69,7 +72,10 @@ class Endpoint:
         headers = {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"}
         status = 0
         for attempt in range(self.tries):
-            status, got, raw = self.transport(self.url, headers, body.encode())
+            try:
+                status, got, raw = self.transport(self.url, headers, body.encode())
+            except OSError:  # no connection, or none in time: as a server that fails
+                status, got, raw = NO_CONNECTION, {}, b""
             if status == 200:
                 try:
                     return json.loads(raw)
@@ -163,6 +169,11 @@ def http_answer(endpoint: Endpoint, system: str, user: str, max_tokens: int) ->
     return text
 
 
+def http_answers(endpoint: Endpoint, max_tokens: int) -> Solver:
+    """A solver of requests (system and user text with "\\x1e" between them): a request that gets no finished answer fails alone."""
+    return each(lambda request: http_answer(endpoint, *request.split("\x1e", 1), max_tokens))
+
+
 def http_planner(endpoint: Endpoint, budget: int = 2048, doublings: int = 2) -> Callable[[list[dict[str, Any]]], str]:
     """A planner: asked for JSON of the plan's schema, or in plain words where the endpoint refuses schemas; an empty answer
     that ran out of budget is asked for again with twice as much."""

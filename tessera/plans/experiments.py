@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import rewrite_verdict, stripped
 from tessera.operators import answers, context, metrics, retrieval, statistics
 from tessera.sources import artifacts
+from tessera.sources.answered import BATCH_REQUESTS, AnswerStore, Solver, by_column
 
 FAMILIES = ("E0", "E1", "E2", "E3", "E4", "E5", "E6", "E7")
 
@@ -112,22 +113,39 @@ def publish_ranked(spark: SparkSession, path: str, experiment: Experiment, hits:
     return artifacts.publish(spark, path, tables, experiment.identity(), replace=True)
 
 
-def run_generation(spark: SparkSession, path: str, requests: DataFrame, identity: dict[str, Any], provider: context.Provider = context.hashed_answer) -> bool:
-    """Answer what a folder lacks and append it; the manifest is written once every request has an answer.
+def run_generation(
+    spark: SparkSession, path: str, requests: DataFrame, identity: dict[str, Any], provider: context.Provider = context.hashed_answer, solve: Solver | None = None, batch_requests: int = BATCH_REQUESTS
+) -> bool:
+    """Answer prompts (query_id, strategy, system, user) into a folder; true once every one of them has an answer.
 
-    A run that broke off is taken up where it stopped; a provider's null is a failure that a later run tries again.
+    The folder belongs to one identity (the settings, and the requests themselves) from before the first request is asked:
+    another one is refused, whether the run there is complete or broke off. One run at a time writes to it (BusyError).
+    Answers are committed batch by batch; a run that broke off is taken up behind its last batch, and what failed is tried
+    again. Answers so far and failures (query_id, strategy, problem) stand beside the store; the manifest is written, last,
+    when nothing is missing. A complete run is checked and left alone. provider: a Column of the request; solve: anything
+    else that answers, such as `providers.http_answers`.
     """
+    key = ["query_id", "strategy"]
+    keyed = context.keyed_requests(requests, identity)
+    if not keyed.groupBy(*key).count().where("count > 1").isEmpty():
+        raise ValueError("two requests of one query and strategy")
+    store = AnswerStore(spark, f"{path}/asked", {"settings": identity, "requests": artifacts.contents_sha256(keyed.select(*key, "key"))})
     folder = artifacts.Folder(spark, path)
-    asked = requests
-    if folder.exists("answers.parquet"):
-        asked = requests.join(spark.read.parquet(f"{path}/answers.parquet").select("query_id", "strategy"), ["query_id", "strategy"], "left_anti")
-    context.generate(asked, provider).where("answer is not null").write.mode("append").parquet(f"{path}/answers.parquet")
-    done = spark.read.parquet(f"{path}/answers.parquet")
-    missing = requests.select("query_id", "strategy").join(done, ["query_id", "strategy"], "left_anti")
-    complete = missing.isEmpty()
-    if complete:
-        folder.write("manifest.json", artifacts.canonical_json({"fingerprint": artifacts.fingerprint(identity), "counts": {"answers": done.count()}}))
-    return complete
+    with store.lease():
+        if artifacts.manifest(spark, path) is not None:
+            artifacts.load(spark, path, "answers", identity, unique=key)
+            return True
+        store.fill(keyed.select("key", "request"), solve or by_column(provider), batch_requests)
+        answered = keyed.join(store.answers().select("key", "answer"), "key").select(*key, "key", "answer")
+        failed = keyed.select(*key, "key").join(store.failures().select("key", "problem"), "key").drop("key")
+        if failed.isEmpty():
+            artifacts.publish(spark, path, {"answers": answered}, identity)
+            folder.delete("failures.parquet")
+            return True
+        for name, rows in (("answers", answered), ("failures", failed)):
+            rows.write.mode("overwrite").parquet(f"{path}/.partial/{name}.parquet")
+            folder.replace(f".partial/{name}.parquet", f"{name}.parquet")
+        return False
 
 
 # --- the paired analysis ---------------------------------------------------------------------------------------------

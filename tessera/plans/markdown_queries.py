@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.operators import chunking, evidence, parsing
 from tessera.plans.catalog import query, rounded, table
+from tessera.session import scratch_folder
+from tessera.sources.answered import AnswerStore
 
 PAGE = """---
 title: "Doc {id}"
@@ -331,6 +333,31 @@ def md_concurrent_planning(spark, sf_dir):
     return count(failures, "failures").crossJoin(count(chunks, "chunks")).crossJoin(count(plans, "plans"))
 
 
+@query(f"""WITH {WORDS}, p AS (SELECT lower(w1[1]) < 'n' AS failed, md5(concat_ws('|', {", ".join(f"w{i}" for i in range(1, 18))})) AS page FROM w)
+SELECT 2 * count(DISTINCT page) AS calls, sum((NOT failed)::INT)::BIGINT * 8 AS chunks, sum(failed::INT)::BIGINT * 2 AS failures, count(DISTINCT page) FILTER (WHERE NOT failed) AS plans, count(DISTINCT page) FILTER (WHERE failed) AS asked_again FROM p""")
+def plan_calls(spark, sf_dir):
+    """How often a planner is called (twice a request, as `hesitant` needs it) over all results of a run, each read twice;
+    then a run over the same store, which asks only what failed."""
+    docs = parsed(spark, sf_dir).select("doc_id", "blocks")
+    both = docs.unionByName(docs.withColumn("doc_id", -1 - F.col("doc_id")))
+    store = AnswerStore(spark, f"{scratch_folder(spark)}/plans", {"planner": "hesitant"})
+    calls, again = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def counted(request: list[dict]) -> str:
+        calls.add(1)
+        return hesitant(request)
+
+    def refused(request: list[dict]) -> str:
+        again.add(1)
+        return "no plan"
+
+    results = chunking.planned_chunks(both, counted, store=store)
+    for _ in range(2):
+        counts = [df.count() for df in results]
+    chunking.planned_chunks(docs, refused, config=chunking.PlannerConfig(corrections=0), store=store)
+    return results[0].agg(F.count("*").alias("chunks")).select(F.lit(calls.value).cast("long").alias("calls"), "chunks", F.lit(counts[1]).alias("failures"), F.lit(counts[2]).alias("plans"), F.lit(again.value).cast("long").alias("asked_again"))
+
+
 @query(f"""WITH {LINEAR} SELECT doc_id::VARCHAR AS doc_id FROM linear WHERE doc_id % 9 = 0 OR doc_id % 11 = 0""")
 def planned_partition_check(spark, sf_dir):
     """Chunks damaged in two ways: all of a document's are gone, or one has another text."""

@@ -16,6 +16,7 @@ from tessera.plans.catalog import BM25, DENSE, HITS, PAIRED, RANKS, SPANS, TURNS
 from tessera.plans.markdown_queries import BLOCKS, FIXED, LINEAR, NAME, PATHS, TITLES, WORDS, filled, fixed, page_words, parsed, sql
 from tessera.session import scratch_folder
 from tessera.sources import artifacts, files
+from tessera.sources.answered import AnswerStore
 
 # --- question datasets, written and read again -----------------------------------------------------------------------
 
@@ -395,6 +396,31 @@ def generated_answers(spark, sf_dir):
     return context.generate(ready)
 
 
+@query(f"""WITH {GENERATED}, k AS (SELECT query_id, strategy, sha256(system || chr(30) || user) AS h FROM p)
+SELECT query_id, strategy, CASE WHEN h < '8' THEN 'Deterministic answer ' ELSE 'Second run ' END || substr(h, 1, 16) AS answer, 'StaleArtifactError BusyError' AS refused FROM k""")
+def generation_resume(spark, sf_dir):
+    """A run whose provider fails for half of the requests, taken up by a second one that asks only these; in between, a run
+    of other settings and one beside a writer that holds the folder are refused."""
+    contexts, asked = generated_prompts(spark, sf_dir)
+    ready, _ = context.prompts(contexts, asked, "Answer from the context.", 8192, 512)
+    path, settings = f"{scratch_folder(spark)}/generation", {"model": "offline"}
+    sometimes = lambda request: F.when(F.sha2(request, 256) < "8", context.hashed_answer(request))
+    experiments.run_generation(spark, path, ready, settings, sometimes, batch_requests=100)
+    refused = []
+    try:
+        experiments.run_generation(spark, path, ready, {"model": "other"})
+    except ValueError as e:
+        refused.append(type(e).__name__)
+    holder = AnswerStore(spark, f"{path}/asked", artifacts.read_json(spark, f"{path}/asked", "identity.json")["identity"])
+    with holder.lease():
+        try:
+            experiments.run_generation(spark, path, ready, settings)
+        except RuntimeError as e:
+            refused.append(type(e).__name__)
+    experiments.run_generation(spark, path, ready, settings, lambda request: F.concat(F.lit("Second run "), F.substring(F.sha2(request, 256), 1, 16)))
+    return artifacts.load(spark, path, "answers", settings).select("query_id", "strategy", "answer", F.lit(" ".join(refused)).alias("refused"))
+
+
 @query(f"WITH {GENERATED} SELECT query_id, strategy, len(regexp_extract_all(system, '{WORD}')) + len(regexp_extract_all(user, '{WORD}')) + 11 AS input_tokens, 'input overflow' AS failure FROM p WHERE len(regexp_extract_all(system, '{WORD}')) + len(regexp_extract_all(user, '{WORD}')) + 11 + 20 > 77")
 def prompt_overflows(spark, sf_dir):
     """Prompts that a window of 77 tokens, 20 of them for the answer, does not hold."""

@@ -96,6 +96,10 @@ class Folder:
         self.fs.delete(self.at(name), True)
 
 
+def read_json(spark: SparkSession, path: str, name: str) -> Any:
+    return json.loads(Folder(spark, path).read(name))
+
+
 def manifest(spark: SparkSession, path: str) -> dict[str, Any] | None:
     """The manifest of a complete set, or None."""
     folder = Folder(spark, path)
