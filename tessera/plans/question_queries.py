@@ -248,7 +248,7 @@ UNITS = {1: ['{w2} {w3} [{w4}](http://x/{w5} "{w6}") ends.', "The {w4} line two.
 PATH_OF = [[0]] * 2 + [[0, 1]] * 8 + [[0, 1, 2]] * 2 + [[0, 1, 2, 3]] * 2
 
 
-@query(f"WITH {WORDS}, u AS (" + " UNION ALL ".join(f"SELECT doc_id, {i} AS block_index, {sql(b[1])} AS block, {sql(u)} AS text, {sql(' > '.join(TITLES[k] for k in PATH_OF[i]))} AS path FROM w" for i, b in enumerate(BLOCKS) for u in [*UNITS.get(i, []), b[1]]) + ") SELECT DISTINCT doc_id, block_index, (instr(block, text) - 1)::INT AS char_start, text, path FROM u")
+@query(f"WITH {WORDS}, u AS (" + " UNION ALL ".join(f"SELECT doc_id, {i} AS block_index, {sql(u)} AS text, {f"length({sql(b[1][: b[1].index(u)])})" if b[1].index(u) else 0} AS char_start, {sql(' > '.join(TITLES[k] for k in PATH_OF[i]))} AS path FROM w" for i, b in enumerate(BLOCKS) for u in [*UNITS.get(i, []), b[1]]) + ") SELECT DISTINCT doc_id, block_index, char_start::INT AS char_start, text, path FROM u")
 def source_units(spark, sf_dir):
     rows = reconciliation.source_units(parsed(spark, sf_dir))
     return rows.select("doc_id", "block_index", "char_start", "text", F.array_join("section_path", " > ").alias("path"))
@@ -319,6 +319,30 @@ def correction_proposals(spark, sf_dir):
     return reconciliation.proposals(cases, failures, found, sections).drop("item_id", "classification")
 
 
+def page_evidence(spark, sf_dir) -> DataFrame:
+    """(question_id, item_id, doc_id, path, sentences): a question for each page, whose sentence has a letter more, whose
+    path begins with a title the page does not have, whose sentence is of another text, or which is right."""
+    kind = F.col("doc_id") % 5
+    path = F.when(kind == 1, F.array(F.lit("Elsewhere"), filled(TITLES[1]))).otherwise(F.array(filled(TITLES[0]), filled(TITLES[1])))
+    said = F.when(kind == 0, filled("Inside {w4} steps.")).when(kind == 2, F.lit("§§§ ¶¶¶ ¤¤¤")).when(kind == 3, F.upper(filled("Inside {w4}  step."))).otherwise(filled("Inside {w4} step."))
+    return page_words(spark, sf_dir).select(F.concat(F.lit("q"), "id").alias("question_id"), F.col("id").alias("item_id"), "doc_id", path.alias("path"), F.array(said).alias("sentences"))
+
+
+@query("""SELECT 'q' || doc_id AS question_id, CASE doc_id % 5 WHEN 0 THEN 'dataset_evidence_paraphrase' WHEN 1 THEN 'dataset_section_path_error' ELSE 'dataset_from_different_corpus_version' END AS classification, CASE doc_id % 5 WHEN 2 THEN 'none' ELSE 'medium' END AS confidence, 'P3' AS priority,
+CASE doc_id % 5 WHEN 2 THEN 'possible_answer_drift' ELSE 'support_unclear' END AS support, [CASE doc_id % 5 WHEN 0 THEN 'evidence_text_normalization_issue' WHEN 1 THEN 'section_path_mismatch' ELSE 'evidence_sentence_missing' END] AS roots FROM documents WHERE doc_id % 5 < 3""")
+def reconciliation_chain(spark, sf_dir):
+    """Evidence against pages, from resolution through candidates to cases."""
+    found = reconciliation.failures_of(page_evidence(spark, sf_dir), parsed(spark, sf_dir))
+    return reconciliation.reconcile(*found).select("question_id", "classification", "confidence", "priority", "support", "roots")
+
+
+@query(f"""WITH {WORDS} SELECT doc_id::VARCHAR || CASE doc_id % 5 WHEN 0 THEN '#0' ELSE '#path' END AS evidence_id, CASE doc_id % 5 WHEN 0 THEN 'Inside ' || w4 || ' step.' ELSE {sql(TITLES[0] + " > " + TITLES[1])} END AS proposed_value FROM w WHERE doc_id % 5 < 2""")
+def chained_proposals(spark, sf_dir):
+    """What the chain proposes: the page's own sentence, and the path of the section that holds it."""
+    failures, found, sections = reconciliation.failures_of(page_evidence(spark, sf_dir), parsed(spark, sf_dir))
+    return reconciliation.proposals(reconciliation.reconcile(failures, found, sections), failures, found, sections).select("evidence_id", "proposed_value")
+
+
 @query(f"WITH {CASES} SELECT 'q' || id AS question_id, 1::BIGINT AS failed, confidence = 'high' AS fixable FROM cases UNION ALL SELECT 'p' || id, 0::BIGINT, false FROM cases")
 def fixable_questions(spark, sf_dir):
     failures, found, sections = repair(spark, sf_dir)
