@@ -160,6 +160,28 @@ def md_blocks(spark, sf_dir):
     return rows.select("doc_id", "block_index", "type", "text", "level", "language", "ordered", F.col("source_line_start").alias("line_start"), F.col("source_line_end").alias("line_end"))
 
 
+#: Shapes of pages around a whole text's letters: template, and the blocks (type, text, level, first line, last line).
+SHAPES = [
+    ("Under {w1}\n---\n{body}", [("heading", "Under {w1}", 2, 1, 2), ("paragraph", "{body}", None, 3, 3)]),
+    ("- {w1}\n\n\n- {body}\n", [("list", "- {w1}\n- {body}", None, 1, 4)]),
+    ("1. {w1}\n- {body}\n* {w1}", [("list", "1. {w1}", None, 1, 1), ("list", "- {body}", None, 2, 2), ("list", "* {w1}", None, 3, 3)]),
+    ("{body}\n2. {w1}\n1. {w1}", [("paragraph", "{body} 2. {w1}", None, 1, 2), ("list", "1. {w1}", None, 3, 3)]),
+    ("<div>\n\n{body}\n</div>\n\nend", [("html_block", "<div>", None, 1, 1), ("paragraph", "{body}", None, 3, 3), ("html_block", "</div>", None, 4, 4), ("paragraph", "end", None, 6, 6)]),
+    ("[x]: <u v> 'T'\n\n> {body}\n\n***\n{w1}\n===", [("blockquote", "{body}", None, 3, 3), ("heading", "{w1}", 1, 6, 7)]),
+    ("~~~ sql\n{body}\n---\n~~~\n\n    {w1}", [("code_block", "{body}\n---", None, 1, 4), ("code_block", "{w1}", None, 6, 6)]),
+]
+BODIES = "bodies AS (SELECT doc_id, coalesce(regexp_extract(text, '[A-Za-z]+'), '') || 'x' AS w1, 'T' || coalesce(regexp_replace(text, '[^A-Za-z]+', '', 'g'), '') AS body FROM documents)"
+
+
+@query(f"WITH {BODIES} " + " UNION ALL ".join(f"SELECT doc_id, {i} AS block_index, {literal(k)} AS type, md5({sql(t)}) AS text_md5, {literal(level)}::INT AS level, {a} AS line_start, {b} AS line_end FROM bodies WHERE doc_id % {len(SHAPES)} = {n}" for n, (_, blocks) in enumerate(SHAPES) for i, (k, t, level, a, b) in enumerate(blocks)))
+def md_shapes(spark, sf_dir):
+    """Pages of seven shapes, each with all letters of a document's text."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce(F.regexp_extract("text", "[A-Za-z]+", 0), F.lit("")), F.lit("x")).alias("w1"), F.concat(F.lit("T"), F.coalesce(F.regexp_replace("text", "[^A-Za-z]+", ""), F.lit(""))).alias("body"))
+    page = F.coalesce(*[F.when(F.col("doc_id") % len(SHAPES) == n, filled(t)) for n, (t, _) in enumerate(SHAPES)])
+    found = parsing.block_rows(parsing.parse_documents(rows.select("doc_id", page.alias("text"))))
+    return found.select("doc_id", "block_index", "type", F.md5("text").alias("text_md5"), "level", F.col("source_line_start").alias("line_start"), F.col("source_line_end").alias("line_end"))
+
+
 @query(f"WITH {WORDS} SELECT doc_id, 'Doc ' || id AS title, lang, m AS weight, 'true' AS draft, 'not a pair' AS unparsed FROM w")
 def md_front_matter(spark, sf_dir):
     return parsed(spark, sf_dir).select("doc_id", *[meta(f"$.{c}", "front_matter_json").alias(c) for c in ("title", "lang", "weight", "draft")], meta("$._unparsed[0]", "front_matter_json").alias("unparsed"))

@@ -60,6 +60,41 @@ def test_parser_finds_the_blocks():
     assert page.blocks[0].start == 6
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("Foo\n---\nbar", [("heading", "Foo"), ("paragraph", "bar")]),
+        ("Foo\nbar\n===\n", [("heading", "Foo bar")]),
+        ("Foo\n\n---\nbar", [("paragraph", "Foo"), ("paragraph", "bar")]),
+        ("- a\n\n\n- b", [("list", "- a\n- b")]),
+        ("- a\n\n  more\n\n- b\n\nend", [("list", "- a\n  more\n- b"), ("paragraph", "end")]),
+        ("1. a\n- b", [("list", "1. a"), ("list", "- b")]),
+        ("- a\n* b\n1) c\n2) d\n1. e", [("list", "- a"), ("list", "* b"), ("list", "1) c\n2) d"), ("list", "1. e")]),
+        ("- a\n  1. b\n- c", [("list", "- a\n  1. b\n- c")]),
+        ("- a\n***\n- b", [("list", "- a"), ("list", "- b")]),
+        ("- a\nlazy\n\nnot", [("list", "- a\nlazy"), ("paragraph", "not")]),
+        ("para\n2. x", [("paragraph", "para 2. x")]),
+        ("para\n1. x", [("paragraph", "para"), ("list", "1. x")]),
+        ("para\n-\nmore", [("heading", "para"), ("paragraph", "more")]),
+        ("<div>\n\ntext\n</div>\n\nend", [("html_block", "<div>"), ("paragraph", "text"), ("html_block", "</div>"), ("paragraph", "end")]),
+        ("text <span>\n<span>x</span> more", [("paragraph", "text <span> <span>x</span> more")]),
+        ("[x]: <u v> 'T'\n[y]: z\n\np", [("paragraph", "p")]),
+    ],
+)
+def test_blocks_as_commonmark_has_them(page, want):
+    assert [(b.type, b.text) for b in parsing.parse(page).blocks] == want
+
+
+def test_reference_definitions():
+    found = parsing.parse("[x]: <u v> 'T'\n[y]: http://z (a b)\n[w]: <> \"\"\n").metadata["references"]
+    assert found == {"x": {"href": "u v", "line": 1, "title": "T"}, "y": {"href": "http://z", "line": 2, "title": "a b"}, "w": {"href": "", "line": 3}}
+
+
+@pytest.mark.parametrize("text, end", [("<a>", 2), ("<a", -1), ("<a b='>'>", 8), ('<a b="\\">" c>', 12), ("<a b=\"x>", -1), ("<a 'x\ny' >", 9), ("", -1)])
+def test_the_end_of_a_tag(text, end):
+    assert parsing.Scanner.tag_end(text) == end
+
+
 def test_two_section_algorithms_differ_on_skipped_levels():
     blocks = blocks_of("# A\n\n### B\n\n### C\n")
     assert [s.path for s in chunking.sections(blocks)] == [["A"], ["A", "B"], ["A", "C"]]
