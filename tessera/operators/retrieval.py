@@ -8,13 +8,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import folded, lexical_tokens, raw_lexical_tokens
+from tessera.operators import lexical_index
+from tessera.session import scratch_folder
 
 #: Queries that are held by every task at once; more are searched in blocks of about this many.
 QUERY_BLOCK = 4096
@@ -112,134 +112,35 @@ def with_filters(chunks: DataFrame, filters: dict[str, str], allowed: tuple[str,
     return chunks
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id, tf, length) from (chunk_id, text). Every text is one row and counts its own terms."""
-    tokens = chunks.select("chunk_id", lexical_tokens(F.col("text")).alias("tokens"))
-    rows = tokens.select("chunk_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-    return rows.groupBy("term", "chunk_id", "length").agg(F.count("*").alias("tf"))
+#: Terms of queries up to which an index made for one search keeps only theirs.
+FEW_TERMS = 200_000
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, term, qtf)."""
-    return queries.select("query_id", F.explode(lexical_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+def temporary_index(queries: DataFrame, chunks: DataFrame) -> lexical_index.LexicalIndex:
+    """An index of chunks for the terms of these queries (for all terms, if theirs are many), in the shared folder."""
+    return lexical_index.LexicalIndex.build(chunks, f"{scratch_folder(chunks.sparkSession)}/lexical", lexical_index.terms_of(queries, FEW_TERMS))
 
 
-class Terms:
-    """The numbered terms of a block of queries, and a batch of token lists against them without a loop over tokens."""
-
-    def __init__(self, terms: list[str]):
-        self.terms = pa.array(terms, pa.string())
-
-    def counts(self, lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(row, term, tf) of the known terms, and every row's number of tokens."""
-        lengths = lists.value_lengths().fill_null(0).to_numpy()
-        coded = folded(lists.flatten())
-        known = pa.compute.index_in(coded.dictionary, self.terms).fill_null(-1).to_numpy().astype(np.int64)
-        term = known[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
-        row = np.repeat(np.arange(len(lengths)), lengths)
-        held = term >= 0
-        pairs, tf = np.unique(row[held] * len(self.terms) + term[held], return_counts=True)
-        return pairs // max(1, len(self.terms)), pairs % max(1, len(self.terms)), tf, lengths
-
-
-def query_blocks(queries: DataFrame) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
-    """Blocks of about QUERY_BLOCK queries, read one by one: their terms, and (term, query, qtf) with the queries' ids."""
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    asked = query_terms(queries)
-    for block in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toPandas()
-        terms, place = np.unique(own["term"].to_numpy(str), return_inverse=True) if len(own) else (np.zeros(0, str), np.zeros(0, np.int64))
-        order = np.argsort(place, kind="stable")
-        yield terms.tolist(), place[order], own["query_id"].to_numpy()[order], own["qtf"].to_numpy(np.float64)[order]
-
-
-def corpus_counts(tokens: DataFrame, terms: Terms) -> tuple[int, float, np.ndarray]:
-    """Chunks, mean length, and how many chunks hold each of the terms: a task sends on one row."""
-    sent, n = tokens.sparkSession.sparkContext.broadcast(terms), len(terms.terms)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, rows, length = np.zeros(n, np.int64), 0, 0
-        for batch in batches:
-            _, term, _, lengths = sent.value.counts(batch.column(0))
-            df += np.bincount(term, minlength=n)
-            rows, length = rows + batch.num_rows, length + int(lengths.sum())
-        held = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(held, (-1, -2)), pa.int32()), pa.array(np.append(df[held], (rows, length)), pa.int64())], ["term", "n"])
-
-    summed = {r["term"]: r["n"] for r in tokens.select("tokens").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    rows = summed.get(-1, 0)
-    return rows, summed.get(-2, 0) / rows if rows else 0.0, np.array([summed.get(i, 0) for i in range(n)], float)
-
-
-def bm25_search(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, decimals: int | None = None) -> DataFrame:
+def bm25_search(queries: DataFrame, chunks: DataFrame | lexical_index.LexicalIndex, k: int, k1: float = 1.2, b: float = 0.75, decimals: int | None = None) -> DataFrame:
     """Every chunk can be ranked: those without a common term score 0 and come by id.
 
-    As in cosine_search, a block of queries (its terms and weights) is held by every task; a batch of chunks is scored
-    against the block's terms and leaves its best k for each query, so no table of all (query, chunk) pairs is shuffled.
-    Texts are cut into tokens in the JVM; a batch's tokens are looked up, counted and scored as arrays. Only the k smallest
-    ids can be needed to fill up; those among them that matched keep their score. With `decimals`, scores are rounded
-    before any is cut, so that what then ties is ranked by id over all rows.
+    chunks: (chunk_id, text), or an index of them, which is read instead; of chunks a temporary one is made. Only the k
+    smallest ids can be needed to fill up; those among them that matched keep their score. With `decimals`, scores are
+    rounded before any is cut, so that what then ties is ranked by id over all rows.
     """
-    tokens = chunks.select("chunk_id", raw_lexical_tokens(F.col("text")).alias("tokens"))
-    kinds = queries.schema["query_id"].dataType.simpleString(), chunks.schema["chunk_id"].dataType.simpleString()
-    found: DataFrame | None = None
-    for words, place, asking, qtf in query_blocks(queries):
-        terms = Terms(words)
-        rows, mean, df = corpus_counts(tokens, terms)
-        ids, query = np.unique(asking, return_inverse=True) if len(asking) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        weight = np.log(1 + (rows - df + 0.5) / (df + 0.5))[place] * qtf if len(place) else np.zeros(0)
-        first = np.searchsorted(place, np.arange(len(words) + 1))
-        sent = queries.sparkSession.sparkContext.broadcast((terms, ids, query, weight, first, mean))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            terms, ids, query, weight, first, mean = sent.value
-            for whole in batches:
-                for at in range(0, whole.num_rows, 512):
-                    batch = whole.slice(at, 512)
-                    row, term, tf, lengths = terms.counts(batch.column(1))
-                    norm = k1 * (1 - b + b * (lengths / mean if mean else np.zeros(len(lengths))))
-                    part = tf * (k1 + 1) / (tf + norm[row])
-                    many = first[term + 1] - first[term]
-                    start = np.cumsum(many) - many
-                    entry = np.repeat(first[term] - start, many) + np.arange(int(many.sum()))  # the queries of each (row, term)
-                    flat = np.repeat(row, many) * len(ids) + query[entry]
-                    scores = np.bincount(flat, np.repeat(part, many) * weight[entry], batch.num_rows * len(ids)).reshape(batch.num_rows, -1)
-                    if decimals is not None:
-                        scores = np.round(scores, decimals)
-                    n = len(scores)
-                    least = np.partition(scores, n - k, axis=0)[n - k] if n > k else np.zeros(len(ids))
-                    rows, cols = np.nonzero((scores >= least) & (scores > 0))  # ties at the cut stay for the final ranking
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[cols]), batch.column(0).take(pa.array(rows)), pa.array(scores[rows, cols])], ["query_id", "chunk_id", "score"])
-
-        part = tokens.mapInArrow(run, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
-        found = part if found is None else found.unionByName(part)
-    filler = chunks.select("chunk_id").distinct().orderBy("chunk_id").limit(k)
+    index = temporary_index(queries, chunks) if isinstance(chunks, DataFrame) else chunks
+    found = lexical_index.search(index, queries, k, k1, b, decimals)
+    filler = index.chunk_ids().distinct().orderBy("chunk_id").limit(k)
     zeros = queries.select("query_id").crossJoin(F.broadcast(filler)).withColumn("score", F.lit(0.0))  # k rows for each query
-    # a filler's own score may have been cut in its batch, but then k better chunks were kept there
+    # a filler's own score may have been cut in its task, but then k better chunks were kept there
     return top(found.unionByName(zeros).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")), k)
 
 
-def bm25_rerank(queries: DataFrame, chunks: DataFrame, hits: DataFrame, limit: int, k1: float = 1.2, b: float = 0.75, decimals: int | None = None) -> DataFrame:
-    """Hits reordered by BM25 (0 without a common term), cut to the limit. Only the hits' own chunks are scored, a chunk's
-    terms against those of the queries that it is a hit of; the weights of the queries' terms come from all chunks."""
-    tokens = chunks.select(raw_lexical_tokens(F.col("text")).alias("tokens"))
-    weights, mean = [], 0.0
-    for words, place, asking, qtf in query_blocks(queries):
-        rows, mean, df = corpus_counts(tokens, Terms(words))
-        idf = np.log(1 + (rows - df + 0.5) / (df + 0.5))[place] if len(place) else np.zeros(0)
-        weights.append(pd.DataFrame({"query_id": asking, "term": np.array(words, object)[place] if words else [], "weight": idf * qtf}))
-    spark = queries.sparkSession
-    kind = queries.schema["query_id"].dataType.simpleString()
-    weighted = None
-    for block in weights:
-        part = spark.createDataFrame(block, f"query_id {kind}, term string, weight double")
-        weighted = part if weighted is None else weighted.unionByName(part)
-    pairs = hits.select("query_id", "chunk_id").distinct()
-    pool = chunks.select("chunk_id", "text").join(pairs.select("chunk_id").distinct(), "chunk_id")
-    met = postings(pool).join(pairs, "chunk_id").join(weighted, ["query_id", "term"])
-    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * (F.col("length") / mean if mean else F.lit(0.0))))
-    scores = met.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
-    out = pairs.join(scores, ["query_id", "chunk_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+def bm25_rerank(queries: DataFrame, chunks: DataFrame | lexical_index.LexicalIndex, hits: DataFrame, limit: int, k1: float = 1.2, b: float = 0.75, decimals: int | None = None) -> DataFrame:
+    """Hits reordered by BM25 (0 without a common term), cut to the limit. Only the hits' own chunks are scored; the weights
+    of the queries' terms come from all chunks."""
+    index = temporary_index(queries, chunks) if isinstance(chunks, DataFrame) else chunks
+    out = lexical_index.scored(index, queries, hits.select("query_id", "chunk_id"), k1, b)
     return top(out if decimals is None else out.withColumn("score", F.round("score", decimals)), limit)
 
 
