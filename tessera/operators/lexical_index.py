@@ -14,10 +14,11 @@ query, with what ties with the last of them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import folded, lexical_tokens, raw_lexical_tokens
 
 #: Chunks of a block, and bytes of their tokens, at most (but for a single longer chunk).
-BLOCK_CHUNKS, BLOCK_BYTES = 4096, 48 << 20
+BLOCK_CHUNKS, BLOCK_BYTES = 1024, 48 << 20
 #: Queries whose terms and weights a task holds; more are searched in blocks of about this many, which read only their own terms.
 QUERY_BLOCK = 4096
 #: Queries scored at once in a block: as many rows of BLOCK_CHUNKS scores.
@@ -36,7 +37,7 @@ BATCH_ROWS, PART_ROWS = 2000, 64
 
 
 def schema(id_kind: str) -> str:
-    return f"block long, term string, n long, most int, shortest int, places binary, counts binary, ids array<{id_kind}>, lengths binary"
+    return f"block long, term string, n long, total long, most int, shortest int, places binary, counts binary, ids array<{id_kind}>, lengths binary"
 
 
 def block_rows(block: int, ids: pa.Array, lists: pa.Array, wanted: pa.Array | None) -> pa.RecordBatch:
@@ -61,6 +62,7 @@ def block_rows(block: int, ids: pa.Array, lists: pa.Array, wanted: pa.Array | No
         pa.array([block] * (len(cuts) + 1), pa.int64()),
         pa.array([None, *names.take(pa.array(term[starts])).to_pylist()], pa.string()),
         pa.array([len(ids), *(e - s for s, e in cuts)], pa.int64()),
+        pa.array([int(lengths.sum(dtype=np.int64)), *[None] * len(cuts)], pa.int64()),
         pa.array([None, *most[: len(cuts)].tolist()], pa.int32()),
         pa.array([None, *shortest[: len(cuts)].tolist()], pa.int32()),
         pa.array([None, *(places[s:e].tobytes() for s, e in cuts)], pa.binary()),
@@ -68,7 +70,7 @@ def block_rows(block: int, ids: pa.Array, lists: pa.Array, wanted: pa.Array | No
         pa.array([ids.to_pylist(), *[None] * len(cuts)], pa.list_(ids.type)),
         pa.array([lengths.tobytes(), *[None] * len(cuts)], pa.binary()),
     ]
-    return pa.RecordBatch.from_arrays(columns, ["block", "term", "n", "most", "shortest", "places", "counts", "ids", "lengths"])
+    return pa.RecordBatch.from_arrays(columns, ["block", "term", "n", "total", "most", "shortest", "places", "counts", "ids", "lengths"])
 
 
 def index_rows(chunks: DataFrame, terms: list[str] | None = None) -> DataFrame:
@@ -128,18 +130,8 @@ class LexicalIndex:
 
     def totals(self) -> tuple[int, float]:
         """Chunks and their mean length."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n, length = 0, 0
-            for batch in batches:
-                for raw in batch.column(0).to_pylist():
-                    held = np.frombuffer(raw, "<i4")
-                    n, length = n + len(held), length + int(held.sum(dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([length], pa.int64())], ["n", "length"])
-
-        got = self.blocks().select("lengths").mapInArrow(run, "n long, length long").agg(F.sum("n"), F.sum("length")).first()
-        n, length = got[0] or 0, got[1] or 0
-        return n, length / n if n else 0.0
+        n, length = self.rows().where("term is null").agg(F.sum("n"), F.sum("total")).first()
+        return n or 0, length / n if n else 0.0
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -159,25 +151,28 @@ class Asked:
     mean: float
 
 
-def weights(index: LexicalIndex, queries: DataFrame) -> Iterator[tuple[Asked, DataFrame]]:
-    """Blocks of queries, with the index rows of their terms: a term's weight is of all chunks that hold it."""
-    total, mean = index.totals()
+def blocks_of(queries: DataFrame) -> Iterator[pd.DataFrame]:
+    """(query_id, term, qtf) of blocks of about QUERY_BLOCK queries."""
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     asked = query_terms(queries)
     for b in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas()
-        terms, place = np.unique(own["term"].to_numpy(str), return_inverse=True) if len(own) else (np.zeros(0, str), np.zeros(0, np.int64))
-        names = terms.tolist()
-        rows = index.rows()
-        spark = index.spark
-        wanted = spark.createDataFrame([(t,) for t in names], "term string")
-        held = rows.where(F.col("term").between(names[0], names[-1])).join(F.broadcast(wanted), "term", "left_semi") if names else rows.where(F.lit(False))
-        df = {r["term"]: r["n"] for r in held.groupBy("term").agg(F.sum("n").alias("n")).collect()}
-        many = np.array([df.get(t, 0) for t in names], float)
-        order = np.argsort(place, kind="stable")
-        ids, query = np.unique(own["query_id"].to_numpy(), return_inverse=True) if len(own) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        weight = (np.log(1 + (total - many + 0.5) / (many + 0.5))[place] * own["qtf"].to_numpy(float))[order] if len(own) else np.zeros(0)
-        yield Asked(ids, {t: i for i, t in enumerate(names)}, np.searchsorted(place[order], np.arange(len(names) + 1)), query[order], weight, mean), held
+        yield (asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else asked).toPandas()
+
+
+def weights(index: LexicalIndex, own: pd.DataFrame) -> tuple[Asked, DataFrame]:
+    """A block of queries, with the index rows of their terms: a term's weight is of all chunks that hold it."""
+    terms, place = np.unique(own["term"].to_numpy(str), return_inverse=True) if len(own) else (np.zeros(0, str), np.zeros(0, np.int64))
+    names = terms.tolist()
+    rows = index.rows()
+    wanted = index.spark.createDataFrame(pd.DataFrame({"term": names}), "term string")
+    held = rows.where(F.col("term").between(names[0], names[-1])).join(F.broadcast(wanted), "term", "left_semi") if names else rows.where(F.lit(False))
+    counts = {r["term"]: r for r in held.select("term", "n", "total").unionByName(rows.where("term is null").select("term", "n", "total")).groupBy("term").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()}
+    total, length = (counts[None]["n"], counts[None]["total"]) if None in counts else (0, 0)
+    many = np.array([counts[t]["n"] if t in counts else 0 for t in names], float)
+    order = np.argsort(place, kind="stable")
+    ids, query = np.unique(own["query_id"].to_numpy(), return_inverse=True) if len(own) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    weight = (np.log(1 + (total - many + 0.5) / (many + 0.5))[place] * own["qtf"].to_numpy(float))[order] if len(own) else np.zeros(0)
+    return Asked(ids, {t: i for i, t in enumerate(names)}, np.searchsorted(place[order], np.arange(len(names) + 1)), query[order], weight, length / total if total else 0.0), held
 
 
 class Block:
@@ -245,17 +240,17 @@ def by_block(index: LexicalIndex, held: DataFrame, pairs: DataFrame | None = Non
     return rows.repartition("block").sortWithinPartitions("block", "kind")
 
 
-def search(index: LexicalIndex, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, decimals: int | None = None) -> DataFrame:
-    """(query_id, chunk_id, score): the chunks with a common term that can be among a query's k best, and perhaps others.
+def search(index: LexicalIndex, asked_blocks: Iterable[pd.DataFrame], query_kind: str, k: int, k1: float = 1.2, b: float = 0.75, decimals: int | None = None) -> DataFrame:
+    """(query_id, chunk_id, score), from the blocks of `blocks_of`: the chunks with a common term that can be among a query's k best, and perhaps others.
 
     With `decimals`, scores are rounded before any is cut, so that what then ties is ranked over all chunks.
     """
     spark = index.spark
     id_kind = index.rows().schema["ids"].dataType.elementType.simpleString()
-    query_kind = queries.schema["query_id"].dataType.simpleString()
     out: DataFrame | None = None
     slack = 0.0 if decimals is None else 10.0**-decimals
-    for asked, held in weights(index, queries):
+    for own in asked_blocks:
+        asked, held = weights(index, own)
         sent = spark.sparkContext.broadcast(asked)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -280,15 +275,16 @@ def search(index: LexicalIndex, queries: DataFrame, k: int, k1: float = 1.2, b:
     return out
 
 
-def scored(index: LexicalIndex, queries: DataFrame, pairs: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def scored(index: LexicalIndex, asked_blocks: Iterable[pd.DataFrame], pairs: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, chunk_id, score) of pairs (query_id, chunk_id): only their own chunks are scored; 0 without a common term."""
     spark = index.spark
     id_kind = index.rows().schema["ids"].dataType.elementType.simpleString()
-    query_kind = queries.schema["query_id"].dataType.simpleString()
+    query_kind = pairs.schema["query_id"].dataType.simpleString()
     at = index.blocks().select("block", F.posexplode("ids").alias("place", "chunk_id"))
     placed = pairs.join(at, "chunk_id").select("block", "query_id", "place")
     out: DataFrame | None = None
-    for asked, held in weights(index, queries):
+    for block_of_queries in asked_blocks:
+        asked, held = weights(index, block_of_queries)
         sent = spark.sparkContext.broadcast(asked)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -311,10 +307,3 @@ def scored(index: LexicalIndex, queries: DataFrame, pairs: DataFrame, k1: float
 
 def to_arrow(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
-def terms_of(queries: DataFrame, most: int) -> list[str] | None:
-    """The queries' distinct terms, if they are no more than `most`."""
-    found = query_terms(queries).select("term").distinct().limit(most + 1).collect()
-    return sorted(r["term"] for r in found) if len(found) <= most else None
-

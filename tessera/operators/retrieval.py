@@ -5,9 +5,11 @@ Hits are long tables (query_id, strategy, rank, score, chunk_id, ...). Ties go t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
@@ -116,9 +118,18 @@ def with_filters(chunks: DataFrame, filters: dict[str, str], allowed: tuple[str,
 FEW_TERMS = 200_000
 
 
-def temporary_index(queries: DataFrame, chunks: DataFrame) -> lexical_index.LexicalIndex:
-    """An index of chunks for the terms of these queries (for all terms, if theirs are many), in the shared folder."""
-    return lexical_index.LexicalIndex.build(chunks, f"{scratch_folder(chunks.sparkSession)}/lexical", lexical_index.terms_of(queries, FEW_TERMS))
+def indexed(queries: DataFrame, chunks: DataFrame | lexical_index.LexicalIndex) -> tuple[lexical_index.LexicalIndex, Iterable[pd.DataFrame]]:
+    """An index, and the queries' terms in blocks. Of chunks, an index is made in the shared folder: for the terms of these
+    queries if they are one block of few terms, for all terms otherwise."""
+    blocks = lexical_index.blocks_of(queries)
+    if not isinstance(chunks, DataFrame):
+        return chunks, blocks
+    first = next(blocks)
+    terms = sorted(set(first["term"]))
+    more = next(blocks, None)
+    few = more is None and len(terms) <= FEW_TERMS
+    index = lexical_index.LexicalIndex.build(chunks, f"{scratch_folder(chunks.sparkSession)}/lexical", terms if few else None)
+    return index, chain([first], [] if more is None else [more], blocks)
 
 
 def bm25_search(queries: DataFrame, chunks: DataFrame | lexical_index.LexicalIndex, k: int, k1: float = 1.2, b: float = 0.75, decimals: int | None = None) -> DataFrame:
@@ -128,8 +139,8 @@ def bm25_search(queries: DataFrame, chunks: DataFrame | lexical_index.LexicalInd
     smallest ids can be needed to fill up; those among them that matched keep their score. With `decimals`, scores are
     rounded before any is cut, so that what then ties is ranked by id over all rows.
     """
-    index = temporary_index(queries, chunks) if isinstance(chunks, DataFrame) else chunks
-    found = lexical_index.search(index, queries, k, k1, b, decimals)
+    index, asked = indexed(queries, chunks)
+    found = lexical_index.search(index, asked, queries.schema["query_id"].dataType.simpleString(), k, k1, b, decimals)
     filler = index.chunk_ids().distinct().orderBy("chunk_id").limit(k)
     zeros = queries.select("query_id").crossJoin(F.broadcast(filler)).withColumn("score", F.lit(0.0))  # k rows for each query
     # a filler's own score may have been cut in its task, but then k better chunks were kept there
@@ -139,8 +150,8 @@ def bm25_search(queries: DataFrame, chunks: DataFrame | lexical_index.LexicalInd
 def bm25_rerank(queries: DataFrame, chunks: DataFrame | lexical_index.LexicalIndex, hits: DataFrame, limit: int, k1: float = 1.2, b: float = 0.75, decimals: int | None = None) -> DataFrame:
     """Hits reordered by BM25 (0 without a common term), cut to the limit. Only the hits' own chunks are scored; the weights
     of the queries' terms come from all chunks."""
-    index = temporary_index(queries, chunks) if isinstance(chunks, DataFrame) else chunks
-    out = lexical_index.scored(index, queries, hits.select("query_id", "chunk_id"), k1, b)
+    index, asked = indexed(queries, chunks)
+    out = lexical_index.scored(index, asked, hits.select("query_id", "chunk_id"), k1, b)
     return top(out if decimals is None else out.withColumn("score", F.round("score", decimals)), limit)
 
 
