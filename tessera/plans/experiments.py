@@ -9,13 +9,11 @@ from collections.abc import Callable
 from dataclasses import asdict, dataclass
 from typing import Any
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import rewrite_verdict, stripped
-from tessera.operators import answers, context, metrics, retrieval, statistics
+from tessera.operators import answers, context, metrics, resampling, retrieval, statistics
 from tessera.sources import artifacts
 from tessera.sources.answered import BATCH_REQUESTS, AnswerStore, Solver, by_column
 
@@ -159,54 +157,35 @@ def relation(scores: DataFrame, events: DataFrame, event: str) -> DataFrame:
 
 
 def strata(paired: DataFrame, stratum: str, left: str, right: str, resamples: int = 5_000, seed: int = 2026, least: int = 10) -> DataFrame:
-    """(stratum, n, mean, low, high, small): a bootstrap interval of the difference within each stratum, seeds apart."""
-    names = [r[0] for r in paired.select(stratum).distinct().orderBy(stratum).collect()]
-    offset = {name: i for i, name in enumerate(names)}
-
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values("question_id")
-        d = (g[left] - g[right]).to_numpy(float)
-        means = statistics.joint_bootstrap(d[None, :], resamples, seed + offset[key[0]])[:, 0]
-        low, high = np.quantile(means, [0.025, 0.975])
-        return pd.DataFrame([(key[0], len(d), d.mean(), low, high, len(d) < least)])
-
-    rows = paired.select("question_id", stratum, left, right).dropna()
-    return rows.groupBy(stratum).applyInPandas(run, f"{stratum} string, n long, mean double, low double, high double, small boolean")
+    """(stratum, n, mean, low, high, small): a bootstrap interval of the difference within each stratum."""
+    rows = paired.select("question_id", stratum, (F.col(left) - F.col(right)).alias("d")).dropna()
+    out = resampling.difference_intervals(rows, "d", [stratum], [resamples], [seed])
+    return out.select(stratum, F.col("questions").alias("n"), "mean", "low", "high", (F.col("questions") < least).alias("small"))
 
 
 def sensitivity(paired: DataFrame, left: str, right: str, seeds: list[int], resamples: list[int]) -> DataFrame:
     """Ranges of the interval's ends over a grid of seeds and resample counts, and whether zero is always in or always out."""
-    grid = None
-    for r in resamples:
-        for s in seeds:
-            row = statistics.pair_bootstrap(paired, left, right, r, s)
-            grid = row if grid is None else grid.unionByName(row)
-    inside = F.when((F.col("low") <= 0) & (F.col("high") >= 0), 1).otherwise(0)
-    return grid.agg(F.min("low").alias("low_min"), F.max("low").alias("low_max"), F.min("high").alias("high_min"), F.max("high").alias("high_max"), (F.min(inside) == F.max(inside)).alias("stable"))
+    return resampling.sensitivity(paired.select("question_id", (F.col(left) - F.col(right)).alias("d")), "d", seeds, resamples)
 
 
 def paired_analysis(spark: SparkSession, evaluated: DataFrame, strategies: list[str], resamples: int = 50_000, seed: int = 2026, alpha: float = 0.05) -> DataFrame:
     """One row for each pair of strategies: interval, permutation and Wilcoxon p, both Holm-adjusted, effect sizes, and
-    whether the difference holds: its interval excludes zero and its adjusted permutation p lies below alpha."""
-    wide = answers.paired(evaluated, strategies).dropna().cache()
-    rows = []
-    for i, a in enumerate(strategies):
-        for b in strategies[i + 1 :]:
-            d = wide.select(F.lit(f"{a}-{b}").alias("pair"), "question_id", F.round(F.col(a) - F.col(b), 12).alias("d"))
-            interval = statistics.pair_bootstrap(wide, a, b, resamples, seed).first()
-
-            def test(g: pd.DataFrame) -> dict[str, Any]:
-                p, extreme = statistics.permutation_p(g.sort_values("question_id")["d"].to_numpy(), resamples, seed)
-                return {"p": p, "extreme": extreme}
-
-            flips = statistics.on_group(d, ["pair"], test, "pair string, p double, extreme long").first()
-            signed = statistics.wilcoxon(d, "d", ["pair"]).first()
-            size, biserial = statistics.cohens_dz(d, "d", ["pair"]).first(), statistics.rank_biserial(d, "d", ["pair"]).first()
-            rows.append((len(rows), f"{a}-{b}", interval["mean"], interval["low"], interval["high"], flips["p"], signed and signed["p"], size and size["dz"], biserial and biserial["rank_biserial"]))
-    tests = spark.createDataFrame(rows, "idx int, pair string, mean double, low double, high double, p double, wilcoxon_p double, dz double, rank_biserial double")
-    out = statistics.holm(tests).withColumnRenamed("adjusted", "holm_p")
+    whether the difference holds: its interval excludes zero and its adjusted permutation p lies below alpha.
+
+    All pairs go through each statistic together; only the table of pairs is ever in one place.
+    """
+    wide = answers.paired(evaluated, strategies).dropna()
+    pairs = [(a, b) for i, a in enumerate(strategies) for b in strategies[i + 1 :]]
+    each = F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(f"{a}-{b}").alias("pair"), F.round(F.col(a) - F.col(b), 12).alias("d")) for i, (a, b) in enumerate(pairs)])
+    d = wide.select("question_id", F.explode(each).alias("x")).select("question_id", "x.*")
+    key = ["idx", "pair"]
+    out = resampling.difference_intervals(d, "d", key, [resamples], [seed]).select(*key, "mean", "low", "high")
+    parts = [resampling.sign_flips(d, "d", key, resamples, seed).select(*key, "p"), statistics.wilcoxon(d, "d", key).select(*key, F.col("p").alias("wilcoxon_p")), statistics.cohens_dz(d, "d", key), statistics.rank_biserial(d, "d", key).select(*key, "rank_biserial")]
+    for part in parts:
+        out = out.join(part, key, "left")
+    adjusted = statistics.holm(out).withColumnRenamed("adjusted", "holm_p")
     holds = ((F.col("low") > 0) | (F.col("high") < 0)) & (F.col("holm_p") < alpha)
-    return out.withColumn("supported", holds).drop("idx")
+    return adjusted.withColumn("supported", holds).drop("idx")
 
 
 def conclusion(analysis: DataFrame) -> str:
