@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.functions.vector import hashed_embedding
-from tessera.operators import answers, audit, chunking, context, evidence, metrics, parsing, resampling, retrieval, statistics
+from tessera.operators import answers, audit, chunking, context, evidence, metrics, normality, parsing, resampling, retrieval, statistics
 from tessera.plans import experiments
 from tessera.session import spread
 from tessera.session import table as scan
@@ -562,6 +562,34 @@ def shape_diagnostics(spark, sf_dir):
     return s.select("lang", F.round("skewness", 4).alias("skewness"), F.round("kurtosis", 4).alias("kurtosis"))
 
 
+def power_sql(coefficients, x: str) -> str:
+    out = repr(float(coefficients[-1])) + "::DOUBLE"
+    for c in reversed(coefficients[:-1]):
+        out = f"({out} * {x} + {float(c)!r}::DOUBLE)"
+    return out
+
+
+def fraction_sql(c, x: str) -> str:
+    return f"({power_sql(c[0], x)} / {power_sql(c[1], x)})"
+
+
+def quantile_sql(p: str) -> str:
+    """The normal quantile."""
+    tail = f"(CASE WHEN sqrt(-ln(least({p}, 1 - {p}))) <= 5 THEN {fraction_sql(normality.TAIL, f'(sqrt(-ln(least({p}, 1 - {p}))) - 1.6)')} ELSE {fraction_sql(normality.FAR, f'(sqrt(-ln(least({p}, 1 - {p}))) - 5)')} END)"
+    return f"(CASE WHEN abs({p} - 0.5) <= 0.425 THEN ({p} - 0.5) * {fraction_sql(normality.MIDDLE, f'(0.180625 - ({p} - 0.5) * ({p} - 0.5))')} ELSE sign({p} - 0.5) * {tail} END)"
+
+
+@query(f"""WITH r AS (SELECT lang, n_chars::DOUBLE AS x, row_number() OVER (PARTITION BY lang ORDER BY n_chars) AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents WHERE n_chars IS NOT NULL),
+q AS (SELECT *, (i - 0.375::DOUBLE) / (n + 0.25::DOUBLE) AS p FROM r), m AS (SELECT lang, x, i, n, {quantile_sql("p")} AS m FROM q),
+s AS (SELECT lang, n, sum(m * m) AS size, sum(m * x) AS mx, var_pop(x) * n AS spread, max(m) AS m1, max(m) FILTER (i = n - 1) AS m2, max(x) - min(x) AS wide, max(x) FILTER (i = n - 1) - max(x) FILTER (i = 2) AS near FROM m GROUP BY lang, n),
+a AS (SELECT *, {power_sql(statistics.ROYSTON_LAST, "(1 / sqrt(n))")} + m1 / sqrt(size) AS a1, {power_sql(statistics.ROYSTON_SECOND, "(1 / sqrt(n))")} + m2 / sqrt(size) AS a2 FROM s WHERE n > 5)
+SELECT lang, n, round(pow(a1 * wide + a2 * near + (mx - m1 * wide - m2 * near) / sqrt((size - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)), 2) / spread, 6) AS w FROM a""")
+def shapiro_wilk(spark, sf_dir):
+    """W of the lengths of all documents of each language (in the test tables each has over five)."""
+    found = normality.shapiro_wilk(table(spark, sf_dir, "documents"), "n_chars", ["lang"])
+    return found.select("lang", "n", F.round("w", 6).alias("w"))
+
+
 def resampled_sql(source: str, by: str, values: list[str], resamples: int = RESAMPLES, seeds: tuple[int, ...] = (2026,), signs: bool = False) -> str:
     """sums: (by..., seed, r, n, values...) of every resample, values as whole numbers; source is a table with question_id."""
     counts = "x % 2 * 2 - 1" if signs else " + ".join(f"(x >= {t})::INT" for t in resampling.POISSON)
