@@ -44,14 +44,14 @@ def with_places(text: str) -> tuple[str, list[int]]:
     return "".join(out), places
 
 
-_MARKUP = re.compile(r"!?\[([^\]]*)\]\([^)]*\)|^[ \t]*(?:[-+*]|\d+[.)])[ \t]+|[`*_]", re.M)
+MARKUP = re.compile(r"!?\[([^\]]*)\]\([^)]*\)|^[ \t]*(?:[-+*]|\d+[.)])[ \t]+|[`*_]", re.M)
 
 
 def rendered_with_places(text: str) -> tuple[str, list[int]]:
     """with_places of what a reader sees: link targets, list marks and emphasis dropped."""
     keep: list[int] = []
     at = 0
-    for m in _MARKUP.finditer(text):
+    for m in MARKUP.finditer(text):
         keep += range(at, m.start())
         if m[1] is not None:
             keep += range(m.start(1), m.end(1))

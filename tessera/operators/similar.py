@@ -12,8 +12,10 @@ from __future__ import annotations
 import difflib
 import heapq
 import re
-from collections import defaultdict
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 import pyarrow as pa
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tessera.operators.audit import rendered_with_places
+from tessera.operators.audit import MARKUP as _MARKUP
 
 _WORD = re.compile(r"\w+")
 #: What the sequence ratio, the token F1 and containment count in a score.
@@ -32,9 +34,16 @@ SLACK = 1e-6
 FORM = T.StructType([T.StructField("n", T.StringType()), T.StructField("chars", T.ArrayType(T.LongType())), T.StructField("words", T.ArrayType(T.StringType()))])
 
 
+@cache
+def folded(c: str) -> str:
+    """A character in normal form."""
+    return unicodedata.normalize("NFKC", c).casefold()
+
+
 def normal(text: str) -> str:
-    """What a reader sees, in normal form."""
-    return rendered_with_places(text)[0]
+    """What a reader sees, in normal form: as `audit.rendered_with_places`, without the places."""
+    seen = _MARKUP.sub(lambda m: m[1] or "", text)
+    return " ".join((seen.casefold() if seen.isascii() else "".join(map(folded, seen))).split())
 
 
 def ratio(x: str, y: str) -> float:
@@ -45,14 +54,8 @@ def ratio(x: str, y: str) -> float:
 def form(text: str | None) -> dict:
     """The normal form, its characters and its words, each numbered among its equals."""
     n = normal(text or "")
-    seen: defaultdict[str, int] = defaultdict(int)
-
-    def place(x: str) -> int:
-        seen[x] += 1
-        return seen[x]
-
-    chars = [ord(c) << 32 | place(c) for c in n]
-    return {"n": n, "chars": chars, "words": [f"{w}\x00{place(w + ' ')}" for w in _WORD.findall(n)]}
+    chars = [ord(c) << 32 | i for c, times in Counter(n).items() for i in range(times)]
+    return {"n": n, "chars": chars, "words": [f"{w}\x00{i}" for w, times in Counter(_WORD.findall(n)).items() for i in range(times)]}
 
 
 @F.pandas_udf(FORM)
