@@ -23,6 +23,8 @@ PRIME = (1 << 31) - 1
 POISSON = [math.ceil(PRIME * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(10)]
 #: Whole numbers to one.
 UNIT = 1_000_000_000
+#: Resamples and draws, where a caller does not say how many.
+RESAMPLES = 50_000
 
 
 def coefficients(question: Column, seed: Column) -> list[Column]:
@@ -59,7 +61,7 @@ def ends(column: str) -> Column:
     return F.percentile(column, F.array(F.lit(0.025), F.lit(0.975)))
 
 
-def intervals(paired: DataFrame, strategies: list[str], by: list[str] | None = None, resamples: int = 2000, seeds: list[int] | None = None, question: str = "question_id") -> DataFrame:
+def intervals(paired: DataFrame, strategies: list[str], by: list[str] | None = None, resamples: int = RESAMPLES, seeds: list[int] | None = None, question: str = "question_id") -> DataFrame:
     """(by..., seed, strategy, questions, mean, low, high, se, sole_wins) of questions that have all scores; sole_wins is
     the share of resamples that a strategy wins alone."""
     by, seeds = by or [], seeds or [2026]
@@ -96,7 +98,7 @@ def difference_intervals(deltas: DataFrame, column: str, by: list[str] | None =
     """(by..., seed, resamples, questions, mean, low, high, p_positive, p_zero): the bootstrap distribution of a mean
     difference, in every stratum, for every seed and number of resamples. The first resamples of the greatest number are
     those of a smaller one."""
-    by, resamples, seeds = by or [], resamples or [2000], seeds or [2026]
+    by, resamples, seeds = by or [], resamples or [RESAMPLES], seeds or [2026]
     means = difference_means(deltas, column, by, max(resamples), seeds, question)
     sizes = F.filter(F.array(*[F.lit(r) for r in sorted(set(resamples))]), lambda r: r > F.col("resample"))
     share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
@@ -105,7 +107,7 @@ def difference_intervals(deltas: DataFrame, column: str, by: list[str] | None =
     return joined(known, out, by).select(*by, "seed", "resamples", "questions", "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "p_positive", "p_zero")
 
 
-def sign_flips(deltas: DataFrame, column: str, by: list[str] | None = None, draws: int = 2000, seed: int = 2026, question: str = "question_id") -> DataFrame:
+def sign_flips(deltas: DataFrame, column: str, by: list[str] | None = None, draws: int = RESAMPLES, seed: int = 2026, question: str = "question_id") -> DataFrame:
     """(by..., questions, mean, extreme, p): two-sided test of a mean difference by flipped signs; p counts the data itself
     as one draw. Without a difference p is 1."""
     by = by or []
@@ -126,7 +128,7 @@ def sensitivity(deltas: DataFrame, column: str, seeds: list[int], resamples: lis
     return grid.groupBy(*by).agg(F.min("low").alias("low_min"), F.max("low").alias("low_max"), F.min("high").alias("high_min"), F.max("high").alias("high_max"), (F.min(inside) == F.max(inside)).alias("stable"))
 
 
-def winners(paired: DataFrame, strategies: list[str], by: list[str] | None = None, resamples: int = 2000, seed: int = 2026) -> DataFrame:
+def winners(paired: DataFrame, strategies: list[str], by: list[str] | None = None, resamples: int = RESAMPLES, seed: int = 2026) -> DataFrame:
     """(by..., strategy, wins, rank): how often a strategy wins a resample alone, the most frequent winner first."""
     by = by or []
     found = intervals(paired, strategies, by, resamples, [seed]).select(*by, "strategy", F.col("sole_wins").alias("wins"))

@@ -21,8 +21,9 @@ from tessera.session import table as scan
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 DEPTH = 20
-#: Resamples of the registered bootstraps, and draws of the permutation tests.
-RESAMPLES = 2000
+#: Resamples of the registered bootstraps and draws of the permutation tests: the operators' own number; and of strata, grids
+#: and winners, those of `experiments.strata`.
+RESAMPLES, FEWER = resampling.RESAMPLES, 5_000
 
 
 def query(sql: str | None = None):
@@ -603,35 +604,35 @@ sums AS (SELECT {by}seed, r, {"count(*)" if signs else f"sum({counts})"} AS n, {
 m AS (SELECT 'next' AS strategy, nxt / n / 1e9 AS m, (nxt > aft)::INT AS won FROM sums UNION ALL SELECT 'after', aft / n / 1e9, (aft > nxt)::INT FROM sums)
 SELECT strategy, (SELECT count(*) FROM p) AS questions, round(CASE strategy WHEN 'next' THEN (SELECT avg(nxt) FROM p) ELSE (SELECT avg(aft) FROM p) END, 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(stddev_samp(m), 6) AS se, round(avg(won), 6) AS sole_wins FROM m GROUP BY strategy""")
 def bootstrap_ci(spark, sf_dir):
-    return rounded(resampling.intervals(paired(spark, sf_dir), ["next", "after"], resamples=RESAMPLES).drop("seed"))
+    return rounded(resampling.intervals(paired(spark, sf_dir), ["next", "after"]).drop("seed"))
 
 
 @query(f"""WITH {PAIRED}, {resampled_sql("deltas", "role, ", ["d"], signs=True)}, o AS (SELECT role, count(*) AS questions, avg(d) AS mean, abs(sum(round(d * 1000000000)::BIGINT)) AS observed FROM deltas GROUP BY 1)
-SELECT role, questions, round(mean, 6) AS mean, sum((abs(d) >= observed)::INT)::BIGINT AS extreme, round((sum((abs(d) >= observed)::INT) + 1) / ({RESAMPLES} + 1), 6) AS p FROM o JOIN sums ON o.role IS NOT DISTINCT FROM sums.role GROUP BY o.role, sums.role, questions, mean""".replace("SELECT role, questions", "SELECT o.role, questions"))
+SELECT role, questions, round(mean, 6) AS mean, sum((abs(d) >= observed)::INT)::BIGINT AS extreme, (sum((abs(d) >= observed)::INT) + 1) / ({RESAMPLES} + 1) AS p FROM o JOIN sums ON o.role IS NOT DISTINCT FROM sums.role GROUP BY o.role, sums.role, questions, mean""".replace("SELECT role, questions", "SELECT o.role, questions"))
 def permutation_test(spark, sf_dir):
-    return rounded(resampling.sign_flips(deltas(spark, sf_dir), "d", ["role"], RESAMPLES))
+    return resampling.sign_flips(deltas(spark, sf_dir), "d", ["role"]).withColumn("mean", r6("mean"))
 
 
-@query(f"""WITH {PAIRED}, {resampled_sql("deltas", "role, ", ["d"], seeds=(1, 2, 3))}, m AS (SELECT *, d / n / 1e9 AS m FROM sums), grid AS (SELECT role, seed, size, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m, (SELECT unnest([500, {RESAMPLES}]) AS size) WHERE r < size GROUP BY ALL)
+@query(f"""WITH {PAIRED}, {resampled_sql("deltas", "role, ", ["d"], resamples=FEWER, seeds=(1, 2, 3))}, m AS (SELECT *, d / n / 1e9 AS m FROM sums), grid AS (SELECT role, seed, size, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m, (SELECT unnest([1000, {FEWER}]) AS size) WHERE r < size GROUP BY ALL)
 SELECT role, round(min(low), 6) AS low_min, round(max(low), 6) AS low_max, round(min(high), 6) AS high_min, round(max(high), 6) AS high_max, min((low <= 0 AND high >= 0)::INT) = max((low <= 0 AND high >= 0)::INT) AS stable FROM grid GROUP BY 1""")
 def sensitivity_grid(spark, sf_dir):
     """Intervals of the difference in every role, over three seeds and two numbers of resamples, in one aggregation."""
-    return rounded(resampling.sensitivity(deltas(spark, sf_dir), "d", [1, 2, 3], [500, RESAMPLES], ["role"]))
+    return rounded(resampling.sensitivity(deltas(spark, sf_dir), "d", [1, 2, 3], [1000, FEWER], ["role"]))
 
 
-@query(f"""WITH {PAIRED}, strata AS (SELECT question_id, len(text) // 200 AS stratum, nxt - aft AS d FROM paired JOIN (SELECT DISTINCT question_id, first(prediction) OVER (PARTITION BY question_id) AS text FROM turns) USING (question_id) WHERE nxt IS NOT NULL AND aft IS NOT NULL), {resampled_sql("strata", "stratum, ", ["d"])}
+@query(f"""WITH {PAIRED}, strata AS (SELECT question_id, len(text) // 200 AS stratum, nxt - aft AS d FROM paired JOIN (SELECT DISTINCT question_id, first(prediction) OVER (PARTITION BY question_id) AS text FROM turns) USING (question_id) WHERE nxt IS NOT NULL AND aft IS NOT NULL), {resampled_sql("strata", "stratum, ", ["d"], resamples=FEWER)}
 SELECT stratum, s.n, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high, s.n < 10 AS small FROM (SELECT stratum, count(*) AS n, avg(d) AS mean FROM strata GROUP BY 1) s JOIN (SELECT stratum, quantile_cont(d / n / 1e9, 0.025) AS low, quantile_cont(d / n / 1e9, 0.975) AS high FROM sums GROUP BY 1) USING (stratum)""")
 def strata_intervals(spark, sf_dir):
     """The difference within strata of the answers' length."""
     length = turns(spark, sf_dir).groupBy("question_id").agg(F.first("prediction").alias("text")).select("question_id", F.floor(F.length("text") / 200).cast("long").alias("stratum"))
-    return rounded(experiments.strata(paired(spark, sf_dir).join(length, "question_id"), "stratum", "next", "after", RESAMPLES))
+    return rounded(experiments.strata(paired(spark, sf_dir).join(length, "question_id"), "stratum", "next", "after", FEWER))
 
 
-@query(f"""WITH {PAIRED}, p AS (SELECT question_id, role, nxt, aft FROM paired JOIN (SELECT DISTINCT question_id, role FROM turns) USING (question_id) WHERE nxt IS NOT NULL AND aft IS NOT NULL), {resampled_sql("p", "role, ", ["nxt", "aft"])}, w AS (SELECT role, avg((nxt > aft)::INT) AS nxt, avg((aft > nxt)::INT) AS aft FROM sums GROUP BY 1)
+@query(f"""WITH {PAIRED}, p AS (SELECT question_id, role, nxt, aft FROM paired JOIN (SELECT DISTINCT question_id, role FROM turns) USING (question_id) WHERE nxt IS NOT NULL AND aft IS NOT NULL), {resampled_sql("p", "role, ", ["nxt", "aft"], resamples=FEWER)}, w AS (SELECT role, avg((nxt > aft)::INT) AS nxt, avg((aft > nxt)::INT) AS aft FROM sums GROUP BY 1)
 SELECT role, 'next' AS strategy, round(nxt, 6) AS wins, CASE WHEN nxt > aft THEN 1 ELSE 2 END AS rank FROM w UNION ALL SELECT role, 'after', round(aft, 6), CASE WHEN nxt > aft THEN 2 ELSE 1 END FROM w""")
 def winner_frequency(spark, sf_dir):
     roles = turns(spark, sf_dir).select("question_id", "role").distinct()
-    return rounded(resampling.winners(paired(spark, sf_dir).join(roles, "question_id"), ["next", "after"], ["role"], RESAMPLES))
+    return rounded(resampling.winners(paired(spark, sf_dir).join(roles, "question_id"), ["next", "after"], ["role"], FEWER))
 
 
 # --- audits ----------------------------------------------------------------------------------------------------------
@@ -688,4 +689,4 @@ o AS (SELECT count(*) AS n, avg(d) AS mean, stddev_samp(d) AS sd, abs(sum(round(
 SELECT 'next-after' AS pair, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high, round(p, 6) AS p, round(p, 6) AS holm_p, round(mean / sd, 6) AS dz, (low > 0 OR high < 0) AND p < 0.05 AS supported FROM o, i, f""")
 def paired_analysis(spark, sf_dir):
     """Wilcoxon's test and the rank-biserial correlation have queries of their own."""
-    return rounded(experiments.paired_analysis(spark, evaluated(spark, sf_dir), ["next", "after"], RESAMPLES).drop("wilcoxon_p", "rank_biserial"))
+    return rounded(experiments.paired_analysis(spark, evaluated(spark, sf_dir), ["next", "after"]).drop("wilcoxon_p", "rank_biserial"))
