@@ -553,11 +553,13 @@ def planned_chunks(
     read, nothing is asked again. Without a store, a new one below the shared folder serves. cache: (digest, request, plan)
     of other runs; whole requests are kept and compared, a plan under another request's digest is an error. A document with
     a request that failed is left out whole; failures are (doc_id, problem). plans are (digest, request, plan) of these
-    documents.
+    documents. The documents are written below the shared folder once, so that no result parses them anew.
     """
     spark = docs.sparkSession
     store = store or AnswerStore(spark, f"{scratch_folder(spark)}/plans", {"planner": asdict(config)})
-    ask = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "blocks")
+    held = f"{scratch_folder(spark)}/documents"
+    docs.select(F.col("doc_id").cast("string").alias("doc_id"), "blocks").write.parquet(held)
+    ask = spark.read.parquet(held)
 
     def request(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -4,7 +4,8 @@ A store belongs to one identity (settings, and whatever else an answer depends o
 asked; another identity is refused. One writer at a time holds the store's lease: a file created exclusively, renewed with
 every batch, and checked before each commit. Requests that the store lacks are dealt into batches by a hash of their key;
 a batch is asked by all tasks, written beside the store and renamed into it, so that a run that breaks off loses one batch
-at most. Whatever reads answers, failures or counts reads these files: no plan that is executed twice asks twice.
+at most. A batch has a folder of its own to read its requests from, and there are BATCHES at most: neither what a batch reads
+nor the number of Spark jobs grows with the number of requests. Whatever reads answers, failures or counts reads these files: no plan that is executed twice asks twice.
 
 A request is asked again only if a task dies, or its executor is lost, before the request's batch is committed, or if it
 failed: failures are kept with their reason, and a later run tries them once more.
@@ -29,6 +30,8 @@ from tessera.sources import artifacts
 ROWS = "key string, request string, answer string, problem string"
 #: Requests in a batch, on average: what a run that breaks off may have to ask again.
 BATCH_REQUESTS = 2000
+#: Batches at most: of more requests than fit them, each takes a hundredth.
+BATCHES = 100
 #: Seconds without a renewal after which a lease counts as abandoned.
 PATIENCE = 3600.0
 
@@ -204,12 +207,16 @@ class AnswerStore:
             self.lacking(requests).write.parquet(asked)
             fresh = self.spark.read.parquet(asked)
             count = fresh.count()
-            batches = -(-count // batch_requests)
+            batches = min(BATCHES, -(-count // batch_requests))
             tasks = self.spark.sparkContext.defaultParallelism
             before = self.rows().where("answer is null").count()
+            if batches > 1:
+                fresh.withColumn("batch", F.pmod(F.xxhash64("key"), F.lit(batches))).repartition("batch").write.partitionBy("batch").parquet(f"{asked}/dealt")
             for b in range(batches):
-                part = fresh.where(F.pmod(F.xxhash64("key"), F.lit(batches)) == b)
-                self._commit(solve(part.repartition(tasks, "key")))
+                own = f"{asked}/dealt/batch={b}" if batches > 1 else asked
+                if self.folder.exists(own.removeprefix(f"{self.path}/")):  # a hash may leave a batch without requests
+                    part = self.spark.read.schema("key string, request string").parquet(own)
+                    self._commit(solve(part.repartition(tasks, "key")))
             self.folder.delete(asked.rsplit("/", 1)[1])
             failed = self.rows().where("answer is null").count() - before
             return Counts(every - count, count - failed, failed)

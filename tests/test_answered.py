@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import chunking, parsing, providers
 from tessera.plans import experiments
-from tessera.sources import artifacts
+from tessera.sources import answered, artifacts
 from tessera.sources.answered import AnswerStore, BusyError, by_column, each
 
 PAGE = "# Title {0}\n\nSome text of page {0}.\n\n## Part\n\nMore text.\n"
@@ -187,3 +187,33 @@ def test_settings_are_in_the_key(spark):
 
     keys = [{r["key"] for r in context.generate(prompts(spark, 2), settings=s).collect()} for s in (None, {"model": "a"}, {"model": "a", "max_tokens": 9})]
     assert all(len(k) == 1 for k in keys) and len(set.union(*keys)) == 3
+
+
+def test_a_batch_reads_its_own_requests_and_batches_do_not_follow_their_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(answered, "BATCHES", 5)
+    store = AnswerStore(spark, str(tmp_path / "s"), {})
+    read = []
+
+    def solve(rows):
+        read.append((rows.count(), len(rows.inputFiles())))
+        return by_column(F.upper)(rows)
+
+    names = [f"r{i}" for i in range(60)]
+    got = store.fill(requests(spark, *names), solve, batch_requests=2)
+    assert (got.answered, got.failed) == (60, 0) and answers_of(store) == {n: n.upper() for n in names}
+    assert len(read) <= 5 and sum(n for n, _ in read) == 60
+    assert max(files for _, files in read) == 1  # before, each of 30 batches read all of them
+    assert not [x for x in os.listdir(tmp_path / "s") if x.startswith("asked-")]
+
+
+def test_pages_are_parsed_once_for_all_results(spark, tmp_path):
+    parses = spark.sparkContext.accumulator(0)
+
+    def parse(text):
+        parses.add(1)
+        return text
+
+    pages = spark.createDataFrame([(i, PAGE.format(i % 6)) for i in range(12)], "doc_id int, text string")
+    docs = parsing.parse_documents(pages.select("doc_id", F.udf(parse)("text").alias("text")))
+    results = chunking.planned_chunks(docs)
+    assert [df.count() for df in results][1:] == [0, 6] and parses.value == 12
