@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.batches import pieces
 from tessera.functions.text import LEAKS, SENTENCE_GAP, token_pieces
 from tessera.functions.tokenizers import BytePairTokenizer, stable_windows
 from tessera.session import scratch_folder
@@ -562,7 +563,7 @@ def planned_chunks(
     ask = spark.read.parquet(held)
 
     def request(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows: list[tuple] = []
             for doc_id, blocks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
@@ -616,7 +617,7 @@ def chunk_rows(docs: DataFrame, strategy: str, make: Callable[..., list[Chunk]])
     """make's chunks of the columns behind doc_id, the first of which are the blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows: list[dict[str, Any]] = []
             for doc_id, blocks, *more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 chunks = make(blocks or [], *more)
@@ -633,7 +634,12 @@ def chunk_rows(docs: DataFrame, strategy: str, make: Callable[..., list[Chunk]])
 
 
 def contract_errors(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, problem): numbering gaps, links that are not mutual, duplicate ids."""
+    """(chunk_id, problem): numbering gaps, links that are not mutual, duplicate ids. What is looked at of the chunks is
+    written below the shared folder once: the checks read it several times."""
+    spark = chunks.sparkSession
+    held = f"{scratch_folder(spark)}/chunks"
+    chunks.select("chunk_id", "strategy", "doc_id", "chunk_index", "parent_id", "children_ids").write.parquet(held)
+    chunks = spark.read.parquet(held)
     order = Window.partitionBy("strategy", "doc_id").orderBy("chunk_index")
     gaps = chunks.withColumn("previous", F.coalesce(F.lag("chunk_index").over(order), F.lit(-1))).where(F.col("chunk_index") != F.col("previous") + 1).select("chunk_id", F.lit("numbering").alias("problem"))
     down = chunks.select(F.col("chunk_id").alias("parent"), F.explode("children_ids").alias("child"))
@@ -648,10 +654,11 @@ def fragment_errors(chunks: DataFrame, block_rows: DataFrame) -> DataFrame:
     f = chunks.select("chunk_id", "doc_id", "chunk_index", F.posexplode("fragments").alias("pos", "f")).select("chunk_id", "doc_id", "chunk_index", "pos", "f.*")
     blocks = block_rows.select(F.col("doc_id").cast("string").alias("doc_id"), "block_index", F.col("text").alias("block_text"))
     met = f.join(blocks, ["doc_id", "block_index"])
-    wrong = met.where(F.sha2(F.expr("substring(block_text, char_start + 1, char_end - char_start)"), 256) != F.col("fragment_sha256")).select("chunk_id", F.lit("hash").alias("problem"))
+    wrong = F.sha2(F.expr("substring(block_text, char_start + 1, char_end - char_start)"), 256) != F.col("fragment_sha256")
     order = Window.partitionBy("doc_id", "block_index").orderBy("chunk_index", "pos")
-    gap = met.withColumn("reached", F.coalesce(F.lag("char_end").over(order), F.lit(0))).where(F.col("char_start") != F.col("reached")).select("chunk_id", F.lit("coverage").alias("problem"))
-    return wrong.union(gap)
+    gap = F.col("char_start") != F.coalesce(F.lag("char_end").over(order), F.lit(0))
+    checked = met.select("chunk_id", F.array(F.when(wrong, "hash"), F.when(gap, "coverage")).alias("problems"))
+    return checked.select("chunk_id", F.explode(F.array_compact("problems")).alias("problem"))  # one pass for both
 
 
 def partition_errors(chunks: DataFrame, docs: DataFrame) -> DataFrame:
