@@ -22,6 +22,8 @@ from tessera.session import scratch_folder
 QUERY_BLOCK = 4096
 #: Blocks of dense queries up to which they are broadcast, and chunks of a piece in the grid beyond.
 HELD_BLOCKS, PIECE_ROWS = 8, 20_000
+#: Scores that a task computes at once.
+CELLS = 1_000_000
 
 
 def top(scored: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
@@ -48,6 +50,38 @@ def best_cosines(ids: np.ndarray, q: np.ndarray, cids: np.ndarray, x: np.ndarray
     return rows, cols, scores[rows, cols]
 
 
+class Best:
+    """The k best chunks of every query, over chunks that come in pieces: what is held at once is a piece's scores (about
+    CELLS of them), and the best so far. Equal scores go to the smaller id, as in `top`."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, exclude_same: bool, decimals: int | None):
+        self.asked = ids, q
+        self.k, self.settings = k, (exclude_same, decimals)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.least = np.full(len(ids), -np.inf)
+
+    def add(self, cids: np.ndarray, x: np.ndarray) -> None:
+        step = max(1, CELLS // len(self.asked[0]))
+        for at in range(0, len(cids), step):
+            own = cids[at : at + step]
+            rows, cols, scores = best_cosines(*self.asked, own, x[at : at + step], self.k, *self.settings)
+            good = scores >= self.least[rows]
+            self.parts.append((rows[good], own[cols[good]], scores[good]))
+            if sum(len(p[0]) for p in self.parts) > max(CELLS // 4, 4 * self.k * len(self.asked[0])):
+                self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query row, chunk id, score) of the best so far."""
+        rows, cids, scores = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.lexsort((np.unique(cids, return_inverse=True)[1], -scores, rows))
+        rows, cids, scores = rows[order], cids[order], scores[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        last, kept = place == self.k - 1, place < self.k
+        self.least[rows[last]] = scores[last]
+        self.parts = [(rows[kept], cids[kept], scores[kept])]
+        return self.parts[0]
+
+
 def vectors_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """(rows, components) of a list column without nulls."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -58,9 +92,9 @@ def cosine_search(queries: DataFrame, chunks: DataFrame, k: int, exclude_same: b
     """(query_id, chunk_id, score, rank): exact cosine top k of every query over all chunks.
 
     queries: (query_id, vector); chunks: (chunk_id, vector). The number of queries is counted. While they make at most
-    HELD_BLOCKS blocks, each block is a matrix that every task holds, and a batch of chunks meets it in one product where
-    the chunks stand. More blocks stay a table: blocks and pieces of the chunks are dealt to a grid, each field of which is
-    one product. Either way what is shuffled of the results is bounded by queries x tasks x k. Zero chunks score -1; a zero
+    HELD_BLOCKS blocks, each block is a matrix that every task holds, and pieces of the chunks meet it where the chunks
+    stand, CELLS scores at once; a task keeps each query's best k. More blocks stay a table: blocks and pieces of the chunks are dealt to a grid, each field of which is
+    searched alike. Either way what is shuffled of the results is bounded by queries x tasks x k. Zero chunks score -1; a zero
     query is refused. With `decimals`, scores are rounded before any is cut, so that what then ties is ranked by id over all
     rows.
     """
@@ -80,8 +114,10 @@ def cosine_search(queries: DataFrame, chunks: DataFrame, k: int, exclude_same: b
             if not a.num_rows or not b.num_rows:
                 return pa.table([b["q"].slice(0, 0), a["c"].slice(0, 0), pa.array([], pa.float64())], names=names)
             ids, cids = b["q"].to_numpy(), a["c"].to_numpy()
-            rows, cols, scores = best_cosines(ids, vectors_of(b["v"]), cids, vectors_of(a["x"]), k, exclude_same, decimals)
-            return pa.table([b["q"].take(pa.array(rows)), a["c"].take(pa.array(cols)), pa.array(scores)], names=names)
+            best = Best(ids, vectors_of(b["v"]), k, exclude_same, decimals)
+            best.add(cids, vectors_of(a["x"]))
+            rows, found_ids, scores = best.cut()
+            return pa.table([b["q"].take(pa.array(rows)), pa.array(found_ids, a["c"].type), pa.array(scores)], names=names)
 
         return top(left.groupBy("piece", "block").cogroup(right.groupBy("piece", "block")).applyInArrow(meet, schema), k)
     found: DataFrame | None = None
@@ -94,11 +130,13 @@ def cosine_search(queries: DataFrame, chunks: DataFrame, k: int, exclude_same: b
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, q = sent.value
+            best = Best(ids, q, k, exclude_same, decimals)
             for batch in batches:
                 if batch.num_rows and len(ids):
-                    cids = batch.column(0).to_numpy(zero_copy_only=False)
-                    rows, cols, scores = best_cosines(ids, q, cids, vectors_of(batch.column(1)), k, exclude_same, decimals)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(cids[cols]), pa.array(scores)], names)
+                    best.add(batch.column(0).to_numpy(zero_copy_only=False), vectors_of(batch.column(1)))
+            if best.parts:
+                rows, cids, scores = best.cut()
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(cids), pa.array(scores)], names)
 
         part = chunks.select("chunk_id", "vector").mapInArrow(run, schema)
         found = part if found is None else found.unionByName(part)

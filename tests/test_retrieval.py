@@ -112,3 +112,20 @@ def test_spot_checks(spark):
     wide = spark.createDataFrame([("q1", 0.9, 0.1), ("q2", 0.2, 0.3), ("q3", 0.5, 0.5)], "question_id string, a double, b double")
     got = [(r["kind"], r["question_id"]) for r in metrics.spot_checks(wide, ["a", "b"], 1).collect()]
     assert got == [("a", "q1"), ("b", "q2"), ("tie", "q3")]
+
+
+def test_the_best_of_pieces_are_the_best_of_all(monkeypatch):
+    """Many ties, ids as numbers and as text, far fewer scores at once than there are."""
+    monkeypatch.setattr(retrieval, "CELLS", 64)
+    rng = np.random.default_rng(7)
+    x, q = rng.integers(-1, 2, (500, 3)).astype(float), rng.integers(1, 3, (8, 3)).astype(float)
+    for cids in (rng.permutation(500), np.array([f"c{i}" for i in rng.permutation(500)], object)):
+        ids = cids[:8]
+        best, largest = retrieval.Best(ids, q, 5, True, 6), 0
+        for at in range(0, 500, 90):
+            best.add(cids[at : at + 90], x[at : at + 90])
+            largest = max(largest, sum(len(p[0]) for p in best.parts))
+        got = list(zip(*(a.tolist() for a in best.cut()), strict=True))
+        rows, cols, scores = retrieval.best_cosines(ids, q, cids, x, 500, True, 6)
+        want = [w for r in range(8) for w in sorted(((r, cids[c], s) for rr, c, s in zip(rows.tolist(), cols, scores.tolist(), strict=True) if rr == r), key=lambda w: (-w[2], w[1]))[:5]]
+        assert got == want and largest <= 4 * 5 * 8 + 64
