@@ -203,16 +203,36 @@ class Model:
         z = sum(w[p] for w, p in zip(self.tail, places, strict=True))
         return np.clip(z, -30, 30, out=z), taken, places
 
-    def log_probabilities(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray, leaves: np.ndarray | None = None) -> np.ndarray:
+    def powers(self) -> list[np.ndarray] | None:
+        """exp of the tables, the bias in the first, for weights that stay as they are: products of rows are then the softmax's
+        terms. None if some sum of weights might be one that logits() clips."""
+        a, b, d, e, m, bias = (float(np.abs(t).max()) for t in self.tables)
+        if max(a + b + d + bias, e + m) > 40:
+            return None
+        return [np.exp(self.tables[0] + self.tables[5]), *map(np.exp, self.tables[1:5])]
+
+    def terms(self, powers: list[np.ndarray], ids, one, two):
+        """exp of what logits() gives, in the same buffers."""
+        rows, inside, (re_, rm) = self.rows(ids, one, two)
+        tc, tm, more = (x[:n] for x, n in zip(self.buffers[:3], (len(ids), len(inside), len(ids)), strict=True))
+        np.take(powers[0], rows[0], axis=0, out=tc, mode="clip")
+        for p, r in zip(powers[1:3], rows[1:], strict=True):
+            tc *= np.take(p, r, axis=0, out=more, mode="clip")
+        np.take(powers[3], re_, axis=0, out=tm, mode="clip")
+        tm *= np.take(powers[4], rm, axis=0, out=more[: len(inside)], mode="clip")
+        return tc, inside, tm
+
+    def log_probabilities(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray, leaves: np.ndarray | None = None, powers: list[np.ndarray] | None = None) -> np.ndarray:
         """Natural logarithms, token by token; a tail word's is that of its leaf (without leaves, of the tail class)."""
         out = np.empty(len(ids))
+        chosen = chosen_log if powers is None else chosen_term
         for at in range(0, len(ids), BATCH):
             part = slice(at, at + BATCH)
             i, o, t = ids[part], one[part], two[part]
-            zc, inside, zm, _, _ = self.logits(i, o, t)
+            zc, inside, zm = self.logits(i, o, t)[:3] if powers is None else self.terms(powers, i, o, t)
             cls = np.where(i < WORDS, i % TAIL, TAIL)
-            value = chosen_log(zc, cls)
-            value[inside] += chosen_log(zm, i[inside] // TAIL)
+            value = chosen(zc, cls)
+            value[inside] += chosen(zm, i[inside] // TAIL)
             outside = np.flatnonzero(i >= WORDS)
             if self.depth and len(outside):
                 z, taken, _ = self.branches(outside, o, t, leaves[part])
@@ -262,12 +282,14 @@ class Model:
         least = np.searchsorted(-sizes, -np.arange(1, REPEATS + 1), side="left").tolist()
         total, more = self.buffers[4][:n], self.buffers[3]
         np.take(g, order[heads], axis=0, out=total, mode="clip")
+        # the few with more repeats are summed as one run each
+        far = int(np.searchsorted(-sizes, -REPEATS - 1, side="left"))
         for i, m in enumerate(least, 1):
-            total[:m] += np.take(g, order[heads[:m] + i], axis=0, out=more[:m], mode="clip")
-        # the few with more repeats, row by row
-        far = np.searchsorted(-sizes, -REPEATS - 1, side="left")
-        for i, (a, b) in enumerate(zip((heads[:far] + REPEATS + 1).tolist(), (heads[:far] + sizes[:far]).tolist(), strict=True)):
-            total[i] += _ONES_OF[: b - a] @ np.take(g, order[a:b], axis=0, out=more[: b - a], mode="clip")
+            total[far:m] += np.take(g, order[heads[far:m] + i], axis=0, out=more[: max(0, m - far)], mode="clip")
+        if far:
+            starts = np.cumsum(sizes[:far]) - sizes[:far]
+            members = np.arange(starts[-1] + sizes[far - 1]) + np.repeat(heads[:far] - starts, sizes[:far])
+            np.add.reduceat(np.take(g, order[members], axis=0, out=more[: len(members)], mode="clip"), starts, axis=0, out=total[:far])
         squares = self.squares[k][own] + np.einsum("ij,ij->i", total, total) / 64
         self.squares[k][own] = squares
         total *= (RATE / np.sqrt(squares))[:, None]
@@ -282,7 +304,6 @@ class Model:
 
 
 _ONES = np.ones(64, np.float32)
-_ONES_OF = np.ones(BATCH, np.float32)
 
 
 def chosen_log(z: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -292,6 +313,11 @@ def chosen_log(z: np.ndarray, k: np.ndarray) -> np.ndarray:
     return own - np.log(total)
 
 
+def chosen_term(terms: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Logarithm of the softmax at k, of its terms."""
+    return np.log(terms[np.arange(len(terms)), k]) - np.log(terms @ _ONES)
+
+
 def gradient(z: np.ndarray, k: np.ndarray) -> np.ndarray:
     """Softmax less the one at k, in place of z."""
     p = np.exp(z, out=z)
@@ -383,7 +409,7 @@ def train(docs: DataFrame, facts: Facts, warm_documents: int = 1500) -> Model:
     chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(warm_documents).distinct()
 
     def encode():
-        numbers = Numbers(sent.value)
+        numbers = sent.value.numbers
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = numbers.sequences(*tokens(batch.column(1)))
@@ -443,11 +469,14 @@ def score(docs: DataFrame, counts: DataFrame, facts: Facts, crowds: DataFrame, m
 
     def make():
         own, flat = sent.value
-        numbers, net = Numbers(own), Model(flat, *own.shape)
+        numbers, net = own.numbers, Model(flat, *own.shape)
+        powers = net.powers()
         in_model = set(own.model)
+        held = np.fromiter(own.head.values(), float, len(own.head))
+        inside = np.fromiter((w in in_model for w in own.head), bool, len(held))
         # by place in the head, and last for all words outside: log10 of the smoothed count, and of the share of the leaf
-        base_of = np.array([np.log10((c + 1) / whole) for c in own.head.values()] + [0.0])
-        share_of = np.array([0.0 if w in in_model else np.log10((c + 1) / (crowd + 1)) for (w, c), crowd in zip(own.head.items(), own.crowds.tolist(), strict=True)] + [0.0])
+        base_of = np.append(np.log10((held + 1) / whole), 0.0)
+        share_of = np.append(np.where(inside, 0.0, np.log10((held + 1) / (own.crowds + 1))), 0.0)
         task = TaskContext.get().partitionId() << 36
         row = 0
 
@@ -459,7 +488,7 @@ def score(docs: DataFrame, counts: DataFrame, facts: Facts, crowds: DataFrame, m
             lengths = np.diff(starts, append=len(places))
             known = over((places >= 0).astype(np.int64))
             base, share = over(base_of[places]), over(share_of[places])
-            logs = over(net.log_probabilities(found.ids, found.one, found.two, found.leaves)) / np.log(10)
+            logs = over(net.log_probabilities(found.ids, found.one, found.two, found.leaves, powers)) / np.log(10)
             rids = task + row + np.arange(n)
             row += n
             # a row for each word of a document outside the head

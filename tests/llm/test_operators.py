@@ -780,6 +780,21 @@ def test_tail_words_are_predicted_from_their_context():
     assert abs(np.exp(model.log_probabilities(every, a, b, at)).sum() - 1) < 1e-3
 
 
+def test_fixed_weights_give_the_same_probabilities_from_products(monkeypatch):
+    """Scoring takes no exp for each token; weights that might be clipped are left to the plain way."""
+    rng = np.random.default_rng(2)
+    model = lm.Model(None, 8, 2048, 8192)
+    model.flat[:] = rng.normal(size=len(model.flat))
+    n = 2 * lm.BATCH + 100
+    ids, one, two = rng.integers(0, lm.CONTEXTS, (3, n)).astype(np.int32)
+    leaves, powers = rng.integers(0, 2**8, n), model.powers()
+    plain = model.log_probabilities(ids, one, two, leaves)
+    monkeypatch.setattr(lm.Model, "logits", None)
+    assert np.abs(model.log_probabilities(ids, one, two, leaves, powers) - plain).max() < 1e-4
+    model.tables[2][7, 7] = 40
+    assert model.powers() is None
+
+
 def test_words_become_numbers_without_objects():
     """Tokens, their numbers and counts as arrays, against words cut and looked up one by one."""
     rng = random.Random(6)
