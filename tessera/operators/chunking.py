@@ -162,6 +162,12 @@ _TOKEN = re.compile(r"\w+|[^\w\s]")
 _GAP = re.compile(SENTENCE_GAP)
 _ITEM = re.compile(r"^[ \t]*(?:[-+*]|\d+[.)])[ \t]+", re.M)
 _LEAKS = {name: re.compile(p) for name, p in LEAKS.items()}
+#: What a text with such a leak holds in any case, casefolded (an i may be one without a dot): most texts hold none
+#: of it, and are searched for nothing more.
+_TELLTALES = {
+    "private key": ("vate key",), "credential": ("key", "secret", "password"), "token": ("sk-", "gho_", "ghp_", "ghu_", "ghs_", "ghr_", "akia"), "Windows path": (":\\users\\",),
+    "Unix path": ("/home/", "/users/"), "file URI": ("le://",), "environment key": ("openrouter_api_key", "openai_api_key"),
+}
 
 
 def count_tokens(text: str) -> int:
@@ -385,6 +391,8 @@ class PlannerConfig:
 
 def preview(text: str, most: int) -> str:
     """The whole text if it is short, else its head and tail of a third of the budget each."""
+    if len(text) <= most:  # no text has more tokens than characters
+        return text
     ends = [m.end() for m in _TOKEN.finditer(text)]
     if len(ends) <= most:
         return text
@@ -473,7 +481,10 @@ Planner = Callable[[list[dict[str, Any]]], str]
 
 def requests_of(blocks: list[dict[str, Any]], config: PlannerConfig) -> list[list[dict[str, Any]]]:
     """The batches of candidates a document asks a plan for; a candidate over the batch budget is refused."""
-    return batched(candidates(blocks, config), lambda c: count_tokens(json.dumps(c, ensure_ascii=False)), config.batch_tokens)
+    each = [(c, json.dumps(c, ensure_ascii=False)) for c in candidates(blocks, config)]
+    if sum(len(text) for _, text in each) <= config.batch_tokens:  # no text has more tokens than characters: they fit one batch
+        return [[c for c, _ in each]] if each else []
+    return [[c for c, _ in batch] for batch in batched(each, lambda x: count_tokens(x[1]), config.batch_tokens)]
 
 
 def request_json(request: list[dict[str, Any]]) -> str:
@@ -490,7 +501,8 @@ class UnsafeRequestError(ValueError):
 
 def check_outbound(payload: str, secrets: tuple[str, ...] = ()) -> None:
     """Raise if a payload holds a configured secret or looks as if it held one; nothing is redacted."""
-    found = [name for name, p in _LEAKS.items() if p.search(payload)]
+    plain = payload.casefold()
+    found = [name for name, p in _LEAKS.items() if any(x in plain for x in _TELLTALES.get(name, ("",))) and p.search(payload)]
     if found or any(s and s in payload for s in secrets):
         raise UnsafeRequestError(", ".join(found) or "configured secret")
 
@@ -567,7 +579,8 @@ def planned_chunks(
             rows: list[tuple] = []
             for doc_id, blocks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    rows += [(doc_id, i, request_digest(r), request_json(r), None) for i, r in enumerate(requests_of(blocks or [], config))]
+                    texts = [request_json(r) for r in requests_of(blocks or [], config)]
+                    rows += [(doc_id, i, hashlib.sha256(text.encode()).hexdigest(), text, None) for i, text in enumerate(texts)]
                 except ValueError as e:
                     rows.append((doc_id, 0, None, None, str(e)))
             kinds = pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()
@@ -623,7 +636,7 @@ def chunk_rows(docs: DataFrame, strategy: str, make: Callable[..., list[Chunk]])
                 chunks = make(blocks or [], *more)
                 name = lambda i, d=doc_id: f"{d}::{strategy}::{i:06d}"
                 for i, (c, (parent, children)) in enumerate(zip(chunks, section_links(chunks), strict=True)):
-                    fragments = [asdict(f) | {"fragment_sha256": hashlib.sha256(blocks[f.block_index]["text"][f.char_start : f.char_end].encode()).hexdigest()} for f in c.fragments]
+                    fragments = [vars(f) | {"fragment_sha256": hashlib.sha256(blocks[f.block_index]["text"][f.char_start : f.char_end].encode()).hexdigest()} for f in c.fragments]
                     rows.append({"chunk_id": name(i), "strategy": strategy, "doc_id": str(doc_id), "chunk_index": i, "text": c.text, "token_count": count_tokens(c.text), "level": c.level, "parent_id": None if parent is None else name(parent), "children_ids": [name(k) for k in children], "title_path": c.title_path, "fragments": fragments, "metadata_json": json.dumps(c.metadata, sort_keys=True)})
             if rows:
                 fragment = pa.struct([("block_index", pa.int32()), ("block_type", pa.string()), ("char_start", pa.int32()), ("char_end", pa.int32()), ("fragment_index", pa.int32()), ("fragment_count", pa.int32()), ("fragment_sha256", pa.string()), ("split_reason", pa.string()), ("token_fallback", pa.bool_())])

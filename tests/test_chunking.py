@@ -1,6 +1,10 @@
+import json
+
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import chunking, parsing
+from tessera.plans import markdown_queries
 
 PAGE = """---
 title: Start
@@ -162,3 +166,38 @@ def test_chunks_as_frames(spark):
     assert ids[0] == "d:s000000" and len(ids) == len(set(ids))
     with pytest.raises(chunking.UnavailableStrategyError):
         chunking.chunk_documents(docs, "hierarchical")
+
+
+def test_a_short_document_is_one_request_without_counting_its_candidates(monkeypatch):
+    blocks = [{"type": "paragraph", "text": f"text {i}", "level": None, "metadata_json": None} for i in range(20)]
+    whole = chunking.requests_of(blocks, chunking.PlannerConfig())
+    counted = []
+    monkeypatch.setattr(chunking, "count_tokens", lambda text, count=chunking.count_tokens: counted.append(text) or count(text))
+    assert chunking.requests_of(blocks, chunking.PlannerConfig()) == whole and len(whole) == 1 and len(counted) == 20  # before: 40
+    most = max(chunking.count_tokens(json.dumps(c, ensure_ascii=False)) for c in whole[0])
+    assert [c for r in chunking.requests_of(blocks, chunking.PlannerConfig(batch_tokens=2 * most)) for c in r] == whole[0]
+    assert len(chunking.requests_of(blocks, chunking.PlannerConfig(batch_tokens=2 * most))) >= 10
+    assert chunking.requests_of([], chunking.PlannerConfig()) == []
+
+
+def test_pages_under_two_ids_are_parsed_once(spark):
+    parses = spark.sparkContext.accumulator(0)
+
+    def parse(text):
+        parses.add(1)
+        return text
+
+    docs = spark.createDataFrame([(i, f"page {i}") for i in range(6)], "doc_id long, text string").select("doc_id", F.udf(parse)("text").alias("blocks"))
+    rows = markdown_queries.under_two_ids(docs).collect()
+    assert parses.value == 6 and sorted(tuple(r) for r in rows) == sorted((x, f"page {i}") for i in range(6) for x in (i, -1 - i))
+
+
+@pytest.mark.parametrize("name,text", [
+    ("private key", "-----begin RSA PRIVATE KEY-----"), ("credential", "API-KEY = '" + "a1" * 20), ("credential", "client_ſecret: sk-" + "a" * 20), ("token", "AKIA" + "A1" * 8), ("token", "ghp_" + "a" * 36),
+    ("Windows path", "c:\\users\\x"), ("Unix path", " /Users/me/x"), ("file URI", "FıLE:///home/x"), ("environment key", "OPENAI_API_KEY ="),
+])
+def test_leaks_are_found_behind_their_telltales(name, text):
+    assert chunking._LEAKS[name].search(text) and all(t == t.casefold() for ts in chunking._TELLTALES.values() for t in ts)
+    with pytest.raises(chunking.UnsafeRequestError, match=name):
+        chunking.check_outbound(f"before {text} after" if name != "environment key" else text)
+    chunking.check_outbound("nothing of the kind")
