@@ -261,9 +261,11 @@ def md_corpus_errors(spark, sf_dir):
 
 
 def once(bad: DataFrame) -> DataFrame:
-    """The errors of the pages, and which of them stand twice when some are repeated."""
-    twice = parsing.corpus_errors(bad.unionByName(bad.where(hashed("doc_id", 35)))).where("problem = 'duplicate id'")
-    return parsing.corpus_errors(bad).unionByName(twice)
+    """The errors of the pages, and which of them stand twice when some are repeated. A repeated row has no blocks, so that
+    its page's other errors count once."""
+    copies = F.explode(F.when(hashed("doc_id", 35), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    rows = bad.select("doc_id", "blocks", copies.alias("copy"))
+    return parsing.corpus_errors(rows.select("doc_id", F.when(F.col("copy") == 0, F.col("blocks")).alias("blocks")))
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'unclosed docs-code at line 51' END AS parse_error, CASE WHEN doc_id % 4 <> 0 THEN 14 END AS blocks FROM documents""")

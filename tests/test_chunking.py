@@ -201,3 +201,18 @@ def test_leaks_are_found_behind_their_telltales(name, text):
     with pytest.raises(chunking.UnsafeRequestError, match=name):
         chunking.check_outbound(f"before {text} after" if name != "environment key" else text)
     chunking.check_outbound("nothing of the kind")
+
+
+def test_errors_of_repeated_documents_are_read_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def read(text):
+        reads.add(1)
+        return text
+
+    pages = spark.createDataFrame([(1, "# A\n\nb\n\nc"), (1, "# A\n\nb\n\nc"), (1, "x"), (2, "fine"), (3, None), (3, None)], "doc_id int, text string")
+    docs = parsing.parse_documents(pages.select("doc_id", F.udf(read)("text").alias("text")))
+    bad = lambda b: b.withField("level", F.when(b["type"] == "heading", 9)).withField("source_line_start", F.when(b["text"] == "c", 0).otherwise(b["source_line_start"])).withField("type", F.when(b["text"] == "b", "verse").otherwise(b["type"]))
+    got = sorted(tuple(r) for r in parsing.corpus_errors(docs.withColumn("blocks", F.transform("blocks", bad))).collect())
+    assert got == sorted([(1, "heading level"), (1, "block type"), (1, "block order")] * 2 + [(1, "duplicate id"), (3, "duplicate id")])
+    assert reads.value == 6  # before: 36
