@@ -563,12 +563,8 @@ def rewrite_variants(spark, sf_dir):
 @query(f"""WITH {BM25}, {DENSE}, pools AS (SELECT unnest([5, 10, 20]) AS pool), p AS (SELECT pool, query_id, chunk_id, every.score FROM dense JOIN every USING (query_id, chunk_id), pools WHERE dense.rank <= pool)
 SELECT * FROM (SELECT pool, query_id, row_number() OVER (PARTITION BY pool, query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id FROM p) WHERE rank <= 5""")
 def rerank_pools(spark, sf_dir):
-    out = None
-    for pool in (5, 10, 20):
-        run = retrieval.bm25_rerank(passages(spark, sf_dir), corpus(spark, sf_dir), retrieval.same_top_k(dense(spark, sf_dir), pool, pool), 5, decimals=6)
-        row = run.select(F.lit(pool).alias("pool"), "query_id", "rank", "chunk_id")
-        out = row if out is None else out.unionByName(row)
-    return out
+    out = experiments.rerank_pools(passages(spark, sf_dir), corpus(spark, sf_dir), dense(spark, sf_dir), [5, 10, 20], 5, decimals=6)
+    return out.select("pool", "query_id", "rank", "chunk_id")
 
 
 # --- evidence on real windows ----------------------------------------------------------------------------------------

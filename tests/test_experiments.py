@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import retrieval
 from tessera.plans import experiments
 from tessera.sources import artifacts
 
@@ -52,3 +53,20 @@ def test_analysis_finds_a_clear_difference(spark):
     pinned = spark.createDataFrame([("a", "mean", 1.0), ("a", "gone", 1.0)], "strategy string, name string, wanted double")
     measured = spark.createDataFrame([("a", "mean", 1.0 + 1e-13)], "strategy string, name string, value double")
     assert [r["name"] for r in experiments.freeze_errors(measured, pinned, ["strategy"]).collect()] == ["gone"]
+
+
+def test_pools_are_reranked_from_hits_that_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    words = "alpha beta gamma delta".split()
+    chunks = spark.createDataFrame([(i, " ".join(words[: 1 + i % 4]) + " x" * (i % 3)) for i in range(12)], "chunk_id long, text string")
+    queries = spark.createDataFrame([(q, f"{words[q]} {words[3 - q]}") for q in range(2)], "query_id long, query string")
+    rows = [(q, r, (5 * r + q) % 12) for q in range(2) for r in range(1, 9)]
+    hits = spark.createDataFrame(rows, "query_id long, rank int, chunk_id long").mapInArrow(lambda batches: (made.add(b.num_rows) or b for b in batches), "query_id long, rank int, chunk_id long")
+    got = {tuple(r) for r in experiments.rerank_pools(queries, chunks, hits, [2, 5, 8], 3, 6).select("pool", "query_id", "rank", "chunk_id").collect()}
+    once = made.value
+    want = set()
+    for pool in (2, 5, 8):
+        own = spark.createDataFrame([x for x in rows if x[1] <= pool], "query_id long, rank int, chunk_id long")
+        want |= {(pool, r["query_id"], r["rank"], r["chunk_id"]) for r in retrieval.bm25_rerank(queries, chunks, own, 3, decimals=6).collect()}
+    assert got == want and len(got) == 16 and once == 16  # before, each pool made them twice
