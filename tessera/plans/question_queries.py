@@ -270,8 +270,10 @@ SELECT doc_id::VARCHAR AS evidence_id, 9 AS block_index, 'Inside ' || w4 || ' st
   CASE WHEN round(0.55 * (2 * n / (2 * n + 1)) + 0.35 * (4 / 6), 6) >= 0.68 THEN 'medium' ELSE 'none' END AS confidence FROM s""")
 def text_candidates(spark, sf_dir):
     found = reconciliation.text_candidates(near_sentences(spark, sf_dir), reconciliation.source_units(parsed(spark, sf_dir)))
-    lead = reconciliation.leaders(found, "score").select("evidence_id", reconciliation.text_confidence(F.col("first_score"), F.col("second_score")).alias("confidence"))
-    return found.where("rank = 1").join(lead, "evidence_id").select("evidence_id", "block_index", "text", "score", "previous_block", "next_block", "confidence")
+    best = F.first(F.when(F.col("rank") == 1, F.struct("block_index", "text", "score", "previous_block", "next_block")), ignorenulls=True)
+    at = lambda r: F.max(F.when(F.col("rank") == r, F.col("score")))
+    lead = found.groupBy("evidence_id").agg(best.alias("b"), at(1).alias("first"), at(2).alias("second"))  # read once
+    return lead.select("evidence_id", "b.*", reconciliation.text_confidence(F.col("first"), F.col("second")).alias("confidence"))
 
 
 @query(f"""WITH {WORDS} SELECT doc_id::VARCHAR AS evidence_id, 2 AS heading_block_index, 14 AS section_block_end, 1 AS evidence_hits FROM w""")
