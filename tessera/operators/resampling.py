@@ -13,7 +13,10 @@ result (as long as n |value| stays below 9 x 10^9). A resample in which nothing
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,17 +47,77 @@ def count_of(element: Column) -> Column:
     return total
 
 
+#: Questions and resamples that a task works on at once, and groups whose sums it holds.
+BLOCK_QUESTIONS, BLOCK_RESAMPLES, BLOCK_GROUPS = 64, 512, 32
+
+
+def folded(x: np.ndarray) -> np.ndarray:
+    """The same element of the field, in fewer bits: 2^31 is one in it."""
+    return (x & np.uint64(PRIME)) + (x >> np.uint64(31))
+
+
+def block_sums(a: np.ndarray, b: np.ndarray, c: np.ndarray, values: np.ndarray, first: int, last: int, signs: bool) -> np.ndarray:
+    """Rows n, <value>... of whole numbers, of questions with these coefficients and values (values x questions), for the
+    resamples from first to last: `drawn` and `count_of` over arrays, and exact sums as products of small numbers."""
+    r = np.arange(first, last, dtype=np.uint64)[None, :]
+    x = folded(folded(folded(a[:, None] * r + b[:, None]) * r + c[:, None]))
+    x = np.minimum(x, x - np.uint64(PRIME)).astype(np.uint32)  # below zero wraps to a great number
+    if signs:
+        times = ((x & np.uint32(1)) * np.uint32(2)).astype(np.float64) - 1.0
+    else:
+        count, over = np.zeros(x.shape, np.uint8), np.empty(x.shape, bool)
+        for least in POISSON:
+            if least < PRIME:
+                np.add(count, np.greater_equal(x, np.uint32(least), out=over).view(np.uint8), out=count)
+        times = count.astype(np.float64)
+    low, high = values & 0x3FFFFFF, values >> 26  # parts whose sums over a block are exact in double precision
+    sums = (np.concatenate([low, high]).astype(np.float64) @ times).astype(np.int64)
+    n = np.full(x.shape[1], len(a), np.int64) if signs else times.sum(axis=0).astype(np.int64)
+    return np.concatenate([n[None, :], sums[: len(values)] + (sums[len(values) :] << 26)])
+
+
 def resampled(rows: DataFrame, question: str, values: list[str], by: list[str], resamples: int, seeds: list[int], signs: bool = False) -> DataFrame:
     """(by..., seed, resample, n, <value>...): how many rows each resample draws, and the sums of their values as whole
-    numbers; with signs, every row counts, with its sign."""
+    numbers; with signs, every row counts, with its sign. The rows are dealt out to all cores, as each is much work."""
     whole = [F.round(F.col(v) * UNIT).cast("long").alias(v) for v in values]
     seeded = rows.select(*by, question, *whole, F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed"))
-    a, b, c = coefficients(F.col(question), F.col("seed"))
-    each = seeded.select(*by, "seed", *values, a.alias("__a"), b.alias("__b"), c.alias("__c")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))).alias("resample"))
-    x = drawn(F.col("resample"), F.col("__a"), F.col("__b"), F.col("__c"))
-    counted = each.select(*by, "seed", "resample", *values, (x % 2 * 2 - 1 if signs else count_of(x)).cast("long").alias("__n"))
-    n = F.count("*") if signs else F.sum("__n")
-    return counted.groupBy(*by, "seed", "resample").agg(n.alias("n"), *[F.sum(F.col("__n") * F.col(v)).alias(v) for v in values]).where("n > 0")
+    named = [x.alias(f"__{k}") for k, x in zip("abc", coefficients(F.col(question), F.col("seed")), strict=True)]
+    dealt = seeded.select(*by, "seed", *named, *values).repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)
+    keys = len(by) + 1
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema[:keys])
+    totals = ", ".join(f"`{v}` long" for v in values)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        kinds: list[pa.DataType] = []
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for key, sums in held.items():
+                own = [pa.repeat(pa.scalar(k, t), resamples) for k, t in zip(key, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.arange(resamples)), *map(pa.array, sums)], [*by, "seed", "resample", "__n", *values])
+            held.clear()
+
+        for batch in batches:
+            kinds = [batch.column(i).type for i in range(keys)]
+            places: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(*(batch.column(k).to_pylist() for k in range(keys)), strict=True)):
+                places.setdefault(key, []).append(i)
+            numbers = [batch.column(k).to_numpy() for k in range(keys, batch.num_columns)]
+            for key, at in places.items():
+                if key not in held and len(held) == BLOCK_GROUPS:
+                    yield from flushed()
+                sums = held.setdefault(key, np.zeros((1 + len(values), resamples), np.int64))
+                for s in range(0, len(at), BLOCK_QUESTIONS):
+                    part = at[s : s + BLOCK_QUESTIONS]
+                    a, b, c = (x[part].astype(np.uint64) for x in numbers[:3])
+                    own = np.stack([x[part] for x in numbers[3:]])
+                    for r in range(0, resamples, BLOCK_RESAMPLES):
+                        end = min(r + BLOCK_RESAMPLES, resamples)
+                        sums[:, r:end] += block_sums(a, b, c, own, r, end, signs)
+        yield from flushed()
+
+    parts = dealt.mapInArrow(run, f"{fields}, resample long, __n long, {totals}")
+    return parts.groupBy(*by, "seed", "resample").agg(F.sum("__n").alias("n"), *[F.sum(v).alias(v) for v in values]).where("n > 0")
 
 
 def ends(column: str) -> Column:

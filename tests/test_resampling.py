@@ -63,3 +63,17 @@ def test_awkward_strata(spark):
     assert got[None]["questions"] == 2 and got[None]["low"] == 1.0 and got[None]["high"] == 3.0 and got["s"]["low"] == got["s"]["high"] == 2.0 and "t" not in got
     assert resampling.difference_intervals(rows.limit(0), "d", ["role"], [10]).count() == 0
     assert {(r["strategy"], r["rank"]) for r in resampling.winners(rows.withColumn("e", F.col("d") + 1), ["d", "e"], ["role"], 50).collect()} == {("e", 1), ("d", 2)}
+
+
+def test_draws_over_arrays_are_those_of_the_columns(spark):
+    """Many strata, negative and large values, more resamples than a block; and no task works on all rows."""
+    rows = spark.createDataFrame([(f"q{i}", f"s{i % 40}" if i % 41 else None, (-1) ** i * (i / 7 + (5e6 if i == 3 else 0))) for i in range(200)], "question_id string, stratum string, v double")
+    for signs in (False, True):
+        got = resampling.resampled(rows.coalesce(1), "question_id", ["v"], ["stratum"], 5000, [7], signs)
+        a, b, c = resampling.coefficients(F.col("question_id"), F.lit(7))
+        each = rows.select("stratum", F.round(F.col("v") * resampling.UNIT).cast("long").alias("v"), a.alias("a"), b.alias("b"), c.alias("c")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4999).cast("long"))).alias("resample"))
+        x = resampling.drawn(F.col("resample"), F.col("a"), F.col("b"), F.col("c"))
+        n = (x % 2 * 2 - 1) if signs else resampling.count_of(x)
+        want = each.select("stratum", "resample", n.cast("long").alias("n"), "v").groupBy("stratum", "resample").agg((F.count("*") if signs else F.sum("n")).alias("n"), F.sum(F.col("n") * F.col("v")).alias("v")).where("n > 0").withColumn("seed", F.lit(7)).select("stratum", "seed", "resample", "n", "v")
+        assert got.columns == want.columns and got.exceptAll(want).count() == 0 and got.count() == want.count()
+    assert "RoundRobinPartitioning" in got._jdf.queryExecution().executedPlan().toString()
